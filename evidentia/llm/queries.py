@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import cuckoo, mixing, quality_rules, secrets_ledger, sentencepiece_codec
+from evidentia.llm import cuckoo, langid, mixing, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,20 @@ def hex_of(digest: Column) -> Column:
     return F.lower(F.hex(digest))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
+    folder = store.new_path(spark, "warc")
+    warc.write_archives(pages, folder)
+    back = warc.read_archives(spark, folder, with_payload=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +63,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = store.table(quality_rff.measure(read(spark, sf_dir, "documents")), "statistics")
+    model = quality_rff.fit(measured, read(spark, sf_dir, "labels"))
+    scored = measured.select("doc_id", quality_rff.held_out(F.col("doc_id")).alias("held_out"), quality_rff.scorer(model)("stats").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return coded.select(
@@ -65,8 +86,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evidentia.llm import store
-
     measured = store.table(quality_rules.measure(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")), "measures")
     judged = quality_rules.judge(measured, quality_rules.bands(measured))
     counts = [x.split()[0] for x in quality_rules.COUNTS.split(", ")]
@@ -74,14 +93,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op3_source_mixing": op3_source_mixing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+                   list_aggregate(list_transform(range(32), lambda i:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda j:
+                           (((strpos('0123456789abcdef', h[CAST((5 * i + j) // 4 + 1 AS INT)]) - 1) >> CAST(3 - (5 * i + j) % 4 AS INT)) & 1)
+                           << CAST(4 - j AS INT))) AS INT), 1)), 'string_agg', '') AS payload_digest
+            FROM p
+        ), f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first_id FROM d GROUP BY ALL)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM d JOIN f USING (payload_digest, payload_bytes)
+    """,
     "op3_source_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
