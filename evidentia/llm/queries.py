@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import cuckoo, langid, mixing, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
+from evidentia.llm import cuckoo, langid, mixing, neardup, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
 
 
 def vocabulary(name: str) -> str:
@@ -48,6 +48,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets_ledger.scan_history(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets_ledger.BASE))
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op3_source_mixing": op3_source_mixing,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_sentencepiece": op8_sentencepiece,
@@ -148,6 +153,31 @@ ORACLE_SQL: dict[str, str] = {
                CAST(e * size + greatest(0, least(size, budget - e * source_size - before)) AS BIGINT) AS taken
         FROM epochs
     """,
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+            FROM d
+        ), classes AS (SELECT min(doc_id) AS rep, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+        x AS (SELECT rep, len(g) AS n, unnest(g) AS h FROM classes),
+        pairs AS (
+            SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep
+                AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach(node, root) AS (
+            SELECT rep, rep FROM classes
+            UNION
+            SELECT l.b, r.root FROM reach r JOIN links l ON r.node = l.a AND r.root < l.b
+        ), labels AS (SELECT node, min(root) AS label FROM reach GROUP BY node)
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(l.label, s.doc_id) AS component_id,
+               coalesce(l.label, s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN classes c ON list_sort(s.g) = c.g LEFT JOIN labels l ON l.node = c.rep
+    """,
     "op9_exact_dedup": """
         WITH n AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
