@@ -180,19 +180,23 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, shard_b
     spark = pages.sparkSession
     typed = store.table(assign_types(pages, revisit_from), "typed")
     starts = cut_shards(typed, shard_bytes)
-    place = typed.dropDuplicates(["record_id", "payload_digest"]).withColumnsRenamed({"record_id": "_id", "payload_digest": "_digest"})
-    rows = pages.withColumn("payload_digest", payload_digest("payload"))
-    rows = rows.join(place, F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest"))).drop("_id", "_digest")
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).withColumn("shard", bounds_lookup(starts)("record_id"))
-    sent = rows.repartition(len(starts), "shard").sortWithinPartitions("shard", F.col("record_id").asc_nulls_first(), "payload_digest")
+    # One shuffle brings each payload and, in front of it, its row of types to the writer of their shard.
+    kinds = typed.dropDuplicates(["record_id", "payload_digest"]).withColumn("_order", F.lit(0))
+    payloads = pages.select("record_id", "url", "payload", payload_digest("payload").alias("payload_digest"), F.lit(1).alias("_order"))
+    rows = kinds.unionByName(payloads, allowMissingColumns=True).withColumn("shard", bounds_lookup(starts)("record_id"))
+    order = ["shard", F.col("record_id").asc_nulls_first(), "payload_digest", "_order"]
+    sent = rows.repartition(len(starts), "shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = None
         kinds = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temporary", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
         done: list[dict] = []
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("shard", "record_id", "url", "payload_digest", "payload_bytes", "refers_to", "payload")), strict=True):
-                shard, key, url, digest, size, refers, payload = (x.as_py() for x in row)
+            for row in zip(*(batch.column(c) for c in ("shard", "record_id", "url", "payload_digest", "payload_bytes", "refers_to", "payload", "_order")), strict=True):
+                shard, key, url, digest, own_size, own_refers, payload, payload_row = (x.as_py() for x in row)
+                if not payload_row:
+                    size, refers = own_size, own_refers
+                    continue
                 if roller is None or roller.shard != shard:
                     if roller is not None:
                         roller.close()
