@@ -106,7 +106,7 @@ def clean_line(line: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.btrim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.btrim(s)), lambda s: s != "")
 
 
 def content_hash(text: Column) -> Column:

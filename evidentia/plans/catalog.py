@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.plans import relational, retrieval
+from evidentia.plans import postings, relational, retrieval
 
-QUERIES = {**relational.QUERIES, **retrieval.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **retrieval.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **retrieval.QUERIES, **postings.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **retrieval.ORACLE_SQL, **postings.ORACLE_SQL}
