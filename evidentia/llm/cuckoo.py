@@ -182,7 +182,7 @@ def _sharded(entries: DataFrame, shards: int) -> DataFrame:
 def insert(index: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
     """The index after the entries (``entries_of``) went in; ``shards`` stays the same through the life of an index."""
 
-    def into(key, held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def into(key: tuple, held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         state = _load(held)
         for row in new.itertuples():
             state.insert(bytes(row.digest), None if pd.isna(row.keep_id) else int(row.keep_id), int(row.copies))
@@ -194,7 +194,7 @@ def insert(index: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
 def delete(index: DataFrame, digests: DataFrame, shards: int) -> DataFrame:
     """The index without the digests of the column ``digest``; unknown ones change nothing."""
 
-    def out_of(key, held: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+    def out_of(key: tuple, held: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         state = _load(held)
         for value in gone.digest:
             state.delete(bytes(value))
@@ -206,7 +206,7 @@ def delete(index: DataFrame, digests: DataFrame, shards: int) -> DataFrame:
 def probe(index: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
     """For each digest of the entries: its keeper and live copies in the index (null and 0 if it isn't live), and its salts."""
 
-    def look(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def look(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         state, salts = _load(held), {}
         for row in asked.itertuples():
             salts.setdefault(bytes(row.digest), []).append(int(row.salt))
@@ -214,10 +214,10 @@ def probe(index: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
         found = [state.content[slot] if slot >= 0 else [None, None, 0] for slot in slots]
         return pd.DataFrame(
             {
-                "digest": list(salts),
+                "digest": pd.Series(list(salts), dtype=object),
                 "keep_id": pd.array([x[1] for x in found], "Int64"),
-                "group_size": [x[2] for x in found],
-                "salts": list(salts.values()),
+                "group_size": pd.Series([x[2] for x in found], dtype="int64"),
+                "salts": pd.Series(list(salts.values()), dtype=object),
             }
         )
 
