@@ -11,9 +11,10 @@ lower-casing A-Z.  Documents with 100 * intersection >= 75 * union are linked; a
 3. Components of these links are found by alternating large-star and small-star.
 4. Buckets that still hold several components are worked through in blocks: the pairs across components whose sketches can
    stand for 0.75 (five standard deviations) are the candidates that could add a link.  A pair is only a candidate in the
-   first band it shares.  Buckets above ``BLOCK`` members are cut into blocks, and each pair of blocks is a task of its own, so
-   there is no cap on the members of a bucket.
-5. Candidates are verified on full sets; new links join components.
+   first band it shares.  Members that have a candidate partner get their full sets; pairs are verified where they meet, and
+   only links leave the task.  Buckets above ``BLOCK`` members or ``BLOCK_BYTES`` of sets are cut into blocks, and each pair of
+   blocks is a group of its own, so there is no cap on the members of a bucket.
+5. The new links join components.
 
 Nothing about all documents reaches the driver.  Rows without an id are returned unlinked and kept, as are documents without
 words, which have the empty set.  Rows that share an id are one document with the links of each of its texts.
@@ -37,6 +38,7 @@ SHINGLE = 5
 THRESHOLD = 75
 BANDS, ROWS = 50, 5
 BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 #: Share of equal sketch bytes below which a pair cannot have similarity 0.75: five standard deviations for 250 minima.
 LEAST_EQUAL = 0.61
 _RNG = np.random.default_rng(11)
@@ -132,12 +134,8 @@ def shingle_set(texts: pa.Array) -> pa.Array:
 @F.arrow_udf(T.IntegerType())
 def common(left: pa.Array, right: pa.Array) -> pa.Array:
     """Size of the intersection of two sorted sets."""
-    sizes = []
-    for a, b in zip(left, right, strict=True):
-        both = np.concatenate([np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)])
-        both.sort(kind="stable")
-        sizes.append(int((both[1:] == both[:-1]).sum()))
-    return pa.array(sizes, pa.int32())
+    pairs = zip(left, right, strict=True)
+    return pa.array([overlap(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in pairs], pa.int32())
 
 
 @F.arrow_udf(T.DoubleType())
@@ -165,28 +163,43 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.filter(100 * F.col("i") >= THRESHOLD * union).select("a", "b")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across components of the rows (key, band, rep, comp, n, sketch) of each bucket."""
-    counted = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+def dealt(members: DataFrame) -> DataFrame:
+    """The rows (key, rep, comp, n, ...) of each bucket, cut into blocks that fit in a task, once for each pair of blocks."""
+    need = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") * F.lit(8 / BLOCK_BYTES))
+    counted = members.groupBy("key").agg(F.ceil(need).cast("int").alias("blocks"))
     rows = members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.select("key", "i", "j", "block", "band", "rep", "comp", "n", "sketch")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return dealt.mapInArrow(_pairs_of_groups, "a bigint, b bigint")
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
-def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None
+def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across components, from the rows (key, band, rep, comp, n, sketch) of each bucket.
+
+    Sketches first find the members that have a candidate partner at all; only those get their full sets, and are paired and
+    verified where they meet.  What leaves a task are members and links, never candidate pairs."""
+    involved = dealt(members).mapInArrow(_members_with_partners, "key bigint, rep bigint").distinct()
+    rows = members.join(involved, ["key", "rep"]).join(sets.groupBy("rep").agg(F.collect_list("shingles").alias("sets")), "rep")
+    return dealt(rows).mapInArrow(_links, "a bigint, b bigint")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (key, i, j), from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        starts = _starts(table)
+        starts = _starts(pa.Table.from_batches([batch]))
+        if not len(starts):
+            continue
+        continued = held and all(batch.column(c)[0].as_py() == held[-1].column(c)[-1].as_py() for c in ("key", "i", "j"))
+        if held and not continued:
+            yield pa.Table.from_batches(held)
+            held = []
         if len(starts) > 1:
-            yield _pairs(table.slice(0, starts[-1]))
-        held = table.slice(starts[-1]).combine_chunks() if len(starts) else None
-    if held is not None and held.num_rows:
-        yield _pairs(held)
+            yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            held = []
+        held.append(batch.slice(starts[-1]))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _starts(table: pa.Table) -> np.ndarray:
@@ -194,38 +207,71 @@ def _starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if table.num_rows else np.empty(0, int)
 
 
-def _pairs(table: pa.Table) -> pa.RecordBatch:
+def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of the candidate pairs in the groups of a table, a part at a time."""
     starts = np.append(_starts(table), table.num_rows)
-    rep, comp, n, band, block, i, j = (table[c].to_numpy() for c in ("rep", "comp", "n", "band", "block", "i", "j"))
+    comp, n, band, block, i, j = (table[c].to_numpy() for c in ("comp", "n", "band", "block", "i", "j"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    first, second = [], []
+
+    def plausible_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b]))
+        a, b = a[keep], b[keep]
+        same = sketch[a] == sketch[b]
+        keep = same.mean(axis=1) >= LEAST_EQUAL
+        a, b, same = a[keep], b[keep], same[keep]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[a]
+        return a[first], b[first]
+
     sizes = np.diff(starts)
     twos = starts[:-1][sizes == 2]
-    first.append(twos)
-    second.append(twos + 1)
+    for at in range(0, len(twos), 20_000):
+        yield plausible_pairs(twos[at : at + 20_000], twos[at : at + 20_000] + 1)
     for start, size in zip(starts[:-1], sizes, strict=True):
         if size <= 2:
             continue
         rows = np.arange(start, start + size)
         left, right = rows[block[rows] == i[start]], rows[block[rows] == j[start]]
-        for at in range(0, len(left), 128):
-            some = left[at : at + 128]
-            a, b = np.meshgrid(some, right, indexing="ij")
-            keep = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b]))
+        step = max(1, 40_000 // max(len(right), 1))
+        for at in range(0, len(left), step):
+            a, b = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
             if i[start] == j[start]:
-                keep &= a < b
-            a, b = a[keep], b[keep]
-            equal = np.concatenate([(sketch[a[k : k + 20_000]] == sketch[b[k : k + 20_000]]).mean(axis=1) for k in range(0, len(a), 20_000)] or [np.empty(0)])
-            first.append(a[equal >= LEAST_EQUAL])
-            second.append(b[equal >= LEAST_EQUAL])
-    a, b = np.concatenate(first).astype(int), np.concatenate(second).astype(int)
-    keep = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b]))
-    a, b = a[keep], b[keep]
-    same = sketch[a] == sketch[b]
-    shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
-    keep = (same.mean(axis=1) >= LEAST_EQUAL) & (shared.argmax(axis=1) == band[a]) if len(a) else np.empty(0, bool)
-    a, b = rep[a[keep]], rep[b[keep]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b = a[a < b], b[a < b]
+            yield plausible_pairs(a, b)
+
+
+def _members_with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _groups(batches):
+        used = np.zeros(table.num_rows, bool)
+        for a, b in _candidates(table):
+            used[a] = used[b] = True
+        rows = table.select(["key", "rep"]).filter(pa.array(used)).combine_chunks()
+        yield from rows.to_batches()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _groups(batches):
+        rep, found = table["rep"].to_numpy(), set()
+        held = table["sets"].combine_chunks()
+        bounds, values = held.offsets.to_pylist(), held.values
+        sets = [[np.frombuffer(values[k].as_buffer(), np.uint64) for k in range(x, y)] for x, y in zip(bounds, bounds[1:], strict=False)]
+        for a, b in _candidates(table):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                if any(linked(p, q) for p in sets[x] for q in sets[y]):
+                    found.add((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = overlap(a, b)
+    return 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -251,7 +297,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     placed = store.table(placed.select("key", "band", "rep", F.coalesce("label", "rep").alias("comp")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     unresolved = placed.join(mixed_keys, "key").join(classes.select("rep", "n", "sketch"), "rep")
-    more = store.table(verified(across(unresolved).distinct(), full), "more")
+    more = store.table(across(unresolved, full).distinct(), "more")
 
     known = first.select("node", "label")
 
