@@ -47,6 +47,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
+    store.bound_batches(spark)
     coded = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_t"))
     coded = coded.withColumn("_r", sentencepiece_codec.codec(vocabulary("piece_bpe_32k.model"))("_t"))
     return coded.select("doc_id", "lang", "source", F.size("_r.ids").alias("n_tokens"), "_r.ids", (F.col("_r.decoded") == F.col("_t")).alias("round_trip"))

@@ -230,6 +230,7 @@ def deduplicate(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     Null texts count as empty.  A row with a null id keeps its place only where all equal rows have null ids; rows that
     repeat id and text are all reported and all kept or dropped alike.  An empty table gives an empty result.
     """
+    store.bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("digest")).withColumn("_salt", groups.salt(F.col("_id")))
     rows = store.table(rows, "digests")
     entries = store.table(entries_of(rows), "entries")

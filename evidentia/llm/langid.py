@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.llm import store
+
 ORDER = 5
 SAMPLE_CHARS = 400_000
 CALIBRATION_ROWS = 2_000
@@ -268,6 +270,7 @@ def train(
     calibration_rows: int = CALIBRATION_ROWS,
 ) -> Model | None:
     """A calibrated model from the learning rows of ``df``, or None if there are none."""
+    store.bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(learning(F.col("_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     calibrates = F.floor(fold(F.col("_id")) / 3) % 5 == 0

@@ -276,6 +276,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``."""
+    store.bound_batches(df.sparkSession)
     rows = store.table(signatures(df, text_col, id_col), "signatures")
     sets = rows.filter("n > 0 and _id is not null")
     best = sets.groupBy("set_id").agg(F.min_by(F.struct("n", "bands", "sketch"), "_id").alias("s"), F.min("_id").alias("rep"))

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.llm import store
+
 FEATURES = 256
 RIDGE = 1.0
 BINS = 3001
@@ -192,4 +194,6 @@ def text_scorer(model: Model):
 
 
 def measure(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, stats) of every whole text."""
+    store.bound_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("stats"))

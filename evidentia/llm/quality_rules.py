@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm import store
+
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
@@ -94,6 +96,7 @@ class TokenTable:
 
 def measure(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", table_size: int = 300_000) -> DataFrame:
     """(id, lang, counts, fertility measures) of every whole text."""
+    store.bound_batches(df.sparkSession)
 
     @F.arrow_udf(RESULT)
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

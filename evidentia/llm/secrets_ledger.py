@@ -104,6 +104,7 @@ def findings(df: DataFrame, ledger: DataFrame, text_col: str = "text", id_col: s
 
 def scan_history(df: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(findings for every row, the grown ledger), the new part of which is written once to the shared folder."""
+    store.bound_batches(df.sparkSession)
     held = empty_ledger(df.sparkSession) if ledger is None else ledger
     grown = held.unionByName(store.table(scan(df, held, text_col), "ledger"))
     return findings(df, grown, text_col, id_col), grown

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm import store
+
 MARK = "▁"
 RESULT = "ids array<int>, decoded string"
 
@@ -214,4 +216,5 @@ def codec(model_path: str, table_size: int = 400_000) -> Callable[[Column], Colu
 
 def encode_documents(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", table_size: int = 400_000) -> DataFrame:
     """``id_col``, ids and decoded text of every row.  Rows with equal ids, null ids and repeated rows are kept as they come."""
+    store.bound_batches(df.sparkSession)
     return df.select(F.col(id_col), codec(model_path, table_size)(F.col(text_col)).alias("_r")).select(id_col, "_r.ids", "_r.decoded")

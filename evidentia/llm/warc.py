@@ -177,6 +177,7 @@ class Roller:
 
 def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
     """Write rows (record_id, url, payload) as archives to ``folder``; the path of the published manifest."""
+    store.bound_batches(pages.sparkSession)
     spark = pages.sparkSession
     typed = store.table(assign_types(pages, revisit_from), "typed")
     starts = cut_shards(typed, shard_bytes)
