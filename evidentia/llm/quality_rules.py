@@ -25,11 +25,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_TOKENS = 50
-WIDTH = 3.0
+MIN_TOKENS = 100
+WIDTH = 4.0
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: A band is never narrower than this on either side of its quartiles: byte shares of most texts are 0.
-LEAST_WIDTH = {"chars_per_token": 0.25, "byte_share": 0.05, "token_entropy": 0.5}
+LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 1.0}
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 RESULT = COUNTS + ", n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 SPACE = bytes([0x20, *range(0x09, 0x0E)])

@@ -166,7 +166,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents
         ), s AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+                   ELSE list_distinct(list_transform(list_zip(w, w[2:], w[3:], w[4:], w[5:], true), lambda z: concat_ws(' ', z[1], z[2], z[3], z[4], z[5]))) END AS g
             FROM d
         ), classes AS (SELECT min(doc_id) AS rep, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
         x AS (SELECT rep, len(g) AS n, unnest(g) AS h FROM classes),
