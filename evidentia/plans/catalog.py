@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.plans import postings, relational, retrieval, scoring
+from evidentia.plans import postings, profiles, relational, retrieval, scoring
 
-QUERIES = {**relational.QUERIES, **retrieval.QUERIES, **postings.QUERIES, **scoring.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **retrieval.ORACLE_SQL, **postings.ORACLE_SQL, **scoring.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **retrieval.QUERIES, **postings.QUERIES, **scoring.QUERIES, **profiles.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **retrieval.ORACLE_SQL, **postings.ORACLE_SQL, **scoring.ORACLE_SQL, **profiles.ORACLE_SQL}
