@@ -73,7 +73,7 @@ def mix(
 
 
 def allot(sized: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED, digits: int = 3) -> DataFrame:
-    """``mix`` for rows (_id, source, size)."""
+    """``mix`` for rows (_id, source, size); other columns stay."""
     keyed = sized.withColumn("_key", random_key(F.col("_id"), seed)).withColumn("_range", F.substring("_key", 1, digits))
     ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_range_size"))
     along = Window.partitionBy("source").orderBy("_range")
@@ -90,22 +90,24 @@ def allot(sized: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS,
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_inner")))
-    return joined.select("_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).alias("taken"))
+    return joined.select(*sized.columns, "source_size", "target", (epochs * F.col("size") + last).alias("taken"))
 
 
 def take(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, with the columns of ``df``: a document comes once for each epoch that takes it whole, and the one
-    document of a source at which its budget ends comes with its text cut behind the last word taken."""
+    document of a source at which its budget ends comes with its text cut behind the last word taken.  Documents without words
+    come once.  Rows that repeat id and text get the share of the first of them each."""
     columns = df.columns
-    shares = mix(df.select(text_col, id_col, source_col), text_col, id_col, source_col, **options)
-    shares = shares.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id"])
+    sized = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("_h"), word_count(F.col(text_col)).alias("size"))
+    shares = allot(sized, **options).select("_id", "_h", F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_h"])
     words = F.col("_taken") % F.col("_size")
     pieces = F.concat(
         F.array_repeat(F.lit(None).cast("bigint"), (F.col("_taken") / F.col("_size")).cast("int")),
         F.when(words > 0, F.array(words)).otherwise(F.array().cast("array<bigint>")),
     )
     pieces = F.when(F.col("_size") > 0, pieces).otherwise(F.array(F.lit(None).cast("bigint")))
-    rows = df.join(shares, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_words", F.explode(pieces))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    rows = df.join(shares, same).withColumn("_words", F.explode(pieces))
     cut = F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_words")))
     return rows.withColumn(text_col, cut).select(*columns)
 

@@ -72,6 +72,12 @@ def test_taking_repeats_and_cuts(make):
     assert got.columns == make([]).columns
 
 
+def test_taking_rows_without_ids(make):
+    rows = [(None, "w " * n, "en", "a") for n in range(1, 30)] + [(None, None, "en", "a")]
+    got = mixing.take(make(rows))
+    assert sum(words(r["text"]) for r in got.collect()) == int(1.5 * sum(range(1, 30))) and got.filter("text is null").count() == 1
+
+
 def test_mix_of_nothing(make):
     assert mixing.mix(make([])).collect() == [] and mixing.take(make([])).collect() == []
 
