@@ -29,13 +29,12 @@ def names_rule(tokens: Column, aliases) -> Column:
 def explicit_status(requirements: DataFrame, evidence: DataFrame, rules: dict = EXPLICIT_RULES) -> DataFrame:
     """(requirement_id, rules_named, rules_met, status) of the requirements that name a rule, over all evidence.
 
-    Evidence is reduced to one row of flags first, so nothing is paired."""
+    Evidence is first reduced to one flag for each rule, so nothing is paired."""
     flags = [names_rule(F.col("tokens"), a) for a in rules.values()]
-    met = evidence.agg(*(F.coalesce(F.bool_or(f), F.lit(False)).alias(f"_met{i}") for i, f in enumerate(flags)))
+    met = evidence.agg(*(F.coalesce(F.bool_or(f), F.lit(False)).alias(f"_met{i}") for i, f in enumerate(flags))).first()
     named = [F.when(f, 1).otherwise(0) for f in flags]
-    both = [F.when(f & F.col(f"_met{i}"), 1).otherwise(0) for i, f in enumerate(flags)]
-    rows = requirements.crossJoin(F.broadcast(met))  # one row
-    counted = rows.select("requirement_id", sum(named, F.lit(0)).cast("bigint").alias("rules_named"), sum(both, F.lit(0)).cast("bigint").alias("rules_met"))
+    both = [F.when(f, int(met[i])).otherwise(0) for i, f in enumerate(flags)]
+    counted = requirements.select("requirement_id", sum(named, F.lit(0)).cast("bigint").alias("rules_named"), sum(both, F.lit(0)).cast("bigint").alias("rules_met"))
     status = F.when(F.col("rules_met") == F.col("rules_named"), "matched").when(F.col("rules_met") > 0, "partially_matched").otherwise("not_evidenced")
     return counted.filter("rules_named > 0").withColumn("status", status)
 

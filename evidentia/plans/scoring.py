@@ -54,9 +54,10 @@ def tenure_summed(spark, d):
 
 
 def experience_status(spark, d):
+    asked = F.array(*(F.struct(F.lit(i).cast("bigint").alias("requirement_id"), F.lit(r).alias("requirement")) for i, r in REQUIREMENTS))
+    pairs = tenure_merged(spark, d).select("user_id", "years", F.inline(asked))
     least, most = M.year_range(F.col("requirement"))
-    asked = fixture(spark, REQUIREMENTS, "requirement_id bigint, requirement string").withColumns({"least": least, "most": most})
-    pairs = tenure_merged(spark, d).crossJoin(F.broadcast(asked))  # six stated requirements
+    pairs = pairs.withColumns({"least": least, "most": most})
     status = M.experience_status(F.col("years"), F.col("least"), F.col("most"), F.lit(True))
     return pairs.select("user_id", "requirement_id", status.alias("status"))
 
