@@ -18,7 +18,7 @@ def visible_text(html: Column) -> Column:
     body = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
     body = F.regexp_replace(body, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>", "\n")
     body = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), ENTITIES, F.regexp_replace(body, r"<[^>]*>", " "))
-    return F.btrim(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))
 
 
 def title(html: Column) -> Column:
