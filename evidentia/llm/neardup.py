@@ -290,7 +290,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     stars = store.table(plausible(stars.filter("a != b").distinct(), classes), "stars")
     wanted = members.select("rep").distinct()
     texts = df.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("_t")).join(wanted, "rep", "left_semi")
-    full = store.table(texts.select("rep", shingle_set("_t").alias("shingles")).filter(F.octet_length("shingles") > 0).dropDuplicates(["rep", "shingles"]), "sets")
+    full = store.table(texts.select("rep", shingle_set("_t").alias("shingles")).dropDuplicates(["rep", "shingles"]), "sets")
+    full = full.filter(F.octet_length("shingles") > 0)  # on the written table: above, it would run before the join, over all texts
     links = store.table(verified(stars, full), "links")
 
     first = store.table(components(links), "first")
