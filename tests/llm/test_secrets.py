@@ -48,3 +48,9 @@ def test_ledger_scans_each_version_once(spark, make):
 def test_nothing(make):
     found, ledger = S.scan_history(make([]))
     assert found.collect() == [] and ledger.collect() == []
+
+
+def test_very_long_runs():
+    """Runs without an end are scanned once, not once for each place in them."""
+    assert S.spans_of("x://" + "z" * 400_000 + " eyJ" * 2 + "eyJ" * 100_000) == []
+    assert [s["kind"] for s in S.spans_of("z" * 400_000 + "://u:pw@h")] == ["url_login"]
