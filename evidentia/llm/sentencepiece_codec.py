@@ -4,7 +4,7 @@ Where no piece of the vocabulary holds a whitespace marker after another charact
 marker.  A text then falls into chunks, each a run of markers with the word behind it, and the ids of the text are the
 ids of its chunks one after another.  A task keeps a table of the distinct chunks it has met, segments each of them once
 through the library, and joins the ids back by position with one vectorised gather.  The table is emptied at
-``table_size`` entries: it is a cache, so results do not depend on its size and its memory is bounded.
+``table_size`` entries or ``TABLE_CHARS`` characters: it is a cache, so results do not depend on its size and its memory is bounded.
 
 A vocabulary in which a piece does cross a marker, or whose normaliser rewrites text, is encoded text by text instead.
 
@@ -27,6 +27,8 @@ from evidentia.llm import store
 
 MARK = "▁"
 RESULT = "ids array<int>, decoded string"
+#: Characters that a table of chunks holds at most before it is emptied: text without spaces has few, but long chunks.
+TABLE_CHARS = 16_000_000
 
 
 @lru_cache(maxsize=4)
@@ -116,6 +118,7 @@ class ChunkTable:
         self.index: defaultdict[str, int] = defaultdict(count().__next__)
         self.flat = np.empty(0, np.int32)
         self.starts = self.lengths = np.empty(0, np.int64)
+        self.chars = 0
 
     def segment(self, new: list[str]) -> None:
         """Give the newest chunks their ids: those with one marker in a few calls, told apart by their markers."""
@@ -137,6 +140,7 @@ class ChunkTable:
         self.starts = np.concatenate([self.starts, len(self.flat) + starts])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, *parts])
+        self.chars += sum(map(len, new))
 
     def ids(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, number of ids of each), given each one's chunks."""
@@ -149,7 +153,7 @@ class ChunkTable:
         stops = np.cumsum([len(chunks) for chunks in documents])
         counts = np.diff(np.concatenate([[0], ends[stops]]))
         got = self.flat[ragged(self.starts[codes], lengths)]
-        if len(self.index) > self.size:
+        if len(self.index) > self.size or self.chars > TABLE_CHARS:
             self.clear()
         return got, counts
 

@@ -47,3 +47,11 @@ def test_documents(make):
     want = sorted((i is None, i or 0, *library(t)) for i, t in [*enumerate(TEXTS), (0, "again"), (None, "b c")])
     assert got == want
     assert C.encode_documents(make([]), MODEL).collect() == []
+
+
+def test_few_but_long_chunks(monkeypatch):
+    monkeypatch.setattr(C, "TABLE_CHARS", 100)
+    table = C.ChunkTable(MODEL, 10_000)
+    got = C.encode_texts(pa.array(TEXTS), table, MODEL, block_chars=50).to_pylist()
+    assert [(x["ids"], x["decoded"]) for x in got] == [library(t) for t in TEXTS]
+    assert table.chars <= 100
