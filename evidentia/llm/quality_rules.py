@@ -30,6 +30,8 @@ WIDTH = 4.0
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: A band is never narrower than this on either side of its quartiles: byte shares of most texts are 0.
 LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 1.0}
+#: Bytes of words that a table of tokens holds at most before it is emptied: text without spaces has few, but long words.
+TABLE_BYTES = 16_000_000
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 RESULT = COUNTS + ", n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -68,14 +70,17 @@ class TokenTable:
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(n)])
         self.starts_word = np.array([self.sp.id_to_piece(i).startswith("▁") for i in range(n)])
         self.words: dict[bytes, np.ndarray] = {}
+        self.held = 0
 
     def measures(self, words: list[bytes], word_chars: int) -> tuple[int, float, float, float]:
         """(tokens, characters for each token, share of byte tokens, entropy of the tokens in bits)."""
         counts = Counter(words)
         new = [w for w in counts if w not in self.words]
-        if len(self.words) > self.size:
+        if len(self.words) > self.size or self.held > TABLE_BYTES:
             self.words.clear()
+            self.held = 0
             new = list(counts)
+        self.held += sum(map(len, new))
         for at in range(0, len(new), 256):
             some = new[at : at + 256]
             texts = [w.decode() for w in some]

@@ -62,3 +62,13 @@ def test_verdicts(make, prose):
 def test_nothing(make):
     measured = Q.measure(make([]), MODEL)
     assert Q.judge(measured, Q.bands(measured)).collect() == []
+
+
+def test_few_but_long_words(monkeypatch):
+    rows = [Q.base_counts(t.encode()) for t in TEXTS[3:]]
+    table = Q.TokenTable(MODEL, 10_000)
+    want = [table.measures(words, counts[1]) for words, counts in rows]
+    monkeypatch.setattr(Q, "TABLE_BYTES", 10)
+    table = Q.TokenTable(MODEL, 10_000)
+    assert [table.measures(words, counts[1]) for words, counts in rows] == want
+    assert len(table.words) < 20
