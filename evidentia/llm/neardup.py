@@ -60,22 +60,24 @@ def word_hash(word: bytes) -> int:
 
 
 class Shingler:
-    """Sets of texts, with the hashes of words that were met before."""
+    """Sets of texts, with the hashes of words that were met before; emptied at a number of words or of their bytes."""
 
-    def __init__(self, table_size: int = 300_000):
+    def __init__(self, table_size: int = 300_000, table_bytes: int = 16_000_000):
         self.known: dict[bytes, int] = {}
-        self.size = table_size
+        self.size, self.bytes, self.held = table_size, table_bytes, 0
 
     def set_of(self, raw: bytes) -> np.ndarray:
         """The sorted 64-bit hashes of the distinct shingles of a text in UTF-8."""
         words = raw.lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.known) > self.size:
+        if len(self.known) > self.size or self.held > self.bytes:
             self.known.clear()
+            self.held = 0
         known = self.known
         for w in set(words).difference(known):
             known[w] = word_hash(w)
+            self.held += len(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(h) < SHINGLE:
             return mixed(np.array([(h * _WORD[: len(h)]).sum() + np.uint64(len(h))], np.uint64))

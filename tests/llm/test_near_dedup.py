@@ -91,3 +91,10 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_few_but_long_words(prose):
+    texts = [prose(i, 40).encode() for i in range(5)]
+    wide, tight = neardup.Shingler(), neardup.Shingler(table_bytes=1)
+    assert all((wide.set_of(t) == tight.set_of(t)).all() for t in texts * 2)
+    assert tight.held < wide.held
