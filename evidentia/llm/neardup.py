@@ -11,7 +11,7 @@ lower-casing A-Z.  Documents with 100 * intersection >= 75 * union are linked; a
 3. Components of these links are found by alternating large-star and small-star.
 4. Buckets that still hold several components are worked through in blocks: the pairs across components whose sketches can
    stand for 0.75 (five standard deviations) are the candidates that could add a link.  A pair is only a candidate in the
-   first band it shares.  Members that have a candidate partner get their full sets; pairs are verified where they meet, and
+   first band it shares by key: rows carry the keys of their earlier bands.  Members that have a candidate partner get their full sets; pairs are verified where they meet, and
    only links leave the task.  Buckets above ``BLOCK`` members or ``BLOCK_BYTES`` of sets are cut into blocks, and each pair of
    blocks is a group of its own, so there is no cap on the members of a bucket.
 5. The new links join components.
@@ -176,7 +176,7 @@ def dealt(members: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) across components, from the rows (key, band, rep, comp, n, sketch) of each bucket.
+    """Links (a, b) across components, from the rows (key, band, rep, comp, n, sketch, earlier) of each bucket.
 
     Sketches first find the members that have a candidate partner at all; only those get their full sets, and are paired and
     verified where they meet.  What leaves a task are members and links, never candidate pairs."""
@@ -214,14 +214,16 @@ def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.append(_starts(table), table.num_rows)
     comp, n, band, block, i, j = (table[c].to_numpy() for c in ("comp", "n", "band", "block", "i", "j"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    held = np.arange(BANDS) < band[:, None]
+    earlier = np.zeros(held.shape, np.int64)
+    earlier[held] = table["earlier"].combine_chunks().flatten().to_numpy()
 
     def plausible_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b]))
         a, b = a[keep], b[keep]
-        same = sketch[a] == sketch[b]
-        keep = same.mean(axis=1) >= LEAST_EQUAL
-        a, b, same = a[keep], b[keep], same[keep]
-        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[a]
+        keep = (sketch[a] == sketch[b]).mean(axis=1) >= LEAST_EQUAL
+        a, b = a[keep], b[keep]
+        first = ~((earlier[a] == earlier[b]) & held[a]).any(axis=1)
         return a[first], b[first]
 
     sizes = np.diff(starts)
@@ -300,7 +302,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     placed = members.select("key", "band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     placed = store.table(placed.select("key", "band", "rep", F.coalesce("label", "rep").alias("comp")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    unresolved = placed.join(mixed_keys, "key").join(classes.select("rep", "n", "sketch"), "rep")
+    unresolved = placed.join(mixed_keys, "key").join(classes.select("rep", "n", "sketch", "bands"), "rep")
+    unresolved = unresolved.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
     more = store.table(across(unresolved, full).distinct(), "more")
 
     known = first.select("node", "label")

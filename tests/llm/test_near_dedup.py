@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia.llm import neardup
@@ -98,3 +100,22 @@ def test_few_but_long_words(prose):
     wide, tight = neardup.Shingler(), neardup.Shingler(table_bytes=1)
     assert all((wide.set_of(t) == tight.set_of(t)).all() for t in texts * 2)
     assert tight.held < wide.held
+
+
+def test_band_that_collides_in_sketch_bytes_only():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**63, neardup.BANDS * neardup.ROWS, np.uint64)
+    two = one.copy()
+    byte = lambda x: neardup.mixed(x) >> np.uint64(56)
+    others = rng.integers(0, 2**63, 10_000, np.uint64)
+    two[0] = others[byte(others) == byte(one[:1])][0]  # band 0 differs, though its bytes are equal
+    assert two[0] != one[0] and (byte(one) == byte(two)).all()
+    keys = np.stack([neardup.band_keys(one), neardup.band_keys(two)])
+    assert (keys[0] == keys[1]).tolist() == [False] + [True] * (neardup.BANDS - 1)
+
+    def candidates(band):
+        sketch = byte(one).astype(np.uint8).tobytes()
+        rows = [{"key": int(k[band]), "band": band, "rep": r, "comp": r, "n": 9, "sketch": sketch, "earlier": k[:band].tolist(), "block": 0, "i": 0, "j": 0} for r, k in enumerate(keys)]
+        return sum(len(a) for a, _ in neardup._candidates(pa.Table.from_pylist(rows)))
+
+    assert [candidates(b) for b in range(1, 5)] == [1, 0, 0, 0]  # in the first bucket that both are in, and nowhere else
