@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,9 @@ from evidentia.functions import scores, text
 
 DIMENSIONS = 256
 QUERY_BLOCK = 1024
+#: Vectors or queries of a block, about, and pairs scored at once.
+VECTOR_BLOCK = 8192
+PAIRS = 1 << 20
 
 
 def feature_counts(tokens: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -132,14 +136,86 @@ def cosine(left, right):
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a block of query vectors (query_id, query) against (vec_id, vec), decimals as reported.
+    """(query_id, vec_id, cosine, rank): exact cosine top-k of (query_id, query) among (vec_id, vec), decimals as reported.
 
-    The query block is the broadcast side; every task scores its own vectors."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("vec")), 6).alias("cosine"))
+    Both sides may have a ``label``; then only vectors with the label of the query count.  Blocks of about ``VECTOR_BLOCK`` queries
+    meet blocks of as many vectors in a task each, which passes on its best ``k`` for each query; nothing is broadcast."""
+    labelled = "label" in vectors.columns and "label" in queries.columns
+    names = [[F.col("label").alias(n)] if labelled else [] for n in ("query_label", "vec_label")]
+    across, down = (max(1, -(-df.count() // VECTOR_BLOCK)) for df in (queries, vectors))
+    left = _in_cells(queries.select("query_id", "query", *names[0]), "i", across, "j", down)
+    right = _in_cells(vectors.select("vec_id", "vec", *names[1]), "j", down, "i", across)
+
+    def local(these: pa.Table, those: pa.Table) -> pa.Table:
+        columns = nearest(these, those, k) if these.num_rows and those.num_rows else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "_c"])
+
+    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(local, "query_id bigint, vec_id bigint, _c double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    scored = best.select("query_id", "vec_id", F.round("_c", 6).alias("cosine"))
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def _in_cells(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    """The rows in one of ``blocks`` each, once for each block of the other side."""
+    block = F.pmod(F.xxhash64(*df.columns), F.lit(blocks)) if blocks > 1 else F.lit(0)
+    return df.withColumn(own, block.cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors as rows, their dimensions); vectors that are null, hold a null or have no length are zero."""
+    lists = [[] if x is None or None in x else x for x in column.to_pylist()] if _ragged(column) else None
+    if lists is None:
+        flat = column.combine_chunks().flatten().to_numpy()
+        rows = flat.reshape(len(column), len(flat) // len(column)).astype(np.float64)
+        sizes = np.full(len(rows), rows.shape[1])
+    else:
+        sizes = np.array([len(x) for x in lists])
+        rows = np.zeros((len(lists), max(sizes.max(), 1)))
+        for row, x in zip(rows, lists, strict=True):
+            row[: len(x)] = x
+    norms = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms != 0), sizes
+
+
+def _ragged(column: pa.ChunkedArray) -> bool:
+    sizes = pc.list_value_length(column)
+    return column.null_count > 0 or pc.min(sizes).as_py() != pc.max(sizes).as_py() or column.combine_chunks().flatten().null_count > 0
+
+
+def nearest(queries: pa.Table, vectors: pa.Table, k: int) -> list[np.ndarray]:
+    """[query_id, vec_id, cosine] of the best ``k`` vectors of each query, in the order of the reported decimals, then the id."""
+    (q, q_size), (v, v_size) = _matrix(queries["query"]), _matrix(vectors["vec"])
+    width = max(q.shape[1], v.shape[1])
+    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+    query_ids, ids = queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy()
+    labels = None
+    if "query_label" in queries.column_names:
+        codes = pa.chunked_array([*vectors["vec_label"].chunks, *queries["query_label"].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        labels = codes[: len(v)], codes[len(v) :]
+    best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]  # row of the query, vec_id, key, cosine
+    step = max(1, PAIRS // len(q))
+    for at in range(0, len(v), step):
+        part = slice(at, at + step)
+        cosine = v[part] @ q.T
+        cosine[v_size[part, None] != q_size] = 0.0
+        key = np.where(np.isnan(cosine), np.inf, np.copysign(np.floor(np.abs(cosine) * 1e6 + 0.5), cosine))
+        wrong = ids[part, None] == query_ids
+        if labels is not None:
+            wrong |= (labels[0][part, None] != labels[1]) | (labels[1] < 0)
+        key[wrong] = -np.inf
+        n = len(key)
+        keep = key > -np.inf
+        if n > k:
+            keep &= key >= np.partition(key, n - k, axis=0)[n - k]
+        row, col = np.nonzero(keep)
+        best = [np.concatenate(x) for x in zip(best, (col, ids[part][row], key[row, col], cosine[row, col]), strict=True)]
+        order = np.lexsort((best[1], -best[2], best[0]))
+        best = [x[order] for x in best]
+        place = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+        best = [x[place < k] for x in best]
+    return [query_ids[best[0]], best[1], best[3]]
+
+
 def tokens_of(df: DataFrame, id_col: str, text_col: str, as_id: str) -> DataFrame:
     return df.select(F.col(id_col).alias(as_id), text.retrieval_tokens(F.col(text_col)).alias("tokens"))

@@ -68,12 +68,12 @@ def requirement_ids(spark, d):
     return items.select("item_id", M.requirement_id(F.lit("a1"), F.lit("required"), F.lit("skill"), F.lit("all"), F.col("text")).alias("requirement_id"))
 
 
-def _cases(spark, d):
+def _cases(spark, d, search=vector_topk, searched=_query_vectors, every=1):
     labels = _vectors(spark, d).select(F.col("vec_id").alias("hit"), F.col("label").alias("hit_label"))
-    queries = _query_vectors(spark, d).select("query_id", "query_label")
-    hits = vector_topk(spark, d).join(labels, F.col("vec_id") == F.col("hit")).join(queries, "query_id")
+    queries = searched(spark, d).select("query_id", "query_label")
+    hits = search(spark, d).join(labels, F.col("vec_id") == F.col("hit")).join(queries, "query_id")
     hits = hits.select(F.col("query_id").alias("case_id"), "rank", (F.col("hit_label") == F.col("query_label")).alias("relevant"))
-    cases = queries.select(F.col("query_id").alias("case_id"), F.col("query_label").alias("category"), (F.col("query_id") % 5 != 0).alias("graded"))
+    cases = queries.select(F.col("query_id").alias("case_id"), F.col("query_label").alias("category"), (F.floor(F.col("query_id") / every) % 5 != 0).alias("graded"))
     return hits, cases
 
 
@@ -102,11 +102,39 @@ def threshold_whatif(spark, d):
     return counted.groupBy("status", "by_vector", "by_both").agg(F.count("*").alias("requirements"))
 
 
+def _search_set(spark, d):
+    """The stated search set: every row whose id is divisible by 20."""
+    return _vectors(spark, d).filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("label").alias("query_label"))
+
+
+def search_topk(spark, d):
+    return V.vector_topk(_vectors(spark, d).select("vec_id", "vec"), _search_set(spark, d).drop("query_label"), K)
+
+
+def search_topk_same_label(spark, d):
+    rows, queries = _vectors(spark, d), _search_set(spark, d).withColumnRenamed("query_label", "label")
+    best = V.vector_topk(rows, queries, 1).select("query_id", F.col("cosine").alias("best"))
+    labelled = rows.groupBy("label").agg(F.count("*").alias("n"))
+    own = rows.groupBy(F.col("vec_id").alias("query_id"), "label").agg(F.count("*").alias("own"))
+    counted = own.join(labelled, "label").select("query_id", (F.col("n") - F.col("own")).alias("candidates"))
+    return best.join(counted, "query_id")
+
+
+def search_recall_mrr(spark, d):
+    hits, cases = _cases(spark, d, search_topk, _search_set, 20)
+    return E.case_metrics(hits, cases).select("case_id", "first_rank", "recall_at_1", "recall_at_3", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+def search_recall_rollup(spark, d):
+    hits, cases = _cases(spark, d, search_topk, _search_set, 20)
+    return E.rolled_up(E.case_metrics(hits, cases), "category")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lexical_topk, hybrid_topk, hybrid_topk_filtered, vector_topk, vector_topk_same_label, feature_hash_sparse, requirement_status, requirement_ids,
-        recall_mrr, recall_rollup, mode_compare, threshold_whatif,
+        recall_mrr, recall_rollup, mode_compare, threshold_whatif, search_topk, search_topk_same_label, search_recall_mrr, search_recall_rollup,
     )
 }
 
@@ -210,3 +238,8 @@ ORACLE_SQL = {
                count(*) AS requirements
         FROM ranked JOIN graded USING (query_id) WHERE rank = 1 GROUP BY ALL""",
 }
+#: The same SQL over the stated search set; of that, every fifth case is not graded.
+ORACLE_SQL |= {
+    f"search_{name.removeprefix('vector_')}": ORACLE_SQL[name].replace("WHERE vec_id < 50", "WHERE vec_id % 20 = 0").replace("query_id % 5 <>", "query_id // 20 % 5 <>")
+    for name in ("vector_topk", "vector_topk_same_label", "recall_mrr", "recall_rollup")
+}

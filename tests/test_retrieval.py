@@ -1,6 +1,7 @@
 """Ranking: block-wise top-k against all pairs, ties, empty inputs, and the vectors."""
 
 import math
+import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -72,3 +73,40 @@ def test_grounding(spark):
     assert {r["claim_id"]: r["reason"] for r in checked.collect()} == {1: None, 2: "no evidence citation", 3: "unknown evidence", 4: "no evidence citation"}
     only_bare = scorecard.grounding_summary(checked.filter("claim_id <> 3").withColumn("o", F.lit(1)), ["o"]).first()
     assert (only_bare["valid"], only_bare["recoverable"], only_bare["citation_coverage"]) == (False, True, 33.33)
+
+
+def all_pairs(rows, ids, k, same_label):
+    out = []
+    for q in ids:
+        query, scored = rows[q], []
+        for i, (x, label) in rows.items():
+            if i != q and (not same_label or label == query[1] is not None):
+                both = x is not None and query[0] is not None and len(x) == len(query[0])
+                norm = math.hypot(*x) * math.hypot(*query[0]) if both else 0
+                scored.append((-round(math.sumprod(x, query[0]) / norm, 6) if norm else -0.0, i))
+        out += [(q, i, -c + 0.0, r) for r, (c, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("same_label", [False, True])
+def test_vector_topk_in_blocks(spark, monkeypatch, same_label):
+    rng = random.Random(4)
+    rows = {i: ([rng.uniform(-1, 1) for _ in range(4)], rng.choice([1, 2, None])) for i in range(300)}
+    rows |= {i: ([1.0, 2.0, 3.0, 4.0], 1) for i in range(100, 160)}  # ties
+    rows |= {7: (None, 1), 20: ([], 1), 40: ([0.0] * 4, 2), 61: ([1.0], 2)}
+    label = ["label"] if same_label else []
+    vectors = spark.createDataFrame([(i, *r) for i, r in rows.items()], "vec_id bigint, vec array<double>, label int").select("vec_id", "vec", *label)
+    queries = vectors.filter("vec_id % 5 = 0").withColumnsRenamed({"vec_id": "query_id", "vec": "query"})
+    expected = all_pairs(rows, range(0, 300, 5), 3, same_label)
+    for block, pairs in ((8192, 1 << 20), (16, 64)):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(retrieval, "PAIRS", pairs)
+        found = retrieval.vector_topk(vectors, queries, 3)
+        assert sorted((r["query_id"], r["vec_id"], r["cosine"], r["rank"]) for r in found.collect()) == expected
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_topk_of_nothing(spark):
+    none, one = (spark.createDataFrame(rows, "vec_id bigint, vec array<double>") for rows in ([], [(1, [1.0])]))
+    for vectors, queries in ((none, one), (one, none), (one, one)):
+        assert retrieval.vector_topk(vectors, queries.withColumnsRenamed({"vec_id": "query_id", "vec": "query"}), 3).collect() == []
