@@ -24,13 +24,14 @@ from pyspark.sql import types as T
 from evidentia.llm import groups, store
 
 #: kind -> (pattern, group whose length counts, least length); base kinds first, in the order in which ties are listed.
-#: Patterns that begin with a run of letters start where the run does, so that a very long run is scanned once.
+#: Patterns that begin with a run of letters start where the run does, so that a very long run is scanned once; a group
+#: ``found`` is the finding within it.
 RULES: dict[str, tuple[str, int, int]] = {
     "assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    "jwt": (r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(?P<found>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", 0, 1),
     "bearer": (r"(?ai)bearer\x20+([A-Za-z0-9+/_.=-]+)", 1, 20),
     "url_login": (r"(?<![a-z])[a-z]+://[^\s/:@]+:[^\s/:@]+@", 0, 1),
 }
@@ -58,7 +59,7 @@ def spans_of(text: str) -> list[dict]:
             continue
         for m in COMPILED[kind].finditer(text):
             if m.end(group) - m.start(group) >= least:
-                found.append((m.start(), rank, m.end(), kind))
+                found.append((m.start("found" if "found" in m.re.groupindex else 0), rank, m.end(), kind))
     return [{"kind": kind, "start": start, "end": end} for start, _, end, kind in sorted(found)]
 
 

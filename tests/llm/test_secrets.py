@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -54,3 +55,14 @@ def test_very_long_runs():
     """Runs without an end are scanned once, not once for each place in them."""
     assert S.spans_of("x://" + "z" * 400_000 + " eyJ" * 2 + "eyJ" * 100_000) == []
     assert [s["kind"] for s in S.spans_of("z" * 400_000 + "://u:pw@h")] == ["url_login"]
+
+
+def test_glued_jwt():
+    """Tokens behind a letter, digit, '_' or '-' are found as by the plain pattern."""
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    token = "eyJhbGciOiJ.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    rng = random.Random(6)
+    mixed = ["".join(rng.choice(["eyJ", "ey", ".", " ", "_", "abcdefgh", "Zz9-"]) for _ in range(60)) for _ in range(3000)]
+    texts = [f"session_{token}", f"x-{token} {token}", f"9{token}.{token}", f"eyJ.{token}", f"eyJeyJ{token}", token[:20], *mixed]
+    got = [[(s["start"], s["end"]) for s in S.spans_of(t) if s["kind"] == "jwt"] for t in texts]
+    assert got == [[m.span() for m in plain.finditer(t)] for t in texts] and all(got[:5]) and sum(map(bool, got)) > 20
