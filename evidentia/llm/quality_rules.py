@@ -1,48 +1,121 @@
 """Quality rules: counts of words, symbols and repeats, and tokeniser fertility with rejection bands.
 
-A public vocabulary measures each text: characters for each token, the share of byte-fallback tokens and the entropy of its
-tokens.  The bands come from all documents: for each language (null is one more language) and each measure the quartiles
-over the whole table are widened by ``width`` times their distance.  A document outside the band of its language in any
-measure is rejected; so is one that fails a base rule.
+Public vocabularies measure each text, word by word (a word with the blank before it): characters for each token, the share of
+byte tokens (byte fallback, or in a byte-level vocabulary tokens that are parts of a character) and the entropy of the tokens.
 
-Texts with fewer than ``min_tokens`` tokens have no reliable fertility and are judged by the base rules alone.  Null texts
-have no words, fail the base rules, and have null measures.
+Bands.  Fertility depends on the language and, its entropy above all, on the length.  Documents are therefore grouped by language
+(null is one more) and length class, the binary logarithm of the number of tokens.  For each group, vocabulary and measure
+the quartiles of all its documents, widened by Tukey's fences for outliers, are the band: the inner fence where text is poor
+(few characters for each token, many bytes, little entropy), the outer one on the other side.  A group of fewer than ``least_group`` documents has no quartiles to speak of and takes the band of its length class over all
+languages; a length class that is rarer still has no band.  Quartiles are read from histograms of fixed steps, so they are
+the same in every run.
+
+Verdict.  A document whose ``chars_per_token`` or ``byte_share`` or ``token_entropy`` lies outside the band under every
+vocabulary is rejected; so is one that fails a base rule.  Texts of every length are measured and judged.
+
+Null and empty texts have no words, fail the base rules and have null measures.  Very long texts are measured whole: scratch
+arrays are in proportion to one text.  Rows that repeat or tie are measured and judged each for itself; an empty table has
+no bands and gives no rows.  Extra columns of the input, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import base64
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import store
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_TOKENS = 100
-WIDTH = 4.0
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: Tukey's fences, in quartile distances from the quartiles: the inner one on the side of poor text, the outer one on the other.
+FENCE_LOW = {"chars_per_token": 1.5, "byte_share": 3.0, "token_entropy": 1.5}
+FENCE_HIGH = {"chars_per_token": 3.0, "byte_share": 1.5, "token_entropy": 3.0}
 #: A band is never narrower than this on either side of its quartiles: byte shares of most texts are 0.
-LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 1.0}
+LEAST_WIDTH = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.1}
+LEAST_GROUP = 30
+#: Histograms of the measures: steps for each unit, and the value at which they end.
+STEPS, LAST = 1000, 64
 #: Bytes of words that a table of tokens holds at most before it is emptied: text without spaces has few, but long words.
 TABLE_BYTES = 16_000_000
-COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
-RESULT = COUNTS + ", n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
+BLOCK_WORDS = 500_000
+LINE = 256
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
+_WINDOW_HASH = np.random.default_rng(5).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
+
+
+class PieceVocabulary:
+    """A SentencePiece vocabulary with byte fallback; it never joins characters over a space."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = self.sp.get_piece_size()
+        self.is_byte = np.array([self.sp.is_byte(i) for i in range(n)])
+        self.starts_word = np.array([self.sp.id_to_piece(i).startswith("▁") for i in range(n)])
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words one after another, number of ids of each)."""
+        if any("▁" in w for w in words):
+            parts = self.sp.encode(words, num_threads=1)
+            return np.fromiter(chain.from_iterable(parts), np.int64), np.array([len(x) for x in parts], np.int64)
+        ids = np.array(self.sp.encode(" ".join(words)), np.int64)
+        return ids, np.diff(np.append(np.flatnonzero(self.starts_word[ids]), len(ids)))
+
+
+class ByteVocabulary:
+    """A byte-level BPE vocabulary of ranks (token in base64, rank); its byte tokens are those that are no whole characters."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.is_byte, self.bytes = np.zeros(max(ranks.values()) + 1, bool), np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.is_byte[rank], self.bytes[rank] = not _is_text(token), len(token)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words one after another, number of ids of each); in one call, unless words hold other blanks."""
+        one = self.encoding.encode_ordinary
+        if any(not w.isascii() and len(w.split()) != 1 for w in words):
+            parts = [one(" " + w) for w in words]
+            return np.fromiter(chain.from_iterable(parts), np.int64), np.array([len(x) for x in parts], np.int64)
+        ids = np.array(one(" " + " ".join(words)), np.int64)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])  # no token crosses the blank before a word
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0)
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+#: name -> how to open it: what a task needs to measure, as (class, arguments).
+Vocabularies = dict[str, tuple[type, tuple]]
 
 
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a window of five words which comes twice or more in the text."""
     windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
     counts = Counter(windows)
+    if len(counts) == len(windows):
+        return 0
     covered, end = 0, 0
     for at, window in enumerate(windows):
         if counts[window] > 1:
@@ -51,100 +124,181 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-def base_counts(raw: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
-    words = raw.split()  # bytes.split() parts at exactly the six ASCII white-space characters
-    inside = raw.translate(None, SPACE)
+def line_counts(raw: bytes) -> tuple[int, int, int]:
+    """(word_chars, n_symbols, n_dup_lines) of a text in UTF-8."""
     lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
-    symbols = sum(raw.count(c.encode()) for c in SYMBOLS)
-    return words, (len(words), len(inside.decode()), symbols, len(lines) - len(set(lines)), repeat_words(words))
+    return len(raw.translate(None, SPACE).decode()), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines))
 
 
 class TokenTable:
-    """The tokens of each distinct word, cached; the vocabulary never joins characters over a space."""
+    """The distinct words that a task has met, numbered, with their tokens in each vocabulary; emptied at a size."""
 
-    def __init__(self, model_path: str, size: int):
-        import sentencepiece
+    def __init__(self, vocabularies: Vocabularies, size: int):
+        self.vocabularies = {name: kind(*args) for name, (kind, args) in vocabularies.items()}
+        self.size = size
+        self.clear()
 
-        self.sp, self.size = sentencepiece.SentencePieceProcessor(model_file=model_path), size
-        n = self.sp.get_piece_size()
-        self.is_byte = np.array([self.sp.is_byte(i) for i in range(n)])
-        self.starts_word = np.array([self.sp.id_to_piece(i).startswith("▁") for i in range(n)])
-        self.words: dict[bytes, np.ndarray] = {}
+    def clear(self) -> None:
+        self.index: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.held = 0
+        self.flat = {name: np.empty(0, np.int64) for name in self.vocabularies}
+        self.lengths = {name: np.empty(0, np.int64) for name in self.vocabularies}
 
-    def measures(self, words: list[bytes], word_chars: int) -> tuple[int, float, float, float]:
-        """(tokens, characters for each token, share of byte tokens, entropy of the tokens in bits)."""
-        counts = Counter(words)
-        new = [w for w in counts if w not in self.words]
-        if len(self.words) > self.size or self.held > TABLE_BYTES:
-            self.words.clear()
-            self.held = 0
-            new = list(counts)
+    def codes(self, documents: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words, one document after another."""
+        if len(self.index) > self.size or self.held > TABLE_BYTES:
+            self.clear()
+        known = len(self.index)
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(documents)), np.int64)
+        new = list(islice(self.index, known, None))
         self.held += sum(map(len, new))
-        for at in range(0, len(new), 256):
-            some = new[at : at + 256]
-            texts = [w.decode() for w in some]
-            if any("▁" in t for t in texts):
-                parts = [np.array(x, np.int32) for x in self.sp.encode(texts, num_threads=1)]
-            else:
-                ids = np.array(self.sp.encode(" ".join(texts)), np.int32)
-                parts = np.split(ids, np.flatnonzero(self.starts_word[ids])[1:])
-            self.words.update(zip(some, parts, strict=True))
-        own = [self.words[w] for w in counts]
-        ids = np.concatenate(own)
-        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) for x in own])
-        total = int(weights.sum())
-        _, where = np.unique(ids, return_inverse=True)
-        shares = np.bincount(where, weights=weights) / total
-        return total, word_chars / total, float(weights[self.is_byte[ids]].sum()) / total, float(-(shares * np.log2(shares)).sum())
-
-
-def measure(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", table_size: int = 300_000) -> DataFrame:
-    """(id, lang, counts, fertility measures) of every whole text."""
+        texts = [w.decode() for w in new]
+        for name, vocabulary in self.vocabularies.items():
+            # in lines of many words: a call for each word is slow, and so is the merging of a very long line
+            parts = [vocabulary.encode(texts[i : i + LINE]) for i in range(0, len(texts), LINE)]
+            self.flat[name] = np.concatenate([self.flat[name], *(ids for ids, _ in parts)])
+            self.lengths[name] = np.concatenate([self.lengths[name], *(n for _, n in parts)])
+        return codes
+
+    def repeats(self, codes: np.ndarray, doc: np.ndarray, documents: list[list[bytes]]) -> np.ndarray:
+        """n_repeat_words of each document: those with two windows of one hash are counted exactly, the others have none."""
+        out = np.zeros(len(documents), np.int64)
+        n = len(codes) - WINDOW + 1
+        if n < 2:
+            return out
+        spread = _mixed(codes.astype(np.uint64) + np.uint64(1))
+        keys = _mixed(doc[:n].astype(np.uint64) + np.uint64(1))
+        for i in range(WINDOW):
+            keys = keys + spread[i : i + n] * _WINDOW_HASH[i]
+        keys, of = keys[doc[:n] == doc[WINDOW - 1 :]], doc[:n][doc[:n] == doc[WINDOW - 1 :]]
+        ordered = np.sort(keys)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice):
+            at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+            for i in np.unique(of[twice[at] == keys]).tolist():
+                out[i] = repeat_words(documents[i])
+        return out
+
+    def measures(self, documents: list[list[bytes]], word_chars: np.ndarray) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
+        """(n_repeat_words, [tokens, characters for each token, byte share, entropy in bits] by vocabulary) of each document."""
+        codes = self.codes(documents)
+        doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+        width = max(len(self.index), 1)
+        pairs, times = np.unique(doc * width + codes, return_counts=True)
+        own, word = pairs // width, pairs % width
+        found = {}
+        for name, vocabulary in self.vocabularies.items():
+            lengths = self.lengths[name]
+            starts, taken = np.cumsum(lengths) - lengths, lengths[word]
+            ends = np.cumsum(taken)
+            places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[word] - (ends - taken), taken)
+            ids, of, weight = self.flat[name][places], np.repeat(own, taken), np.repeat(times, taken)
+            total = np.bincount(of, weight, len(documents))
+            bytes_ = np.bincount(of, weight * vocabulary.is_byte[ids], len(documents))
+            size = len(vocabulary.is_byte)
+            keys = of * size + ids
+            order = np.argsort(keys)
+            heads = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            sums = np.add.reduceat(weight[order], heads) if len(heads) else np.empty(0)
+            logs = np.bincount(keys[order][heads] // size, sums * np.log2(np.maximum(sums, 1)), len(documents))
+            some = np.maximum(total, 1)
+            found[name] = [total.astype(np.int64), word_chars / some, bytes_ / some, np.maximum(np.log2(some) - logs / some, 0.0)]
+        return self.repeats(codes, doc, documents), found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def measured_columns(names: list[str]) -> list[tuple[str, str]]:
+    out = [(c, "bigint") for c in COUNTS]
+    for name in names:
+        out += [(f"{name}_tokens", "bigint"), *((f"{name}_{m}", "double") for m in MEASURES)]
+    return out
+
+
+def measure(df: DataFrame, vocabularies: Vocabularies, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", table_size: int = 300_000) -> DataFrame:
+    """(id, lang, counts, and for each vocabulary: tokens and the three measures) of every whole text."""
     store.bound_batches(df.sparkSession)
+    columns = measured_columns(list(vocabularies))
+    kinds = {"bigint": pa.int64(), "double": pa.float64()}
+
+    def block(table: TokenTable, raws: list[bytes]) -> pa.StructArray:
+        documents = [raw.split() for raw in raws]  # bytes.split() parts at exactly the six ASCII white-space characters
+        chars, symbols, lines = np.array([line_counts(raw) for raw in raws], np.int64).reshape(-1, 3).T
+        repeats, found = table.measures(documents, chars)
+        sizes = np.array([len(d) for d in documents], np.int64)
+        values = [sizes, chars, symbols, lines, repeats, *chain.from_iterable(found.values())]
+        arrays = [pa.array(v, kinds[k], mask=(sizes == 0) if k == "double" else None) for v, (_, k) in zip(values, columns, strict=True)]
+        return pa.StructArray.from_arrays(arrays, names=[n for n, _ in columns])
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(", ".join(f"{n} {k}" for n, k in columns))
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = TokenTable(model_path, table_size)
+        table = TokenTable(vocabularies, table_size)
         for texts in batches:
-            rows = []
+            parts, waiting, held = [], [], 0
             for value in texts.cast(pa.binary()):
-                words, counts = base_counts(value.as_py() or b"")
-                fertility = table.measures(words, counts[1]) if words else (0, None, None, None)
-                rows.append(counts + fertility)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3
-            names = [x.split()[0] for x in RESULT.split(", ")]
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                waiting.append(value.as_py() or b"")
+                held += len(waiting[-1]) // 5
+                if held >= BLOCK_WORDS:
+                    parts.append(block(table, waiting))
+                    waiting, held = [], 0
+            parts.append(block(table, waiting))
+            yield pa.concat_arrays(parts)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), measured(F.col(text_col)).alias("_m"))
     return rows.select("doc_id", "lang", "_m.*")
 
 
-def bands(measured: DataFrame, width: float = WIDTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(lang, low and high for each measure): one row for each language, from all its documents with enough tokens.
+def length_class(tokens: Column) -> Column:
+    return F.when(tokens > 0, F.floor(F.log2(tokens.cast("double"))).cast("int"))
+
+
+def bands(measured: DataFrame, names: list[str], least_group: int = LEAST_GROUP) -> DataFrame:
+    """(vocabulary, lang, length, measure, low, high): a row for each group of documents that has a band, its own or the shared one.
+
+    Values are counted in steps of 1/``STEPS`` first; a group's histogram has a bounded number of rows, however many documents
+    it has, and its quartiles are the steps at which its running count passes a quarter and three quarters."""
+    stacked = []
+    for name in names:
+        values = F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.least(F.col(f"{name}_{m}"), F.lit(LAST)) * STEPS).cast("int").alias("step")) for m in MEASURES))
+        stacked.append(F.struct(F.lit(name).alias("vocabulary"), length_class(F.col(f"{name}_tokens")).alias("length"), values.alias("values")))
+    rows = measured.filter("n_words > 0").select("lang", F.inline(F.array(*stacked))).select("lang", "vocabulary", "length", F.inline("values"))
+    counted = rows.groupBy("vocabulary", "lang", "length", "measure", "step").agg(F.count("*").alias("n")).withColumn("any_lang", F.lit(False))
+    everywhere = counted.groupBy("vocabulary", "length", "measure", "step").agg(F.sum("n").alias("n")).withColumns({"any_lang": F.lit(True), "lang": F.lit(None).cast("string")})
+    steps = counted.unionByName(everywhere)
+    group = Window.partitionBy("vocabulary", "any_lang", "lang", "length", "measure")
+    upto = F.sum("n").over(group.orderBy("step"))
+    steps = steps.withColumns({"_upto": upto, "_all": F.sum("n").over(group)})
+    quartile = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("step"))) / F.lit(STEPS)
+    found = steps.groupBy("vocabulary", "any_lang", "lang", "length", "measure").agg(F.sum("n").alias("n"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    by = lambda table: F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("measure"))
+    margin = lambda fence: F.greatest(by(fence) * (F.col("q3") - F.col("q1")), by(LEAST_WIDTH))
+    band = F.when(F.col("n") >= least_group, F.struct((F.col("q1") - margin(FENCE_LOW)).alias("low"), (F.col("q3") + margin(FENCE_HIGH)).alias("high")))
+    found = found.withColumn("band", band)
+    shared = found.filter("any_lang").select("vocabulary", "length", "measure", F.col("band").alias("_shared"))
+    own = found.filter(~F.col("any_lang")).join(shared, ["vocabulary", "length", "measure"]).withColumn("band", F.coalesce("band", "_shared"))
+    return own.filter("band is not null").select("vocabulary", "lang", "length", "measure", "band.low", "band.high")
 
-    ``percentile_approx`` keeps a summary of bounded size for each task and language, so a hot language is no hot task."""
-    aggs = []
-    for m in MEASURES:
-        quartiles = F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-        aggs.append(quartiles.alias(f"_{m}"))
-    rows = measured.filter(F.col("n_tokens") >= min_tokens).groupBy("lang").agg(*aggs)
-    out = [F.col("lang").alias("_lang")]
-    for m in MEASURES:
-        low, high = F.get(f"_{m}", F.lit(0)), F.get(f"_{m}", F.lit(1))
-        margin = F.greatest(width * (high - low), F.lit(LEAST_WIDTH[m]))
-        out += [(low - margin).alias(f"{m}_low"), (high + margin).alias(f"{m}_high")]
-    return rows.select(*out)
 
+def judge(measured: DataFrame, limits: DataFrame, names: list[str]) -> DataFrame:
+    """The measured rows with base_failed, fertility_failed and kept.
 
-def judge(measured: DataFrame, limits: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The measured rows with base_failed, fertility_failed and kept."""
+    ``limits`` has a row for each language and length class: it is joined as maps from length class to bands, one row a language."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    key = F.concat_ws(":", "vocabulary", F.col("length").cast("string"), "measure")
+    maps = limits.groupBy(F.col("lang").alias("_lang")).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.struct("low", "high").alias("v")))).alias("_bands"))
+    rows = measured.join(maps, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     outside = F.lit(False)
     for m in MEASURES:
-        outside = outside | (F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high"))
-    outside = F.coalesce((F.col("n_tokens") >= min_tokens) & outside, F.lit(False))
-    rows = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    rows = rows.withColumn("base_failed", failed).withColumn("fertility_failed", outside)
+        everywhere = F.lit(True)
+        for name in names:
+            k = F.concat_ws(":", F.lit(name), length_class(F.col(f"{name}_tokens")).cast("string"), F.lit(m))
+            band = F.try_element_at("_bands", k)
+            # as coarse as the histograms, so that a value is not told apart from a quartile that it equals
+            value = F.floor(F.least(F.col(f"{name}_{m}"), F.lit(LAST)) * STEPS) / F.lit(STEPS)
+            everywhere = everywhere & F.coalesce((value < band["low"]) | (value > band["high"]), F.lit(False))
+        outside = outside | everywhere
+    rows = rows.withColumn("base_failed", failed).withColumn("fertility_failed", outside).drop("_bands")
     return rows.withColumn("kept", ~(F.col("base_failed") | F.col("fertility_failed")))

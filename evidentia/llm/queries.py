@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import cuckoo, langid, licenses, mixing, neardup, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
 
+#: Fixed value: how the byte-level vocabulary's public definition cuts text before merging.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file: under $EVIDENTIA_TOKENIZERS, or that of the installed package."""
@@ -95,10 +98,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = store.table(quality_rules.measure(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")), "measures")
-    judged = quality_rules.judge(measured, quality_rules.bands(measured))
-    counts = [x.split()[0] for x in quality_rules.COUNTS.split(", ")]
-    return judged.select("doc_id", *counts, "base_failed", "kept", "n_tokens", *quality_rules.MEASURES)
+    vocabularies = {
+        "piece": (quality_rules.PieceVocabulary, (vocabulary("piece_bpe_32k.model"),)),
+        "byte": (quality_rules.ByteVocabulary, (vocabulary("byte_bpe_50k.tiktoken"), WORD_PARTS)),
+    }
+    names = list(vocabularies)
+    measured = store.table(quality_rules.measure(read(spark, sf_dir, "documents"), vocabularies), "measures")
+    judged = quality_rules.judge(measured, quality_rules.bands(measured, names), names)
+    columns = [name for name, _ in quality_rules.measured_columns(names)]
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "fertility_failed", *columns[len(quality_rules.COUNTS) :])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

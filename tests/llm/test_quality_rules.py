@@ -1,12 +1,15 @@
-from collections import Counter
+import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import quality_rules as Q
-from evidentia.llm.queries import vocabulary
+from evidentia.llm.queries import WORD_PARTS, vocabulary
 
-MODEL = vocabulary("piece_bpe_32k.model")
+BOTH = {"piece": (Q.PieceVocabulary, (vocabulary("piece_bpe_32k.model"),)), "byte": (Q.ByteVocabulary, (vocabulary("byte_bpe_50k.tiktoken"), WORD_PARTS))}
+NAMES = list(BOTH)
 TEXTS = [
     None, "", " \n ", "one two three", "a b c d e a b c d e", "a a a a a a a a a a a a", "# $ % & | < > * x\nx\nx\n\nx y", "l1 l1\nl1 l1\n l1 l1\n\n",
     "p q r s t u v w x y z p q r s t", "ünï cödé wörds hére " * 4, "tab\tand\x0bvt\x0cff nbsp\xa0stays \x1fsame", "z" * 50_000,
@@ -32,43 +35,108 @@ def base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_base_counts(text):
-    assert Q.base_counts((text or "").encode())[1] == base(text)
+@pytest.fixture(scope="module")
+def vocabularies():
+    return {name: kind(*args) for name, (kind, args) in BOTH.items()}
 
 
-def test_token_measures_equal_the_library(make):
-    df = make([(i, t) for i, t in enumerate(TEXTS)]).withColumns({"n_words": F.lit(0), "_m": F.lit(0)})
-    sp = Q.TokenTable(MODEL, 10).sp
-    for r in Q.measure(df, MODEL, table_size=3).collect():
-        words = (TEXTS[r["doc_id"]] or "").encode().split()
-        ids = [i for w in words for i in sp.encode(w.decode())]
-        assert r["n_tokens"] == len(ids)
-        if ids:
-            assert r["byte_share"] == pytest.approx(sum(sp.is_byte(i) for i in ids) / len(ids))
-            assert r["chars_per_token"] == pytest.approx(sum(len(w.decode()) for w in words) / len(ids))
+def fertility(text, name, vocabulary):
+    """(tokens, characters for each token, byte share, entropy), word by word and token by token."""
+    words = (text or "").encode().split()
+    ids = []
+    for w in words:
+        ids += vocabulary.sp.encode(w.decode()) if name == "piece" else vocabulary.encoding.encode_ordinary(" " + w.decode())
+    if not words:
+        return 0, None, None, None
+    counts = Counter(ids)
+    entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values())
+    return len(ids), sum(len(w.decode()) for w in words) / len(ids), sum(bool(vocabulary.is_byte[i]) for i in ids) / len(ids), entropy
 
 
-def test_verdicts(make, prose):
-    rows = [(i, prose(i, 200), "en", "s") for i in range(60)]
-    rows += [(100, "🜁🜂🜃🜄 " * 3 + " ".join("🜁🜂🜃🜄"[i % 4] * (i % 7 + 1) + str(i) for i in range(120)), "en", "s"), (101, "a b c", "en", "s"), (102, None, None, "s"), (103, prose(7, 5) * 9, None, None)]
-    measured = Q.measure(make(rows), MODEL).cache()
-    got = {r["doc_id"]: r for r in Q.judge(measured, Q.bands(measured)).collect()}
-    assert all(got[i]["kept"] for i in range(60))
-    assert got[100]["fertility_failed"] and not got[100]["base_failed"] and not got[100]["kept"]
-    assert got[101]["base_failed"] and got[102]["base_failed"] and len(got) == len(rows)
+def test_counts_and_measures_equal_a_plain_evaluation(make, vocabularies):
+    df = make([(i, t) for i, t in enumerate(TEXTS)]).withColumns({"n_words": F.lit(0), "_m": F.lit(0), "vocabulary": F.lit("x"), "bands": F.lit(1)})
+    rows = Q.measure(df, BOTH, table_size=3).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        text = TEXTS[r["doc_id"]]
+        assert tuple(r[c] for c in Q.COUNTS) == base(text)
+        for name, v in vocabularies.items():
+            want = fertility(text, name, v)
+            assert r[f"{name}_tokens"] == want[0]
+            for m, x in zip(Q.MEASURES, want[1:], strict=True):
+                assert r[f"{name}_{m}"] == (None if x is None else pytest.approx(x, abs=1e-9))
+
+
+def judged_by_hand(rows, least_group):
+    """{doc_id: kept} of measured rows, group by group."""
+    step = lambda x: math.floor(min(x, Q.LAST) * Q.STEPS)
+    groups = defaultdict(list)
+    for r in rows:
+        for name in NAMES:
+            if r[f"{name}_tokens"]:
+                length = int(math.log2(r[f"{name}_tokens"]))
+                for m in Q.MEASURES:
+                    groups[name, length, m, r["lang"]].append(step(r[f"{name}_{m}"]))
+                    groups[name, length, m, "any language"].append(step(r[f"{name}_{m}"]))
+
+    def band(key):
+        values = sorted(groups[key])
+        if len(values) < least_group:
+            return None
+        q1, q3 = (values[math.ceil(len(values) * q / 4) - 1] / Q.STEPS for q in (1, 3))
+        low, high = (max(fence[key[2]] * (q3 - q1), Q.LEAST_WIDTH[key[2]]) for fence in (Q.FENCE_LOW, Q.FENCE_HIGH))
+        return q1 - low, q3 + high
+
+    out = {}
+    for r in rows:
+        bad = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        for m in Q.MEASURES:
+            outside = []
+            for name in NAMES:
+                n = r[f"{name}_tokens"]
+                found = n and (band((name, int(math.log2(n)), m, r["lang"])) or band((name, int(math.log2(n)), m, "any language")))
+                outside.append(bool(found) and not found[0] <= step(r[f"{name}_{m}"]) / Q.STEPS <= found[1])
+            bad = bad or all(outside)
+        out[r["doc_id"]] = not bad
+    return out
+
+
+def junk(seed, n=200):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["%%", "q", "zx"]) + rng.choice("####$$&&") * 2 + rng.choice("ab") for _ in range(n))
+
+
+def test_verdicts_equal_a_plain_evaluation(make, prose):
+    rows = [(i, prose(i, 20 + 7 * (i % 40)), ["en", "de", None][i % 3], "s") for i in range(300)]
+    rows += [(1000 + i, junk(i), "en", "s") for i in range(8)] + [(2000, "a b c", "en", "s"), (2001, None, None, "s"), (2002, prose(7, 5) * 9, None, None), (2003, "ü" * 40_000, "xx", "s")]
+    rows += [rows[0], rows[0]]
+    measured = Q.measure(make(rows), BOTH).cache()
+    for least in (5, 30, 10_000):
+        got = Q.judge(measured, Q.bands(measured, NAMES, least), NAMES).collect()
+        assert len(got) == len(rows)
+        assert {r["doc_id"]: r["kept"] for r in got} == judged_by_hand(measured.collect(), least)
+    assert {r["doc_id"] for r in got if not r["kept"]} == {2000, 2001, 2002, 2003}  # without a band only base rules judge
+
+
+def test_poor_text_is_rejected_by_fertility_alone(make, prose):
+    rows = [(i, prose(i, 150 + 4 * i), "en", "s") for i in range(300)] + [(1000 + i, junk(i), "en", "s") for i in range(5)]
+    measured = Q.measure(make(rows), BOTH)
+    got = {r["doc_id"]: r for r in Q.judge(measured, Q.bands(measured, NAMES), NAMES).collect()}
+    assert all(got[1000 + i]["fertility_failed"] and not got[1000 + i]["base_failed"] for i in range(5))
+    assert sum(not got[i]["kept"] for i in range(300)) <= 3
 
 
 def test_nothing(make):
-    measured = Q.measure(make([]), MODEL)
-    assert Q.judge(measured, Q.bands(measured)).collect() == []
+    measured = Q.measure(make([]), BOTH)
+    assert Q.judge(measured, Q.bands(measured, NAMES), NAMES).collect() == []
 
 
-def test_few_but_long_words(monkeypatch):
-    rows = [Q.base_counts(t.encode()) for t in TEXTS[3:]]
-    table = Q.TokenTable(MODEL, 10_000)
-    want = [table.measures(words, counts[1]) for words, counts in rows]
+def test_tables_that_are_emptied_give_the_same(monkeypatch):
+    documents = [(t or "").encode().split() for t in TEXTS]
+    chars = Q.np.array([Q.line_counts((t or "").encode())[0] for t in TEXTS])
+    want = Q.TokenTable(BOTH, 10_000).measures(documents, chars)
     monkeypatch.setattr(Q, "TABLE_BYTES", 10)
-    table = Q.TokenTable(MODEL, 10_000)
-    assert [table.measures(words, counts[1]) for words, counts in rows] == want
-    assert len(table.words) < 20
+    table = Q.TokenTable(BOTH, 10_000)
+    for i, d in enumerate(documents):
+        repeats, found = table.measures([d], chars[i : i + 1])
+        assert repeats[0] == want[0][i] and all(a[0] == b[i] for name in NAMES for a, b in zip(found[name], want[1][name], strict=True))
