@@ -3,11 +3,13 @@
 Texts are lower-cased and cut into words of letters; each language has a character model of order 5 over words between
 boundary marks.  A text gets the language with the lowest cross-entropy per predicted character.
 
-Training.  A bounded sample: of the learning rows with at most ``sample_chars / 10`` characters, each language's rows are
-drawn by a hash of their id at the rate that gives ``sample_chars`` characters of it (all rows where there are fewer).  Spark
-counts the sample's distinct words; they are at most that many, so the driver can estimate the models from them.  A further
-sample of about ``calibration_rows`` learning rows, not trained on, fits a logistic curve from the margin between the two
-best languages to the probability of being right, and the score below which a prediction counts as rejected.
+Training.  A bounded sample: texts of every length are cut into pieces of ``PIECE_CHARS`` characters, and each language's pieces
+are drawn by a hash of id and place at the rate that gives ``sample_chars`` characters of it (all where there are fewer).
+Spark counts the sample's distinct words; they are at most that many, so the driver can estimate the models from them.  A
+fifth of the learning rows is kept for calibration (a language that has no other rows is learned from these); about
+``calibration_rows`` of them fit a logistic curve from the margin between the two best languages to the probability of
+being right, and the score below which a prediction counts as rejected: the lowest, from 0.5 up, at which the accepted
+ones are right at a rate of ``TARGET_PRECISION``.  Where none is, all are rejected.
 
 Tables.  For each order, the n-grams of all languages are one sorted array of 64-bit hashes with a row of log-probabilities
 (one for each language, backed off where a language lacks the n-gram), and contexts another with their back-off weights.
@@ -17,7 +19,9 @@ Since models see one word at a time, a word's scores are the same wherever it st
 word is scored once and the scores are added up by position.
 
 Null texts and texts without a letter are ``und`` with score 0.  Rejected predictions keep their language and are marked in
-``rejected``.  Without any learning row all texts are ``und``.
+``rejected``.  Without any learning row all texts are ``und``.  Very long texts are scored whole.  Of languages with equal
+entropy the first by name is taken.  Rows that repeat are predicted, and teach, each for itself.  An empty table gives no rows.
+Extra columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from evidentia.llm import store
 
 ORDER = 5
 SAMPLE_CHARS = 400_000
+PIECE_CHARS = 10_000
 CALIBRATION_ROWS = 2_000
 TARGET_PRECISION = 0.99
 UNSEEN = 1e-5  # share of a character that no language has seen
@@ -180,10 +185,9 @@ class Model:
                     scores[part] = self.word_scores([distinct[i] for i in part])
             codes = coded.indices.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            sums = np.vstack([np.zeros(len(self.languages)), np.cumsum(scores[codes], axis=0)])
-            size = np.concatenate([[0], np.cumsum(lengths[codes])])
-            n = size[ends[1:]] - size[ends[:-1]]
-            rows.append(-(sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(n, 1)[:, None])
+            # every text has at least the empty word, so no segment is empty; a text's sum doesn't depend on its neighbours
+            n = np.add.reduceat(lengths[codes], ends[:-1])
+            rows.append(-np.add.reduceat(scores[codes], ends[:-1], axis=0) / np.maximum(n, 1)[:, None])
             sizes.append(n)
         return np.vstack(rows), np.concatenate(sizes)
 
@@ -274,18 +278,26 @@ def train(
     rows = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(learning(F.col("_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     calibrates = F.floor(fold(F.col("_id")) / 3) % 5 == 0
-    usable = rows.filter(~calibrates & (F.length("text") <= sample_chars // 10))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect() if r["n"]}
+    chars = rows.groupBy("lang").agg(F.sum(F.when(~calibrates, F.length("text"))).alias("own"), F.sum(F.length("text")).alias("all")).collect()
+    sizes = {r["lang"]: r["own"] or r["all"] for r in chars if r["all"]}
     if not sizes:
         return None
-    draw = F.pmod(F.xxhash64(F.col("_id"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000.0
+    usable = rows.filter(~calibrates | F.col("lang").isin([r["lang"] for r in chars if not r["own"]]))
     rates = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_chars / n))))
 
+    def draw(*more: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("_id"), *more, F.lit("langid")), F.lit(1_000_000)) / 1_000_000.0
+
+    places = F.sequence(F.lit(0), F.floor(F.length("text") / PIECE_CHARS).cast("int"))
+    # places are drawn before any piece is cut: a cut reads its text from the start
+    drawn = usable.select("lang", "text", F.explode(F.filter(places, lambda i: draw(i) < F.element_at(rates, F.col("lang")))).alias("_at"))
+    pieces = drawn.select("lang", F.substring("text", F.col("_at") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece"))
+
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def words(texts: pa.Array) -> pa.Array:
         return pc.split_pattern(normalise(texts), " ")
 
-    sample = usable.filter(draw < F.element_at(rates, F.col("lang"))).select("lang", F.explode(words("text")).alias("word"))
+    sample = pieces.select("lang", F.explode(words("piece")).alias("word"))
     counted: dict[str, tuple[list[str], list[int]]] = {}
     for r in sample.filter("word != ''").groupBy("lang", "word").count().orderBy("lang", "word").collect():
         own = counted.setdefault(r["lang"], ([], []))
@@ -295,14 +307,14 @@ def train(
         return None
     model = assemble({lang: (w, np.array(n, np.int64)) for lang, (w, n) in counted.items()})
     total = rows.filter(calibrates).count()
-    some = rows.filter(calibrates & (F.col("lang").isin(*model.languages)) & (draw < min(1.0, calibration_rows / max(total, 1))))
+    some = rows.filter(calibrates & (F.col("lang").isin(*model.languages)) & (draw() < min(1.0, calibration_rows / max(total, 1))))
     predict = predictor(df, model)
     checked = some.select("lang", predict("text").alias("r")).select((F.col("lang") == F.col("r.lang_pred")).alias("right"), "r.margin").collect()
     return calibrate(model, np.array([r["margin"] for r in checked]), np.array([r["right"] for r in checked], float))
 
 
 def calibrate(model: Model, margin: np.ndarray, right: np.ndarray) -> Model:
-    """Fit the curve by Newton steps with a weak prior, then the lowest threshold that keeps ``TARGET_PRECISION``."""
+    """Fit the curve by Newton steps with a weak prior, then the lowest threshold from 0.5 up that keeps ``TARGET_PRECISION``."""
     if not len(margin):
         return model
     x = np.stack([np.ones(len(margin)), margin], axis=1)
@@ -314,13 +326,22 @@ def calibrate(model: Model, margin: np.ndarray, right: np.ndarray) -> Model:
         beta = beta + np.clip(step, -5, 5)
     model.curve = np.array([beta[0], max(beta[1], 1e-3)])
     score = sigmoid(model.curve[0] + model.curve[1] * margin)
-    order = np.argsort(-score)
-    precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    enough = np.flatnonzero(precision >= TARGET_PRECISION)
-    model.threshold = float(min(score[order][enough[-1]], 0.5)) if len(enough) else 0.5
+    model.threshold = lowest_threshold(score, right)
     return model
 
 
+def lowest_threshold(score: np.ndarray, right: np.ndarray, target: float = TARGET_PRECISION, least: float = 0.5) -> float:
+    """The lowest of ``least`` and the scores above it at which rows of that score or more are right at the target rate; 2 if none is."""
+    order = np.argsort(-score, kind="stable")
+    score, right = score[order], right[order]
+    precision = np.cumsum(right) / np.arange(1, len(score) + 1)
+    for cut in np.unique(np.append(score[score >= least], least)):
+        accepted = int((score >= cut).sum())
+        if not accepted or precision[accepted - 1] >= target:
+            return float(cut) if accepted or not len(score) else 2.0
+    return 2.0
+
+
 def predictor(df: DataFrame, model: Model):
     """A column function text -> (lang_pred, score, margin, rejected); the model travels as one broadcast of bounded size."""
     shared = df.sparkSession.sparkContext.broadcast(model)

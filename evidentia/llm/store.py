@@ -1,11 +1,14 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (local tests) a temporary one is made.
-Tables written there cut the lineage: a lost executor costs a re-read, not a recomputation.
+The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset and the master is local (tests) a temporary one is
+made; elsewhere it is an error, since executors would not see each other's files.
+Tables written there cut the lineage: a lost executor costs a re-read, not a recomputation.  An operator deletes those that only
+its own steps read (``Scratch``); those that its result still reads stay.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="evidentia-")
@@ -53,3 +58,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+class Scratch:
+    """Tables by name that are deleted once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        found, self.paths[label] = write_table(df, label)
+        return found
+
+    def drop(self, *labels: str) -> None:
+        drop(self.spark, *(self.paths.pop(x) for x in labels))

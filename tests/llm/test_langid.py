@@ -27,8 +27,7 @@ def test_interpolated_model_sums_to_one():
         for c in level.contexts:
             own = {g for g, ctx, d in zip(p.grams[k - 1], p.contexts[k - 1], p.depth, strict=True) if ctx == c and d >= k - 1}
             mass = sum(level.share[np.searchsorted(level.grams, g)] for g in own)
-            assert mass + level.gamma[np.searchsorted(level.contexts, c)] > 0.999 or level.gamma.max() <= 1.0
-            assert mass <= 1.0 + 1e-9
+            assert abs(mass + level.gamma[np.searchsorted(level.contexts, c)] - 1.0) < 1e-9
 
 
 def test_word_scores_equal_a_plain_evaluation():
@@ -85,3 +84,54 @@ def test_odd_texts(make):
     assert L.train(rows) is None
     assert [r["lang_pred"] for r in L.identify(rows, None).collect()] == ["und"] * 3
     assert L.train(make([])) is None and L.identify(make([]), model).collect() == []
+
+
+def test_text_entropy_equals_a_plain_sum():
+    model = L.assemble({"x": (["abc", "abd", "bca"], np.array([2, 1, 4])), "y": (["zab", "cab"], np.array([1, 1]))})
+    texts = ["Abc abd!", "", None, "zab 12 cab zab", "é" * 300, "abc"]
+    entropy, sizes = model.entropies(pa.array(texts), block=4)
+    for text, own, n in zip(texts, entropy, sizes, strict=True):
+        words = "".join(c.lower() if c.isalpha() else " " for c in text or "").split()
+        assert n == sum(len(w) + 1 for w in words)
+        want = -sum((model.word_scores([w])[0] for w in words), np.zeros(2)) / max(n, 1)
+        assert np.allclose(own, want, rtol=1e-6)
+    alone, _ = model.entropies(pa.array(texts[3:4]))
+    assert (alone[0] == entropy[3]).all()  # whatever stands beside it
+
+
+def test_languages_of_long_texts_only_are_learned(make):
+    rows = [(i, text("aa", i), "short", "s") for i in range(60)] + [(100 + i, text("cc", i, 12_000), "long", "s") for i in range(30)]
+    model = L.train(make(rows), sample_chars=60_000)
+    assert model.languages == ["long", "short"]
+    got = L.identify(make(rows), model).collect()
+    assert all(r["lang_pred"] == ("long" if r["doc_id"] >= 100 else "short") for r in got)
+
+
+def test_a_language_with_calibration_rows_only_is_learned(make):
+    import zlib
+
+    own = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) // 3 % 5 == 0][:4]
+    rows = [(i, text("aa", i), "aa", "s") for i in range(1000, 1060)] + [(i, text("bb", i), "bb", "s") for i in own]
+    assert L.train(make(rows)).languages == ["aa", "bb"]
+
+
+def test_threshold_keeps_the_target():
+    score, right = np.repeat([0.95, 0.92, 0.8, 0.6, 0.3], 100), np.ones(500)
+    assert L.lowest_threshold(score, right) == 0.5
+    right[200::2] = 0  # half of what scores 0.8 or less is wrong
+    assert L.lowest_threshold(score, right) == 0.92
+    right[::5] = 0  # 80 % at most
+    assert L.lowest_threshold(score, right) == 2.0 and L.lowest_threshold(score, right, target=0.8) == 0.92
+    rng = np.random.default_rng(1)
+    margin, right = rng.random(1000), (rng.random(1000) < 0.8).astype(float)
+    model = L.calibrate(L.assemble({"x": (["a"], np.array([1]))}), margin, right)
+    accepted = right[L.sigmoid(model.curve[0] + model.curve[1] * margin) >= model.threshold]
+    assert accepted.mean() >= L.TARGET_PRECISION if len(accepted) else model.threshold > 1
+
+
+def test_repeated_rows_and_ties(make):
+    rows = corpus(90)
+    model = L.train(make(rows + rows[:10] * 3))
+    got = L.identify(make(rows[:3] * 3), model).collect()
+    assert len(got) == 9 and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in got}) == 3
+    assert model.predict(pa.array(["日本"])).to_pylist()[0]["lang_pred"] == model.languages[int(model.entropies(pa.array(["日本"]))[0][0].argmin())]
