@@ -44,7 +44,7 @@ FENCE_HIGH = {"chars_per_token": 3.0, "byte_share": 1.5, "token_entropy": 3.0}
 LEAST_WIDTH = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.1}
 LEAST_GROUP = 30
 #: Histograms of the measures: steps for each unit, and the value at which they end.
-STEPS, LAST = 1000, 64
+STEPS, LAST = 200, 64
 #: Bytes of words that a table of tokens holds at most before it is emptied: text without spaces has few, but long words.
 TABLE_BYTES = 16_000_000
 BLOCK_WORDS = 500_000
