@@ -2,16 +2,24 @@
 
 Everything runs in Spark's own operators (SQL functions and ML's DataFrame estimators); no Python runs on the executors.
 
-1. Paragraphs are lines, cut further behind sentence ends.  Those with a word of ``CUES`` are candidates; any other paragraph
-   is unknown by definition.
+1. Paragraphs are lines, cut further behind sentence ends; a line break within a sentence (a letter, digit or comma before
+   it, a lower-case letter behind it) is a hard wrap and no end of a paragraph.
 2. A multinomial logistic regression with an L1 penalty over word 1- to 3-grams names the family.  It learns from sentences
-   generated from ``NAMES`` and ``FORMS`` and from ``SENTENCES``, and, for the class "unknown", from ``NOT_LICENSES`` and a
-   bounded sample (``SAMPLE_ROWS`` documents, drawn by a hash of the id) of the scanned table's other paragraphs.
-3. The probability below which a prediction counts as unknown is calibrated on a fifth of the generated sentences.
-4. A prediction is confirmed if the paragraph holds ``CONFIRMED`` of the 2-grams of a template of that family.
+   generated from ``NAMES``, ``SPDX`` and ``FORMS`` and from ``SENTENCES``, and, for the class "unknown", from ``NOT_LICENSES``, from
+   ``NOT_NAMES`` in the same forms and from a sample of about ``SAMPLE_CHARS`` characters of the scanned table (pieces of texts of
+   every length, drawn by a hash of id and place; paragraphs that a template confirms are left out of it).
+3. The probability below which a prediction counts as unknown is the lowest, from 0.5 up, at which predictions on the fifth of
+   distinct sentences that a first model has not seen are right at ``TARGET_PRECISION``.  The model in use is then fitted on all.
+4. A prediction is confirmed if the paragraph holds ``CONFIRMED`` of the 2-grams of a template of that family, all of them where
+   a template has at most ``SHORT``.
 
-The result has a row for each input row.  Null and empty texts have no candidates; rows that repeat id and text get the same
-result each; without rows there is none.
+Candidates.  Every paragraph is judged, but most without work: if unknown has the largest intercept, a paragraph can only come out
+as a family if it holds an n-gram that speaks more for some family than for unknown.  ``triggers`` has a word of each such
+n-gram, so a paragraph without any of them is unknown by proof, not by a rule of thumb.
+
+The result has a row for each input row.  Null and empty texts have no candidates; very long texts are scanned whole; rows that
+repeat id and text get the same result each; of equally likely families the first is taken; without rows there is none.  Extra
+columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,14 +30,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CUES = r"(?i)licen[cs]e|copyright|copyleft|warrant|redistribut|public domain|all rights|\bSPDX\b|\bGPL|\bCC[ -](?:BY|0)|creative commons|permission is"
+HARD_WRAP = r"(?<=[\p{L}\p{N},])[ \t]*\r?\n[ \t]*(?=\p{Ll})"
 PARAGRAPH = r"[\r\n]+|(?<=[.!?])[ \t]+(?=\p{Lu})"
+NOT_WORD = r"[^\p{L}\p{N}]+"
 UNKNOWN = "unknown"
-SAMPLE_ROWS = 500
+SAMPLE_CHARS = 500_000
+PIECE_CHARS = 2_000
 TARGET_PRECISION = 0.98
-CONFIRMED = 0.6
+CONFIRMED, SHORT = 0.6, 4
 PENALTY = 2e-5
-
+#: Words that make no n-gram telling by themselves.
+FUNCTION_WORDS = frozenset(
+    "a all an and any are as at be by can do for from has have he her his if in is it its may no not of on or our shall she so such that the their there these they this to"
+    " under was we were which who will with without you your".split()
+)
 #: What the licence families are called.
 NAMES = {
     "MIT": ["MIT License", "MIT license", "The MIT License (MIT)", "Expat License"],
@@ -82,7 +96,19 @@ SENTENCES = {
     "Zlib": ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software."],
     "Proprietary": ["Copyright. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
 }
-#: Sentences with a cue that license nothing.
+#: Identifiers as file headers carry them.
+SPDX = {
+    "MIT": ["MIT"], "Apache": ["Apache-2.0"], "GPL": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3"],
+    "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only"], "AGPL": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "MPL": ["MPL-2.0"],
+    "ISC": ["ISC"], "Unlicense": ["Unlicense"], "CC0": ["CC0-1.0"], "CC-BY": ["CC-BY-4.0", "CC-BY-3.0"], "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"],
+    "CC-BY-ND": ["CC-BY-ND-4.0"], "Boost": ["BSL-1.0"], "Zlib": ["Zlib"], "EPL": ["EPL-2.0"],
+}
+#: What stands in the same forms without being a licence.
+NOT_NAMES = (
+    "city bylaws", "state plumbing board", "terms of the lease", "peace treaty", "old label", "rules of the club", "agreement of 1921", "school regulations", "building code",
+    "supervision of a teacher", "insurance policy", "name of the author", "road traffic act", "health authority", "fishing rules", "second edition", "sales contract", "house rules",
+)
+#: Sentences about licences, copyright and rights that license nothing.
 NOT_LICENSES = (
     "Her driving license was renewed last week.", "The council issued a license to sell food.", "A license plate was found near the road.",
     "Copyright law differs from country to country.", "The lecture was about copyright and patents.", "The police had a search warrant.",
@@ -91,11 +117,16 @@ NOT_LICENSES = (
     "The singer has a license to record the songs.", "All rights of way are shown on the map.", "The station applied for a broadcast licence.",
     "They licensed the technology to a partner for a fee.", "Poetic licence allows such lines.", "The warrant officer read the orders.",
     "The painting is in the public domain, the curator said.", "The pilot's licence was suspended by the authority.",
+    "The students of MIT won the contest.", "The apache tribe lived in the south west.", "The public was asked for its general opinion.", "Free software conferences are held every year.",
+    "The committee reserved the room and all seats.", "The software was sold without any documentation.", "You may obtain a copy of the map at the office.", "The foundation published its yearly report.",
+    "Redistribution of land was the aim of the reform.", "The source of the river lies in the hills.", "Creative people need common rooms.", "The eclipse was visible to the public.",
+    "Mozilla released a new version of its browser.", "The universal remedy was a dedication to work.", "The materials provided with the course are in binders.", "Copying of keys is prohibited by the landlord.",
+    "The confidential letter was lost in the mail.", "Every person obtaining a ticket may enter.", "The conditions are met by few countries.", "A notice about permission hangs on the door.",
 )
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -114,20 +145,26 @@ def with_grams(df: DataFrame, text_col: str) -> DataFrame:
 
 def paragraphs(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """(keys, pos, paragraph) of all paragraphs."""
-    parts = df.select(*keys, F.posexplode(F.split(F.col(text_col), PARAGRAPH)).alias("pos", "paragraph"))
+    joined = F.regexp_replace(F.col(text_col), HARD_WRAP, " ")
+    parts = df.select(*keys, F.posexplode(F.split(joined, PARAGRAPH)).alias("pos", "paragraph"))
     return parts.filter(F.trim("paragraph") != "")
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, family, text): names and sentences."""
+    """(template, family, text): names, identifiers and sentences."""
     rows = [(f, t) for source in (NAMES, SENTENCES) for f, texts in source.items() for t in texts]
+    rows += [(f, f"SPDX-License-Identifier: {t}") for f, ids in SPDX.items() for t in ids]
     return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(rows)], "template int, family string, text string")
 
 
 def generated(spark: SparkSession) -> DataFrame:
-    """(i, family, text): every name in every form, the sentences, and what is no licence."""
+    """(i, family, text): every name in every form, identifiers, sentences, and what is no licence.
+
+    Sentences count several times: they are few beside the forms."""
     rows = [(f, form.format(n)) for f, names in NAMES.items() for n in names for form in FORMS]
+    rows += [(f, f"SPDX-License-Identifier: {t}") for f, ids in SPDX.items() for t in ids for _ in range(2)]
     rows += [(f, t) for f, texts in SENTENCES.items() for t in texts for _ in range(4)]
+    rows += [(UNKNOWN, form.format(n)) for n in NOT_NAMES for form in FORMS if not form.startswith("SPDX")]
     rows += [(UNKNOWN, t) for t in NOT_LICENSES for _ in range(4)]
     return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(rows)], "i int, family string, text string")
 
@@ -142,46 +179,92 @@ class LicenseModel:
         named = F.element_at(F.array(*map(F.lit, self.families)), F.col("prediction").cast("int") + 1)
         return scored.withColumn("predicted", named).withColumn("probability", F.array_max("_p")).drop("_p", "rawPrediction", "prediction", "features")
 
+    def triggers(self) -> list[str] | None:
+        """A word of each n-gram that speaks more for some family than for unknown; None if a paragraph without any could be a family."""
+        base, weights = self.regression.interceptVector.toArray(), self.regression.coefficientMatrix.toArray()
+        at = self.families.index(UNKNOWN)
+        if (base > base[at]).any() or (base == base[at]).sum() > 1:
+            return None
+        found: set[str] = set()
+        for gram, speaks in zip(self.vectors.vocabulary, (weights > weights[at]).any(axis=0), strict=True):
+            own = [w for w in gram.split(" ") if w not in FUNCTION_WORDS]
+            if speaks and not found.intersection(own):
+                found.add(max(own, key=lambda w: (len(w), w)))
+        return sorted(found)
+
+
+def background(df: DataFrame, text_col: str, id_col: str, sample_chars: int) -> DataFrame:
+    """(i, family, text): paragraphs of a sample of pieces of the texts, unknown unless a template confirms them."""
+    total = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    rate = min(1_000_000, int(1_000_000 * sample_chars / max(total, 1)))
+    places = F.sequence(F.lit(0), F.floor(F.length(text_col) / PIECE_CHARS).cast("int"))
+    chosen = F.filter(places, lambda i: F.pmod(F.xxhash64(F.col(id_col), i, F.lit("license")), F.lit(1_000_000)) < rate)
+    drawn = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.explode(chosen).alias("_at"))
+    pieces = drawn.select("_id", "_at", F.substring("_t", F.col("_at") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("_piece"))
+    keys = ["_id", "_at", "pos"]
+    some = with_grams(paragraphs(pieces, "_piece", ["_id", "_at"]), "paragraph").select(*keys, "paragraph", "pairs")
+    shapes = with_grams(templates(df.sparkSession), "text").select("template", F.size("pairs").alias("_n"), F.explode("pairs").alias("pair"))
+    held = some.select(*keys, F.explode("pairs").alias("pair")).join(F.broadcast(shapes), "pair").groupBy(*keys, "template", "_n").agg(F.count_distinct("pair").alias("_held"))
+    confirmed = held.filter(enough(F.col("_held"), F.col("_n"))).select(*(F.col(k).alias(f"{k}_c") for k in keys)).distinct()
+    free = some.join(confirmed, F.col("_id").eqNullSafe(F.col("_id_c")) & (F.col("_at") == F.col("_at_c")) & (F.col("pos") == F.col("pos_c")), "left_anti")
+    return free.select(F.lit(-1).alias("i"), F.lit(UNKNOWN).alias("family"), F.col("paragraph").alias("text"))
+
+
+def enough(held: Column, of: Column) -> Column:
+    """Whether so many of a template's 2-grams confirm it."""
+    return (of > 0) & (held >= F.when(of <= SHORT, of.cast("double")).otherwise(of * CONFIRMED))
 
-def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LicenseModel:
+
+def fitted(rows: DataFrame) -> tuple[CountVectorizerModel, LogisticRegressionModel]:
+    """A vocabulary from the generated sentences, without n-grams of function words alone, and weights from all rows."""
+    found = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=20_000, minDF=2, binary=True).fit(rows.filter("i >= 0"))
+    telling = [g for g in found.vocabulary if not FUNCTION_WORDS.issuperset(g.split(" "))]
+    vectors = CountVectorizerModel.from_vocabulary(telling, inputCol="grams", outputCol="features", binary=True)
+    regression = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False)
+    return vectors, regression.fit(vectors.transform(rows))
+
+
+def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_chars: int = SAMPLE_CHARS) -> LicenseModel:
     spark = df.sparkSession
-    total = df.count()
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("license")), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * sample_rows / max(total, 1)))
-    some = paragraphs(df.filter(drawn & F.col(text_col).isNotNull() & (F.length(text_col) <= 20_000)), text_col, [id_col]).filter(~F.col("paragraph").rlike(CUES))
-    background = some.select(F.lit(-1).alias("i"), F.lit(UNKNOWN).alias("family"), F.col("paragraph").alias("text"))
     families = [UNKNOWN, *NAMES]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    rows = with_grams(generated(spark).unionByName(background), "text").withColumn("label", number)
-    holdout = (F.col("i") >= 0) & (F.pmod(F.xxhash64("i"), F.lit(5)) == 0)
-    rows = rows.withColumn("holdout", holdout).cache()
-    fitting = rows.filter("not holdout")
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=20_000, minDF=2, binary=True).fit(fitting.filter("i >= 0"))
-    regression = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False)
-    model = LicenseModel(vectors, regression.fit(vectors.transform(fitting)), families, 0.5)
-    checked = model.predict(rows.filter("holdout")).filter(F.col("predicted") != UNKNOWN)
-    results = checked.select("probability", (F.col("predicted") == F.col("family")).alias("right")).orderBy(F.desc("probability")).collect()
+    rows = with_grams(generated(spark).unionByName(background(df, text_col, id_col, sample_chars)), "text").withColumn("label", number)
+    # by distinct wording, so that no copy of a held-out sentence teaches the first model
+    rows = rows.withColumn("holdout", F.pmod(F.xxhash64(F.array_join(words(F.col("text")), " ")), F.lit(5)) == 0)
+    rows = rows.repartition(1).sortWithinPartitions("i", "text").cache()  # a sample of bounded size, in one order, so that reruns agree
+    first = LicenseModel(*fitted(rows.filter("not holdout")), families, 0.5)
+    checked = first.predict(rows.filter("holdout and i >= 0")).filter(F.col("predicted") != UNKNOWN)
+    results = checked.select("probability", (F.col("predicted") == F.col("family")).alias("right")).collect()
+    model = LicenseModel(*fitted(rows), families, lowest_threshold([(r["probability"], r["right"]) for r in results]))
     rows.unpersist()
-    right = 0
-    for n, r in enumerate(results, 1):
-        right += r["right"]
-        if right >= TARGET_PRECISION * n:
-            model.threshold = min(0.5, r["probability"])
     return model
 
 
+def lowest_threshold(results: list[tuple[float, bool]], target: float = TARGET_PRECISION, least: float = 0.5) -> float:
+    """The lowest of ``least`` and the probabilities above it at which what is accepted is right at the target rate; 2 if none is."""
+    for cut in sorted({least, *(p for p, _ in results if p >= least)}):
+        accepted = [right for p, right in results if p >= cut]
+        if sum(accepted) >= target * len(accepted):
+            return cut if accepted or not results else 2.0
+    return 2.0
+
+
 def classify(df: DataFrame, model: LicenseModel, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, pos, paragraph, family, probability, likeness) of the candidate paragraphs; family is unknown unless confirmed."""
-    spark = df.sparkSession
-    candidates = paragraphs(df.filter(F.col(text_col).rlike(CUES)), text_col, keys).filter(F.col("paragraph").rlike(CUES))
+    spark, triggers = df.sparkSession, model.triggers()
+    holds = lambda c: F.lit(True) if triggers is None else F.arrays_overlap(F.split(F.lower(c), NOT_WORD), F.array(*map(F.lit, triggers)))
+    candidates = paragraphs(df.filter(holds(F.col(text_col))), text_col, keys).filter(holds(F.col("paragraph")))
     scored = model.predict(with_grams(candidates, "paragraph"))
     known = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= model.threshold)
     scored = scored.withColumn("_likely", F.when(known, F.col("predicted")))
     # one array of 2-gram sets for each family: some hundred short strings in all
     shapes = with_grams(templates(spark), "text").groupBy("family").agg(F.collect_list("pairs").alias("_shapes"))
-    likeness = F.array_max(F.transform("_shapes", lambda s: F.size(F.array_intersect(s, F.col("pairs"))) / F.greatest(F.size(s), F.lit(1))))
-    judged = scored.join(F.broadcast(shapes), F.col("_likely") == shapes["family"], "left").withColumn("likeness", F.coalesce(likeness, F.lit(0.0)))
-    confirmed = F.when(F.col("likeness") >= CONFIRMED, F.col("_likely")).otherwise(F.lit(UNKNOWN))
-    return judged.select(*keys, "pos", "paragraph", confirmed.alias("family"), "probability", "likeness")
+    judged = scored.join(F.broadcast(shapes), F.col("_likely") == shapes["family"], "left")
+    matched = F.transform("_shapes", lambda s: F.struct((F.size(F.array_intersect(s, F.col("pairs"))) / F.greatest(F.size(s), F.lit(1))).alias("share"), enough(F.size(F.array_intersect(s, F.col("pairs"))), F.size(s)).alias("sure")))
+    judged = judged.withColumn("_m", F.array_max(F.transform(matched, lambda m: F.struct(m["sure"].alias("sure"), m["share"].alias("share")))))
+    confirmed, best = F.coalesce(F.col("_m.sure"), F.lit(False)), F.col("_m.share")
+    family = F.when(confirmed, F.col("_likely")).otherwise(F.lit(UNKNOWN))
+    return judged.select(*keys, "pos", "paragraph", family.alias("family"), "probability", F.coalesce(best, F.lit(0.0)).alias("likeness"))
 
 
 def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,23 @@ CASES = {
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
     "This program uses the GNU Lesser General Public License, version 3.": "LGPL",
     "All rights reserved.": "Proprietary",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "ISC",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.": "Zlib",
+    "Released under the GNU LGPL v3.": "LGPL",
+    "Distributed under the terms of the GNU AGPL v3.": "AGPL",
+    "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.": "Proprietary",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "SPDX-License-Identifier: ISC": "ISC",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL",
+    "Redistribution and use in source and binary forms,\nwith or without modification, are\npermitted provided that the following conditions are met:": "BSD",
 }
+#: None of these, nor sentences like them, teaches the model.
+OTHERS = [
+    "The dentist needs a license to practise in this state.", "Her marriage licence was signed by the mayor.", "Copyright expires seventy years after the death of the author.",
+    "All rights to the film were sold to a studio.", "The public library is open on Sundays.", "Software engineers wrote the code in two weeks.", "The MIT campus lies on the river.",
+    "An apache helicopter flew over the town.", "Licensed under the supervision of a pharmacist.", "Released under the Sony label in 1994.", "Distributed under the terms of a truce.",
+    "The warranty is void if the seal is broken.", "A general public meeting was held.", "Permission to land was refused by the tower.", "This file is subject to review.",
+]
 NONE = ["The fishing license of my uncle expired in May.", "Copyright is a topic of this course.", "no cue here", "", None, "It is a warrant for nothing at all, she said."]
 
 
@@ -22,11 +41,72 @@ def model(make, prose):
 
 
 def test_families(make, prose, model):
-    rows = [(i, f"{prose(i, 20)}\n{line}\n{prose(i + 9, 30)}") for i, line in enumerate(CASES)]
+    rows = [(i, f"{prose(i, 20)}.\n{line}\n{prose(i + 9, 30).capitalize()}") for i, line in enumerate(CASES)]
     found = {r["doc_id"]: r["family"] for r in L.classify(make(rows), model, ["doc_id"]).filter("family <> 'unknown'").collect()}
     assert [found.get(i) for i in range(len(CASES))] == list(CASES.values())
 
 
+def test_all_generated_sentences_are_found(make, model):
+    rows = [(i, f, form.format(n)) for f, names in L.NAMES.items() for n in names for form in L.FORMS for i in [0]]
+    rows += [(0, f, t) for f, texts in L.SENTENCES.items() for t in texts] + [(0, f, f"SPDX-License-Identifier: {t}") for f, ids in L.SPDX.items() for t in ids]
+    wrong = [(i, rows[i]) for i, found in families_of(make, model, [r[2] for r in rows]).items() if found != {rows[i][1]}]
+    assert len(wrong) <= 0.01 * len(rows), wrong
+
+
+def families_of(make, model, texts):
+    out = {i: set() for i in range(len(texts))}
+    for r in L.classify(make(list(enumerate(texts))), model, ["doc_id"]).filter("family <> 'unknown'").collect():
+        out[r["doc_id"]].add(r["family"])
+    return out
+
+
+def test_what_is_no_licence_comes_out_unknown(make, model):
+    found = families_of(make, model, OTHERS)
+    assert not any(found.values()), [(OTHERS[i], f) for i, f in found.items() if f]
+    rows = L.classify(make(list(enumerate(OTHERS))), model, ["doc_id"]).collect()
+    assert rows and all(r["family"] == "unknown" for r in rows)  # judged, not passed over
+
+
+def words_of(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def by_hand(model, text):
+    """(family, probability) of a paragraph without any gate."""
+    w = words_of(text)
+    grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    x = np.array([g in grams for g in model.vectors.vocabulary], float)
+    logits = model.regression.coefficientMatrix.toArray() @ x + model.regression.interceptVector.toArray()
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    family = model.families[int(p.argmax())]
+    pairs = {" ".join(w[i : i + 2]) for i in range(len(w) - 1)}
+    sure = False
+    for source in (L.NAMES, L.SENTENCES, {f: [f"SPDX-License-Identifier: {i}" for i in ids] for f, ids in L.SPDX.items()}):
+        for t in source.get(family, []):
+            own = {" ".join(words_of(t)[i : i + 2]) for i in range(len(words_of(t)) - 1)}
+            sure |= bool(own) and len(own & pairs) / len(own) >= (1.0 if len(own) <= L.SHORT else L.CONFIRMED)
+    return (family if family != "unknown" and p.max() >= model.threshold and sure else "unknown"), p.max()
+
+
+def test_prediction_and_confirmation_equal_a_plain_evaluation(make, prose, model):
+    texts = [*(c for c in CASES if ". " not in c and "\n" not in c), *OTHERS, *L.NOT_LICENSES, *(prose(i, 12) + "." for i in range(20))]
+    got = {r["doc_id"]: r for r in L.classify(make(list(enumerate(texts))), model, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        family, probability = by_hand(model, text)
+        if i in got:
+            assert got[i]["family"] == family and got[i]["probability"] == pytest.approx(probability, abs=1e-9), text
+        else:
+            assert family == "unknown", text  # what has no trigger could not be a family
+    assert model.triggers() is not None and len(got) > 30
+
+
+def test_threshold_keeps_the_target():
+    rows = [(0.9, True)] * 98 + [(0.9, False)] * 2 + [(0.6, False)] * 50
+    assert L.lowest_threshold(rows) == 0.9 and L.lowest_threshold(rows[:100]) == 0.5
+    assert L.lowest_threshold([(0.9, False)]) == 2.0 and L.lowest_threshold([]) == 0.5
+
+
 def test_unknown(make, model):
     assert L.classify(make(list(enumerate(NONE))), model, ["doc_id"]).filter("family <> 'unknown'").collect() == []
 
