@@ -19,15 +19,12 @@ texts.  The number of shards follows the number of entries (``shards_for``), so
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.llm import groups, store
 
@@ -39,10 +36,9 @@ INDEX_SCHEMA = "shard int, buckets int, fingerprints binary, digests binary, kee
 REPORT = "digest binary, keep_id bigint, group_size bigint, salts array<int>"
 
 
-@F.arrow_udf(T.BinaryType())
-def digest(texts: pa.Array) -> pa.Array:
+def digest(text: Column) -> Column:
     """SHA-256 of each text after lower-casing A-Z, in 32 bytes."""
-    return pa.array([hashlib.sha256((x.as_py() or b"").lower()).digest() for x in texts.cast(pa.binary())], pa.binary())
+    return groups.sha256(groups.lower_ascii(text))
 
 
 class CuckooIndex:

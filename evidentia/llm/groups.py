@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +23,21 @@ def partial_then_total(keyed: DataFrame, keys: list[str], partial: dict[str, Col
     parts = keyed.groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
     totals = parts.groupBy(*keys).agg(*(c.alias(n) for n, c in total.items()), F.collect_list("_salt").alias("_salts"))
     return totals.withColumn("_salt", F.explode("_salts")).drop("_salts")
+
+
+def sha256(text: Column) -> Column:
+    """SHA-256 of a text in UTF-8, in 32 bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def base32_sha1(data: Column) -> Column:
+    """SHA-1 of bytes in upper-case base32; null counts as empty.  Each 20 of the 160 bits are four letters."""
+    letters, digest = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.sha1(F.coalesce(data, F.lit(b"")))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    quads = F.transform(parts, lambda n: F.concat(*(F.substring(letters, F.shiftright(n, 15 - 5 * j).bitwiseAND(31) + 1, F.lit(1)) for j in range(4))))
+    return F.array_join(quads, "")
+
+
+def lower_ascii(text: Column) -> Column:
+    """The text with A-Z in lower case and all else as it is; texts of ASCII alone take the faster function, which equals it there."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))

@@ -17,7 +17,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +66,8 @@ def spans_of(text: str) -> list[dict]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-@F.arrow_udf(T.BinaryType())
-def address(texts: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(x.as_py() or b"").digest() for x in texts.cast(pa.binary())], pa.binary())
+def address(text: Column) -> Column:
+    return groups.sha256(text)
 
 
 @F.arrow_udf(SPANS)

@@ -4,18 +4,21 @@ Writing.  Payload digests are regenerated from the bytes; of records with equal
 the one with the smallest id is the response and the others revisit it.  Records are sorted by id in ranges: a histogram of
 payload bytes over cells of the id range, refined where a cell is heavy, is cut into shards of about ``shard_bytes``.  The cut
 depends on the data alone, so a rerun, or a run with other partitions, writes the same shards.  A shard is written in id order
-by one task that keeps one record in memory; a file is rolled when its compressed size reaches ``roll_bytes``.  Headers are
-regenerated (ids and dates come from the record, never from the clock).
+by one task that keeps one record in memory; a file is rolled when its compressed size reaches ``roll_bytes``.  Both sizes grow
+with the data (``MOST_SHARDS``), so that 100 TB are some hundred thousand files and not millions.  Headers are regenerated
+(ids and dates come from the record, never from the clock).
 
-Committing.  Files are written under names that are unique to the task attempt; the manifest of all attempts that Spark took
-is written as a table; then each file is renamed to its final name, and the manifest is published last.  Readers only read
-files in the manifest, so files of lost or repeated attempts are never seen.
+Committing.  Files are written to a temporary folder under names that are unique to the task attempt; the manifest of all attempts that Spark took
+is written as a table; then each file is renamed to its final name, the manifest is published, and the temporary folder is
+deleted with what lost attempts left there.  Readers only read files in the manifest.
 
-Reading.  Each file of the manifest is streamed record by record; a record whose payload or file whose size does not match
+Reading.  Tasks take files of the manifest, each streamed record by record; a record whose payload or file whose size does not match
 its digest raises an error.
 
-Paths are URIs that ``pyarrow.fs`` opens (file, hdfs, s3, gs).  Null ids sort first, null payloads are empty, null urls are
-written as an empty target.  Records may repeat: they are told apart by their place, and a repeated row revisits its twin.
+Paths are URIs that ``pyarrow.fs`` opens (file, hdfs, s3, gs).  Rows without an id fill shards of their own in front, null payloads are empty, null urls are
+written as an empty target.  Rows that repeat an id and its payload are all responses (or all revisits of a smaller id): types follow
+from the id.  Very long payloads are one record like others.  An empty table gives a folder with an empty manifest.  Extra columns
+of the input, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ from pyspark.sql import types as T
 from evidentia.llm import groups, store
 
 SHARD_BYTES = 32 << 20
-ROLL_BYTES = 8 << 20
+ROLLS = 4  # files of a shard, about
+READ_BYTES, MOST_READERS = 8 << 20, 20_000
 CELLS = 4096
 LEVELS = 4
 MOST_SHARDS = 50_000
 DATE = "1970-01-01T00:00:00Z"
+TEMPORARY = "_temporary"
 MANIFEST = "shard int, seq int, temporary string, name string, bytes bigint, records bigint, sha256 string"
 RECORD = "record_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
@@ -50,17 +55,12 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-@F.arrow_udf(T.StringType())
-def payload_digest(payloads: pa.Array) -> pa.Array:
-    return pa.array([base32_sha1(x.as_py() or b"") for x in payloads.cast(pa.binary())])
-
-
 def assign_types(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """(record_id, payload_bytes, payload_digest, refers_to) for every row of (record_id, payload).
 
     Equal payloads are equal digests and lengths; totals go back to the rows by (digest, salt), so no hot payload is a hot key."""
     rows = pages.select(
-        "record_id", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("payload_bytes"), payload_digest("payload").alias("payload_digest")
+        "record_id", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("payload_bytes"), groups.base32_sha1(F.col("payload")).alias("payload_digest")
     ).withColumn("_salt", groups.salt(F.col("record_id")))
     rows = store.table(rows, "payload-digests")
     keys = ["payload_digest", "payload_bytes"]
@@ -81,8 +81,8 @@ def bounds_lookup(lows: list[int]):
     return place
 
 
-def cut_shards(typed: DataFrame, shard_bytes: int = SHARD_BYTES, most: int = MOST_SHARDS) -> list[int]:
-    """The first ids of the shards, ascending, from the data alone.
+def cut_shards(typed: DataFrame, shard_bytes: int, most: int = MOST_SHARDS) -> list[int]:
+    """The first ids of the shards of about ``shard_bytes``, ascending, from the data alone.
 
     A level counts bytes in ``CELLS`` cells of each range; cells above a quarter of a shard are the ranges of the next level.
     Shards are never smaller than the whole over ``most``, so ranges (at most four for each shard), the heavy cells among
@@ -107,9 +107,14 @@ def cut_shards(typed: DataFrame, shard_bytes: int = SHARD_BYTES, most: int = MOS
         ranges = sorted((r["start"], r["stop"]) for r in cells.filter(heavy).collect())
         if not ranges:
             break
-    along = Window.partitionBy(F.lit(0)).orderBy("start")
-    shard = F.floor((F.sum("b").over(along) - F.col("b")) / F.lit(shard_bytes))
-    return sorted(r["low"] for r in done.withColumn("shard", shard).groupBy("shard").agg(F.min("start").alias("low")).collect())
+    # Prefix sums in two levels: cells are dealt to parts by range of start; only the sums of parts meet in one task.
+    parts = store.table(done.repartitionByRange("start").withColumn("part", F.spark_partition_id()), "cell-parts")
+    over_parts = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("part").agg(F.sum("b").alias("_b")).withColumn("_before", F.coalesce(F.sum("_b").over(over_parts), F.lit(0))).select("part", "_before")
+    within = Window.partitionBy("part").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("_before") + F.coalesce(F.sum("b").over(within), F.lit(0))
+    shards = parts.join(F.broadcast(before), "part").withColumn("shard", F.floor(upto / F.lit(shard_bytes)))  # a row for each part
+    return sorted(r["low"] for r in shards.groupBy("shard").agg(F.min("start").alias("low")).collect())
 
 
 def header(kind: str, record_id, url: str, digest: str, size: int, refers_to) -> bytes:
@@ -152,7 +157,7 @@ class Roller:
         self.out = None
 
     def _open(self) -> None:
-        self.temporary = f"_temporary-{self.attempt}-{self.shard:06d}-{len(self.done):05d}.warc.gz"
+        self.temporary = f"{TEMPORARY}/{self.attempt}-{self.shard:06d}-{len(self.done):05d}.warc.gz"
         self.out = self.fs.open_output_stream(f"{self.root}/{self.temporary}", compression=None)
         self.bytes, self.records, self.sum = 0, 0, hashlib.sha256()
 
@@ -175,18 +180,28 @@ class Roller:
             self.done.append(dict(zip([x.split()[0] for x in MANIFEST.split(", ")], values, strict=True)))
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
-    """Write rows (record_id, url, payload) as archives to ``folder``; the path of the published manifest."""
+def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, shard_bytes: int | None = None, roll_bytes: int | None = None) -> str:
+    """Write rows (record_id, url, payload) as archives to ``folder``; the path of the published manifest.
+
+    Without sizes a shard has ``SHARD_BYTES`` or the whole over ``MOST_SHARDS``, and rolls about ``ROLLS`` files of them."""
     store.bound_batches(pages.sparkSession)
     spark = pages.sparkSession
     typed = store.table(assign_types(pages, revisit_from), "typed")
+    if shard_bytes is None:
+        shard_bytes = max(SHARD_BYTES, (typed.agg(F.sum("payload_bytes")).first()[0] or 0) // MOST_SHARDS)
+    roll_bytes = roll_bytes or max(1, shard_bytes // ROLLS)
     starts = cut_shards(typed, shard_bytes)
+    # rows without an id have no place in the range of ids: they fill shards of their own, in front, by digest
+    unplaced = typed.filter("record_id is null").agg(F.sum(F.col("payload_bytes") + 500)).first()[0] or 0
+    front = -(-unplaced // shard_bytes)
+    by_digest = F.pmod(F.xxhash64("payload_digest"), F.lit(max(front, 1))).cast("int")
     # One shuffle brings each payload and, in front of it, its row of types to the writer of their shard.
     kinds = typed.dropDuplicates(["record_id", "payload_digest"]).withColumn("_order", F.lit(0))
-    payloads = pages.select("record_id", "url", "payload", payload_digest("payload").alias("payload_digest"), F.lit(1).alias("_order"))
-    rows = kinds.unionByName(payloads, allowMissingColumns=True).withColumn("shard", bounds_lookup(starts)("record_id"))
+    payloads = pages.select("record_id", "url", "payload", groups.base32_sha1(F.col("payload")).alias("payload_digest"), F.lit(1).alias("_order"))
+    rows = kinds.unionByName(payloads, allowMissingColumns=True)
+    rows = rows.withColumn("shard", F.when(F.col("record_id").isNull(), by_digest).otherwise(bounds_lookup(starts)("record_id") + front))
     order = ["shard", F.col("record_id").asc_nulls_first(), "payload_digest", "_order"]
-    sent = rows.repartition(len(starts), "shard").sortWithinPartitions(*order)
+    sent = rows.repartitionById(len(starts) + front, "shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = None
@@ -219,14 +234,12 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, shard_b
             yield batch
 
     system, root = fs.FileSystem.from_uri(folder)
-    system.create_dir(root, recursive=True)
+    system.create_dir(f"{root}/{TEMPORARY}", recursive=True)
     attempts = f"{folder}/_attempts"
     sent.mapInArrow(write, MANIFEST).write.parquet(attempts)
     staged = spark.read.schema(MANIFEST).parquet(attempts)
-    staged.repartition(min(len(starts), 64), "name").mapInArrow(publish, MANIFEST).write.parquet(f"{folder}/_manifest")
-    for left in system.get_file_info(fs.FileSelector(root)):
-        if left.base_name.startswith("_temporary-"):  # of attempts that were lost
-            system.delete_file(left.path)
+    staged.repartition(min(len(starts) + front, 64), "name").mapInArrow(publish, MANIFEST).write.parquet(f"{folder}/_manifest")
+    system.delete_dir(f"{root}/{TEMPORARY}")  # with files of attempts that were lost
     return f"{folder}/_manifest"
 
 
@@ -283,4 +296,6 @@ def read_archives(spark, folder: str, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, RECORD)
+    size = manifest.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).first()
+    readers = min(size["files"], MOST_READERS, -(-(size["bytes"] or 0) // READ_BYTES))
+    return manifest.repartition(max(1, readers)).mapInArrow(read, RECORD)

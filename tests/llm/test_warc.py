@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import warc
+from evidentia.llm import groups, warc
 
 SCHEMA = "record_id bigint, url string, payload binary"
 ROWS = [(i, f"http://h/{i}", (f"<p>{i % 11}</p>" * (i % 5)).encode()) for i in range(200)] + [
@@ -63,6 +63,22 @@ def test_repeated_rows_and_nothing(spark, tmp_path):
     assert write(spark, [], tmp_path / "b")[0] == []
 
 
+def test_clashing_columns_and_rows_without_id(spark, tmp_path):
+    rows = [*ROWS, *((None, "n", b"%d" % i * 300) for i in range(40)), (None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("shard", "b", "payload_digest", "_order", "part", "low", "r", "_salt")})
+    warc.write_archives(df, f"file://{tmp_path / 'a'}", shard_bytes=4000)
+    back = warc.read_archives(spark, f"file://{tmp_path / 'a'}").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r["record_id"], r["payload_digest"]) for r in back), key=key) == sorted(((i, warc.base32_sha1(p or b"")) for i, _, p in rows), key=key)
+    assert len({p.name[:11] for p in (tmp_path / "a").glob("part-*")}) > len({p[0] for p in ROWS}) // 100
+
+
+def test_digests_in_the_engine_equal_the_library(spark):
+    values = [None, b"", b"a", b"\x00\xff" * 1000, "é".encode()]
+    got = spark.createDataFrame([(v,) for v in values], "v binary").select(groups.base32_sha1(F.col("v"))).collect()
+    assert [r[0] for r in got] == [warc.base32_sha1(v or b"") for v in values]
+
+
 def test_heavy_ranges_are_cut_finer(spark):
     typed = spark.createDataFrame([(i, 5000) for i in range(2000)] + [(2**50 + i, 100) for i in range(50)], "record_id bigint, payload_bytes bigint")
     starts = warc.cut_shards(typed, 200_000)
