@@ -12,12 +12,14 @@ lower-casing A-Z.  Documents with 100 * intersection >= 75 * union are linked; a
 4. Buckets that still hold several components are worked through in blocks: the pairs across components whose sketches can
    stand for 0.75 (five standard deviations) are the candidates that could add a link.  A pair is only a candidate in the
    first band it shares by key: rows carry the keys of their earlier bands.  Members that have a candidate partner get their full sets; pairs are verified where they meet, and
-   only links leave the task.  Buckets above ``BLOCK`` members or ``BLOCK_BYTES`` of sets are cut into blocks, and each pair of
-   blocks is a group of its own, so there is no cap on the members of a bucket.
+   only links leave the task.  Members of a bucket are dealt in blocks of ``BLOCK`` rows or ``BLOCK_BYTES`` of sets, and each pair of
+   blocks that can hold a pair across components is a group of its own; there is no cap on the members of a bucket.
 5. The new links join components.
 
-Nothing about all documents reaches the driver.  Rows without an id are returned unlinked and kept, as are documents without
-words, which have the empty set.  Rows that share an id are one document with the links of each of its texts.
+Nothing about all documents reaches the driver.  Rows without an id are returned unlinked and kept, as are null and empty texts
+and documents without words, which have the empty set.  Very long texts are shingled whole.  Rows that share an id are one
+document with the links of each of its texts; repeated rows are returned each.  An empty table gives no rows.  Extra columns of
+the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from evidentia.llm.components import components
 SHINGLE = 5
 THRESHOLD = 75
 BANDS, ROWS = 50, 5
-BLOCK = 2048
+BLOCK = 512
 BLOCK_BYTES = 32 << 20
 #: Share of equal sketch bytes below which a pair cannot have similarity 0.75: five standard deviations for 250 minima.
 LEAST_EQUAL = 0.61
@@ -165,24 +167,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.filter(100 * F.col("i") >= THRESHOLD * union).select("a", "b")
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """The rows (key, rep, comp, n, ...) of each bucket, cut into blocks that fit in a task, once for each pair of blocks."""
-    need = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") * F.lit(8 / BLOCK_BYTES))
-    counted = members.groupBy("key").agg(F.ceil(need).cast("int").alias("blocks"))
-    rows = members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+def dealt(members: DataFrame, scratch: store.Scratch, label: str) -> DataFrame:
+    """The rows (key, rep, comp, n, ...) of each bucket in groups (key, i, j) that fit in a task and hold all pairs across components.
+
+    The component with the most members of a bucket is its main one; within it no pair is of use.  Blocks of main members (``main``,
+    i >= 0) meet blocks j of the others; the others meet among themselves (i = -1 - block) if they are of several components.
+    A bucket that is all but resolved is thus dealt about once, however large its main component is."""
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    info = parts.groupBy("key").agg(
+        F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("comps")
+    )
+    blocks = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s * F.lit(8 / BLOCK_BYTES))).cast("int")
+    info = info.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.c"), F.col("top.s")).alias("mains"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("others"), "comps")
+    info = scratch.table(info.filter("comps > 1"), label)  # a plain join below, which adaptive execution can split where a key is hot
+    rows = members.join(info, "key").withColumn("main", F.col("comp") == F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    group = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    meets_main = F.transform(upto(F.col("mains")), lambda k: group(k, F.col("block")))
+    meets_others = F.transform(upto(F.col("others")), lambda k: group(-1 - F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
+    places = F.when(F.col("main"), F.transform(upto(F.col("others")), lambda k: group(F.col("block"), k))).when(F.col("comps") > 2, F.concat(meets_main, meets_others)).otherwise(meets_main)
+    rows = rows.withColumn("_g", F.explode(places)).withColumns({"i": F.col("_g.i"), "j": F.col("_g.j")}).drop("_g", "top", "mains", "others", "comps")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
-def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, scratch: store.Scratch) -> DataFrame:
     """Links (a, b) across components, from the rows (key, band, rep, comp, n, sketch, earlier) of each bucket.
 
     Sketches first find the members that have a candidate partner at all; only those get their full sets, and are paired and
     verified where they meet.  What leaves a task are members and links, never candidate pairs."""
-    involved = dealt(members).mapInArrow(_members_with_partners, "key bigint, rep bigint").distinct()
-    rows = members.join(involved, ["key", "rep"]).join(sets.groupBy("rep").agg(F.collect_list("shingles").alias("sets")), "rep")
-    return dealt(rows).mapInArrow(_links, "a bigint, b bigint")
+    involved = dealt(members, scratch, "dealt").mapInArrow(_members_with_partners, "key bigint, rep bigint").distinct()
+    involved = scratch.table(involved, "involved")
+    rows = scratch.table(members.join(involved, ["key", "rep"]), "paired").join(sets, "rep")
+    return dealt(rows, scratch, "dealt-sets").mapInArrow(_links, "a bigint, b bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -212,7 +229,7 @@ def _starts(table: pa.Table) -> np.ndarray:
 def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (a, b) of the candidate pairs in the groups of a table, a part at a time."""
     starts = np.append(_starts(table), table.num_rows)
-    comp, n, band, block, i, j = (table[c].to_numpy() for c in ("comp", "n", "band", "block", "i", "j"))
+    comp, n, band, block, main, i, j = (table[c].to_numpy() for c in ("comp", "n", "band", "block", "main", "i", "j"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
     held = np.arange(BANDS) < band[:, None]
     earlier = np.zeros(held.shape, np.int64)
@@ -234,11 +251,14 @@ def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if size <= 2:
             continue
         rows = np.arange(start, start + size)
-        left, right = rows[block[rows] == i[start]], rows[block[rows] == j[start]]
+        if i[start] >= 0:
+            left, right = rows[main[rows]], rows[~main[rows]]
+        else:
+            left, right = rows[block[rows] == -1 - i[start]], rows[block[rows] == j[start]]
         step = max(1, 40_000 // max(len(right), 1))
         for at in range(0, len(left), step):
             a, b = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
-            if i[start] == j[start]:
+            if -1 - i[start] == j[start]:
                 a, b = a[a < b], b[a < b]
             yield plausible_pairs(a, b)
 
@@ -255,12 +275,10 @@ def _members_with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches):
         rep, found = table["rep"].to_numpy(), set()
-        held = table["sets"].combine_chunks()
-        bounds, values = held.offsets.to_pylist(), held.values
-        sets = [[np.frombuffer(values[k].as_buffer(), np.uint64) for k in range(x, y)] for x, y in zip(bounds, bounds[1:], strict=False)]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
         for a, b in _candidates(table):
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                if any(linked(p, q) for p in sets[x] for q in sets[y]):
+                if linked(sets[x], sets[y]):
                     found.add((min(rep[x], rep[y]), max(rep[x], rep[y])))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -279,32 +297,36 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``df``."""
+    """(id, n_shingles, component_id, kept) for every row of ``df``.
+
+    Sides that are aggregated by band key are written before they are joined: a join of two plain shuffles is one that adaptive
+    execution can split at a hot key."""
     store.bound_batches(df.sparkSession)
+    scratch = store.Scratch(df.sparkSession)
     rows = store.table(signatures(df, text_col, id_col), "signatures")
     sets = rows.filter("n > 0 and _id is not null")
     best = sets.groupBy("set_id").agg(F.min_by(F.struct("n", "bands", "sketch"), "_id").alias("s"), F.min("_id").alias("rep"))
-    classes = store.table(best.select("rep", "set_id", "s.*"), "classes")
+    classes = scratch.table(best.select("rep", "set_id", "s.*"), "classes")
 
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head != tail")
-    members = store.table(keyed.join(heads, "key"), "members")
+    heads = scratch.table(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head != tail"), "heads")
+    members = scratch.table(keyed.join(heads, "key"), "members")
 
     stars = members.select(F.col("head").alias("a"), F.col("rep").alias("b")).unionByName(members.select(F.col("rep").alias("a"), F.col("tail").alias("b")))
-    stars = store.table(plausible(stars.filter("a != b").distinct(), classes), "stars")
+    stars = scratch.table(plausible(stars.filter("a != b").distinct(), classes), "stars")
     wanted = members.select("rep").distinct()
     texts = df.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("_t")).join(wanted, "rep", "left_semi")
-    full = store.table(texts.select("rep", shingle_set("_t").alias("shingles")).dropDuplicates(["rep", "shingles"]), "sets")
+    full = scratch.table(texts.select("rep", shingle_set("_t").alias("shingles")).dropDuplicates(["rep", "shingles"]), "sets")
     full = full.filter(F.octet_length("shingles") > 0)  # on the written table: above, it would run before the join, over all texts
-    links = store.table(verified(stars, full), "links")
+    links = scratch.table(verified(stars, full), "links")
 
-    first = store.table(components(links), "first")
+    first = scratch.table(components(links), "first")
     placed = members.select("key", "band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = store.table(placed.select("key", "band", "rep", F.coalesce("label", "rep").alias("comp")), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    placed = scratch.table(placed.select("key", "band", "rep", F.coalesce("label", "rep").alias("comp")), "placed")
+    mixed_keys = scratch.table(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key"), "mixed")
     unresolved = placed.join(mixed_keys, "key").join(classes.select("rep", "n", "sketch", "bands"), "rep")
-    unresolved = unresolved.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
-    more = store.table(across(unresolved, full).distinct(), "more")
+    unresolved = scratch.table(unresolved.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "unresolved")
+    more = scratch.table(across(unresolved, full, scratch).distinct(), "more")
 
     known = first.select("node", "label")
 
@@ -316,6 +338,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     roots = classes.select("rep", "set_id").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.withColumn("label", F.coalesce("label", "rep")).join(second, "label", "left")
     roots = store.table(roots.select("set_id", F.coalesce("root", "label").alias("component_id")), "roots")
+    scratch.drop(*list(scratch.paths))
 
     salts = sets.select("set_id", "_salt").distinct().join(roots, "set_id")
     linked = rows.join(salts, ["set_id", "_salt"], "left")

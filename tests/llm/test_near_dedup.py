@@ -77,6 +77,26 @@ def test_blocks_equal_one_block(make, prose, monkeypatch):
     assert found(make(rows)) == whole == brute_force(rows)
 
 
+def test_every_pair_across_components_meets_and_large_ones_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    rows = [(7, r, 0 if r < 3000 else r // 2, 5) for r in range(3020)] + [(8, r, r, 5) for r in range(130)] + [(9, r, 1, 5) for r in range(9)]
+    scratch = neardup.store.Scratch(spark)
+    dealt = neardup.dealt(spark.createDataFrame(rows, "key bigint, rep bigint, comp bigint, n int"), scratch, "t").collect()
+    assert sum(r["key"] == 7 for r in dealt) < 3000 + 20 * 70 and not any(r["key"] == 9 for r in dealt)
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r["key"], r["i"], r["j"]), []).append(r)
+    assert max(map(len, groups.values())) < 250
+    met = set()
+    for (key, i, _), own in groups.items():
+        for a in own:
+            for b in own:
+                if a["comp"] != b["comp"] and (i < 0 or a["main"] != b["main"]):
+                    met.add((key, a["rep"], b["rep"]))
+    want = {(k, a, b) for k, a, c, _ in rows for m, b, d, _ in rows if k == m and c != d and k != 7} | {(7, a, b) for a in range(3020) for b in range(3000, 3020) if a // 2 != b // 2}
+    assert want <= met
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(i, i + 1) for i in range(2000, 2064)]
@@ -115,7 +135,7 @@ def test_band_that_collides_in_sketch_bytes_only():
 
     def candidates(band):
         sketch = byte(one).astype(np.uint8).tobytes()
-        rows = [{"key": int(k[band]), "band": band, "rep": r, "comp": r, "n": 9, "sketch": sketch, "earlier": k[:band].tolist(), "block": 0, "i": 0, "j": 0} for r, k in enumerate(keys)]
+        rows = [{"key": int(k[band]), "band": band, "rep": r, "comp": r, "n": 9, "sketch": sketch, "earlier": k[:band].tolist(), "block": 0, "main": False, "i": -1, "j": 0} for r, k in enumerate(keys)]
         return sum(len(a) for a, _ in neardup._candidates(pa.Table.from_pylist(rows)))
 
     assert [candidates(b) for b in range(1, 5)] == [1, 0, 0, 0]  # in the first bucket that both are in, and nowhere else
