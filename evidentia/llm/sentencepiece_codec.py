@@ -2,33 +2,43 @@
 
 Where no piece of the vocabulary holds a whitespace marker after another character, merges never cross into the next
 marker.  A text then falls into chunks, each a run of markers with the word behind it, and the ids of the text are the
-ids of its chunks one after another.  A task keeps a table of the distinct chunks it has met, segments each of them once
-through the library, and joins the ids back by position with one vectorised gather.  The table is emptied at
-``table_size`` entries or ``TABLE_CHARS`` characters: it is a cache, so results do not depend on its size and its memory is bounded.
+ids of its chunks one after another.
+
+1. Tasks list their distinct chunks, Spark makes them distinct over all, and each is segmented once through the library: the
+   chunk table (chunk, ids), written to the shared folder.
+2. Ids are joined back by position.  A table of at most ``TABLE_ROWS`` chunks, ``TABLE_CHARS`` characters and as many ids is sent to all
+   tasks.  A larger one is joined: texts are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash, the distinct chunks
+   of a block are joined to the table, and each block meets its part of the table in one group.  Texts are moved once for
+   that, and one block is in memory at a time.
+   Within a task the ids of all positions are one vectorised gather.
 
 A vocabulary in which a piece does cross a marker, or whose normaliser rewrites text, is encoded text by text instead.
 
-Null counts as the empty text, which has no ids and decodes to the empty text.
+Null counts as the empty text, which has no ids and decodes to the empty text.  Very long texts and very long chunks are encoded whole.
+Rows that repeat, share an id or have none are encoded each for itself.  An empty table gives no rows.  Extra columns of the
+input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress, count, islice
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import store
 
 MARK = "▁"
 RESULT = "ids array<int>, decoded string"
-#: Characters that a table of chunks holds at most before it is emptied: text without spaces has few, but long chunks.
-TABLE_CHARS = 16_000_000
+#: What a chunk table holds at most to be sent to all tasks.
+TABLE_ROWS, TABLE_CHARS = 200_000, 8_000_000
+BLOCK_CHARS = 4_000_000
+#: Distinct chunks that a task remembers to have listed: beyond, it forgets them and may list some again.
+LISTED = 300_000
 
 
 @lru_cache(maxsize=4)
@@ -107,55 +117,49 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def segment(chunks: list[str], model_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all chunks one after another, number of ids of each): those with one marker in a few calls, told apart by their markers."""
+    pieces = pieces_of(model_path)
+    single = np.array([c != "" and c[0] != " " for c in chunks], bool)
+    words = list(compress(chunks, single))
+    # in lines of some hundred words: the merges of one very long line would fall out of the processor's caches
+    lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+    ids = np.concatenate([np.empty(0, np.int32)] + [np.array(x, np.int32) for x in pieces.sp.encode(lines, num_threads=1)])
+    starts, lengths = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+    starts[single] = np.flatnonzero(pieces.marked[ids])
+    lengths[single] = np.diff(np.append(starts[single], len(ids)))
+    parts, used = [ids], len(ids)
+    for at in np.flatnonzero(~single):
+        # The library leaves an empty input without a marker; the chunk "" is one marker.
+        own = np.array(pieces.sp.encode(chunks[at]) if chunks[at] else [pieces.mark], np.int32)
+        parts.append(own)
+        starts[at], lengths[at] = used, len(own)
+        used += len(own)
+    return np.concatenate(parts)[ragged(starts, lengths)], lengths
+
+
 class ChunkTable:
-    """Distinct chunks, numbered as they are met, with the place of their ids in one flat array."""
-
-    def __init__(self, model_path: str, size: int):
-        self.pieces, self.size = pieces_of(model_path), size
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: defaultdict[str, int] = defaultdict(count().__next__)
-        self.flat = np.empty(0, np.int32)
-        self.starts = self.lengths = np.empty(0, np.int64)
-        self.chars = 0
-
-    def segment(self, new: list[str]) -> None:
-        """Give the newest chunks their ids: those with one marker in a few calls, told apart by their markers."""
-        single = np.array([c != "" and c[0] != " " for c in new])
-        words = list(compress(new, single))
-        # in lines of some hundred words: the merges of one very long line would fall out of the processor's caches
-        lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        ids = np.concatenate([np.empty(0, np.int32)] + [np.array(x, np.int32) for x in self.pieces.sp.encode(lines, num_threads=1)])
-        lengths, starts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-        starts[single] = np.flatnonzero(self.pieces.marked[ids])
-        lengths[single] = np.diff(np.append(starts[single], len(ids)))
-        parts, used = [ids], len(ids)
-        for at in np.flatnonzero(~single):
-            # The library leaves an empty input without a marker; the chunk "" is one marker.
-            own = np.array(self.pieces.sp.encode(new[at]) if new[at] else [self.pieces.mark], np.int32)
-            parts.append(own)
-            starts[at], lengths[at] = used, len(own)
-            used += len(own)
-        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *parts])
-        self.chars += sum(map(len, new))
+    """Chunks with the place of their ids in one flat array."""
+
+    def __init__(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray):
+        self.index = {chunk: i for i, chunk in enumerate(chunks)}
+        self.flat, self.lengths, self.starts = ids, lengths, np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, table: pa.Table) -> ChunkTable:
+        """From the columns chunk and ids."""
+        ids = table["ids"].combine_chunks()
+        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        return cls(table["chunk"].to_pylist(), ids.flatten().to_numpy(), sizes)
 
     def ids(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, number of ids of each), given each one's chunks."""
-        known, at = len(self.index), self.index.__getitem__
-        codes = np.fromiter(chain.from_iterable(map(at, chunks) for chunks in documents), np.int64)
-        if len(self.index) > known:
-            self.segment(list(islice(self.index, known, None)))
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(documents)), np.int64)
         lengths = self.lengths[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        stops = np.cumsum([len(chunks) for chunks in documents])
+        stops = np.cumsum([len(chunks) for chunks in documents]).astype(np.int64)
         counts = np.diff(np.concatenate([[0], ends[stops]]))
-        got = self.flat[ragged(self.starts[codes], lengths)]
-        if len(self.index) > self.size or self.chars > TABLE_CHARS:
-            self.clear()
-        return got, counts
+        return self.flat[ragged(self.starts[codes], lengths)].astype(np.int32), counts
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, model_path: str) -> list[str]:
@@ -201,24 +205,100 @@ def encode_texts(texts: pa.Array, table: ChunkTable | None, model_path: str, blo
             flush()
             waiting = 0
     flush()
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)  # a batch has at most some MB of text
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
     return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], names=["ids", "decoded"])
 
 
-def codec(model_path: str, table_size: int = 400_000) -> Callable[[Column], Column]:
-    """A column function text -> struct<ids, decoded>, equal to the library's encode and decode of the whole text."""
+def distinct_chunks(df: DataFrame, text_col: str) -> DataFrame:
+    """(chunk) of all texts, without repeats."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new: set[str] = set()
+            for value in batch.column(0):
+                text = value.as_py()
+                if text:
+                    new.update(split_chunks(text))
+            new -= seen
+            if len(seen) > LISTED:
+                seen = set()
+            seen |= new
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], names=["chunk"])
+
+    return df.select(F.col(text_col).alias("_t")).mapInArrow(listed, "chunk string").distinct()
+
+
+def chunk_table(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """(chunk, ids) of the distinct chunks of all texts, each segmented once."""
+
+    @F.arrow_udf("array<int>")
+    def segmented(chunks: pa.Array) -> pa.Array:
+        ids, lengths = segment(chunks.to_pylist(), model_path)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
+
+    return distinct_chunks(df, text_col).select("chunk", segmented("chunk").alias("ids"))
+
+
+def codec(model_path: str, table: ChunkTable | None, spark: SparkSession) -> Callable[[Column], Column]:
+    """A column function text -> struct<ids, decoded>, equal to the library's encode and decode of the whole text.
+
+    With a chunk table, which must hold all chunks of the texts, by look-up; without one, text by text."""
+    shared = spark.sparkContext.broadcast(table)
 
     @F.arrow_udf(RESULT)
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = ChunkTable(model_path, table_size) if chunks_are_independent(model_path) else None
-        for texts in batches:
-            yield encode_texts(texts, table, model_path)
+    def encode(texts: pa.Array) -> pa.Array:
+        return encode_texts(texts, shared.value, model_path)
 
     return encode
 
 
-def encode_documents(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", table_size: int = 400_000) -> DataFrame:
-    """``id_col``, ids and decoded text of every row.  Rows with equal ids, null ids and repeated rows are kept as they come."""
-    store.bound_batches(df.sparkSession)
-    return df.select(F.col(id_col), codec(model_path, table_size)(F.col(text_col)).alias("_r")).select(id_col, "_r.ids", "_r.decoded")
+def joined_by_blocks(rows: DataFrame, chunks: DataFrame, model_path: str, chars: int) -> DataFrame:
+    """Rows (_id, _t) with ids and decoded, from a chunk table of any size."""
+    spark = rows.sparkSession
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
+    dealt = rows.select("_id", "_t", F.pmod(F.xxhash64("_id", "_t"), F.lit(blocks)).cast("int").alias("block")).repartition(parts, "block")
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            new: dict[int, set[str]] = {}
+            for block, value in zip(batch.column("block").to_pylist(), batch.column("_t"), strict=True):
+                text = value.as_py()
+                if text:
+                    new.setdefault(block, set()).update(split_chunks(text))
+            for block, own in new.items():
+                own -= seen.setdefault(block, set())
+                if sum(map(len, seen.values())) > LISTED:
+                    seen = {block: set()}
+                seen[block] |= own
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.string())], names=["block", "chunk"])
+
+    def join(texts: pa.Table, own: pa.Table) -> pa.Table:
+        table = ChunkTable.of(own)
+        coded = [encode_texts(part, table, model_path) for part in texts["_t"].chunks] or [encode_texts(pa.array([], pa.string()), table, model_path)]
+        coded = pa.concat_arrays(coded)
+        return pa.table([texts["_id"], coded.field("ids"), coded.field("decoded")], names=["_id", "ids", "decoded"])
+
+    needs = dealt.mapInArrow(needed, "block int, chunk string")
+    own = needs.join(chunks, "chunk").select("block", "chunk", "ids").repartition(parts, "block")
+    kind = rows.schema["_id"].dataType.simpleString()
+    return dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(join, f"_id {kind}, {RESULT}")
+
+
+def encode_documents(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, decoded) of every row."""
+    spark = df.sparkSession
+    store.bound_batches(spark)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    if not chunks_are_independent(model_path):
+        return rows.select(F.col("_id").alias(id_col), codec(model_path, None, spark)("_t").alias("_r")).select(id_col, "_r.*")
+    chunks = store.table(chunk_table(rows, model_path, "_t"), "chunks")
+    size = chunks.agg(F.count("*").alias("rows"), F.sum(F.length("chunk")).alias("chars"), F.sum(F.size("ids")).alias("ids")).first()
+    if size["rows"] <= TABLE_ROWS and max(size["chars"] or 0, size["ids"] or 0) <= TABLE_CHARS:
+        table = ChunkTable.of(chunks.toArrow())
+        return rows.select(F.col("_id").alias(id_col), codec(model_path, table, spark)("_t").alias("_r")).select(id_col, "_r.*")
+    chars = rows.agg(F.sum(F.length("_t"))).first()[0] or 0
+    return joined_by_blocks(rows, chunks, model_path, chars).withColumnRenamed("_id", id_col)
