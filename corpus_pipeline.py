@@ -19,18 +19,23 @@ LEAST_QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, taught by the labels table, scores at ``LEAST_QUALITY`` or more."""
-    measured = store.table(quality_rff.measure(docs), "statistics")
-    model = quality_rff.fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier, taught by the labels table, scores at ``LEAST_QUALITY`` or more.
+
+    Only labelled documents are measured to teach it; the others are measured once, where they are scored."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labelled = docs.join(labels.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = quality_rff.fit(store.table(quality_rff.measure(labelled), "statistics"), labels)
     return docs.filter(quality_rff.text_scorer(model)("text") >= LEAST_QUALITY)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id; of rows that repeat id and text one."""
-    kept = cuckoo.deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct()
-    rows = docs.withColumn("_digest", cuckoo.digest("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    """Of equal texts the row with the largest id; of rows that repeat id and text one.
+
+    The index says which ids stay.  Joining and dropping repeats have one key, so texts are moved once."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    kept = cuckoo.deduplicate(docs).filter("kept").select(key, F.col("digest").alias("_digest")).distinct()
+    rows = docs.select("*", key, cuckoo.digest(F.col("text")).alias("_digest")).join(kept, ["_key", "_digest"], "left_semi")
+    return rows.dropDuplicates(["_key", "_digest"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +52,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    store.bound_batches(spark)
-    coded = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_t"))
-    coded = coded.withColumn("_r", sentencepiece_codec.codec(vocabulary("piece_bpe_32k.model"))("_t"))
-    return coded.select("doc_id", "lang", "source", F.size("_r.ids").alias("n_tokens"), "_r.ids", (F.col("_r.decoded") == F.col("_t")).alias("round_trip"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct("doc_id", "lang", "source", F.sha2(text.cast("binary"), 256).alias("sha256")).alias("row"), text.alias("text"))
+    coded = sentencepiece_codec.encode_documents(keyed, vocabulary("piece_bpe_32k.model"), "text", "row")
+    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("row.sha256")
+    return coded.select("row.doc_id", "row.lang", "row.source", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [
