@@ -1,8 +1,9 @@
 """Evidence retrieval: feature-hash vectors, lexical overlap, cosine and the hybrid ranking.
 
-A set of queries is ranked against all evidence without a cross join of rows.  Each task scores its evidence against the block
+A set of queries is ranked against all evidence without a cross join of rows.  Each task scores its evidence against a block
 of queries and only passes on its best ``k`` for each query, in the final order; a window then picks the best of the tasks'
-candidates.  What is shuffled is k rows for each query and task, however large the evidence is.
+candidates.  What is shuffled is k rows for each query and task, however large the evidence is.  Queries of a checked size
+travel to the tasks; beyond it evidence and queries are dealt into cells of one block each.
 """
 
 from __future__ import annotations
@@ -20,65 +21,187 @@ from pyspark.sql import types as T
 from evidentia.functions import scores, text
 
 DIMENSIONS = 256
-QUERY_BLOCK = 1024
+#: Queries and their tokens that travel to every task at most; beyond, they are dealt into blocks of so many.
+QUERY_BLOCK, QUERY_TOKENS = 1024, 500_000
+#: Evidence rows of a cell, about, where queries are dealt into blocks.
+EVIDENCE_BLOCK = 20_000
 #: Vectors or queries of a block, about, and pairs scored at once.
 VECTOR_BLOCK = 8192
 PAIRS = 1 << 20
+#: Features whose hashes a task remembers.
+FEATURES = 500_000
+CANDIDATES = "query_id bigint, evidence_id bigint, score double, lexical double, vector double, shared bigint"
+
+
+class Features:
+    """Signed buckets of features: bucket from the first four bytes of the hash, sign from the fifth."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def codes(self, features: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+        """bucket * 2 + sign for each feature."""
+        known = self.known
+        if len(known) > FEATURES:
+            known.clear()
+        out = np.empty(len(features), np.int64)
+        for i, feature in enumerate(features):
+            code = known.get(feature)
+            if code is None:
+                digest = hashlib.sha256(feature.encode()).digest()
+                code = known[feature] = int.from_bytes(digest[:4], "big") % dimensions * 2 + (digest[4] & 1)
+            out[i] = code
+        return out
+
+    def vectors(self, tokens: TokenLists, dimensions: int = DIMENSIONS) -> np.ndarray:
+        """The signed counts of tokens and bigrams of each list, a row for each; distinct ones are hashed once."""
+        n, doc = len(tokens.names), tokens.doc
+        own = self.codes(tokens.names, dimensions)[tokens.codes]
+        inner = np.flatnonzero(doc[1:] == doc[:-1])
+        pairs, where = np.unique(tokens.codes[inner] * max(n, 1) + tokens.codes[inner + 1], return_inverse=True)
+        joined = [f"{tokens.names[p // n]}_{tokens.names[p % n]}" for p in pairs.tolist()]
+        both = np.concatenate([own, self.codes(joined, dimensions)[where]])
+        cell = np.concatenate([doc, doc[inner]]) * dimensions + both // 2
+        return np.bincount(cell, 1.0 - 2.0 * (both % 2), tokens.rows * dimensions).reshape(tokens.rows, dimensions)
+
+
+class TokenLists:
+    """Token lists as numbers of distinct tokens; null lists are empty."""
+
+    def __init__(self, lists: pa.Array):
+        lists = pa.array(lists.to_pylist(), pa.list_(pa.string())).fill_null([]) if lists.null_count else lists
+        coded = lists.flatten().dictionary_encode()
+        self.rows, self.names = len(lists), coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
 
 def feature_counts(tokens: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Signed counts of token and bigram hashes: bucket from the first four bytes, sign from the fifth."""
-    out = np.zeros(dimensions, np.int64)
-    for feature in [*tokens, *map("_".join, zip(tokens, tokens[1:], strict=False))]:
-        digest = hashlib.sha256(feature.encode()).digest()
-        out[int.from_bytes(digest[:4], "big") % dimensions] += 1 - 2 * (digest[4] & 1)
-    return out
+    """Signed counts of the token and bigram hashes of one list."""
+    return Features().vectors(TokenLists(pa.array([tokens], pa.list_(pa.string()))), dimensions)[0].astype(np.int64)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
-def feature_hash(tokens: pa.Array) -> pa.Array:
+def feature_hash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The integer feature-hash vector of each token list; dividing by its length gives the unit vector."""
-    return pa.array([feature_counts(t or []).tolist() for t in tokens.to_pylist()], pa.list_(pa.int64()))
+    features = Features()
+    for tokens in batches:
+        flat = [features.vectors(TokenLists(tokens[at : at + 2000])).astype(np.int64).ravel() for at in range(0, len(tokens), 2000)]
+        yield pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)), DIMENSIONS).cast(pa.list_(pa.int64()))
 
 
 class QueryBlock:
-    """Queries as a matrix and an inverted index from tokens to queries."""
-
-    def __init__(self, rows: list[tuple]):
-        self.ids = [r[0] for r in rows]
-        sets = [set(r[1]) for r in rows]
-        self.sizes = np.array([max(len(s), 1) for s in sets])
-        self.index: dict[str, list[int]] = {}
-        for i, s in enumerate(sets):
-            for token in s:
-                self.index.setdefault(token, []).append(i)
-        self.vectors = np.array([feature_counts(r[1]) for r in rows], np.float64).reshape(-1, DIMENSIONS)
+    """Queries as a matrix of vectors and an inverted index from tokens to queries."""
+
+    def __init__(self, ids: list, lists: pa.Array, features: Features):
+        tokens = TokenLists(lists)
+        self.ids, self.features = np.array(ids, np.int64), features
+        n = max(len(tokens.names), 1)
+        pairs = np.unique(tokens.codes * max(tokens.rows, 1) + tokens.doc)  # by token, then query
+        of, self.queries = pairs // max(tokens.rows, 1), pairs % max(tokens.rows, 1)
+        self.counts = np.bincount(of, minlength=n)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.index = {name: i for i, name in enumerate(tokens.names)}
+        self.sizes = np.maximum(np.bincount(self.queries, minlength=tokens.rows), 1)
+        self.vectors = features.vectors(tokens)
         self.norms = np.sqrt((self.vectors**2).sum(axis=1))
 
-    def score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens shared with each query, cosine with each query clamped at 0)."""
-        shared = np.zeros(len(self.ids), np.int64)
-        for token in set(tokens):
-            for i in self.index.get(token, ()):
-                shared[i] += 1
-        vector = feature_counts(tokens).astype(np.float64)
-        norm = np.sqrt((vector**2).sum())
-        dots, lengths = self.vectors @ vector, self.norms * norm
-        return shared, np.maximum(np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0), 0.0)
+    def shared(self, tokens: TokenLists) -> np.ndarray:
+        """Tokens that each list shares with each query."""
+        known = np.array([self.index.get(name, -1) for name in tokens.names], np.int64)
+        own = known[tokens.codes] if len(known) else np.empty(0, np.int64)
+        pairs = np.unique(tokens.doc[own >= 0] * max(len(self.index), 1) + own[own >= 0])
+        doc, token = pairs // max(len(self.index), 1), pairs % max(len(self.index), 1)
+        counts = self.counts[token]
+        ends = np.cumsum(counts)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[token] - (ends - counts), counts)
+        return np.bincount(np.repeat(doc, counts) * len(self.ids) + self.queries[at], minlength=tokens.rows * len(self.ids)).reshape(tokens.rows, len(self.ids))
+
+    def cosine(self, tokens: TokenLists) -> np.ndarray:
+        """Cosine of each list with each query, clamped at 0."""
+        vectors = self.features.vectors(tokens)
+        dots, lengths = vectors @ self.vectors.T, self.norms[None, :] * np.sqrt((vectors**2).sum(axis=1))[:, None]
+        return np.maximum(np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0), 0.0)
+
+
+class Best:
+    """The best ``k`` evidence rows of each query so far, in the final order."""
+
+    def __init__(self, block: QueryBlock, k: int, weights: tuple[float, float] | None):
+        self.block, self.k, self.weights, self.held = block, k, weights, None
+
+    def add(self, ids: np.ndarray, lists: pa.Array) -> None:
+        step = max(1, PAIRS // max(len(self.block.ids), 1))
+        for at in range(0, len(ids), step):
+            tokens = TokenLists(lists[at : at + step])
+            shared = self.block.shared(tokens)
+            lexical = shared / self.block.sizes
+            if self.weights is None:
+                vector, score = np.zeros(shared.shape), np.where(shared > 0, np.floor(lexical * 10_000 + 0.5), -1.0)
+            else:
+                vector = self.block.cosine(tokens) if self.weights[1] else np.zeros(shared.shape)
+                score = np.minimum(1.0, lexical * self.weights[0] + vector * self.weights[1])
+            found = (score, lexical, vector, shared, np.broadcast_to(ids[at : at + step, None], score.shape))
+            found = found if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, found, strict=True))
+            order = np.lexsort((found[4], -np.floor(found[1] * 10_000 + 0.5), -found[0]), axis=0)[: self.k]
+            self.held = tuple(np.take_along_axis(x, order, axis=0) for x in found)
+
+    def rows(self) -> pa.Table:
+        score, lexical, vector, shared, ids = self.held if self.held is not None else [np.empty((0, len(self.block.ids)))] * 5
+        queries = np.broadcast_to(self.block.ids[None, :], score.shape)
+        columns = [(queries, pa.int64()), (ids, pa.int64()), (score, pa.float64()), (lexical, pa.float64()), (vector, pa.float64()), (shared, pa.int64())]
+        return pa.table([pa.array(x.ravel().astype(t.to_pandas_dtype()), t) for x, t in columns], names=[c.split()[0] for c in CANDIDATES.split(", ")])
+
+
+def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[float, float] | None) -> DataFrame:
+    """The best ``k`` rows of each query in each task or cell, as ``CANDIDATES``; without weights by shared tokens alone."""
+    evidence = spread(evidence.select(F.col("evidence_id").cast("bigint"), "tokens"))
+    queries = queries.select(F.col("query_id").cast("bigint"), "tokens")
+    size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
+    if size["rows"] <= QUERY_BLOCK and size["tokens"] <= QUERY_TOKENS:
+        asked = queries.toArrow()
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _best(asked, k, weights)
+            for batch in batches:
+                best.add(batch.column("evidence_id").to_numpy(zero_copy_only=False), batch.column("tokens"))
+            yield from best.rows().to_batches()
+
+        return evidence.mapInArrow(local, CANDIDATES)
+    across = max(-(-size["rows"] // QUERY_BLOCK), -(-size["tokens"] // QUERY_TOKENS))
+    down = max(1, -(-evidence.count() // EVIDENCE_BLOCK))
+
+    def cell(these: pa.Table, those: pa.Table) -> pa.Table:
+        best = _best(these, k, weights)
+        ids, lists = those["evidence_id"].to_numpy(), those["tokens"].combine_chunks()
+        if len(ids) and these.num_rows:
+            best.add(ids, lists)
+        return best.rows()
+
+    left = _in_cells(queries, "i", across, "j", down, "query_id")
+    right = _in_cells(evidence, "j", down, "i", across, "evidence_id")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, CANDIDATES)
+
+
+def _best(asked: pa.Table, k: int, weights: tuple[float, float] | None) -> Best:
+    lists = asked["tokens"].combine_chunks()
+    return Best(QueryBlock(asked["query_id"].to_pylist(), lists, Features()), k, weights)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer parts than there are cores: a small table in one row group is one task.
+
+    A large table has more parts and is left as it is, so this never moves one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def rank(evidence: DataFrame, queries: DataFrame, k: int, vector_weight: float = scores.VECTOR_WEIGHT, lexical_weight: float = scores.LEXICAL_WEIGHT) -> DataFrame:
     """(query_id, evidence_id, rank, lexical_score, vector_score, retrieval_score) of the best ``k`` of each query.
 
-    ``evidence`` has (evidence_id, tokens), ``queries`` (query_id, tokens); both ids are bigint.  Ordered by the unrounded score,
-    then the rounded lexical score, then the id; reported scores have four decimals."""
-    rows = [(r["query_id"], r["tokens"]) for r in queries.select("query_id", "tokens").toLocalIterator()]
-    if not rows:
-        rows = [(-1, [])]
-    parts = [_rank_block(evidence, rows[at : at + QUERY_BLOCK], k, vector_weight, lexical_weight) for at in range(0, len(rows), QUERY_BLOCK)]
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
+    ``evidence`` has (evidence_id, tokens), ``queries`` (query_id, tokens); both ids are bigint.  Ordered by the unrounded score, then the rounded lexical score, then the id;
+    reported scores have four decimals."""
+    best = candidates(evidence, queries, k, (lexical_weight, vector_weight))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("lexical_score"), "evidence_id")
     ranked = best.withColumn("lexical_score", scores.unit_score(F.col("lexical"))).withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.filter(F.col("rank") <= k).select(
@@ -86,53 +209,36 @@ def rank(evidence: DataFrame, queries: DataFrame, k: int, vector_weight: float =
     )
 
 
-def _rank_block(evidence: DataFrame, rows: list[tuple], k: int, vector_weight: float, lexical_weight: float) -> DataFrame:
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, best = QueryBlock(rows), None
-        for batch in batches:
-            ids = batch.column("evidence_id").to_numpy(zero_copy_only=False)
-            shared, cosine = (np.array(x) for x in zip(*(block.score(t) for t in batch.column("tokens").to_pylist()), strict=True)) if len(ids) else (None, None)
-            if shared is None:
-                continue
-            lexical = shared / block.sizes
-            combined = np.minimum(1.0, lexical * lexical_weight + cosine * vector_weight)
-            found = (combined, lexical, cosine, np.broadcast_to(ids[:, None], combined.shape))
-            best = _best(found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True)), k)
-        if best is not None:
-            queries = np.broadcast_to(np.array(block.ids)[None, :], best[0].shape)
-            columns = [pa.array(x.ravel()) for x in (queries, best[3], best[0], best[1], best[2])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "evidence_id", "score", "lexical", "vector"])
-
-    schema = "query_id bigint, evidence_id bigint, score double, lexical double, vector double"
-    return evidence.select(F.col("evidence_id").cast("bigint"), "tokens").mapInArrow(local, schema)
-
-
-def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
-    """The first ``k`` rows of each column in the order of the ranking."""
-    combined, lexical, _, ids = found
-    order = np.lexsort((ids, -np.floor(lexical * 10_000 + 0.5), -combined), axis=0)[:k]
-    return tuple(np.take_along_axis(x, order, axis=0) for x in found)
-
-
 def lexical_topk(evidence: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` by shared tokens alone, through an inverted index: only pairs that share a token are ever formed."""
-    left = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.array_distinct("tokens")).alias("token"))
-    right = evidence.select("evidence_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = right.join(left, "token").groupBy("query_id", "n", "evidence_id").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("lexical_score", scores.unit_score(F.col("shared") / F.col("n")))
+    """(query_id, evidence_id, rank, shared, lexical_score): the best ``k`` by shared tokens alone, of those that share any."""
+    best = candidates(evidence, queries, k, None).filter("shared > 0").withColumn("lexical_score", scores.unit_score(F.col("lexical")))
     order = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "evidence_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "evidence_id", "rank", "shared", "lexical_score")
+    ranked = best.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "evidence_id", "rank", "shared", "lexical_score")
 
 
 def cosine(left, right):
-    """Cosine of two double arrays, 0 where either has no length."""
+    """Cosine of two double arrays, 0 where either has no length; arrays of unequal lengths are an error."""
     dot = F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
     def norm(v):
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
-    return F.coalesce(F.try_divide(dot, norm(left) * norm(right)), F.lit(0.0))
+    value = F.coalesce(F.try_divide(dot, norm(left) * norm(right)), F.lit(0.0))
+    return F.when(F.size(left) == F.size(right), value).otherwise(F.raise_error(F.lit("vectors must have the same dimensions")).cast("double"))
+
+
+def vector_fault(vector, dimensions=None):
+    """What is wrong with a vector (array of doubles): nothing in it, a value that is null or not finite, or another length; else null."""
+    strange = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fault = F.when(F.coalesce(F.size(vector), F.lit(0)) <= 0, "empty").when(strange, "not finite")
+    return fault if dimensions is None else fault.when(F.size(vector) != dimensions, "dimensions")
+
+
+def valid_vector(vector, dimensions=None):
+    """The vector, or an error that names its fault."""
+    fault = vector_fault(vector, dimensions)
+    return F.when(fault.isNull(), vector).otherwise(F.raise_error(F.concat(F.lit("bad vector: "), fault)).cast("array<double>"))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -143,8 +249,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     labelled = "label" in vectors.columns and "label" in queries.columns
     names = [[F.col("label").alias(n)] if labelled else [] for n in ("query_label", "vec_label")]
     across, down = (max(1, -(-df.count() // VECTOR_BLOCK)) for df in (queries, vectors))
-    left = _in_cells(queries.select("query_id", "query", *names[0]), "i", across, "j", down)
-    right = _in_cells(vectors.select("vec_id", "vec", *names[1]), "j", down, "i", across)
+    left = _in_cells(queries.select("query_id", "query", *names[0]), "i", across, "j", down, "query_id")
+    right = _in_cells(vectors.select("vec_id", "vec", *names[1]), "j", down, "i", across, "vec_id")
 
     def local(these: pa.Table, those: pa.Table) -> pa.Table:
         columns = nearest(these, those, k) if these.num_rows and those.num_rows else [[], [], []]
@@ -156,9 +262,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _in_cells(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+def _in_cells(df: DataFrame, own: str, blocks: int, other: str, others: int, key: str) -> DataFrame:
     """The rows in one of ``blocks`` each, once for each block of the other side."""
-    block = F.pmod(F.xxhash64(*df.columns), F.lit(blocks)) if blocks > 1 else F.lit(0)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)) if blocks > 1 else F.lit(0)
     return df.withColumn(own, block.cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 

@@ -10,9 +10,10 @@ from evidentia.functions import scores, text
 
 def supported_terms(evidence: DataFrame, terms: list[str], body: str) -> DataFrame:
     """Adds ``supported``: the terms whose normalised form the evidence text contains.  Terms are a short list of a request."""
-    searchable = text.scorecard_text(F.col(body))
-    checks = F.array(*(F.when((text.scorecard_text(F.lit(t)) != "") & F.contains(searchable, text.scorecard_text(F.lit(t))), F.lit(t)) for t in _unique(terms)))
-    return evidence.withColumn("supported", F.filter(checks, lambda t: t.isNotNull()))
+    named = {t: text.scorecard_text(F.lit(t)) for t in _unique(terms)}
+    # the text is normalised once, as the variable of a lambda, and not once for each term
+    checks = F.transform(F.array(text.scorecard_text(F.col(body))), lambda s: F.array(*(F.when((n != "") & F.contains(s, n), F.lit(t)) for t, n in named.items())))
+    return evidence.withColumn("supported", F.filter(F.flatten(checks), lambda t: t.isNotNull()))
 
 
 def _unique(terms: list[str]) -> list[str]:

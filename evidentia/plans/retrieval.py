@@ -14,7 +14,7 @@ K = 3
 
 
 def _evidence(spark, d):
-    return V.tokens_of(table(spark, d, "documents"), "doc_id", "text", "evidence_id")
+    return V.tokens_of(V.spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "evidence_id")
 
 
 def _requirements(spark, d):
@@ -38,8 +38,9 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").withColumn("vec", F.transform("embedding", lambda x: x.cast("double"))).select("vec_id", "vec", "label")
 
 
-def _query_vectors(spark, d, n=50):
-    return _vectors(spark, d).filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("label").alias("query_label"))
+def _query_vectors(spark, d):
+    """The stated search set: every row whose id is divisible by 20."""
+    return _vectors(spark, d).filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("label").alias("query_label"))
 
 
 def vector_topk(spark, d):
@@ -47,10 +48,12 @@ def vector_topk(spark, d):
 
 
 def vector_topk_same_label(spark, d):
-    rows, queries = _vectors(spark, d), _query_vectors(spark, d)
-    pairs = rows.join(F.broadcast(queries), (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("query_label")))
-    scored = pairs.select("query_id", "vec_id", F.round(V.cosine(F.col("query"), F.col("vec")), 6).alias("cosine"))
-    return scored.groupBy("query_id").agg(F.max("cosine").alias("best"), F.count("*").alias("candidates"))
+    rows, queries = _vectors(spark, d), _query_vectors(spark, d).withColumnRenamed("query_label", "label")
+    best = V.vector_topk(rows, queries, 1).select("query_id", F.col("cosine").alias("best"))
+    labelled = rows.groupBy("label").agg(F.count("*").alias("n"))
+    own = rows.groupBy(F.col("vec_id").alias("query_id"), "label").agg(F.count("*").alias("own"))
+    counted = own.join(labelled, "label").select("query_id", (F.col("n") - F.col("own")).alias("candidates"))
+    return best.join(counted, "query_id")
 
 
 def feature_hash_sparse(spark, d):
@@ -68,12 +71,12 @@ def requirement_ids(spark, d):
     return items.select("item_id", M.requirement_id(F.lit("a1"), F.lit("required"), F.lit("skill"), F.lit("all"), F.col("text")).alias("requirement_id"))
 
 
-def _cases(spark, d, search=vector_topk, searched=_query_vectors, every=1):
+def _cases(spark, d):
     labels = _vectors(spark, d).select(F.col("vec_id").alias("hit"), F.col("label").alias("hit_label"))
-    queries = searched(spark, d).select("query_id", "query_label")
-    hits = search(spark, d).join(labels, F.col("vec_id") == F.col("hit")).join(queries, "query_id")
+    queries = _query_vectors(spark, d).select("query_id", "query_label")
+    hits = vector_topk(spark, d).join(labels, F.col("vec_id") == F.col("hit")).join(queries, "query_id")
     hits = hits.select(F.col("query_id").alias("case_id"), "rank", (F.col("hit_label") == F.col("query_label")).alias("relevant"))
-    cases = queries.select(F.col("query_id").alias("case_id"), F.col("query_label").alias("category"), (F.floor(F.col("query_id") / every) % 5 != 0).alias("graded"))
+    cases = queries.select(F.col("query_id").alias("case_id"), F.col("query_label").alias("category"), (F.floor(F.col("query_id") / 20) % 5 != 0).alias("graded"))
     return hits, cases
 
 
@@ -102,41 +105,16 @@ def threshold_whatif(spark, d):
     return counted.groupBy("status", "by_vector", "by_both").agg(F.count("*").alias("requirements"))
 
 
-def _search_set(spark, d):
-    """The stated search set: every row whose id is divisible by 20."""
-    return _vectors(spark, d).filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("label").alias("query_label"))
-
-
-def search_topk(spark, d):
-    return V.vector_topk(_vectors(spark, d).select("vec_id", "vec"), _search_set(spark, d).drop("query_label"), K)
-
-
-def search_topk_same_label(spark, d):
-    rows, queries = _vectors(spark, d), _search_set(spark, d).withColumnRenamed("query_label", "label")
-    best = V.vector_topk(rows, queries, 1).select("query_id", F.col("cosine").alias("best"))
-    labelled = rows.groupBy("label").agg(F.count("*").alias("n"))
-    own = rows.groupBy(F.col("vec_id").alias("query_id"), "label").agg(F.count("*").alias("own"))
-    counted = own.join(labelled, "label").select("query_id", (F.col("n") - F.col("own")).alias("candidates"))
-    return best.join(counted, "query_id")
-
-
-def search_recall_mrr(spark, d):
-    hits, cases = _cases(spark, d, search_topk, _search_set, 20)
-    return E.case_metrics(hits, cases).select("case_id", "first_rank", "recall_at_1", "recall_at_3", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
-
-
-def search_recall_rollup(spark, d):
-    hits, cases = _cases(spark, d, search_topk, _search_set, 20)
-    return E.rolled_up(E.case_metrics(hits, cases), "category")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         lexical_topk, hybrid_topk, hybrid_topk_filtered, vector_topk, vector_topk_same_label, feature_hash_sparse, requirement_status, requirement_ids,
-        recall_mrr, recall_rollup, mode_compare, threshold_whatif, search_topk, search_topk_same_label, search_recall_mrr, search_recall_rollup,
+        recall_mrr, recall_rollup, mode_compare, threshold_whatif,
     )
 }
+#: Earlier names of the same queries.
+ALIASES = {"search_topk": "vector_topk", "search_topk_same_label": "vector_topk_same_label", "search_recall_mrr": "recall_mrr", "search_recall_rollup": "recall_rollup"}
+QUERIES |= {name: QUERIES[of] for name, of in ALIASES.items()}
 
 
 def _hybrid_sql(k: int, where: str = "TRUE", weight: float = 0.3) -> str:
@@ -179,7 +157,7 @@ def _hybrid_sql(k: int, where: str = "TRUE", weight: float = 0.3) -> str:
 
 _VECTORS = """
         v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings),
-        q AS (SELECT vec_id AS query_id, vec AS query, label AS query_label FROM v WHERE vec_id < 50),
+        q AS (SELECT vec_id AS query_id, vec AS query, label AS query_label FROM v WHERE vec_id % 20 = 0),
         hits AS (
             SELECT query_id, vec_id, round(list_cosine_similarity(query, vec), 6) AS cosine, label, query_label FROM q JOIN v ON vec_id <> query_id
         ),
@@ -187,10 +165,10 @@ _VECTORS = """
 _METRICS = """,
         firsts AS (SELECT query_id, min(rank) AS r FROM top WHERE label = query_label GROUP BY 1),
         m AS (
-            SELECT query_id AS case_id, query_label AS category, query_id % 5 <> 0 AS graded, CASE WHEN query_id % 5 <> 0 THEN r END AS first_rank,
-                   CASE WHEN query_id % 5 <> 0 THEN CAST(coalesce(r <= 1, FALSE) AS BIGINT) END AS recall_at_1,
-                   CASE WHEN query_id % 5 <> 0 THEN CAST(coalesce(r <= 3, FALSE) AS BIGINT) END AS recall_at_3,
-                   CASE WHEN query_id % 5 <> 0 THEN coalesce(1::DOUBLE / r, 0::DOUBLE) END AS rr
+            SELECT query_id AS case_id, query_label AS category, query_id // 20 % 5 <> 0 AS graded, CASE WHEN query_id // 20 % 5 <> 0 THEN r END AS first_rank,
+                   CASE WHEN query_id // 20 % 5 <> 0 THEN CAST(coalesce(r <= 1, FALSE) AS BIGINT) END AS recall_at_1,
+                   CASE WHEN query_id // 20 % 5 <> 0 THEN CAST(coalesce(r <= 3, FALSE) AS BIGINT) END AS recall_at_3,
+                   CASE WHEN query_id // 20 % 5 <> 0 THEN coalesce(1::DOUBLE / r, 0::DOUBLE) END AS rr
             FROM q LEFT JOIN firsts USING (query_id)
         )"""
 _STATUS = """,
@@ -238,8 +216,4 @@ ORACLE_SQL = {
                count(*) AS requirements
         FROM ranked JOIN graded USING (query_id) WHERE rank = 1 GROUP BY ALL""",
 }
-#: The same SQL over the stated search set; of that, every fifth case is not graded.
-ORACLE_SQL |= {
-    f"search_{name.removeprefix('vector_')}": ORACLE_SQL[name].replace("WHERE vec_id < 50", "WHERE vec_id % 20 = 0").replace("query_id % 5 <>", "query_id // 20 % 5 <>")
-    for name in ("vector_topk", "vector_topk_same_label", "recall_mrr", "recall_rollup")
-}
+ORACLE_SQL |= {name: ORACLE_SQL[of] for name, of in ALIASES.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import scores, text
 from evidentia.operators import matching as M
 from evidentia.operators import scorecard as C
+from evidentia.operators.retrieval import spread
 from evidentia.plans.common import fixture, percent_sql, scorecard_text_sql, table, tokens_sql, values
 from evidentia.streaming import sync
 
@@ -82,7 +83,7 @@ def any_logic_best_alternative(spark, d):
 
 
 def term_coverage(spark, d):
-    return C.term_coverage(table(spark, d, "documents"), "source", TERMS, "text")
+    return C.term_coverage(spread(table(spark, d, "documents").select("source", "text")), "source", TERMS, "text")
 
 
 def scorecard(spark, d):
