@@ -1,16 +1,17 @@
-"""SentencePiece encoding and decoding over a table of distinct chunks.
+"""SentencePiece encoding and decoding over tables of distinct chunks.
 
 Where no piece of the vocabulary holds a whitespace marker after another character, merges never cross into the next
 marker.  A text then falls into chunks, each a run of markers with the word behind it, and the ids of the text are the
-ids of its chunks one after another.
+ids of its chunks one after another, joined back by position with one vectorised gather.  There are two ways to the table:
 
-1. Tasks list their distinct chunks, Spark makes them distinct over all, and each is segmented once through the library: the
-   chunk table (chunk, ids), written to the shared folder.
-2. Ids are joined back by position.  A table of at most ``TABLE_ROWS`` chunks, ``TABLE_CHARS`` characters and as many ids is sent to all
-   tasks.  A larger one is joined: texts are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash, the distinct chunks
-   of a block are joined to the table, and each block meets its part of the table in one group.  Texts are moved once for
-   that, and one block is in memory at a time.
-   Within a task the ids of all positions are one vectorised gather.
+* ``tasks``: a task keeps a table of the distinct chunks it has met and segments each of them once through the library.  The
+  table is emptied at ``table_size`` entries or ``TABLE_CHARS`` characters: results do not depend on its size, and its memory is
+  bounded.  Nothing is shuffled, but a chunk is segmented once for each task and table.
+* ``table``: Spark makes the chunks distinct over all texts, each is segmented once overall, and the table (chunk, ids) is joined
+  back: texts are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash, the distinct chunks of a block are joined to the
+  table, and each block meets its part of the table in one group.  Texts are moved once, and one block is in memory at a time.
+
+The queries take the first way; the README has the figures of both.
 
 A vocabulary in which a piece does cross a marker, or whose normaliser rewrites text, is encoded text by text instead.
 
@@ -21,9 +22,10 @@ input, whatever their names, are neither read nor returned.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ from evidentia.llm import store
 
 MARK = "▁"
 RESULT = "ids array<int>, decoded string"
-#: What a chunk table holds at most to be sent to all tasks.
-TABLE_ROWS, TABLE_CHARS = 200_000, 8_000_000
-BLOCK_CHARS = 4_000_000
+#: Characters that a task's table holds at most before it is emptied: text without spaces has few, but long chunks.
+TABLE_CHARS = 16_000_000
+BLOCK_CHARS = 16_000_000
 #: Distinct chunks that a task remembers to have listed: beyond, it forgets them and may list some again.
 LISTED = 300_000
 
@@ -139,27 +141,49 @@ def segment(chunks: list[str], model_path: str) -> tuple[np.ndarray, np.ndarray]
 
 
 class ChunkTable:
-    """Chunks with the place of their ids in one flat array."""
+    """Distinct chunks, numbered as they are met, with the place of their ids in one flat array; emptied at a size, if it has one."""
+
+    def __init__(self, model_path: str, size: int | None = None):
+        self.model_path, self.size = model_path, size
+        self.clear()
 
-    def __init__(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray):
-        self.index = {chunk: i for i, chunk in enumerate(chunks)}
-        self.flat, self.lengths, self.starts = ids, lengths, np.cumsum(lengths) - lengths
+    def clear(self) -> None:
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)
+        self.flat = np.empty(0, np.int32)
+        self.starts = self.lengths = np.empty(0, np.int64)
+        self.chars = 0
+
+    def add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the newest chunks."""
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, ids])
+        self.chars += sum(map(len, chunks))
 
     @classmethod
-    def of(cls, table: pa.Table) -> ChunkTable:
-        """From the columns chunk and ids."""
-        ids = table["ids"].combine_chunks()
-        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-        return cls(table["chunk"].to_pylist(), ids.flatten().to_numpy(), sizes)
+    def of(cls, table: pa.Table, model_path: str) -> ChunkTable:
+        """From the columns chunk and ids, without repeats."""
+        out, ids, chunks = cls(model_path), table["ids"].combine_chunks(), table["chunk"].to_pylist()
+        for chunk in chunks:
+            out.index[chunk]
+        out.add(chunks, ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.int64))
+        return out
 
     def ids(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, number of ids of each), given each one's chunks."""
-        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(documents)), np.int64)
+        known, at = len(self.index), self.index.__getitem__
+        codes = np.fromiter(chain.from_iterable(map(at, chunks) for chunks in documents), np.int64)
+        if len(self.index) > known:
+            new = list(islice(self.index, known, None))
+            self.add(new, *segment(new, self.model_path))
         lengths = self.lengths[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         stops = np.cumsum([len(chunks) for chunks in documents]).astype(np.int64)
         counts = np.diff(np.concatenate([[0], ends[stops]]))
-        return self.flat[ragged(self.starts[codes], lengths)].astype(np.int32), counts
+        got = self.flat[ragged(self.starts[codes], lengths)].astype(np.int32)
+        if self.size is not None and (len(self.index) > self.size or self.chars > TABLE_CHARS):
+            self.clear()
+        return got, counts
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, model_path: str) -> list[str]:
@@ -241,15 +265,14 @@ def chunk_table(df: DataFrame, model_path: str, text_col: str = "text") -> DataF
     return distinct_chunks(df, text_col).select("chunk", segmented("chunk").alias("ids"))
 
 
-def codec(model_path: str, table: ChunkTable | None, spark: SparkSession) -> Callable[[Column], Column]:
-    """A column function text -> struct<ids, decoded>, equal to the library's encode and decode of the whole text.
-
-    With a chunk table, which must hold all chunks of the texts, by look-up; without one, text by text."""
-    shared = spark.sparkContext.broadcast(table)
+def codec(model_path: str, table_size: int = 400_000) -> Callable[[Column], Column]:
+    """A column function text -> struct<ids, decoded>, equal to the library's encode and decode of the whole text."""
 
     @F.arrow_udf(RESULT)
-    def encode(texts: pa.Array) -> pa.Array:
-        return encode_texts(texts, shared.value, model_path)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = ChunkTable(model_path, table_size) if chunks_are_independent(model_path) else None
+        for texts in batches:
+            yield encode_texts(texts, table, model_path)
 
     return encode
 
@@ -258,11 +281,11 @@ def joined_by_blocks(rows: DataFrame, chunks: DataFrame, model_path: str, chars:
     """Rows (_id, _t) with ids and decoded, from a chunk table of any size."""
     spark = rows.sparkSession
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     dealt = rows.select("_id", "_t", F.pmod(F.xxhash64("_id", "_t"), F.lit(blocks)).cast("int").alias("block")).repartition(parts, "block")
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        seen: dict[int, set[str]] = {}  # all of the blocks of this task: a block must not list a chunk twice
         for batch in batches:
             new: dict[int, set[str]] = {}
             for block, value in zip(batch.column("block").to_pylist(), batch.column("_t"), strict=True):
@@ -271,13 +294,11 @@ def joined_by_blocks(rows: DataFrame, chunks: DataFrame, model_path: str, chars:
                     new.setdefault(block, set()).update(split_chunks(text))
             for block, own in new.items():
                 own -= seen.setdefault(block, set())
-                if sum(map(len, seen.values())) > LISTED:
-                    seen = {block: set()}
                 seen[block] |= own
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.string())], names=["block", "chunk"])
 
     def join(texts: pa.Table, own: pa.Table) -> pa.Table:
-        table = ChunkTable.of(own)
+        table = ChunkTable.of(own, model_path)
         coded = [encode_texts(part, table, model_path) for part in texts["_t"].chunks] or [encode_texts(pa.array([], pa.string()), table, model_path)]
         coded = pa.concat_arrays(coded)
         return pa.table([texts["_id"], coded.field("ids"), coded.field("decoded")], names=["_id", "ids", "decoded"])
@@ -288,17 +309,12 @@ def joined_by_blocks(rows: DataFrame, chunks: DataFrame, model_path: str, chars:
     return dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(join, f"_id {kind}, {RESULT}")
 
 
-def encode_documents(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, decoded) of every row."""
-    spark = df.sparkSession
-    store.bound_batches(spark)
+def encode_documents(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", way: str = "tasks") -> DataFrame:
+    """(id, ids, decoded) of every row, by the way ``tasks`` or ``table``; ``id_col`` may be a struct."""
+    store.bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    if not chunks_are_independent(model_path):
-        return rows.select(F.col("_id").alias(id_col), codec(model_path, None, spark)("_t").alias("_r")).select(id_col, "_r.*")
+    if way == "tasks" or not chunks_are_independent(model_path):
+        return rows.select(F.col("_id").alias(id_col), codec(model_path)("_t").alias("_r")).select(id_col, "_r.*")
     chunks = store.table(chunk_table(rows, model_path, "_t"), "chunks")
-    size = chunks.agg(F.count("*").alias("rows"), F.sum(F.length("chunk")).alias("chars"), F.sum(F.size("ids")).alias("ids")).first()
-    if size["rows"] <= TABLE_ROWS and max(size["chars"] or 0, size["ids"] or 0) <= TABLE_CHARS:
-        table = ChunkTable.of(chunks.toArrow())
-        return rows.select(F.col("_id").alias(id_col), codec(model_path, table, spark)("_t").alias("_r")).select(id_col, "_r.*")
     chars = rows.agg(F.sum(F.length("_t"))).first()[0] or 0
     return joined_by_blocks(rows, chunks, model_path, chars).withColumnRenamed("_id", id_col)
