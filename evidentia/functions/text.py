@@ -6,10 +6,12 @@ which one is used.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Replaced in this order, anywhere in the text, before it is cut into tokens.
 RETRIEVAL_REPLACEMENTS = (
@@ -84,11 +86,8 @@ def contains_word(text: Column, word: str) -> Column:
 
 
 def contains_phrase(tokens: Column, phrase: list[str]) -> Column:
-    """True where the tokens hold the phrase's tokens one after another."""
-    width = len(phrase)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - width + 1, F.lit(1)))
-    wanted = F.array(*map(F.lit, phrase))
-    return F.exists(starts, lambda i: F.slice(tokens, i, F.lit(width)) == wanted)
+    """True where the tokens hold the phrase's tokens one after another; tokens hold no blanks, so a search in the joined ones is exact."""
+    return F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
 
 def signal_tokens(tokens: Column) -> Column:
@@ -126,3 +125,26 @@ REDACTIONS = (
 def redact(text: Column) -> Column:
     """Secrets in a text replaced; the last pattern only finds what the one before it leaves."""
     return reduce(lambda c, p: F.regexp_replace(c, F.lit(p[0]), F.lit(p[1])), REDACTIONS, text)
+
+
+#: Fixed value: keys whose values are secret, whatever they hold.
+SECRET_KEY = r"(?i)(?:api[_-]?key|access[_-]?token|auth(?:orization)?|secret|password|credential|database[_-]?url)"
+
+
+def redact_nested(value: Column, kind: T.DataType) -> Column:
+    """A value of any nesting with secret texts redacted; what stands under a secret key is replaced as a whole (null where it is no
+    text)."""
+    if isinstance(kind, T.StringType):
+        return redact(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, x: F.when(k.rlike(SECRET_KEY), hidden(kind.valueType)).otherwise(redact_nested(x, kind.valueType)))
+    if isinstance(kind, T.StructType):
+        named = [(hidden(f.dataType) if re.search(SECRET_KEY, f.name) else redact_nested(value[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*named))
+    return value
+
+
+def hidden(kind: T.DataType) -> Column:
+    return F.lit("[REDACTED]") if isinstance(kind, T.StringType) else F.lit(None).cast(kind)

@@ -151,3 +151,84 @@ def first_available(candidates: DataFrame, key: str) -> DataFrame:
         F.min_by(F.when(F.col("available"), F.col("candidate")), F.when(F.col("available"), F.col("position"))).alias("candidate"),
         (F.min(F.when(F.col("available"), F.col("position"))) > F.min("position")).alias("fallback"),
     )
+
+
+#: Words that mark a posting as one that other experience helps, and employers or titles that are such.
+USEFUL_TERMS = ("communication", "teaching", "training", "mentor", "education", "management", "client", "customer", "operations", "leadership")
+OTHER_EXPERIENCE = ("tutor", "tutoring", "learning")
+#: Words too general for two descriptions to have in common.
+GENERIC_WORDS = ("experience", "strong", "required", "preferred", "working", "systems")
+#: Themes of a title, the words of a project that fit them, and the points for that.
+THEMES = {
+    "ai": ("ai", "machine learning", "llm", "agent", "automation", "workflow"), "automation": ("automation", "workflow", "webhook", "playwright"),
+    "backend": ("api", "fastapi", "postgresql", "backend"), "mlops": ("mlops", "docker", "cloud", "vertex", "sagemaker"),
+}
+THEME_POINTS, SYSTEM_POINTS, AGENT_POINTS, OFF_TOPIC_POINTS = 12, 6, 24, -20
+
+
+def any_term(body: Column, terms) -> Column:
+    return term_hits(body, terms) > 0
+
+
+def context_overlap(context: Column, body: Column) -> Column:
+    """Two points for each word of five letters or more that two normalised texts share, at most 24."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) >= 5) & ~w.isin(*GENERIC_WORDS)))
+    return F.least(F.lit(24), 2 * F.size(F.array_intersect(words(context), words(body))))
+
+
+def title_points(title: Column, body: Column) -> Column:
+    """Five points for each word of three letters or more that a normalised title and text share."""
+    return 5 * F.size(F.array_intersect(F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) >= 3)), F.split(body, " ")))
+
+
+def theme_points(title: Column, context: Column, body: Column) -> Column:
+    """Points for themes that a normalised title and project share, and for projects off the posting's topic."""
+    points = sum((F.when(F.contains(title, F.lit(t)) & any_term(body, terms), THEME_POINTS).otherwise(0) for t, terms in THEMES.items()), F.lit(0))
+    points = points + F.when(F.contains(title, F.lit("engineer")) & any_term(body, ("system", "backend", "workflow", "platform")), SYSTEM_POINTS).otherwise(0)
+    points = points + F.when(F.contains(body, F.lit("agent")) & any_term(context, ("ai", "llm", "workflow", "automation")), AGENT_POINTS).otherwise(0)
+    off = any_term(body, ("ocr", "legal", "document")) & ~any_term(context, ("ocr", "legal", "document", "extraction"))
+    return points + F.when(off, OFF_TOPIC_POINTS).otherwise(0)
+
+
+def project_scores(projects: DataFrame, postings: DataFrame) -> DataFrame:
+    """(posting_id, project_id, title, score, matched_terms) of each posting's projects, from (posting_id, project_id, title, body) and (posting_id,
+    title, context, terms array<struct<term, weight>>).
+
+    Bodies, titles and contexts are normalised once.  Of terms with one normalised form the first counts, with its weight."""
+    norm = text.project_text
+    asked = postings.select("posting_id", norm(F.col("title")).alias("_title"), norm(F.col("context")).alias("_context"), F.transform("terms", lambda t: F.struct(norm(t["term"]).alias("k"), t["term"].alias("term"), t["weight"].alias("weight"))).alias("_terms"))
+    keys = F.transform("_terms", lambda t: t["k"])
+    asked = asked.withColumn("_terms", F.filter("_terms", lambda t, i: (t["k"] != "") & (F.array_position(keys, t["k"]) == i + 1)))
+    rows = projects.select("posting_id", "project_id", "title", norm(F.col("body")).alias("_body")).join(asked, "posting_id")
+    rows = rows.withColumn("_hits", F.filter("_terms", lambda t: F.contains(F.col("_body"), t["k"])))
+    weight = F.aggregate("_hits", F.lit(0), lambda s, t: s + t["weight"].cast("int"))
+    score = weight + title_points(F.col("_title"), F.col("_body")) + context_overlap(F.col("_context"), F.col("_body")) + theme_points(F.col("_title"), F.col("_context"), F.col("_body"))
+    return rows.select("posting_id", "project_id", "title", score.cast("bigint").alias("score"), F.transform("_hits", lambda t: t["term"]).alias("matched_terms"))
+
+
+def selection_review(scored: DataFrame, drafted: DataFrame) -> DataFrame:
+    """Projects that a draft leaves out: those whose title, in any case, it does not have, best first within a posting."""
+    out = scored.withColumn("_t", text.casefold(F.col("title"))).join(drafted.select("posting_id", text.casefold(F.col("title")).alias("_t")).distinct(), ["posting_id", "_t"], "left_anti").drop("_t")
+    order = Window.partitionBy("posting_id").orderBy(F.desc("score"), F.lower("title"), "project_id")
+    return out.withColumn("position", F.row_number().over(order).cast("bigint"))
+
+
+def specific_link(value: Column, generic: Column) -> Column:
+    """A link, unless it is empty or one of the generic ones, in any case and with or without a last slash."""
+    bare = lambda c: F.lower(F.rtrim(c, F.lit("/")))
+    return F.when((value != "") & ~F.exists(generic, lambda g: bare(F.coalesce(g, F.lit(""))) == bare(value)), value)
+
+
+def early_career_role(role_name: Column) -> Column:
+    """A role without its senior prefix, marked as early-career unless it says so itself."""
+    clean = F.replace(F.replace(role_name, F.lit("Senior "), F.lit("")), F.lit("Lead "), F.lit(""))
+    return F.when(F.contains(F.lower(clean), F.lit("early")), clean).otherwise(F.concat(F.lit("Early-career "), clean))
+
+
+def other_experience(job_title: Column, company: Column) -> Column:
+    return any_term(F.lower(F.concat_ws(" ", job_title, company)), OTHER_EXPERIENCE)
+
+
+def includes_other_experience(selected: Column, limit: int, posting: Column, has_other: Column) -> Column:
+    """Other experience is told where fewer projects than the limit were chosen, the posting asks for people skills and there is any."""
+    return (selected < limit) & any_term(posting, USEFUL_TERMS) & has_other

@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-LOGIN_MARKERS = ("sign in", "log in", "join now", "create account", "forgot password")
-BLOCK_MARKERS = ("captcha", "access denied", "verify you are human", "unusual traffic")
+#: What login walls and blocked pages say, paths that lead to them, and lines that only navigate.
+LOGIN_MARKERS = ("sign in with apple", "email or phone", "forgot password", "keep me logged in", "new to linkedin", "join linkedin")
+LOGIN_TITLE = "linkedin login"
+LOGIN_PATHS = ("/authwall", "/checkpoint/", "/login", "/uas/login")
+BLOCK_MARKERS = (
+    "captcha", "verify you are human", "access denied", "unusual traffic", "sign in to continue", "log in to continue", "login required", "authentication required",
+)
+NOISE_LINES = ("about", "accessibility", "careers", "cookies", "help", "home", "jobs", "privacy", "sign in", "terms")
 
 
 def visible_text(html: Column) -> Column:
@@ -28,7 +34,7 @@ def title(html: Column) -> Column:
 
 def title_parts(page_title: Column) -> Column:
     """The parts of a page title around " - ", " | " or " at "."""
-    return F.split(page_title, r" - | \| | at ")
+    return F.split(page_title, r"\s+(?:[-|]|at)\s+")
 
 
 def host(url: Column) -> Column:
@@ -39,11 +45,61 @@ def query_value(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
 
 
-def page_gate(body: Column, page_title: Column) -> Column:
-    """True if a page can be read as a posting: not blocked, and no wall of login words."""
-    low = F.lower(F.concat_ws(" ", page_title, body))
-    count = lambda words: reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in words))
-    return (count(BLOCK_MARKERS) == 0) & (count(LOGIN_MARKERS) < 2)
+#: Hosts of known platforms.
+PLATFORMS = (("linkedin.com", "linkedin"), ("indeed.com", "indeed"), ("glassdoor.com", "glassdoor"), ("greenhouse.io", "company_site"), ("lever.co", "company_site"))
+#: Employment types and workplaces by what a page says, the first that it says counts.
+EMPLOYMENT = (("full-time", "full_time"), ("full time", "full_time"), ("part-time", "part_time"), ("part time", "part_time"), ("contract", "contract"), ("internship", "internship"), ("freelance", "freelance"))
+WORKPLACE = (("hybrid", "hybrid"), ("remote", "remote"), ("on-site", "onsite"), ("onsite", "onsite"))
+
+
+def platform(url: Column) -> Column:
+    """The platform of a URL by its host or a parent domain of it."""
+    name, out = host(url), F.lit("unknown")
+    for domain, value in reversed(PLATFORMS):
+        out = F.when((name == domain) | name.endswith(f".{domain}"), value).otherwise(out)
+    return out
+
+
+def first_said(body: Column, pairs) -> Column:
+    low, out = F.lower(body), F.lit(None).cast("string")
+    for label, value in reversed(pairs):
+        out = F.when(F.contains(low, F.lit(label)), value).otherwise(out)
+    return out
+
+
+def without_noise(body: Column, noise=NOISE_LINES) -> Column:
+    """Lines with blanks squeezed, without navigation words, each once in any case, in order."""
+    lines = F.filter(F.transform(F.split(body, r"\r\n|\r|\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "))), lambda x: (x != "") & ~F.lower(x).isin(*noise))
+    # lines and their keys are the variable of a lambda, so that they are made once and not once for each line
+    both = F.array(F.struct(lines.alias("lines"), F.transform(lines, F.lower).alias("keys")))
+    return F.flatten(F.transform(both, lambda s: F.filter(s["lines"], lambda x, i: F.array_position(s["keys"], F.lower(x)) == i + 1)))
+
+
+def fields(lines: Column, page_title: Column) -> dict[str, Column]:
+    """Title, company and location of a posting, from the page's title and the lines around it.
+
+    The title is the first part of the page's title, else the first line of at most 250 characters; the company the second part,
+    unless it names a platform, else the line behind the title, else the second line; the location the first of the four
+    lines behind title and company that is at most 120 characters and no sentence."""
+    parts = F.filter(F.transform(title_parts(F.coalesce(page_title, F.lit(""))), lambda p: F.btrim(p)), lambda p: (p != "") & ~F.lower(p).startswith("job search"))
+    name = F.coalesce(F.get(parts, F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) <= 250), F.lit(0)))
+    second = F.get(parts, F.lit(1))
+    at = F.array_position(lines, F.coalesce(name, F.lit("")))
+    behind = F.when(at > 0, F.get(lines, at.cast("int")))
+    company = F.coalesce(F.when(~F.lower(second).isin("linkedin", "indeed", "glassdoor"), second), behind, F.get(lines, F.lit(1)))
+    start = F.greatest(at, F.array_position(lines, F.coalesce(company, F.lit("")))).cast("int")
+    near = F.slice(lines, start + 1, F.lit(4))
+    location = F.get(F.filter(near, lambda x: (F.length(x) <= 120) & ~x.rlike(r"[.!?]$")), F.lit(0))
+    return {"title": name, "company": company, "location": location}
+
+
+def page_gate(body: Column, page_title: Column, final_url: Column) -> Column:
+    """What keeps a page from being read as a posting: "login" by two markers, the title or the path, "blocked", or null for nothing."""
+    low = F.lower(F.coalesce(body, F.lit("")))
+    count = lambda c, words: reduce(lambda a, b: a + b, (F.contains(c, F.lit(w)).cast("int") for w in words))
+    path = F.lower(F.coalesce(F.try_parse_url(final_url, F.lit("PATH")), F.lit("")))
+    login = (count(low, LOGIN_MARKERS) >= 2) | F.contains(F.lower(F.coalesce(page_title, F.lit(""))), F.lit(LOGIN_TITLE)) | (count(path, LOGIN_PATHS) > 0)
+    return F.when(login, "login").when(count(low, BLOCK_MARKERS) > 0, "blocked")
 
 
 def confidence(has_title: Column, has_company: Column, has_location: Column, description: Column, by_selector: Column) -> Column:

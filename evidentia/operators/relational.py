@@ -88,3 +88,36 @@ def aggregate_root(root: DataFrame, key: str, children: dict[str, DataFrame]) ->
         grouped = child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
         root = root.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
     return root
+
+
+def owned_aggregate(root: DataFrame, key: str, owner: str, value, children: dict[str, DataFrame]) -> DataFrame:
+    """``aggregate_root`` for the rows of one owner: others are filtered before children are grouped."""
+    own = root.filter(F.col(owner) == value)
+    keys = own.select(key).distinct()
+    return aggregate_root(own, key, {name: child.join(keys, key, "left_semi") for name, child in children.items()})
+
+
+def update_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(the rows after an update, one row with the number of rows it touched)."""
+    hit = F.coalesce(condition, F.lit(False))
+    after = df.withColumns({name: F.when(hit, value).otherwise(F.col(name)) for name, value in values.items()})
+    return after, df.agg(F.count_if(hit).alias("updated"))
+
+
+def delete_cascade(tables: dict[str, DataFrame], key: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables without rows of the doomed keys, (position, table, deleted) in the given order: children before parents)."""
+    keys = doomed.select(key).distinct()
+    left = {name: df.join(keys, key, "left_anti") for name, df in tables.items()}
+    counts = [df.join(keys, key, "left_semi").agg(F.lit(i).alias("position"), F.lit(name).alias("table"), F.count("*").alias("deleted")) for i, (name, df) in enumerate(tables.items())]
+    return left, reduce(DataFrame.unionByName, counts)
+
+
+def is_subset(part: Column, whole: Column) -> Column:
+    return F.size(F.array_except(part, whole)) == 0
+
+
+def by_title(rows: DataFrame, decisions: DataFrame, title: str = "title") -> DataFrame:
+    """Rows with the decision on their title in any case; those called unsupported are dropped, those without one stay."""
+    ruled = decisions.select(F.lower(title).alias("_t"), *[c for c in decisions.columns if c != title])
+    joined = rows.withColumn("_t", F.lower(title)).join(ruled, "_t", "left").drop("_t")
+    return joined.filter(F.coalesce(F.col("decision") != "unsupported", F.lit(True)))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from evidentia.plans import postings, profiles, relational, retrieval, scoring
+from evidentia.plans import analysis, postings, profiles, relational, retrieval, scoring
 
-QUERIES = {**relational.QUERIES, **retrieval.QUERIES, **postings.QUERIES, **scoring.QUERIES, **profiles.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **retrieval.ORACLE_SQL, **postings.ORACLE_SQL, **scoring.ORACLE_SQL, **profiles.ORACLE_SQL}
+PARTS = (relational, retrieval, postings, scoring, profiles, analysis)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -243,3 +243,29 @@ ORACLE_SQL = {
     "page_url": r"""
         SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_no FROM pages""",
 }
+
+
+def _redact_sql(value: str) -> str:
+    for pattern, kept in text.REDACTIONS:
+        value = f"regexp_replace({value}, '{pattern.replace(chr(39), chr(39) * 2)}', '{kept.replace('$1', chr(92) + '1')}', 'g')"
+    return value
+
+
+def _entities_sql(value: str) -> str:
+    for entity, letter in P.ENTITIES:
+        value = f"replace({value}, '{entity}', '{letter.replace(chr(39), chr(39) * 2)}')"
+    return value
+
+
+#: Without look-behind and back-references: a sentence end is marked, and each element that is dropped has its own pattern.
+_DROPPED = "|".join(f"<{n}\\b.*?</{n}\\s*>" for n in ("script", "style", "head")) + "|<!--.*?-->"
+ORACLE_SQL |= {
+    "redact": f"SELECT id, {_redact_sql('body')} AS redacted FROM {values(REDACT, 'v', 'id, body')}",
+    "sentence_split": r"""
+        SELECT conv_id, turn, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS BIGINT) AS n_sentences FROM conversations""",
+    "page_text": rf"""
+        WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '{_DROPPED}', ' ', 'gis'), '<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>', chr(10), 'gi') AS x FROM pages),
+        c AS (SELECT page_id, html, {_entities_sql("regexp_replace(x, '<[^>]*>', ' ', 'g')")} AS y FROM b),
+        t AS (SELECT page_id, y, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS t FROM c)
+        SELECT page_id, sha256(trim(regexp_replace(regexp_replace(y, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10))) AS digest, CASE WHEN t <> '' THEN trim({_entities_sql("t")}) END AS title FROM t""",
+}

@@ -62,3 +62,13 @@ def write_markdown(df: DataFrame, path: str) -> None:
     section = lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n"), F.array_join(F.transform(s["bullets"], lambda b: F.concat(F.lit("- "), b)), "\n"))
     body = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), F.array_join(F.transform("sections", section), "\n\n"))
     df.select(body.alias("value")).write.text(path, lineSep="\n\n")
+
+
+def write_report(results: DataFrame, path: str, columns: list[str], title: str) -> None:
+    """An evaluation's results as JSON rows under ``path``/json and, for the few columns of its summary, as a Markdown table under ``path``/markdown."""
+    results.write.mode("overwrite").json(f"{path}/json")
+    cells = lambda row: F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in row)), " | "), F.lit(" |"))
+    head = [f"# {title}", "", f"| {' | '.join(columns)} |", f"|{'|'.join('-' for _ in columns)}|"]
+    lines = results.sparkSession.createDataFrame([(0, i, line) for i, line in enumerate(head)], "part int, i bigint, value string")
+    rows = results.select(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("i"), cells([F.col(c) for c in columns]).alias("value"))
+    lines.unionByName(rows).orderBy("part", "i", "value").select("value").write.mode("overwrite").text(f"{path}/markdown")
