@@ -87,8 +87,11 @@ def structured(analyses: DataFrame, key: str = "analysis_id") -> DataFrame:
 
 
 def rule_mask(tokens: Column, rules: dict) -> Column:
-    """A bit for each rule of which the tokens hold an alias."""
-    return sum((F.when(matching.names_rule(tokens, a), 1 << i).otherwise(0) for i, a in enumerate(rules.values())), F.lit(0))
+    """A bit for each rule of which the tokens hold an alias as a phrase; the tokens are joined once, as the variable of a lambda."""
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    holds = lambda s, aliases: reduce(lambda a, b: a | b, (F.contains(s, F.lit(f" {a} ")) for a in aliases))
+    bits = F.transform(F.array(joined), lambda s: sum((F.when(holds(s, a), 1 << i).otherwise(0) for i, a in enumerate(rules.values())), F.lit(0)))
+    return F.get(bits, F.lit(0))
 
 
 def named_evidence(evidence: DataFrame, rules: dict) -> DataFrame:
