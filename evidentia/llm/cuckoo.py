@@ -15,6 +15,8 @@ The index is a table with one row for each shard of the digest space.  A shard h
 Rows reach the index as (digest, salt) groups that were aggregated before the shuffle, so a text with billions of copies
 arrives as ``groups.SALTS`` entries, and a shard sees each of its digests that often at most.  Only digests are moved, never
 texts.  The number of shards follows the number of entries (``shards_for``), so a shard always fits in one task.
+
+Very long texts are digested whole, in the engine.  Extra columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

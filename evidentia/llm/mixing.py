@@ -7,6 +7,10 @@ rows is worked on by as many tasks as there are ranges.  A source's budget is cu
 whose prefix lies below the rest, of which the last is cut at the word.
 
 The tables over sources (one row each) are small by the number of sources and never leave Spark.
+
+Null texts have no words and null sources are one source; very long texts are counted whole, and cut at a word like others.
+Rows that tie in their key follow one another by id and size; rows that repeat are each a document of the mix.  An empty
+table gives no rows.  Extra columns, whatever their names, are not read (``take`` returns them as they are).
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@
 
 Null texts count as empty and get the score of the empty vector.  Rows of ``labels`` with a null id or label teach nothing;
 several labels of one document all count.  Without any label to learn from every score is 1: nothing speaks against a text.
+Very long texts are measured whole.  Rows that repeat are scored, and where labelled teach, each for itself; equal statistics
+get equal scores.  An empty table gives no rows.  Extra columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

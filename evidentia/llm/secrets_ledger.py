@@ -8,7 +8,10 @@ table of (blob, rules, spans): which blob was scanned under which version of the
 3. scans what is left, once for each blob, and adds it to the ledger;
 4. joins findings back to all paths of a blob, salted, so that a blob with a third of all paths is no hot key.
 
-Null texts are the empty blob.  Positions are code points, ends exclusive.
+Null texts are the empty blob.  Very long texts are scanned whole, and runs in them once.  Positions are code points, ends
+exclusive; of findings that start together kinds are listed in the order of ``RULES``.  Rows that repeat, share an id or have
+none get the findings of their text each.  An empty table gives no rows and a ledger that is as it was.  Extra columns of the
+input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
