@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; ``run`` writes each result to the
-shared folder and reads it again for the next one.  All stages but the last return the columns of ``documents``.
+shared folder and reads it again for the next one.  All stages but the last return the columns of ``documents``, and extra
+columns, whatever their names, if the table has them.
+
+Odd rows, stage by stage.  Quality: null and empty texts are scored as empty, very long ones whole, rows that repeat alike.  Exact
+dedup: null counts as empty; of rows that repeat id and text one stays; a row without an id stays only where none of its equals
+has one.  Near-dedup: texts without words are linked with nothing; rows without an id stay.  Mixing: texts without words stay once.
+SentencePiece: null is encoded as the empty text.  An empty table passes all stages as an empty one.
 """
 
 from __future__ import annotations
