@@ -30,6 +30,7 @@ PROJECT_REPLACEMENTS = (("apis", "api"), ("workflows", "workflow"), ("technologi
 TOKEN_ALIASES = {"github": "git", "langchain": "llm", "langgraph": "llm", "openai": "llm", "rag": "llm"}
 #: Tokens that say nothing about a requirement.
 STOP_WORDS = ("a", "an", "and", "as", "at", "be", "build", "for", "from", "in", "of", "on", "or", "the", "to", "using", "with", "work")
+#: What marks a line of a list.
 BULLET = r"^\s*(?:[-*]|•|\d+[.)])\s*"
 BULLET_LINE = r"^\s*(?:[-*]|•|\d+[.)])\s+"
 

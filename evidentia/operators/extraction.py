@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text
 from evidentia.operators import catalogs
 
+#: Fixed value: how a posting states years of experience.
 EXPERIENCE = r"(?i)\b(\d{1,2})\s*(?:-\s*(\d{1,2})|(\+))?\s*(?:years?|yrs?)(?:\s+of)?\s+experience\b"
 EDUCATION_WORDS = ("degree", "bachelor", "master")
 

@@ -14,6 +14,7 @@ EXPLICIT_RULES = {
     "CI/CD": ("ci cd", "continuous integration", "continuous delivery", "continuous deployment"),
 }
 STATUS_RANK = {"not_applicable": -1, "not_evidenced": 0, "partially_matched": 1, "matched": 2}
+#: How a requirement states years.
 YEARS_BETWEEN = r"(?i)\b(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)\s*years?\b"
 YEARS_AT_LEAST = r"(?i)\b(\d+(?:\.\d+)?)\s*\+?\s*years?\b"
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Contact data and date ranges of a résumé.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 URL = r"(?i)https?://[^\s|]+"
 PHONE = r"\+?\d[\d ()-]{7,}\d"

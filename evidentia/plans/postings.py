@@ -30,51 +30,66 @@ def _postings(spark):
     return fixture(spark, POSTINGS, SCHEMA)
 
 
+def _given(spark, rows):
+    return _postings(spark) if rows is None else rows
+
+
+def _part_postings(spark, d):
+    """Postings (job_id, title, body) made of the columns of each part, with headings, bullets, alternatives and years."""
+    low = F.lower("p_type")
+    title = F.concat(F.element_at(F.array(*map(F.lit, ("Sr. ", "Jr ", "", "Lead "))), (F.col("p_size") % 4 + 1).cast("int")), "p_name", F.when(F.col("p_size") % 3 == 0, " (Remote)").otherwise(""))
+    body = F.concat(
+        F.lit("About "), "p_brand", F.lit(".\nRequirements:\n- Python or SQL with "), low, F.lit(", "), F.col("p_size").cast("string"), F.lit("+ years of experience\n* Docker. "), "p_name",
+        F.when(F.col("p_size") % 2 == 0, F.lit("\nPreferred qualifications:\n1. Bachelor degree in computer science or related field\n")).otherwise("\n\n"), F.lit("Communication is a plus"),
+    )
+    return table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), title.alias("title"), body.alias("body"))
+
+
 def _text(items):
     return F.array_join(items, "|")
 
 
-def section_carry_forward(spark, d):
-    return X.lines(_postings(spark), "job_id", "body").select("job_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "section")
+def section_carry_forward(spark, d, rows=None):
+    return X.lines(_given(spark, rows), "job_id", "body").select("job_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "section")
 
 
-def prioritized_contexts(spark, d):
-    return X.contexts(_postings(spark), "job_id", "body").select("job_id", F.col("line_no").cast("bigint").alias("line_no"), "context", "priority")
+def prioritized_contexts(spark, d, rows=None):
+    return X.contexts(_given(spark, rows), "job_id", "body").select("job_id", F.col("line_no").cast("bigint").alias("line_no"), "context", "priority")
 
 
-def dictionary_tags(spark, d):
+def dictionary_tags(spark, d, rows=None):
     body = F.concat_ws(" ", "title", "body")
-    return _postings(spark).select(
+    return _given(spark, rows).select(
         "job_id", _text(X.tags(body, catalogs.TECHNOLOGIES)).alias("technologies"), _text(X.tags(body, catalogs.SKILLS)).alias("skills"),
         _text(X.tags(body, catalogs.SOFT_SKILLS)).alias("soft_skills"), _text(X.tags(body, catalogs.DOMAINS)).alias("domains"),
     )
 
 
-def required_preferred_split(spark, d):
-    rows = X.contexts(_postings(spark), "job_id", "body")
-    return X.classified(rows, "job_id", catalogs.TECHNOLOGIES).unionByName(X.classified(rows, "job_id", catalogs.SKILLS))
+def required_preferred_split(spark, d, rows=None):
+    found = X.contexts(_given(spark, rows), "job_id", "body")
+    return X.classified(found, "job_id", catalogs.TECHNOLOGIES).unionByName(X.classified(found, "job_id", catalogs.SKILLS))
 
 
-def or_groups(spark, d):
-    return X.or_groups(X.contexts(_postings(spark), "job_id", "body"), "job_id").select("job_id", "priority", "kind", _text("alternatives").alias("alternatives"))
+def or_groups(spark, d, rows=None):
+    return X.or_groups(X.contexts(_given(spark, rows), "job_id", "body"), "job_id").select("job_id", "priority", "kind", _text("alternatives").alias("alternatives"))
 
 
-def canonical_bullets(spark, d):
-    rows = X.bullets(_postings(spark), "job_id", "body")
+def canonical_bullets(spark, d, rows=None):
+    rows = X.bullets(_given(spark, rows), "job_id", "body")
     return rows.select("job_id", F.col("line_no").cast("bigint").alias("line_no"), "requirement", "kind", "priority", "logic", _text("alternatives").alias("alternatives"))
 
 
-def normalized_title(spark, d):
-    return _postings(spark).select("job_id", text.job_title(F.col("title")).alias("normalized_title"))
+def normalized_title(spark, d, rows=None):
+    return _given(spark, rows).select("job_id", text.job_title(F.col("title")).alias("normalized_title"))
 
 
-def experience_bounds(spark, d):
+def experience_bounds(spark, d, rows=None):
     least, most = X.experience_bounds(F.col("body"))
-    return _postings(spark).select("job_id", least.alias("least"), most.alias("most"))
+    return _given(spark, rows).select("job_id", least.alias("least"), most.alias("most"))
 
 
-def posting_profile(spark, d):
-    rows = _postings(spark).withColumn("t", text.job_title(F.col("title")))
+def posting_profile(spark, d, rows=None):
+    rows = _given(spark, rows).withColumn("t", text.job_title(F.col("title")))
     least, _ = X.experience_bounds(F.col("body"))
     rows = rows.withColumn("least", least)
     place = X.workplace(F.concat_ws(" ", "title", "body"))
@@ -269,3 +284,17 @@ ORACLE_SQL |= {
         t AS (SELECT page_id, y, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS t FROM c)
         SELECT page_id, sha256(trim(regexp_replace(regexp_replace(y, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10))) AS digest, CASE WHEN t <> '' THEN trim({_entities_sql("t")}) END AS title FROM t""",
 }
+
+#: The same queries over a posting for each part.
+_PARTS_SQL = r"""(SELECT p_partkey AS job_id, ['Sr. ', 'Jr ', '', 'Lead '][CAST(p_size % 4 + 1 AS INT)] || p_name || CASE WHEN p_size % 3 = 0 THEN ' (Remote)' ELSE '' END AS title,
+        'About ' || p_brand || '.' || chr(10) || 'Requirements:' || chr(10) || '- Python or SQL with ' || lower(p_type) || ', ' || p_size || '+ years of experience' || chr(10) || '* Docker. ' || p_name
+        || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Preferred qualifications:' || chr(10) || '1. Bachelor degree in computer science or related field' || chr(10) ELSE chr(10) || chr(10) END || 'Communication is a plus' AS body FROM part) AS t"""
+
+
+def _over_parts(query):
+    return lambda spark, d: query(spark, d, _part_postings(spark, d))
+
+
+_OVER_PARTS = (section_carry_forward, prioritized_contexts, dictionary_tags, required_preferred_split, or_groups, canonical_bullets, normalized_title, experience_bounds, posting_profile)
+QUERIES |= {f"part_{f.__name__}": _over_parts(f) for f in _OVER_PARTS}
+ORACLE_SQL |= {f"part_{f.__name__}": ORACLE_SQL[f.__name__].replace(values(POSTINGS, "t", "job_id, title, body"), _PARTS_SQL) for f in _OVER_PARTS}
