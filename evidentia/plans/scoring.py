@@ -148,11 +148,15 @@ def usage_by_day(spark, d):
 
 
 def budgeted_prefix(spark, d):
-    """Files of a source in order of id, at most 4,000 characters of each and 60,000 in all; the last is cut."""
-    size = F.least(F.col("n_chars"), F.lit(4000))
-    order = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, d, "documents").withColumn("_before", F.coalesce(F.sum(size).over(order), F.lit(0)))
-    return rows.withColumn("taken", F.least(size, F.lit(60000) - F.col("_before"))).filter("taken > 0").select("source", "doc_id", F.col("taken").cast("bigint").alias("taken"))
+    """Files of a source in order of id, at most 4,000 characters of each and 60,000 in all; the last is cut.
+
+    Sizes are summed by range of ids first; only ranges that begin within the budget are ordered, each by itself."""
+    rows = table(spark, d, "documents").select("source", "doc_id", F.least(F.col("n_chars"), F.lit(4000)).alias("size"), F.floor(F.col("doc_id") / 10_000).alias("range"))
+    along = Window.partitionBy("source").orderBy("range")
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("s")).withColumn("before", F.sum("s").over(along) - F.col("s")).filter("before < 60000").drop("s")
+    order = Window.partitionBy("source", "range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(sums, ["source", "range"]).withColumn("_before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    return placed.withColumn("taken", F.least("size", F.lit(60000) - F.col("_before"))).filter("taken > 0").select("source", "doc_id", F.col("taken").cast("bigint").alias("taken"))
 
 
 QUERIES = {
