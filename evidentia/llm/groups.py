@@ -41,3 +41,13 @@ def base32_sha1(data: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """The text with A-Z in lower case and all else as it is; texts of ASCII alone take the faster function, which equals it there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until ``df`` has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.llm import groups
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -102,17 +104,18 @@ def take(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_c
     document of a source at which its budget ends comes with its text cut behind the last word taken.  Documents without words
     come once.  Rows that repeat id and text get the share of the first of them each."""
     columns = df.columns
+    own, hashed, size, taken, cut_at = groups.fresh(df, "_id", "_h", "_size", "_taken", "_words")
     sized = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("_h"), word_count(F.col(text_col)).alias("size"))
-    shares = allot(sized, **options).select("_id", "_h", F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_h"])
-    words = F.col("_taken") % F.col("_size")
+    shares = allot(sized, **options).select(F.col("_id").alias(own), F.col("_h").alias(hashed), F.col("size").alias(size), F.col("taken").alias(taken)).dropDuplicates([own, hashed])
+    words = F.col(taken) % F.col(size)
     pieces = F.concat(
-        F.array_repeat(F.lit(None).cast("bigint"), (F.col("_taken") / F.col("_size")).cast("int")),
+        F.array_repeat(F.lit(None).cast("bigint"), (F.col(taken) / F.col(size)).cast("int")),
         F.when(words > 0, F.array(words)).otherwise(F.array().cast("array<bigint>")),
     )
-    pieces = F.when(F.col("_size") > 0, pieces).otherwise(F.array(F.lit(None).cast("bigint")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
-    rows = df.join(shares, same).withColumn("_words", F.explode(pieces))
-    cut = F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_words")))
+    pieces = F.when(F.col(size) > 0, pieces).otherwise(F.array(F.lit(None).cast("bigint")))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(hashed))
+    rows = df.join(shares, same).withColumn(cut_at, F.explode(pieces))
+    cut = F.when(F.col(cut_at).isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(cut_at)))
     return rows.withColumn(text_col, cut).select(*columns)
 
 

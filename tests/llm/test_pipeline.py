@@ -40,11 +40,27 @@ def test_stages_on_a_fixture(spark, make, prose, tmp_path):
     assert seen[4].count() == seen[3].count()
 
 
-def test_odd_rows(spark, make, tmp_path):
+def test_odd_rows_stage_by_stage(spark, make, tmp_path):
     rows = [(1, None, None, None), (2, "", "en", "s"), (2, "", "en", "s"), (None, "a b c", "en", "s"), (3, "x " * 30_000, "en", "s")]
-    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    extra = {c: F.lit(7) for c in ("_key", "_digest", "_id", "_t", "_r", "block", "label", "taken", "ids", "stats")}
+    make(rows).withColumns(extra).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    state, ids, words = docs, [], []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, str(tmp_path)).cache()
+        assert state.columns == docs.columns
+        ids.append(sorted({r["doc_id"] or 0 for r in state.collect()}))
+        words.append(state.agg(F.sum(mixing.word_count(F.col("text")))).first()[0])
+    assert state.count() >= 3 and ids == [[0, 1, 2, 3], [0, 2, 3], [0, 2, 3], [0, 2, 3]] and words == [30_003, 30_003, 30_003, 45_004]
+    last = corpus_pipeline.STAGES[-1][1](spark, state, str(tmp_path)).collect()
+    assert len(last) == state.count() and all(r["round_trip"] for r in last)
+
+
+def test_empty_table(spark, make, tmp_path):
+    make([]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
