@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import cuckoo, mixing, neardup, quality_rff, sentencepiece_codec, store
+from evidentia.llm import cuckoo, groups, mixing, neardup, quality_rff, sentencepiece_codec, store
 from evidentia.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,7 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Only labelled documents are measured to teach it; the others are measured once, where they are scored."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.join(labels.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    (own,) = groups.fresh(docs, "_id")
+    labelled = docs.join(labels.select(F.col("doc_id").alias(own)).distinct(), F.col("doc_id") == F.col(own), "left_semi")
     model = quality_rff.fit(store.table(quality_rff.measure(labelled), "statistics"), labels)
     return docs.filter(quality_rff.text_scorer(model)("text") >= LEAST_QUALITY)
 
@@ -38,16 +39,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id; of rows that repeat id and text one.
 
     The index says which ids stay.  Joining and dropping repeats have one key, so texts are moved once."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    kept = cuckoo.deduplicate(docs).filter("kept").select(key, F.col("digest").alias("_digest")).distinct()
-    rows = docs.select("*", key, cuckoo.digest(F.col("text")).alias("_digest")).join(kept, ["_key", "_digest"], "left_semi")
-    return rows.dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    names = groups.fresh(docs, "_key", "_digest")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(names[0])
+    kept = cuckoo.deduplicate(docs).filter("kept").select(key, F.col("digest").alias(names[1])).distinct()
+    rows = docs.select("*", key, cuckoo.digest(F.col("text")).alias(names[1])).join(kept, names, "left_semi")
+    return rows.dropDuplicates(names).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (own,) = groups.fresh(docs, "_id")
+    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(own))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
