@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm import store
+from evidentia.llm import groups, store
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) with ``m``, the smallest neighbour of u; by (u, salt of v), so that a node with a third of all edges is no hot key."""
+    salted = edges.withColumn("_salt", groups.salt(F.col("v")))
+    least = groups.partial_then_total(salted, ["u"], {"m": F.min("v")}, {"m": F.min("m")})
+    return salted.join(least, ["u", "_salt"]).select("u", "v", "m")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u").filter(F.col("v") > F.col("u"))
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    linked = with_least(both).filter(F.col("v") > F.col("u"))
+    return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u").filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    known = with_least(edges)
+    linked = known.filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.unionByName(known.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
