@@ -22,16 +22,22 @@ from evidentia.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_QUALITY = 0.7
+#: Ids of 8 bytes.
+LABELS_SENT = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, taught by the labels table, scores at ``LEAST_QUALITY`` or more.
 
-    Only labelled documents are measured to teach it; the others are measured once, where they are scored."""
+    Up to ``LABELS_SENT`` ids of labels travel to the tasks, so that only labelled documents are measured to teach; beyond, all
+    documents are.  Either way texts are not moved, and the model is the same."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    (own,) = groups.fresh(docs, "_id")
-    labelled = docs.join(labels.select(F.col("doc_id").alias(own)).distinct(), F.col("doc_id") == F.col(own), "left_semi")
-    model = quality_rff.fit(store.table(quality_rff.measure(labelled), "statistics"), labels)
+    taught = docs
+    if labels.count() <= LABELS_SENT:
+        (own,) = groups.fresh(docs, "_id")
+        ids = labels.select(F.col("doc_id").cast("bigint").alias(own)).distinct()
+        taught = docs.join(F.broadcast(ids), F.col("doc_id") == F.col(own), "left_semi")
+    model = quality_rff.fit(store.table(quality_rff.measure(taught), "statistics"), labels)
     return docs.filter(quality_rff.text_scorer(model)("text") >= LEAST_QUALITY)
 
 
