@@ -8,6 +8,7 @@ from evidentia.functions import text
 from evidentia.operators import catalogs
 from evidentia.operators import extraction as X
 from evidentia.operators import pages as P
+from evidentia.operators.retrieval import spread
 from evidentia.plans.common import fixture, table, tokens_sql, values
 
 POSTINGS = [
@@ -106,7 +107,7 @@ def redact(spark, d):
 
 def normalized_text(spark, d):
     tokens = text.retrieval_tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), text.content_hash(F.array_join(tokens, " ")).alias("digest"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), text.content_hash(F.array_join(tokens, " ")).alias("digest"))
 
 
 def signal_tokens(spark, d):
