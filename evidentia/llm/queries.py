@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import cuckoo, fim, langid, licenses, mixing, neardup, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
+from evidentia.llm import conversations, cuckoo, fim, langid, licenses, mixing, neardup, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
 
 #: Fixed value: how the byte-level vocabulary's public definition cuts text before merging.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -115,6 +115,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashed)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damage(rows))
+    report, hashes = found.report.withColumnRenamed("conv", "_r"), conversations.digests(found.turns).withColumnRenamed("conv", "_h")
+    every = rows.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("_r")), "left")
+    every = every.join(hashes, F.col("conv_id").eqNullSafe(F.col("_h")), "left")
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -127,8 +138,79 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
+def _repair_sql() -> str:
+    """The repair as a table of states, filled from the last row; values are costs of ten digits followed by the audit, X: none.  No cheapest repair inserts rows at these costs."""
+
+    def more(value: str, cost: str, letter: str) -> str:
+        return f"CASE WHEN {value} = 'X' THEN 'X' ELSE lpad(CAST(CAST({value}[1:10] AS BIGINT) + {cost} AS VARCHAR), 10, '0') || '{letter}' || {value}[11:] END"
+
+    def said(role: str, rest: str) -> str:
+        cut = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+        other = "'X'" if role == "s" else more(f"b.{rest}", f"1 + {cut}", "R")
+        return f"CASE WHEN fault IN ('blank', 'duplicate') THEN 'X' WHEN role[1:1] = '{role}' THEN {more(f'b.{rest}', cut, 'K')} ELSE {other} END"
+
+    sql = REPAIR_SQL
+    for state in "eaus":
+        sql = sql.replace(f"DELETED_{state}", more(f"b.{state}", "2", "D"))
+    for role, rest in ("ae", "au", "ua", "su"):
+        sql = sql.replace(f"SAID_{role}_{rest}", said(role, rest))
+    return sql
+
+
+REPAIR_SQL = r"""
+        WITH RECURSIVE coded AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+            FROM conversations
+        ), crc AS (
+            SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(name)), lambda i: CAST(ascii(substr(name, i + 1, 1)) AS BIGINT))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 20 AS kind
+            FROM coded
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM crc JOIN range(2) AS r(copy) ON copy < CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unhex(sha256(text))) AS i,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+            FROM damaged
+        ), judged AS (
+            SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                           WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                   lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS pair
+            FROM placed
+        ), totals AS (
+            SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+            FROM judged GROUP BY conv_id
+        ), best AS (
+            -- the least (cost, audit) of rows i and later, by what the repaired rest begins with: nothing, assistant, user or system
+            SELECT conv_id, n + 1 AS i, '0000000000' AS e, 'X' AS a, 'X' AS u, 'X' AS s FROM totals
+            UNION ALL
+            SELECT b.conv_id, b.i - 1 AS i, DELETED_e AS e, least(DELETED_a, SAID_a_e, SAID_a_u) AS a, least(DELETED_u, SAID_u_a) AS u, least(DELETED_s, SAID_s_u) AS s
+            FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i - 1
+        ), chosen AS (
+            SELECT t.*, least(b.e, b.u, b.s) AS found FROM totals t JOIN best b ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 1
+        ), edited AS (
+            SELECT j.*, found[10 + j.i:10 + j.i] AS edit FROM judged j JOIN chosen c ON j.conv_id IS NOT DISTINCT FROM c.conv_id
+        ), said AS (
+            SELECT conv_id, i, text, edit, role,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY i) - max(CASE WHEN edit = 'K' AND role[1:1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS k
+            FROM edited WHERE edit <> 'D'
+        ), repaired AS (
+            SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS rows
+            FROM said GROUP BY conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(CAST(found[1:10] AS BIGINT), 0) AS cost, coalesce(found[11:], '') AS audit, sha256(coalesce(rows, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN chosen c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+            LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (
@@ -226,4 +308,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(prefix || middle || suffix) AS restored_sha256
         FROM p
     """,
+    "op12_conversation_repair": _repair_sql(),
 }
