@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import conversations, cuckoo, fim, langid, licenses, mixing, neardup, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, warc
+from evidentia.llm import conversations, cuckoo, fim, langid, licenses, mixing, neardup, quality_rff, quality_rules, secrets_ledger, sentencepiece_codec, store, topk, warc
 
 #: Fixed value: how the byte-level vocabulary's public definition cuts text before merging.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,6 +126,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
 
 
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(read(spark, sf_dir, "embeddings"), 20, "id % 20 = 0")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_topk_search": op13_topk_search,
 }
 
 def _repair_sql() -> str:
@@ -309,4 +315,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM p
     """,
     "op12_conversation_repair": _repair_sql(),
+    "op13_topk_search": """
+        WITH v AS (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.rid AS q, q.vec_id AS query_id, v.rid, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+            FROM v q JOIN v ON q.rid <> v.rid AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, rid) AS INT) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
 }
