@@ -75,21 +75,29 @@ def without_noise(body: Column, noise=NOISE_LINES) -> Column:
     return F.flatten(F.transform(both, lambda s: F.filter(s["lines"], lambda x, i: F.array_position(s["keys"], F.lower(x)) == i + 1)))
 
 
-def fields(lines: Column, page_title: Column) -> dict[str, Column]:
-    """Title, company and location of a posting, from the page's title and the lines around it.
+def job_url(url: Column) -> Column:
+    """A search of LinkedIn that shows a posting as the address of that posting; other addresses as they are."""
+    name, shown = host(url), F.btrim(query_value(url, "currentJobId"))
+    linkedin = (name == "linkedin.com") | name.endswith(".linkedin.com")
+    return F.when(linkedin & shown.rlike(r"^\d+$"), F.concat(F.lit("https://www.linkedin.com/jobs/view/"), shown)).otherwise(url)
+
+
+def fields(lines: Column, page_title: Column, known: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Title, company and location of a posting, from the page's title and the lines around it; those ``known`` (where not null) stand.
 
     The title is the first part of the page's title, else the first line of at most 250 characters; the company the second part,
     unless it names a platform, else the line behind the title, else the second line; the location the first of the four
     lines behind title and company that is at most 120 characters and no sentence."""
     parts = F.filter(F.transform(title_parts(F.coalesce(page_title, F.lit(""))), lambda p: F.btrim(p)), lambda p: (p != "") & ~F.lower(p).startswith("job search"))
-    name = F.coalesce(F.get(parts, F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) <= 250), F.lit(0)))
+    given = {n: F.lit(None).cast("string") for n in ("title", "company", "location")} | (known or {})
+    name = F.coalesce(given["title"], F.get(parts, F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) <= 250), F.lit(0)))
     second = F.get(parts, F.lit(1))
     at = F.array_position(lines, F.coalesce(name, F.lit("")))
     behind = F.when(at > 0, F.get(lines, at.cast("int")))
-    company = F.coalesce(F.when(~F.lower(second).isin("linkedin", "indeed", "glassdoor"), second), behind, F.get(lines, F.lit(1)))
+    company = F.coalesce(given["company"], F.when(~F.lower(second).isin("linkedin", "indeed", "glassdoor"), second), behind, F.get(lines, F.lit(1)))
     start = F.greatest(at, F.array_position(lines, F.coalesce(company, F.lit("")))).cast("int")
     near = F.slice(lines, start + 1, F.lit(4))
-    location = F.get(F.filter(near, lambda x: (F.length(x) <= 120) & ~x.rlike(r"[.!?]$")), F.lit(0))
+    location = F.coalesce(given["location"], F.get(F.filter(near, lambda x: (F.length(x) <= 120) & ~x.rlike(r"[.!?]$")), F.lit(0)))
     return {"title": name, "company": company, "location": location}
 
 

@@ -216,12 +216,6 @@ def posting_fields(spark, d):
     )
 
 
-def page_platform(spark, d):
-    url = F.concat(F.element_at(F.array(*map(F.lit, ("https://www.linkedin.com/login", "https://lever.co/x", "http://notindeed.com/a", "https://de.indeed.com/b?c=1", "x"))), (F.col("page_id") % 5 + 1).cast("int")))
-    gate = P.page_gate(F.when(F.col("page_id") % 7 == 0, "Please log in to continue").otherwise(F.lit("")), F.lit("t"), url)
-    return table(spark, d, "pages").select("page_id", P.platform(url).alias("platform"), gate.alias("gate"))
-
-
 def title_decisions(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"))
     ruled = rows.select(F.upper("title").alias("title"), F.when(F.col("p_partkey") % 3 == 0, "unsupported").otherwise("kept").alias("decision")).filter("title < 'M'").groupBy("title").agg(F.min("decision").alias("decision"))
@@ -251,7 +245,7 @@ QUERIES = {
     for f in (
         requirement_match, requirement_any, structured_requirements, requirement_catalogs, match_explanation, unique_evidence, evidence_projection, gap_report, term_warnings,
         candidate_years, component_scores, project_scores, selection_review, draft_wording, index_plan, vector_faults, owner_vectors, evaluation_flags, threshold_separability,
-        full_ranking, page_lines, posting_fields, page_platform, title_decisions, conditional_update, cascade_delete, owner_filtered_aggregate,
+        full_ranking, page_lines, posting_fields, title_decisions, conditional_update, cascade_delete, owner_filtered_aggregate,
     )
 }
 
@@ -457,8 +451,6 @@ ORACLE_SQL = {
         k AS (SELECT *, list_filter(b[s + 1 : s + 4], lambda x: len(x) <= 120 AND NOT regexp_matches(x, '[.!?]$'))[1] AS location FROM h)
         SELECT conv_id, turn, title, company, location, CASE {" ".join(f"WHEN contains(lower(text), '{a}') THEN '{b}'" for a, b in P.EMPLOYMENT)} END AS employment,
                (CASE WHEN title IS NULL THEN 0 ELSE 25 END + CASE WHEN company IS NULL THEN 0 ELSE 25 END + CASE WHEN location IS NULL THEN 0 ELSE 10 END + CASE WHEN len(text) >= 80 THEN 30 ELSE 0 END) / 100::DOUBLE AS confidence FROM k""",
-    "page_platform": """
-        SELECT page_id, ['linkedin', 'company_site', 'unknown', 'indeed', 'unknown'][CAST(page_id % 5 + 1 AS INT)] AS platform, CASE WHEN page_id % 5 = 0 THEN 'login' WHEN page_id % 7 = 0 THEN 'blocked' END AS gate FROM pages""",
     "title_decisions": """
         WITH r AS (SELECT upper(p_name) AS t, min(CASE WHEN p_partkey % 3 = 0 THEN 'unsupported' ELSE 'kept' END) AS decision FROM part WHERE upper(p_name) < 'M' GROUP BY 1)
         SELECT p_partkey, decision FROM part LEFT JOIN r ON lower(t) = lower(p_name) WHERE decision IS DISTINCT FROM 'unsupported'""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evidentia.plans import analysis, postings, profiles, relational, retrieval, scoring
+from evidentia.plans import analysis, assembly, postings, profiles, relational, retrieval, scoring
 
-PARTS = (relational, retrieval, postings, scoring, profiles, analysis)
+PARTS = (relational, retrieval, postings, scoring, profiles, analysis, assembly)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
