@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import scores, text
+from evidentia.operators import patterns
 from evidentia.operators.profiles import sentence
 from evidentia.operators.requirements import names_degree
 
@@ -51,14 +52,13 @@ def unique_terms(values: Column) -> Column:
 def term_support(postings: DataFrame, evidence: DataFrame, lists=TERM_LISTS) -> DataFrame:
     """(posting_id, owner, list, position, term, records): how many records of the owner support each term of each list.
 
-    Postings (posting_id, owner, term lists) are cut into terms, and terms meet the records of their owner alone."""
+    Postings (posting_id, owner, term lists) are cut into terms; the distinct ones of an owner are found in all of that owner's
+    records at once, however many postings name them."""
     each = F.array(*(F.struct(F.lit(n).alias("list"), unique_terms(F.coalesce(n, F.array().cast("array<string>"))).alias("terms")) for n in lists))
     terms = postings.select("posting_id", "owner", F.inline(each)).select("posting_id", "owner", "list", F.posexplode("terms").alias("position", "term"))
     terms = terms.withColumn("_n", text.scorecard_text(F.col("term")))
-    hits = terms.join(evidence.select("owner", "body"), "owner").filter((F.col("_n") != "") & F.contains("body", F.col("_n")))
-    found = hits.groupBy("posting_id", "owner", "list", "position").agg(F.count("*").alias("records"))
-    rows = terms.drop("_n").join(found, ["posting_id", "owner", "list", "position"], "left")
-    return rows.withColumn("records", F.coalesce("records", F.lit(0)))
+    found = patterns.count_texts(terms, evidence, "owner", "_n", "body", F.xxhash64("section", "source_id", "body"))
+    return terms.join(found, ["owner", "_n"], "left").select(*terms.columns[:-1], F.coalesce("records", F.lit(0)).alias("records"))
 
 
 def gap_report(support: DataFrame) -> DataFrame:
@@ -117,7 +117,8 @@ def component_scores(postings: DataFrame, evidence: DataFrame, years: DataFrame)
 def strongest_by_section(evidence: DataFrame, terms: DataFrame, limit: int = 3) -> DataFrame:
     """(owner, section, position, source_id, label, matched_terms) of the records that support most of their owner's terms (owner, position, term)."""
     wanted = terms.select("owner", F.col("position").alias("_at"), "term", text.scorecard_text(F.col("term")).alias("_n")).filter("_n != ''")
-    hits = evidence.join(wanted, "owner").filter(F.contains("body", F.col("_n"))).groupBy("owner", "section", "source_id", "label", "rank")
+    keys = ["section", "source_id", "label", "rank"]
+    hits = patterns.terms_in_texts(wanted, evidence, "owner", "_n", "body", keys).join(wanted, ["owner", "_n"]).groupBy("owner", *keys)
     rows = hits.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "term"))), lambda s: s["term"]).alias("matched_terms"))
     order = Window.partitionBy("owner", "section").orderBy(F.desc(F.col("rank") + F.size("matched_terms")), F.lower("label"), "source_id")
     ranked = rows.withColumn("position", F.row_number().over(order).cast("bigint")).filter(F.col("position") <= limit)

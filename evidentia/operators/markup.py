@@ -127,10 +127,15 @@ def tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
 
+def _has_attributes(tag: Column) -> Column:
+    """Most tags have none, which is told sooner than that they lack a certain one."""
+    return F.rlike(tag, F.lit(r"\s"))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """The value of a tag's attribute: empty if it has no value, null if it is not there."""
     at = rf"""(?is)^<[a-z][^\s/>]*(?:\s+(?!{name}[\s=/>])[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+\s+{name}(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]))"""
-    return F.when(F.rlike(tag, F.lit(at)), F.btrim(F.regexp_extract(tag, at, 1), F.lit("\"'")))
+    return F.when(_has_attributes(tag) & F.rlike(tag, F.lit(at)), F.btrim(F.regexp_extract(tag, at, 1), F.lit("\"'")))
 
 
 def tags(stream: Column, compounds: list[Compound]) -> Column:
@@ -145,7 +150,8 @@ def tags(stream: Column, compounds: list[Compound]) -> Column:
         bits = F.lit(0).cast("bigint")
         for i, c in enumerate(compounds):
             bits = bits + F.when(c.holds(t["name"], attributes), F.lit(1 << i)).otherwise(0).cast("bigint")
-        hidden = F.rlike(t["tag"], F.lit(r"(?is)^<[a-z][^>]*\s(?:hidden[\s=/>]|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none)")) | t["name"].isin(*UNSEEN)
+        unseen = F.rlike(t["tag"], F.lit(r"(?is)^<[a-z][^>]*\s(?:hidden[\s=/>]|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none)"))
+        hidden = t["name"].isin(*UNSEEN) | (_has_attributes(t["tag"]) & unseen)
         own = F.when(begins, bits).otherwise(F.lit(0).cast("bigint"))
         return F.struct(t["at"].alias("at"), t["name"].alias("name"), kind.alias("kind"), own.alias("own"), (~hidden).alias("shown"))
 
