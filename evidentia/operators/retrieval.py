@@ -3,7 +3,8 @@
 A set of queries is ranked against all evidence without a cross join of rows.  Each task scores its evidence against a block
 of queries and only passes on its best ``k`` for each query, in the final order; a window then picks the best of the tasks'
 candidates.  What is shuffled is k rows for each query and task, however large the evidence is.  Queries of a checked size
-travel to the tasks; beyond it evidence and queries are dealt into cells of one block each.
+travel to the tasks.  Beyond it evidence is dealt into blocks, once, and held by a task while all queries stream past it: evidence is
+never copied, queries are sent once for each block of evidence.  For lexical ranking a held block is an inverted index.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from evidentia.functions import scores, text
 DIMENSIONS = 256
 #: Queries and their tokens that travel to every task at most; beyond, they are dealt into blocks of so many.
 QUERY_BLOCK, QUERY_TOKENS = 1024, 500_000
-#: Evidence rows of a cell, about, where queries are dealt into blocks.
-EVIDENCE_BLOCK = 20_000
+#: Evidence rows and tokens of a block, about, that a task holds while queries stream by.
+EVIDENCE_BLOCK, EVIDENCE_TOKENS = 50_000, 10_000_000
+#: Bytes of a table, about, that may be dealt anew to use all cores.
+SPREAD_BYTES = 1 << 30
 #: Vectors or queries of a block, about, and pairs scored at once.
-VECTOR_BLOCK = 8192
+VECTOR_BLOCK, VECTOR_NUMBERS = 8192, 8_000_000
 PAIRS = 1 << 20
 #: Features whose hashes a task remembers.
 FEATURES = 500_000
@@ -168,19 +171,116 @@ def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[f
             yield from best.rows().to_batches()
 
         return evidence.mapInArrow(local, CANDIDATES)
+    held = evidence.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
     across = max(-(-size["rows"] // QUERY_BLOCK), -(-size["tokens"] // QUERY_TOKENS))
-    down = max(1, -(-evidence.count() // EVIDENCE_BLOCK))
-
-    def cell(these: pa.Table, those: pa.Table) -> pa.Table:
-        best = _best(these, k, weights)
-        ids, lists = those["evidence_id"].to_numpy(), those["tokens"].combine_chunks()
-        if len(ids) and these.num_rows:
-            best.add(ids, lists)
-        return best.rows()
+    down = max(1, -(-held["rows"] // EVIDENCE_BLOCK), -(-held["tokens"] // EVIDENCE_TOKENS))
+
+    def scored(evidence: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        ids, lists = evidence["id"].to_numpy(), _one(evidence["value"])
+        index = EvidenceIndex(ids, lists) if weights is None else None
+        for asked in blocks:
+            if index is not None:
+                yield index.candidates(asked["id"].to_pylist(), _one(asked["value"]), k)
+            else:
+                best = Best(QueryBlock(asked["id"].to_pylist(), _one(asked["value"]), Features()), k, weights)
+                best.add(ids, lists)
+                yield best.rows()
+
+    left = queries.select(F.col("query_id").alias("id"), F.col("tokens").alias("value"))
+    right = evidence.select(F.col("evidence_id").alias("id"), F.col("tokens").alias("value"))
+    return _past_blocks(right, down, left, across, scored, CANDIDATES)
+
+
+def _past_blocks(held: DataFrame, blocks: int, passing: DataFrame, parts: int, score, schema: str) -> DataFrame:
+    """``score(block, parts)`` for each of the ``blocks`` of the rows (id, value) held, with all rows passing, in ``parts`` parts, one after another.
+
+    Rows held are moved once; those passing are sent once for each block."""
+    right = held.select(F.pmod(F.xxhash64("id", "value"), F.lit(blocks)).cast("int").alias("block"), F.lit(-1).alias("part"), "id", "value")
+    left = passing.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "value")
+    dealt = right.union(left).repartition("block").sortWithinPartitions("block", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, None
+        for (at, part), table in _runs(batches):
+            if part == -1:
+                block, rows = at, table
+            elif at == block:
+                for found in score(rows, iter([table])):
+                    yield from found.to_batches()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:
+    """((block, part), its rows) of rows sorted by both."""
+    key, held = None, []
+    for batch in batches:
+        both = np.stack([batch.column("block").to_numpy(), batch.column("part").to_numpy()])
+        edges = [0, *(np.flatnonzero((both[:, 1:] != both[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            if begin < end:
+                new = int(both[0, begin]), int(both[1, begin])
+                if new != key and held:
+                    yield key, pa.Table.from_batches(held)
+                    held = []
+                key = new
+                held.append(batch.slice(begin, end - begin))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks)
+
+
+class EvidenceIndex:
+    """Postings of the distinct tokens of a block of evidence, rows by id."""
+
+    def __init__(self, ids: np.ndarray, lists: pa.Array):
+        order = np.argsort(ids, kind="stable")
+        self.ids, tokens = ids[order], TokenLists(lists.take(pa.array(order)))
+        rows = max(tokens.rows, 1)
+        pairs = np.unique(tokens.codes * rows + tokens.doc)
+        of, self.rows = pairs // rows, pairs % rows
+        self.counts = np.bincount(of, minlength=len(tokens.names))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.index = {name: i for i, name in enumerate(tokens.names)}
 
-    left = _in_cells(queries, "i", across, "j", down, "query_id")
-    right = _in_cells(evidence, "j", down, "i", across, "evidence_id")
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, CANDIDATES)
+    def best(self, tokens: list[str], k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, shared tokens, distinct tokens asked for) of the best ``k`` rows for a query.
+
+        Tokens are taken from the rarest.  A row met first at a token lacks all rarer ones, which bounds what it can share; once the bound of
+        the next token falls below the k-th row found, no other row can be among the best, and common tokens are never listed."""
+        asked = set(tokens)
+        known = sorted((i for i in map(self.index.get, asked) if i is not None), key=lambda i: (self.counts[i], i))
+        postings = [self.rows[self.starts[i] : self.starts[i] + self.counts[i]] for i in known]
+        size, found, shared, seen = max(len(asked), 1), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def key(n):
+            return np.floor(n / size * 10_000 + 0.5)
+
+        for at, rows in enumerate(postings):
+            if len(found) >= k and key(shared[-1]) > key(len(postings) - at):
+                break
+            new = np.setdiff1d(rows, seen, assume_unique=True)
+            seen = np.union1d(seen, new)
+            count = np.ones(len(new), np.int64)
+            for later in postings[at + 1 :]:
+                place = np.minimum(np.searchsorted(later, new), len(later) - 1)
+                count += later[place] == new
+            found, shared = np.concatenate([found, new]), np.concatenate([shared, count])
+            order = np.lexsort((found, -key(shared)))[:k]  # rows stand by id
+            found, shared = found[order], shared[order]
+        return found, shared, size
+
+    def candidates(self, queries: list, lists: pa.Array, k: int) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        for query, tokens in zip(queries, lists.to_pylist(), strict=True):
+            rows, shared, size = self.best(tokens or [], k)
+            for column, values in zip(out, ([query] * len(rows), self.ids[rows], np.floor(shared / size * 10_000 + 0.5), shared / size, shared), strict=True):
+                column.extend(values)
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(np.zeros(len(out[0]))), pa.array(out[4], pa.int64())]
+        return pa.table(columns, names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
 
 def _best(asked: pa.Table, k: int, weights: tuple[float, float] | None) -> Best:
@@ -191,9 +291,10 @@ def _best(asked: pa.Table, k: int, weights: tuple[float, float] | None) -> Best:
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where a scan has fewer parts than there are cores: a small table in one row group is one task.
 
-    A large table has more parts and is left as it is, so this never moves one."""
+    Only tables that are small by the plan's estimate (``SPREAD_BYTES``) are moved; others are left as they are, whatever the cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SPREAD_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def rank(evidence: DataFrame, queries: DataFrame, k: int, vector_weight: float = scores.VECTOR_WEIGHT, lexical_weight: float = scores.LEXICAL_WEIGHT) -> DataFrame:
@@ -244,28 +345,59 @@ def valid_vector(vector, dimensions=None):
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, cosine, rank): exact cosine top-k of (query_id, query) among (vec_id, vec), decimals as reported.
 
-    Both sides may have a ``label``; then only vectors with the label of the query count.  Blocks of about ``VECTOR_BLOCK`` queries
-    meet blocks of as many vectors in a task each, which passes on its best ``k`` for each query; nothing is broadcast."""
+    Both sides may have a ``label``; then only vectors with the label of the query count.  Queries of a checked size travel to the tasks;
+    beyond, blocks of about ``VECTOR_BLOCK`` vectors are held by a task each while blocks of queries stream past.  Either way vectors are
+    never copied, and a task passes on its best ``k`` for each query."""
     labelled = "label" in vectors.columns and "label" in queries.columns
     names = [[F.col("label").alias(n)] if labelled else [] for n in ("query_label", "vec_label")]
-    across, down = (max(1, -(-df.count() // VECTOR_BLOCK)) for df in (queries, vectors))
-    left = _in_cells(queries.select("query_id", "query", *names[0]), "i", across, "j", down, "query_id")
-    right = _in_cells(vectors.select("vec_id", "vec", *names[1]), "j", down, "i", across, "vec_id")
+    left, right = queries.select("query_id", "query", *names[0]), vectors.select("vec_id", "vec", *names[1])
+    found = "query_id bigint, vec_id bigint, _c double"
 
-    def local(these: pa.Table, those: pa.Table) -> pa.Table:
-        columns = nearest(these, those, k) if these.num_rows and those.num_rows else [[], [], []]
+    def table(columns: list) -> pa.Table:
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "_c"])
 
-    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(local, "query_id bigint, vec_id bigint, _c double")
+    size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("query")), F.lit(0)).alias("numbers")).first()
+    if size["rows"] <= VECTOR_BLOCK and size["numbers"] <= VECTOR_NUMBERS:
+        asked = left.toArrow()
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                if batch.num_rows and asked.num_rows:
+                    new = nearest(asked, pa.Table.from_batches([batch]), k)
+                    best = new if best is None else _best_of([np.concatenate(x) for x in zip(best, new, strict=True)], k)
+            if best is not None:
+                yield from table(best).to_batches()
+
+        best = right.mapInArrow(local, found)
+    else:
+
+        def scored(block: pa.Table, parts: Iterator[pa.Table]) -> Iterator[pa.Table]:
+            held = pa.Table.from_struct_array(_one(block["value"]))
+            held = held.append_column("vec_id", block["id"])
+            for part in parts:
+                asked = pa.Table.from_struct_array(_one(part["value"])).append_column("query_id", part["id"])
+                yield table(nearest(asked.rename_columns([_QUERY_NAMES.get(n, n) for n in asked.column_names]), held, k))
+
+        value = ["vec", *(["vec_label"] if labelled else [])]
+        passing = left.select(F.col("query_id").alias("id"), F.struct(F.col("query").alias("vec"), *([F.col("query_label").alias("vec_label")] if labelled else [])).alias("value"))
+        held = right.select(F.col("vec_id").alias("id"), F.struct(*value).alias("value"))
+        best = _past_blocks(held, max(1, -(-vectors.count() // VECTOR_BLOCK)), passing, max(1, -(-size["rows"] // VECTOR_BLOCK), -(-size["numbers"] // VECTOR_NUMBERS)), scored, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    scored = best.select("query_id", "vec_id", F.round("_c", 6).alias("cosine"))
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    scored_rows = best.select("query_id", "vec_id", F.round("_c", 6).alias("cosine"))
+    return scored_rows.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+
+_QUERY_NAMES = {"vec": "query", "vec_label": "query_label"}
 
 
-def _in_cells(df: DataFrame, own: str, blocks: int, other: str, others: int, key: str) -> DataFrame:
-    """The rows in one of ``blocks`` each, once for each block of the other side."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)) if blocks > 1 else F.lit(0)
-    return df.withColumn(own, block.cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+def _best_of(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The best ``k`` of [query_id, vec_id, cosine] for each query, in the order of the reported decimals, then the id."""
+    key = np.where(np.isnan(found[2]), np.inf, np.copysign(np.floor(np.abs(found[2]) * 1e6 + 0.5), found[2]))
+    order = np.lexsort((found[1], -key, found[0]))
+    found = [x[order] for x in found]
+    place = np.arange(len(order)) - np.searchsorted(found[0], found[0])
+    return [x[place < k] for x in found]
 
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

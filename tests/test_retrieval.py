@@ -110,3 +110,41 @@ def test_vector_topk_of_nothing(spark):
     none, one = (spark.createDataFrame(rows, "vec_id bigint, vec array<double>") for rows in ([], [(1, [1.0])]))
     for vectors, queries in ((none, one), (one, none), (one, one)):
         assert retrieval.vector_topk(vectors, queries.withColumnsRenamed({"vec_id": "query_id", "vec": "query"}), 3).collect() == []
+
+
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_index_equals_all_pairs(k):
+    """The index of a block finds what counting all shared tokens finds, ties by id."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(k)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(400)]
+    lists = [rng.choices(words, k=rng.randint(0, 25)) for _ in range(150)]
+    ids = rng.sample(range(1000), 150)
+    index = retrieval.EvidenceIndex(np.array(ids), pa.array(lists, pa.list_(pa.string())))
+    for query in [rng.choices([*words, "none"], k=rng.randint(0, 12)) for _ in range(60)]:
+        asked = set(query)
+        counted = sorted((-len(asked & set(x)), i) for i, x in zip(ids, lists, strict=True) if asked & set(x))[:k]
+        rows, shared, size = index.best(query, k)
+        assert list(zip((-shared).tolist(), index.ids[rows].tolist(), strict=True)) == counted and size == max(len(asked), 1)
+
+
+def test_many_queries(spark, monkeypatch):
+    """5,000 queries, which pass by blocks of evidence, find what they find when they travel to the tasks; evidence is shuffled once."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(3000)]
+    evidence = spark.createDataFrame([(i, rng.choices(words, k=rng.randint(0, 20))) for i in range(700)], "evidence_id bigint, tokens array<string>")
+    queries = spark.createDataFrame([(i, rng.choices(words, k=rng.randint(0, 6))) for i in range(5000)], "query_id bigint, tokens array<string>")
+    monkeypatch.setattr(retrieval, "EVIDENCE_BLOCK", 200)
+    found = retrieval.lexical_topk(evidence, queries, 3)
+    rows, hybrid = sorted(map(tuple, found.collect())), sorted(map(tuple, retrieval.rank(evidence, queries, 2).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10_000)
+    assert rows == sorted(map(tuple, retrieval.lexical_topk(evidence, queries, 3).collect()))
+    assert hybrid == sorted(map(tuple, retrieval.rank(evidence, queries, 2).collect()))
+    moved = [x for x in str(found._jdf.queryExecution().optimizedPlan()).splitlines() if "RepartitionByExpression" in x]
+    assert len(moved) == 1
