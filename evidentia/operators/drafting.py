@@ -194,15 +194,20 @@ def project_scores(projects: DataFrame, postings: DataFrame) -> DataFrame:
     """(posting_id, project_id, title, score, matched_terms) of each posting's projects, from (posting_id, project_id, title, body) and (posting_id,
     title, context, terms array<struct<term, weight>>).
 
-    Bodies, titles and contexts are normalised once.  Of terms with one normalised form the first counts, with its weight."""
+    Bodies, titles and contexts are normalised once.  Of terms with one normalised form the first counts, with its weight.  Postings with
+    a ``role`` also give and take the points of that role (``drafts.role_points``)."""
+    from evidentia.operators import drafts
+
     norm = text.project_text
-    asked = postings.select("posting_id", norm(F.col("title")).alias("_title"), norm(F.col("context")).alias("_context"), F.transform("terms", lambda t: F.struct(norm(t["term"]).alias("k"), t["term"].alias("term"), t["weight"].alias("weight"))).alias("_terms"))
+    roles = F.col("role") if "role" in postings.columns else F.lit(None).cast("string")
+    asked = postings.select("posting_id", roles.alias("_role"), norm(F.col("title")).alias("_title"), norm(F.col("context")).alias("_context"), F.transform("terms", lambda t: F.struct(norm(t["term"]).alias("k"), t["term"].alias("term"), t["weight"].alias("weight"))).alias("_terms"))
     keys = F.transform("_terms", lambda t: t["k"])
     asked = asked.withColumn("_terms", F.filter("_terms", lambda t, i: (t["k"] != "") & (F.array_position(keys, t["k"]) == i + 1)))
     rows = projects.select("posting_id", "project_id", "title", norm(F.col("body")).alias("_body")).join(asked, "posting_id")
     rows = rows.withColumn("_hits", F.filter("_terms", lambda t: F.contains(F.col("_body"), t["k"])))
     weight = F.aggregate("_hits", F.lit(0), lambda s, t: s + t["weight"].cast("int"))
     score = weight + title_points(F.col("_title"), F.col("_body")) + context_overlap(F.col("_context"), F.col("_body")) + theme_points(F.col("_title"), F.col("_context"), F.col("_body"))
+    score = score + drafts.role_points(F.col("_role"), F.col("_body"), F.col("_context"))
     return rows.select("posting_id", "project_id", "title", score.cast("bigint").alias("score"), F.transform("_hits", lambda t: t["term"]).alias("matched_terms"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text
 from evidentia.operators import analysis as A
 from evidentia.operators import drafting as D
+from evidentia.operators import drafts
 from evidentia.operators import evaluation as E
 from evidentia.operators import matching as M
 from evidentia.operators import pages as P
@@ -124,19 +125,28 @@ def component_scores(spark, d):
 
 
 def project_scores(spark, d):
-    part = table(spark, d, "part")
-    projects = part.select((F.col("p_partkey") % 20).alias("posting_id"), F.col("p_partkey").alias("project_id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("body"))
-    terms = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight")) for t, w in (("Steel", 14), ("brass", 12), ("steel", 10), ("plated", 9), ("large", 5))))
-    postings = part.filter("p_partkey < 20").select(F.col("p_partkey").alias("posting_id"), F.concat(F.lit("AI Engineer "), F.col("p_name")).alias("title"), F.concat_ws(" ", F.lit("workflow systems"), "p_type", "p_name").alias("context"), terms.alias("terms"))
+    """Ten parts are the projects of an owner, and the first of them is the posting; texts and roles go round."""
+    part, owner = table(spark, d, "part"), F.floor(F.col("p_partkey") / 10).cast("bigint").alias("posting_id")
+    extra = F.element_at(F.array(*map(F.lit, PROJECT_WORDS)), (F.col("p_size") % len(PROJECT_WORDS) + 1).cast("int"))
+    projects = part.select(owner, F.col("p_partkey").alias("project_id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_type", "p_brand", extra).alias("body"))
+    terms = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight")) for t, w in (("Steel", 14), ("small", 12), ("steel", 10), ("widget", 9), ("large", 5))))
+    role = F.element_at(F.array(*map(F.lit, D.ROLE_GROUPS)), (F.floor(F.col("p_partkey") / 10) % len(D.ROLE_GROUPS) + 1).cast("int"))
+    context = F.concat_ws(" ", F.when(F.col("p_size") % 2 == 0, "court filings").otherwise(F.lit("workflow systems")), "p_type", "p_name")
+    postings = part.filter("p_partkey % 10 = 0").select(owner, F.concat(F.lit("AI Engineer "), F.col("p_name")).alias("title"), context.alias("context"), role.alias("role"), terms.alias("terms"))
     return D.project_scores(projects, postings).select("project_id", "score", F.array_join("matched_terms", "|").alias("matched_terms"))
 
 
 def selection_review(spark, d):
-    scored = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("posting_id"), F.col("p_partkey").alias("project_id"), F.col("p_name").alias("title"), F.col("p_size").alias("score"))
-    drafted = scored.filter("score > 40").select("posting_id", F.upper("title").alias("title"))
+    title = F.concat_ws(" ", "o_orderpriority", (F.col("o_orderkey") % 9).cast("string"))
+    scored = table(spark, d, "orders").select(F.col("o_custkey").alias("posting_id"), F.col("o_orderkey").alias("project_id"), title.alias("title"), F.floor("o_totalprice").alias("score"))
+    drafted = scored.filter("score > 400000").select("posting_id", F.upper("title").alias("title"))
     return D.selection_review(scored, drafted).select("posting_id", "project_id", "position")
 
 
+#: Words of projects that roles give and take points for.
+PROJECT_WORDS = ("plain", "Workflow automation", "OCR", "legal document review", "incident agent", "webhooks")
+
+
 def draft_wording(spark, d):
     rows = table(spark, d, "customer")
     generic = F.array(F.lit("https://HOST/1/"), F.lit(None).cast("string"))
@@ -395,23 +405,32 @@ ORACLE_SQL = {
         SELECT posting_id, keyword, skill, technology, experience, project, education, missing, overall,
                CASE WHEN overall >= 85 THEN 'excellent' WHEN overall >= 70 THEN 'strong' WHEN overall >= 50 THEN 'moderate' WHEN overall >= 30 THEN 'weak' ELSE 'limited' END AS quality FROM o""",
     "project_scores": f"""
-        WITH pr AS (SELECT p_partkey % 20 AS posting_id, p_partkey AS project_id, {_PROJECT.format("concat_ws(' ', p_name, p_type, p_brand)")} AS body FROM part),
-        po AS (SELECT p_partkey AS posting_id, {_PROJECT.format("'AI Engineer ' || p_name")} AS title, {_PROJECT.format("concat_ws(' ', 'workflow systems', p_type, p_name)")} AS ctx FROM part WHERE p_partkey < 20),
-        j AS (SELECT *, list_distinct(list_filter(string_split(body, ' '), lambda w: len(w) >= 5 AND w NOT IN ({_quoted(D.GENERIC_WORDS)}))) AS bw,
-                     list_distinct(list_filter(string_split(ctx, ' '), lambda w: len(w) >= 5 AND w NOT IN ({_quoted(D.GENERIC_WORDS)}))) AS cw FROM pr JOIN po USING (posting_id))
-        SELECT project_id, CAST(CASE WHEN contains(body, 'steel') THEN 14 ELSE 0 END + CASE WHEN contains(body, 'brass') THEN 12 ELSE 0 END + CASE WHEN contains(body, 'plated') THEN 9 ELSE 0 END
+        WITH pr AS (SELECT p_partkey // 10 AS posting_id, p_partkey AS project_id,
+                           {_PROJECT.format(f"concat_ws(' ', p_name, p_type, p_brand, [{_quoted(PROJECT_WORDS)}][CAST(p_size % {len(PROJECT_WORDS)} + 1 AS INT)])")} AS body FROM part),
+        po AS (SELECT p_partkey // 10 AS posting_id, {_PROJECT.format("'AI Engineer ' || p_name")} AS title, [{_quoted(D.ROLE_GROUPS)}][CAST(p_partkey // 10 % {len(D.ROLE_GROUPS)} + 1 AS INT)] AS role,
+                      {_PROJECT.format("concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN 'court filings' ELSE 'workflow systems' END, p_type, p_name)")} AS ctx FROM part WHERE p_partkey % 10 = 0),
+        w AS (SELECT *, list_distinct(list_filter(string_split(body, ' '), lambda w: len(w) >= 5 AND w NOT IN ({_quoted(D.GENERIC_WORDS)}))) AS bw,
+                     list_distinct(list_filter(string_split(ctx, ' '), lambda w: len(w) >= 5 AND w NOT IN ({_quoted(D.GENERIC_WORDS)}))) AS cw FROM pr JOIN po USING (posting_id)),
+        j AS (SELECT *, regexp_matches(body, 'workflow automation|webhook') AS wf, contains(body, 'ocr') OR (contains(body, 'legal') AND contains(body, 'document')) AS doc,
+                     regexp_matches(ctx, '{"|".join(drafts.DOCUMENT_TERMS)}') AS asked FROM w)
+        SELECT project_id, CAST(CASE WHEN contains(body, 'steel') THEN 14 ELSE 0 END + CASE WHEN contains(body, 'small') THEN 12 ELSE 0 END + CASE WHEN contains(body, 'widget') THEN 9 ELSE 0 END
                + CASE WHEN contains(body, 'large') THEN 5 ELSE 0 END + 5 * len(list_intersect(list_distinct(list_filter(string_split(title, ' '), lambda w: len(w) >= 3)), string_split(body, ' ')))
                + least(24, 2 * len(list_intersect(cw, bw)))
                + {" + ".join(f"CASE WHEN contains(title, '{t}') AND regexp_matches(body, '{'|'.join(words)}') THEN 12 ELSE 0 END" for t, words in D.THEMES.items())}
                + CASE WHEN contains(title, 'engineer') AND regexp_matches(body, 'system|backend|workflow|platform') THEN 6 ELSE 0 END
                + CASE WHEN contains(body, 'agent') AND regexp_matches(ctx, 'ai|llm|workflow|automation') THEN 24 ELSE 0 END
-               - CASE WHEN regexp_matches(body, 'ocr|legal|document') AND NOT regexp_matches(ctx, 'ocr|legal|document|extraction') THEN 20 ELSE 0 END AS BIGINT) AS score,
-               concat_ws('|', CASE WHEN contains(body, 'steel') THEN 'Steel' END, CASE WHEN contains(body, 'brass') THEN 'brass' END, CASE WHEN contains(body, 'plated') THEN 'plated' END, CASE WHEN contains(body, 'large') THEN 'large' END) AS matched_terms
+               - CASE WHEN regexp_matches(body, 'ocr|legal|document') AND NOT regexp_matches(ctx, 'ocr|legal|document|extraction') THEN 20 ELSE 0 END
+               + CASE role WHEN 'legal_ai' THEN CASE WHEN doc THEN 95 WHEN wf THEN 10 ELSE 0 END
+                           WHEN 'ai_automation' THEN CASE WHEN wf THEN 35 ELSE 0 END + CASE WHEN regexp_matches(body, 'agent|incident') THEN 28 ELSE 0 END - CASE WHEN doc AND NOT asked THEN 45 ELSE 0 END
+                           WHEN 'backend_python' THEN CASE WHEN doc THEN 12 ELSE 0 END
+                           WHEN 'machine_learning' THEN CASE WHEN regexp_matches(body, 'workflow automation|agent') THEN 8 ELSE 0 END - CASE WHEN doc AND NOT asked THEN 25 ELSE 0 END
+                           ELSE 0 END AS BIGINT) AS score,
+               concat_ws('|', CASE WHEN contains(body, 'steel') THEN 'Steel' END, CASE WHEN contains(body, 'small') THEN 'small' END, CASE WHEN contains(body, 'widget') THEN 'widget' END, CASE WHEN contains(body, 'large') THEN 'large' END) AS matched_terms
         FROM j""",
     "selection_review": """
-        WITH s AS (SELECT p_partkey % 50 AS posting_id, p_partkey AS project_id, p_name AS title, p_size AS score FROM part)
+        WITH s AS (SELECT o_custkey AS posting_id, o_orderkey AS project_id, o_orderpriority || ' ' || o_orderkey % 9 AS title, floor(o_totalprice) AS score FROM orders)
         SELECT posting_id, project_id, row_number() OVER (PARTITION BY posting_id ORDER BY score DESC, lower(title), project_id) AS position FROM s
-        WHERE NOT EXISTS (SELECT 1 FROM s d WHERE d.score > 40 AND d.posting_id = s.posting_id AND lower(d.title) = lower(s.title))""",
+        WHERE NOT EXISTS (SELECT 1 FROM s d WHERE d.score > 400000 AND d.posting_id = s.posting_id AND lower(d.title) = lower(s.title))""",
     "draft_wording": f"""
         SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE 'https://host/' || c_custkey % 3 END AS link, ['Early-career Engineer', 'Early Analyst', 'Early-career Tutor'][CAST(c_custkey % 3 + 1 AS INT)] AS role,
                c_custkey % 3 = 2 OR regexp_matches(lower(c_name), 'tutor|learning') AS other,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidentia.operators import corpus as C
-from evidentia.operators import embedding, markup, nested, pages, runs
+from evidentia.operators import drafts, embedding, markup, nested, pages, runs
 from evidentia.plans.common import table
 from evidentia.plans.postings import _DROPPED, _entities_sql
 
@@ -133,6 +133,47 @@ def nested_read(spark, d):
     return nested.read(after, SHAPE).select("c_custkey", "c_name", "c_acctbal", *listed)
 
 
+def draft_sections(spark, d):
+    """Customers as candidates: their orders are skills, work and projects, of which dear ones are relevant."""
+    key, text = F.col("o_orderkey"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    none = F.lit(None).cast("string")
+    skill = F.struct(key.alias("id"), text(F.col("o_orderpriority"), " ", key % 7).alias("name"), F.col("o_orderstatus").alias("category"), (key % 5).alias("self_rating"), (key % 11).alias("years_of_experience"))
+    work = F.struct(
+        key.alias("id"), text("Firm ", F.col("o_orderstatus")).alias("company"), F.when(key % 4 == 0, "Math tutor").otherwise("Engineer").alias("job_title"), F.col("o_orderdate").alias("start_date"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("end_date"), F.when(key % 8 == 0, "teaching").otherwise("Tutors pupils").alias("description"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("achievements"),
+    )
+    outcomes = F.array(text("Saved ", key % 100, " hours"), F.lit("Built it"), text("Ran ", F.col("o_orderpriority")), F.lit("built IT"), F.lit("Tracked orders"))
+    project = F.struct(
+        key.alias("id"), text("Workflow ", key % 3).alias("title"), F.lit("d").alias("description"), F.array(F.lit("SQL"), F.lit("sql"), F.lit("Go")).alias("technologies"), outcomes.alias("outcomes"),
+        text("https://host/", key % 2).alias("github_url"), none.alias("portfolio_url"),
+    )
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        *(F.array_sort(F.collect_list(x)).alias(n) for n, x in (("skills", skill), ("work", work), ("projects", project))),
+        F.collect_list(F.when(F.col("o_totalprice") > 250_000, key.cast("string"))).alias("relevant"),
+    )
+    n = F.col("c_custkey")
+    role = F.element_at(F.array(*map(F.lit, ("legal_ai", "machine_learning", "ai_automation", "backend_python", "general"))), (n % 5 + 1).cast("int"))
+    certificate = F.struct(n.alias("id"), F.when(n % 2 == 0, "Google Cloud ML").otherwise("Other").alias("name"), F.lit("A / B").alias("issuing_organization"), none.alias("credential_id"), none.alias("credential_url"))
+    matched = F.array(F.lit("1-urgent 3"), F.lit("Python"), F.lit("5-LOW 2"), F.lit("FastAPI"), F.lit("python"))
+    rows = table(spark, d, "customer").join(lists, "c_custkey").select("*", role.alias("role"), F.array(certificate).alias("certificates"), matched.alias("matched"))
+    chosen = drafts.projects_section(F.col("projects"), F.col("relevant"))
+    first = F.get("chosen", F.lit(0))
+    rows = rows.withColumns({
+        "skill_list": drafts.skills_section(F.col("skills"), F.col("matched")), "work_list": drafts.experience_section(F.col("work"), F.col("relevant"), n % 3 == 0), "chosen": chosen,
+        "certificate": drafts.certifications_section(F.col("certificates"))[0],
+    })
+    entry = drafts.project_entry(F.get(F.filter("projects", lambda p: F.array_contains(F.col("relevant"), p["id"].cast("string"))), F.lit(0)), F.array(F.lit("urgent"), F.lit("Hours")), F.lit(1), drafts.selection_reason(F.col("matched")), F.array(F.lit("https://HOST/1/")))
+    rows = rows.withColumn("entry", F.when(first.isNotNull(), entry))
+    return rows.select(
+        "c_custkey", F.array_join(F.transform("skill_list", lambda x: F.concat(x["source_id"], F.lit("/"), x["name"])), ",").alias("skills"),
+        F.array_join(F.transform("work_list", lambda x: F.concat_ws("/", x["source_id"], x["start_date"], x["end_date"], x["description"], F.array_join(x["achievements"], "+"), x["is_additional"].cast("string"))), ",").alias("work"),
+        F.array_join(F.transform("chosen", lambda x: x["source_id"]), ",").alias("projects"), F.array_join("entry.technologies", "+").alias("technologies"), F.array_join("entry.outcomes", "|").alias("outcomes"),
+        F.col("entry.github_url").alias("link"), F.col("entry.selection_reason").alias("reason"), F.col("certificate.issuing_organization").alias("issuer"),
+        F.array_join(drafts.section_order(experience=F.size("work_list") > 0, projects=F.size("chosen") > 0, education=F.lit(False), certifications=F.lit(True)), ",").alias("sections"),
+        drafts.summary(F.lit(""), F.lit("Senior Engineer"), F.transform("chosen", lambda x: x["title"]), F.col("matched"), F.col("certificates"), F.col("role")).alias("summary"),
+    )
+
+
 class LetterCounts:
     """A service for the query below: three counts of each text, answered from the last to the first."""
 
@@ -150,7 +191,7 @@ def batched_embeddings(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_fields, page_platform, run_lifecycle, run_read_model, corpus_ids, corpus_cases, nested_create, nested_update, nested_read, batched_embeddings,
+        page_fields, page_platform, run_lifecycle, run_read_model, corpus_ids, corpus_cases, nested_create, nested_update, nested_read, batched_embeddings, draft_sections,
     )
 }
 
@@ -281,4 +322,24 @@ ORACLE_SQL = {
     "batched_embeddings": """
         SELECT doc_id, CAST(length(t) AS DOUBLE) AS chars, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS blanks, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS es
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "draft_sections": f"""
+        WITH o AS (SELECT *, o_totalprice > 250000 AS relevant, o_orderpriority || ' ' || o_orderkey % 7 AS skill, o_orderkey % 4 = 0 AS other, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+        g AS (
+            SELECT o_custkey AS c_custkey, string_agg(o_orderkey || '/' || skill, ',' ORDER BY lower(skill) NOT IN ('1-urgent 3', '5-low 2'), skill, o_orderkey) AS skills,
+                   string_agg(concat_ws('/', o_orderkey, day, CASE WHEN o_orderstatus <> 'O' THEN day END, CASE WHEN NOT other THEN 'Tutors pupils' END,
+                              CASE WHEN NOT other THEN 'a+b+c' WHEN o_orderkey % 8 = 0 THEN 'a+b' ELSE '{"+".join(drafts.TUTORING)}' END, other), ',' ORDER BY o_orderkey) FILTER (relevant OR (o_custkey % 3 = 0 AND other)) AS work,
+                   string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (relevant) AS projects, min(o_orderkey) FILTER (relevant) AS first, bool_or(relevant) AS any_project
+            FROM o GROUP BY 1
+        ), f AS (SELECT g.*, o_orderpriority, c_custkey % 5 AS role FROM g LEFT JOIN orders ON o_orderkey = first),
+        b AS (SELECT *, CASE WHEN first IS NOT NULL THEN array_to_string(list_transform(list_sort(list_filter([
+                     {{'a': false, 'b': true, 'c': length('Saved ' || first % 100 || ' hours'), 'd': 0, 'v': 'Saved ' || first % 100 || ' hours'}}, {{'a': true, 'b': false, 'c': 8, 'd': 1, 'v': 'Built it'}},
+                     {{'a': o_orderpriority <> '1-URGENT', 'b': true, 'c': length('Ran ' || o_orderpriority), 'd': 2, 'v': 'Ran ' || o_orderpriority}}, {{'a': true, 'b': false, 'c': 14, 'd': 3, 'v': 'Tracked orders'}}], lambda x: true))[1:3], lambda x: x.v), '|') END AS outcomes FROM f)
+        SELECT c_custkey, skills, coalesce(work, '') AS work, coalesce(projects, '') AS projects, CASE WHEN first IS NOT NULL THEN 'SQL+Go' END AS technologies, outcomes,
+               CASE WHEN first % 2 = 0 THEN 'https://host/0' END AS link, CASE WHEN first IS NOT NULL THEN 'Selected because the role asks for 1-urgent 3, Python, 5-LOW 2, FastAPI.' END AS reason, 'A/B' AS issuer,
+               concat_ws(',', 'summary', 'skills', CASE WHEN work IS NOT NULL THEN 'experience' END, CASE WHEN projects IS NOT NULL THEN 'projects' END, 'certifications') AS sections,
+               'Early-career Engineer with hands-on project experience building ' || CASE role WHEN 0 THEN '{drafts.ROLE_THEMES["legal_ai"]} using FastAPI' WHEN 1 THEN '{drafts.ROLE_THEMES["machine_learning"]} using Python'
+               WHEN 2 THEN '{drafts.ROLE_THEMES["ai_automation"]} using 1-urgent 3, Python, 5-LOW 2, FastAPI' WHEN 3 THEN '{drafts.ROLE_THEMES["backend_python"]} using Python, FastAPI'
+               ELSE CASE WHEN any_project THEN '{drafts.TITLE_THEMES[1][1]}' ELSE '{drafts.TITLE_THEMES[-1][1]}' END || ' using 1-urgent 3, Python, 5-LOW 2, FastAPI' END || '.'
+               || CASE WHEN role < 2 AND c_custkey % 2 = 0 THEN ' {drafts.CLOUD_SENTENCE}' ELSE '' END AS summary
+        FROM b""",
 }
