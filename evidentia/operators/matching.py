@@ -30,33 +30,34 @@ def names_rule(tokens: Column, aliases) -> Column:
 def explicit_status(requirements: DataFrame, evidence: DataFrame, rules: dict = EXPLICIT_RULES) -> DataFrame:
     """(requirement_id, rules_named, rules_met, status) of the requirements that name a rule, over all evidence.
 
-    Evidence is first reduced to one flag for each rule, so nothing is paired."""
-    flags = [names_rule(F.col("tokens"), a) for a in rules.values()]
-    met = evidence.agg(*(F.coalesce(F.bool_or(f), F.lit(False)).alias(f"_met{i}") for i, f in enumerate(flags))).first()
-    named = [F.when(f, 1).otherwise(0) for f in flags]
-    both = [F.when(f, int(met[i])).otherwise(0) for i, f in enumerate(flags)]
-    counted = requirements.select("requirement_id", sum(named, F.lit(0)).cast("bigint").alias("rules_named"), sum(both, F.lit(0)).cast("bigint").alias("rules_met"))
+    Evidence is first reduced to the rules that any of it names, a row each, which requirements meet by rule."""
+    named = lambda tokens: F.array_compact(F.array(*(F.when(names_rule(tokens, a), i) for i, a in enumerate(rules.values()))))
+    asked = requirements.select("requirement_id", F.explode(named(F.col("tokens"))).alias("rule"))
+    held = evidence.select(F.explode(named(F.col("tokens"))).alias("rule")).distinct().withColumn("_met", F.lit(1))
+    counted = asked.join(held, "rule", "left").groupBy("requirement_id").agg(F.count("*").alias("rules_named"), F.count("_met").alias("rules_met"))
     status = F.when(F.col("rules_met") == F.col("rules_named"), "matched").when(F.col("rules_met") > 0, "partially_matched").otherwise("not_evidenced")
-    return counted.filter("rules_named > 0").withColumn("status", status)
+    return counted.withColumn("status", status)
 
 
-def gate(hits: DataFrame, requirements: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(query_id, status, best_lexical, citations) from ranked hits: admit, then grade.
+def gate(hits: DataFrame, requirements: DataFrame, evidence: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope, query_id, status, best_lexical, citations) from ranked hits: admit, then grade; with ``scope`` ids count within their owner, model, ...
+
+    Only evidence that is admitted brings its words along.
 
     A hit is admitted by a shared token or a vector score of ``ADMITTED_VECTOR``; both read rounded scores.  Requirements without
     a signal token are not applicable, whatever was found."""
     admitted = hits.filter((F.col("lexical_score") > 0) | (F.col("vector_score") >= scores.ADMITTED_VECTOR))
-    wording = requirements.select("query_id", F.array_join("tokens", " ").alias("_q"), (F.size(text.signal_tokens(F.col("tokens"))) > 0).alias("_signal"))
-    bodies = evidence.select("evidence_id", F.array_join("tokens", " ").alias("_e"))
-    cited = admitted.join(bodies, "evidence_id").join(wording.drop("_signal"), "query_id")
-    graded = cited.groupBy("query_id").agg(
-        F.max("lexical_score").alias("best_lexical"), F.bool_or(F.contains("_e", "_q")).alias("_exact"), F.count("*").alias("citations")
-    )
-    rows = wording.join(graded, "query_id", "left")
+    within = scope or []
+    of_query, of_evidence = [*within, "query_id"], [*within, "evidence_id"]
+    wording = requirements.select(*of_query, F.array_join("tokens", " ").alias("_q"), (F.size(text.signal_tokens(F.col("tokens"))) > 0).alias("_signal"))
+    bodies = evidence.join(admitted.select(*of_evidence).distinct(), of_evidence, "left_semi").select(*of_evidence, F.array_join("tokens", " ").alias("_e"))
+    cited = admitted.join(bodies, of_evidence).join(wording.drop("_signal"), of_query)
+    graded = cited.groupBy(*of_query).agg(F.max("lexical_score").alias("best_lexical"), F.bool_or(F.contains("_e", "_q")).alias("_exact"), F.count("*").alias("citations"))
+    rows = wording.join(graded, of_query, "left")
     status = scores.status_of(F.coalesce("best_lexical", F.lit(0.0)), F.col("citations").isNotNull(), F.coalesce("_exact", F.lit(False)))
     status = F.when(~F.col("_signal"), "not_applicable").otherwise(status)
     kept = F.when(F.col("status").isin("matched", "partially_matched"), F.col("citations")).otherwise(F.lit(0)).cast("bigint")
-    return rows.withColumn("status", status).select("query_id", "status", F.coalesce("best_lexical", F.lit(0.0)).alias("best_lexical"), kept.alias("citations"))
+    return rows.withColumn("status", status).select(*of_query, "status", F.coalesce("best_lexical", F.lit(0.0)).alias("best_lexical"), kept.alias("citations"))
 
 
 def best_alternative(rows: DataFrame) -> DataFrame:

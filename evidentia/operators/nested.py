@@ -72,10 +72,11 @@ def update(tables: Tables, payloads: DataFrame, shape: Shape) -> tuple[Tables, D
         named = own.filter(F.col(section).isNotNull())
         keys, old, new = named.select(shape.key), tables.children[section], section_rows(named, shape, section)
         children[section] = old.join(keys, shape.key, "left_anti").unionByName(new)
-        gone = old.join(keys, shape.key, "left_semi").agg(F.count("*").alias("deleted"))
-        made = new.agg(F.count("*").alias("inserted"))
-        counts.append(gone.join(made, F.lit(True)).select(F.lit(section).alias("table"), F.lit(0).cast("bigint").alias("updated"), "deleted", "inserted"))
-    return Tables(root, children), reduce(DataFrame.unionByName, counts)
+        zero = F.lit(0).cast("bigint")
+        counts.append(old.join(keys, shape.key, "left_semi").agg(F.lit(section).alias("table"), zero.alias("updated"), F.count("*").alias("deleted"), zero.alias("inserted")))
+        counts.append(new.agg(F.lit(section).alias("table"), zero.alias("updated"), zero.alias("deleted"), F.count("*").alias("inserted")))
+    total = reduce(DataFrame.unionByName, counts).groupBy("table").agg(*(F.sum(n).alias(n) for n in ("updated", "deleted", "inserted")))
+    return Tables(root, children), total
 
 
 def delete(tables: Tables, doomed: DataFrame, shape: Shape) -> Tables:

@@ -94,13 +94,22 @@ def rule_mask(tokens: Column, rules: dict) -> Column:
     return F.get(bits, F.lit(0))
 
 
-def named_evidence(evidence: DataFrame, rules: dict) -> DataFrame:
-    """(mask, met, citations): for each set of rules a requirement may name, those that evidence meets and how much evidence cites any.
+def held_rules(evidence: DataFrame, rules: dict) -> DataFrame:
+    """(held, n): the sets of rules that evidence names together, as masks, and how much evidence names just those.
 
-    Evidence is first counted by the rules it names, so the table has at most a row for each set of rules."""
-    held = evidence.select(rule_mask(F.col("tokens"), rules).alias("held")).groupBy("held").agg(F.count("*").alias("n")).filter("held > 0")
-    wanted = held.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit((1 << len(rules)) - 1)))).filter("mask & held > 0")
-    return wanted.groupBy("mask").agg(F.bit_or(F.col("mask").bitwiseAND(F.col("held"))).alias("met"), F.sum("n").alias("named"))
+    Evidence is counted by the rules it names, so there is at most a row for each combination that occurs, and never more than rows of evidence."""
+    return evidence.select(rule_mask(F.col("tokens"), rules).alias("held")).groupBy("held").agg(F.count("*").alias("n")).filter("held > 0")
+
+
+def named_evidence(masks: DataFrame, evidence: DataFrame, rules: dict) -> DataFrame:
+    """(mask, met, named): for each distinct mask that requirements ask for, the rules of it that evidence meets and how much evidence cites any.
+
+    Each asked mask and each held one is cut into its rules, and meets the others by rule; a held set is counted once for a mask."""
+    bits = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(rules) - 1)), lambda i: F.when(F.getbit(c, i) == 1, i)), lambda i: i.isNotNull())
+    asked = masks.select(F.col("mask").cast("bigint").alias("mask")).filter("mask > 0").distinct().withColumn("rule", F.explode(bits(F.col("mask"))))
+    held = held_rules(evidence, rules).withColumn("held", F.col("held").cast("bigint")).withColumn("rule", F.explode(bits(F.col("held"))))
+    met = asked.join(held, "rule").select("mask", "held", "n").distinct()
+    return met.groupBy("mask").agg(F.bit_or(F.col("mask").bitwiseAND(F.col("held"))).alias("met"), F.sum("n").alias("named"))
 
 
 def matched(requirements: DataFrame, evidence: DataFrame, k: int, rules: dict = matching.EXPLICIT_RULES) -> DataFrame:
@@ -111,8 +120,8 @@ def matched(requirements: DataFrame, evidence: DataFrame, k: int, rules: dict =
     matched by its whole wording in a citation or the lexical bar.  ``branch`` tells which rule decided.  Whether a text has
     anything to verify (``has_signal``) is left to the caller: it counts for single requirements only."""
     masks = requirements.select("query_id", "tokens", rule_mask(F.col("tokens"), rules).alias("mask"), (F.size(text.signal_tokens(F.col("tokens"))) > 0).alias("has_signal"))
-    found = named_evidence(evidence, rules)
-    by_rule = masks.filter("mask > 0").join(F.broadcast(found), "mask", "left")  # at most 2 ** rules - 1 rows
+    found = named_evidence(masks, evidence, rules)
+    by_rule = masks.filter("mask > 0").join(found, "mask", "left")
     met = F.coalesce("met", F.lit(0))
     rule_status = F.when(met == F.col("mask"), "matched").when(met > 0, "partially_matched").otherwise("not_evidenced")
     rule_branch = F.when(met == F.col("mask"), "explicit_phrase_matched").when(met > 0, "explicit_phrase_partial").otherwise("explicit_phrase_absent")

@@ -26,6 +26,8 @@ DIMENSIONS = 256
 QUERY_BLOCK, QUERY_TOKENS = 1024, 500_000
 #: Evidence rows and tokens of a block, about, that a task holds while queries stream by.
 EVIDENCE_BLOCK, EVIDENCE_TOKENS = 50_000, 10_000_000
+#: Width of the ranges of ids that one task numbers.
+ID_RANGE = 100_000
 #: Bytes of a table, about, that may be dealt anew to use all cores.
 SPREAD_BYTES = 1 << 30
 #: Vectors or queries of a block, about, and pairs scored at once.
@@ -229,6 +231,52 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
         yield key, pa.Table.from_batches(held)
 
 
+def _past_scopes(held: DataFrame, passing: DataFrame, scope: list[str], rows: int, score, schema: str) -> DataFrame:
+    """``score(block, part)`` where rows (scope, id, value) of one scope meet: those held in blocks of about ``rows``, those passing in parts.
+
+    A scope is the values of some columns; nulls belong to none.  A scope with a third of all rows is many blocks, each a group of
+    its own.  The result has the scope's columns before those of ``schema``."""
+    sizes = held.groupBy(*scope).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
+    right = held.join(sizes, scope).select(*scope, F.pmod(F.xxhash64("id", "value"), F.col("_parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "value")
+    left = passing.join(sizes, scope).select(*scope, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "value")
+    dealt = right.union(left).repartition(*scope, "part").sortWithinPartitions(*scope, "part", "side")
+    keys = [*scope, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = None, None
+        for key, side, table in _scoped_runs(batches, keys):
+            if side == 0:
+                block, own = table, key
+            elif key == own:
+                found = score(block, table)
+                columns = [pa.array([v] * found.num_rows, table.schema.field(n).type) for n, v in zip(scope, key, strict=False)]
+                yield from pa.table([*columns, *found.columns], names=[*scope, *found.column_names]).to_batches()
+
+    kinds = ", ".join(f"{n} {held.schema[n].dataType.simpleString()}" for n in scope)
+    return dealt.mapInArrow(run, f"{kinds}, {schema}")
+
+
+def _scoped_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, int, pa.Table]]:
+    """(key, side, its rows) of rows sorted by key and side; rows of side 1 come in parts of at most ``QUERY_BLOCK``."""
+    now, held = None, []
+    for batch in batches:
+        columns = [batch.column(n) for n in (*keys, "side")]
+        new = np.zeros(batch.num_rows, np.bool_)
+        for c in columns:
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            for at in range(begin, end, QUERY_BLOCK):
+                *key, side = (c[at].as_py() for c in columns)
+                if held and ((tuple(key), side) != now or (side == 1 and sum(b.num_rows for b in held) >= QUERY_BLOCK)):
+                    yield *now, pa.Table.from_batches(held)
+                    held = []
+                now = tuple(key), side
+                held.append(batch.slice(at, min(QUERY_BLOCK, end - at)))
+    if held:
+        yield *now, pa.Table.from_batches(held)
+
+
 def _one(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks)
 
@@ -297,19 +345,84 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
-def rank(evidence: DataFrame, queries: DataFrame, k: int, vector_weight: float = scores.VECTOR_WEIGHT, lexical_weight: float = scores.LEXICAL_WEIGHT) -> DataFrame:
-    """(query_id, evidence_id, rank, lexical_score, vector_score, retrieval_score) of the best ``k`` of each query.
+def _scoped_candidates(evidence: DataFrame, queries: DataFrame, scope: list[str], k: int, weights: tuple[float, float]) -> DataFrame:
+    def scored(block: pa.Table, asked: pa.Table) -> pa.Table:
+        best = Best(QueryBlock(asked["id"].to_pylist(), _one(asked["value"]), Features()), k, weights)
+        best.add(block["id"].to_numpy(), _one(block["value"]))
+        return best.rows()
+
+    held = evidence.select(*scope, F.col("evidence_id").cast("bigint").alias("id"), F.col("tokens").alias("value"))
+    passing = queries.select(*scope, F.col("query_id").cast("bigint").alias("id"), F.col("tokens").alias("value"))
+    return _past_scopes(held, passing, scope, EVIDENCE_BLOCK, scored, CANDIDATES)
+
+
+def rank(
+    evidence: DataFrame, queries: DataFrame, k: int, vector_weight: float = scores.VECTOR_WEIGHT, lexical_weight: float = scores.LEXICAL_WEIGHT, scope: list[str] | None = None
+) -> DataFrame:
+    """(scope, query_id, evidence_id, rank, lexical_score, vector_score, retrieval_score) of the best ``k`` of each query.
+
+    With ``scope``, names of columns that both sides have (owner, model, ...), a query is ranked against the evidence of its own scope alone.
 
     ``evidence`` has (evidence_id, tokens), ``queries`` (query_id, tokens); both ids are bigint.  Ordered by the unrounded score, then the rounded lexical score, then the id;
     reported scores have four decimals."""
-    best = candidates(evidence, queries, k, (lexical_weight, vector_weight))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("lexical_score"), "evidence_id")
+    within, weights = scope or [], (lexical_weight, vector_weight)
+    best = _scoped_candidates(evidence, queries, within, k, weights) if within else candidates(evidence, queries, k, weights)
+    order = Window.partitionBy(*within, "query_id").orderBy(F.desc("score"), F.desc("lexical_score"), "evidence_id")
     ranked = best.withColumn("lexical_score", scores.unit_score(F.col("lexical"))).withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.filter(F.col("rank") <= k).select(
-        "query_id", "evidence_id", "rank", "lexical_score", scores.unit_score(F.col("vector")).alias("vector_score"), scores.unit_score(F.col("score")).alias("retrieval_score")
+        *within, "query_id", "evidence_id", "rank", "lexical_score", scores.unit_score(F.col("vector")).alias("vector_score"), scores.unit_score(F.col("score")).alias("retrieval_score")
     )
 
 
+def full_order(evidence: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, evidence_id, rank, shared, lexical_score) of all evidence for each query of a stated set, by shared tokens.
+
+    Scored rows stream out of the tasks as they are made; none is held.  Places are numbered in two levels: each query's rows are counted
+    by their number of shared tokens, which gives every such group its first place; within a group ids are cut into ranges whose
+    sizes are summed, so that no task sorts all rows of a query."""
+    size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
+    asked = queries.select(F.col("query_id").cast("bigint").alias("id"), F.col("tokens").alias("value"))
+    rows = spread(evidence.select(F.col("evidence_id").cast("bigint"), "tokens"))
+
+    def pairs(ids: np.ndarray, lists: pa.Array, block: QueryBlock) -> Iterator[pa.RecordBatch]:
+        step = max(1, PAIRS // max(len(block.ids), 1))
+        for at in range(0, len(ids), step):
+            shared = block.shared(TokenLists(lists[at : at + step]))
+            own, queries_of = np.repeat(ids[at : at + step], shared.shape[1]), np.tile(block.ids, len(shared))
+            lexical = (shared / block.sizes).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(queries_of), pa.array(own), pa.array(lexical), pa.array(shared.ravel().astype(np.int64))], names=["query_id", "evidence_id", "lexical", "shared"])
+
+    schema = "query_id bigint, evidence_id bigint, lexical double, shared bigint"
+    if size["rows"] <= QUERY_BLOCK and size["tokens"] <= QUERY_TOKENS:
+        held = asked.toArrow()
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = QueryBlock(held["id"].to_pylist(), held["value"].combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.string())), Features())
+            for batch in batches:
+                if len(block.ids):
+                    yield from pairs(batch.column("evidence_id").to_numpy(zero_copy_only=False), batch.column("tokens"), block)
+
+        scored = rows.mapInArrow(local, schema)
+    else:
+        down = max(1, -(-evidence.count() // EVIDENCE_BLOCK))
+
+        def passing(block: pa.Table, parts: Iterator[pa.Table]) -> Iterator[pa.Table]:
+            for part in parts:
+                of = QueryBlock(part["id"].to_pylist(), _one(part["value"]), Features())
+                for batch in pairs(block["id"].to_numpy(), _one(block["value"]), of):
+                    yield pa.Table.from_batches([batch])
+
+        scored = _past_blocks(rows.select(F.col("evidence_id").alias("id"), F.col("tokens").alias("value")), down, asked, max(1, -(-size["rows"] // QUERY_BLOCK), -(-size["tokens"] // QUERY_TOKENS)), passing, schema)
+    # ids in ranges of a fixed width: sorted by range, then by id within one
+    ranged = scored.withColumn("range", F.floor(F.col("evidence_id") / ID_RANGE))
+    groups = ranged.groupBy("query_id", "shared", "range").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("query_id").orderBy(F.desc("shared"), "range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = groups.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
+    own = Window.partitionBy("query_id", "shared", "range").orderBy("evidence_id")
+    placed = ranged.withColumn("_n", F.row_number().over(own)).join(firsts, ["query_id", "shared", "range"])
+    return placed.select("query_id", "evidence_id", (F.col("before") + F.col("_n")).cast("bigint").alias("rank"), "shared", scores.unit_score(F.col("lexical")).alias("lexical_score"))
+
+
 def lexical_topk(evidence: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, evidence_id, rank, shared, lexical_score): the best ``k`` by shared tokens alone, of those that share any."""
     best = candidates(evidence, queries, k, None).filter("shared > 0").withColumn("lexical_score", scores.unit_score(F.col("lexical")))
@@ -342,8 +455,10 @@ def valid_vector(vector, dimensions=None):
     return F.when(fault.isNull(), vector).otherwise(F.raise_error(F.concat(F.lit("bad vector: "), fault)).cast("array<double>"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): exact cosine top-k of (query_id, query) among (vec_id, vec), decimals as reported.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None) -> DataFrame:
+    """(scope, query_id, vec_id, cosine, rank): exact cosine top-k of (query_id, query) among (vec_id, vec), decimals as reported.
+
+    With ``scope``, names of columns that both sides have (owner, model, dimensions, ...), only vectors of a query's own scope count.
 
     Both sides may have a ``label``; then only vectors with the label of the query count.  Queries of a checked size travel to the tasks;
     beyond, blocks of about ``VECTOR_BLOCK`` vectors are held by a task each while blocks of queries stream past.  Either way vectors are
@@ -356,6 +471,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def table(columns: list) -> pa.Table:
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "_c"])
 
+    if scope:
+
+        def within(block: pa.Table, asked: pa.Table) -> pa.Table:
+            return table(nearest(asked.rename_columns({"id": "query_id", "value": "query"}), block.rename_columns({"id": "vec_id", "value": "vec"}), k))
+
+        held = vectors.select(*scope, F.col("vec_id").alias("id"), F.col("vec").alias("value"))
+        found_here = _past_scopes(held, queries.select(*scope, F.col("query_id").alias("id"), F.col("query").alias("value")), scope, VECTOR_BLOCK, within, found)
+        return _ranked_vectors(found_here, scope, k)
     size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("query")), F.lit(0)).alias("numbers")).first()
     if size["rows"] <= VECTOR_BLOCK and size["numbers"] <= VECTOR_NUMBERS:
         asked = left.toArrow()
@@ -383,9 +506,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         passing = left.select(F.col("query_id").alias("id"), F.struct(F.col("query").alias("vec"), *([F.col("query_label").alias("vec_label")] if labelled else [])).alias("value"))
         held = right.select(F.col("vec_id").alias("id"), F.struct(*value).alias("value"))
         best = _past_blocks(held, max(1, -(-vectors.count() // VECTOR_BLOCK)), passing, max(1, -(-size["rows"] // VECTOR_BLOCK), -(-size["numbers"] // VECTOR_NUMBERS)), scored, found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    scored_rows = best.select("query_id", "vec_id", F.round("_c", 6).alias("cosine"))
-    return scored_rows.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return _ranked_vectors(best, [], k)
+
+
+def _ranked_vectors(best: DataFrame, scope: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*scope, "query_id").orderBy(F.desc("cosine"), "vec_id")
+    scored = best.select(*scope, "query_id", "vec_id", F.round("_c", 6).alias("cosine"))
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
 _QUERY_NAMES = {"vec": "query", "vec_label": "query_label"}

@@ -203,10 +203,29 @@ def threshold_separability(spark, d):
 
 
 def full_ranking(spark, d):
-    """Every item of the search set against all documents of one source, in full: a case's whole order."""
-    docs = V.tokens_of(V.spread(table(spark, d, "documents").filter("source = 'src3'").select("doc_id", "text")), "doc_id", "text", "evidence_id")
+    """Every item of the search set against all documents, in full: a case's whole order."""
+    docs = V.tokens_of(V.spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "evidence_id")
     cases = V.tokens_of(table(spark, d, "benchmark").filter("item_id % 20 = 0"), "item_id", "text", "query_id")
-    return V.rank(docs, cases, docs.count(), vector_weight=0.0, lexical_weight=1.0).select("query_id", "evidence_id", "rank", "lexical_score")
+    return V.full_order(docs, cases).select("query_id", "evidence_id", "rank", "lexical_score")
+
+
+def owner_rank(spark, d):
+    """Items rank the documents of one language each: language as owner, source as model."""
+    scope = [F.col("lang").alias("owner"), F.col("source").alias("model")]
+    docs = table(spark, d, "documents").select(*scope, F.col("doc_id").alias("evidence_id"), text.retrieval_tokens(F.col("text")).alias("tokens"))
+    owner = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "none"))), (F.col("item_id") % 5 + 1).cast("int")).alias("owner")
+    items = table(spark, d, "benchmark").select(owner, F.lit("src3").alias("model"), F.col("item_id").alias("query_id"), text.retrieval_tokens(F.col("text")).alias("tokens"))
+    hits = V.rank(docs, items, R.K, vector_weight=0.0, lexical_weight=1.0, scope=["owner", "model"])
+    judged = M.gate(hits, items, docs, scope=["owner", "model"]).select("query_id", "status", "citations")
+    return hits.join(judged, "query_id").select("owner", "query_id", "evidence_id", "rank", "lexical_score", "status", "citations")
+
+
+def owner_topk(spark, d):
+    """Each vector of the search set among those of its owner, model and dimensions."""
+    scope = lambda key: [(F.col(key) % 7).alias("owner"), F.lit("m").alias("model")]
+    rows = R._vectors(spark, d).select(*scope("vec_id"), F.size("vec").alias("dimensions"), "vec_id", "vec")
+    queries = R._query_vectors(spark, d).select(*scope("query_id"), F.size("query").alias("dimensions"), "query_id", "query")
+    return V.vector_topk(rows, queries, R.K, scope=["owner", "model", "dimensions"]).select("owner", "query_id", "vec_id", "cosine", "rank")
 
 
 def page_lines(spark, d):
@@ -255,7 +274,7 @@ QUERIES = {
     for f in (
         requirement_match, requirement_any, structured_requirements, requirement_catalogs, match_explanation, unique_evidence, evidence_projection, gap_report, term_warnings,
         candidate_years, component_scores, project_scores, selection_review, draft_wording, index_plan, vector_faults, owner_vectors, evaluation_flags, threshold_separability,
-        full_ranking, page_lines, posting_fields, title_decisions, conditional_update, cascade_delete, owner_filtered_aggregate,
+        full_ranking, owner_rank, owner_topk, page_lines, posting_fields, title_decisions, conditional_update, cascade_delete, owner_filtered_aggregate,
     )
 }
 
@@ -455,9 +474,24 @@ ORACLE_SQL = {
                count(*) FILTER (category = 'paraphrase' AND m > floor) AS above_floor, count(*) FILTER (category = 'paraphrase' AND m >= 0.45) AS at_citation_bar,
                count(*) FILTER (category IN ('near_miss', 'unsupported') AND NOT explicit AND m >= weakest) AS caught FROM b, e GROUP BY floor, weakest""",
     "full_ranking": f"""
-        WITH q AS (SELECT item_id AS query_id, list_distinct({tokens_sql("text")}) AS t FROM benchmark WHERE item_id % 20 = 0), e AS (SELECT doc_id AS evidence_id, {tokens_sql("text")} AS t FROM documents WHERE source = 'src3'),
+        WITH q AS (SELECT item_id AS query_id, list_distinct({tokens_sql("text")}) AS t FROM benchmark WHERE item_id % 20 = 0), e AS (SELECT doc_id AS evidence_id, {tokens_sql("text")} AS t FROM documents),
         s AS (SELECT query_id, evidence_id, CAST(len(list_intersect(q.t, e.t)) AS DOUBLE) / greatest(len(q.t), 1) AS x FROM q, e)
         SELECT query_id, evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, evidence_id) AS rank, {R.unit_sql("x")} AS lexical_score FROM s""",
+    "owner_rank": f"""
+        WITH q AS (SELECT ['en', 'de', 'fr', 'es', 'none'][CAST(item_id % 5 + 1 AS INT)] AS owner, item_id AS query_id, {tokens_sql("text")} AS w FROM benchmark),
+        e AS (SELECT lang AS owner, doc_id AS evidence_id, {tokens_sql("text")} AS w FROM documents WHERE source = 'src3'),
+        s AS (SELECT owner, query_id, evidence_id, CAST(len(list_intersect(list_distinct(q.w), e.w)) AS DOUBLE) / greatest(len(list_distinct(q.w)), 1) AS x,
+                     contains(array_to_string(e.w, ' '), array_to_string(q.w, ' ')) AS whole FROM q JOIN e USING (owner)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, {R.unit_sql("x")} DESC, evidence_id) AS rank, {R.unit_sql("x")} AS lexical_score FROM s),
+        t AS (SELECT * FROM r WHERE rank <= {R.K}),
+        g AS (SELECT query_id, count(*) FILTER (lexical_score > 0) AS n, coalesce(max(lexical_score) FILTER (lexical_score > 0), 0) AS best, coalesce(bool_or(whole) FILTER (lexical_score > 0), false) AS exact FROM t GROUP BY 1),
+        j AS (SELECT *, CASE WHEN n = 0 THEN 'not_evidenced' WHEN exact OR best >= 0.65::DOUBLE THEN 'matched' WHEN best >= 0.25::DOUBLE THEN 'partially_matched' ELSE 'not_evidenced' END AS status FROM g)
+        SELECT owner, query_id, evidence_id, rank, lexical_score, status, CASE WHEN status = 'not_evidenced' THEN 0 ELSE n END AS citations FROM t JOIN j USING (query_id)""",
+    "owner_topk": """
+        WITH v AS (SELECT vec_id, vec_id % 7 AS owner, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        s AS (SELECT q.owner, q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v q JOIN v ON q.owner = v.owner AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s)
+        SELECT * FROM r WHERE rank <= 3""",
     "page_lines": f"""
         WITH l AS (SELECT doc_id, {_SPLIT.format("'the', 'of', 'and', 'home'")} AS a FROM documents), u AS (SELECT doc_id, {_ONCE.format("a")} AS b FROM l)
         SELECT doc_id, CAST(len(b) AS BIGINT) AS n_lines, sha256(array_to_string(b, chr(10))) AS digest FROM u""",

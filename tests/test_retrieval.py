@@ -148,3 +148,68 @@ def test_many_queries(spark, monkeypatch):
     assert hybrid == sorted(map(tuple, retrieval.rank(evidence, queries, 2).collect()))
     moved = [x for x in str(found._jdf.queryExecution().optimizedPlan()).splitlines() if "RepartitionByExpression" in x]
     assert len(moved) == 1
+
+
+def owned(spark, seed, n, owners):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(rng.choice(owners), rng.choice(["m", "x"]), i, rng.choices(words, k=rng.randint(0, 6))) for i in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_rank_within_owners(spark, monkeypatch, block):
+    """As ranking each owner's rows by themselves; a scope with a null belongs to nobody."""
+    monkeypatch.setattr(retrieval, "EVIDENCE_BLOCK", block)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    evidence, queries = owned(spark, 1, 120, [1, 1, 1, 2, None]), owned(spark, 2, 25, [1, 2, 3, None])
+    e = spark.createDataFrame(evidence, "owner int, model string, evidence_id bigint, tokens array<string>")
+    q = spark.createDataFrame(queries, "owner int, model string, query_id bigint, tokens array<string>")
+    got = sorted(map(tuple, retrieval.rank(e, q, 3, scope=["owner", "model"]).collect()))
+    want = []
+    for owner in (1, 2):
+        for model in ("m", "x"):
+            own = lambda df: df.filter(F.col("owner") == owner).filter(F.col("model") == model)  # noqa: B023, E731
+            want += [(owner, model, *r) for r in retrieval.rank(own(e), own(q), 3).collect()]
+    assert got == sorted(want) and got
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_vectors_within_owners(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b"]), i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "owner string, vec_id bigint, vec array<double>")
+    q = v.filter("vec_id % 5 = 0").withColumnsRenamed({"vec_id": "query_id", "vec": "query"})
+    got = sorted(map(tuple, retrieval.vector_topk(v, q, 2, scope=["owner"]).collect()))
+    want = [(o, *r) for o in "ab" for r in retrieval.vector_topk(v.filter(F.col("owner") == o), q.filter(F.col("owner") == o).drop("owner"), 2).collect()]
+    assert got == sorted(want) and len(got) == 24
+
+
+@pytest.mark.parametrize("queries_held,ids", [(1024, 100_000), (2, 7)])
+def test_full_order(spark, monkeypatch, queries_held, ids):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", queries_held)
+    monkeypatch.setattr(retrieval, "ID_RANGE", ids)
+    evidence, queries = owned(spark, 5, 60, [1]), owned(spark, 6, 8, [1])
+    e = spark.createDataFrame([r[2:] for r in evidence], "evidence_id bigint, tokens array<string>")
+    q = spark.createDataFrame([r[2:] for r in queries], "query_id bigint, tokens array<string>")
+    want = []
+    for *_, query, tokens in queries:
+        counted = sorted((-len(set(tokens) & set(t)), i) for *_, i, t in evidence)
+        want += [(query, i, rank, -n) for rank, (n, i) in enumerate(counted, 1)]
+    assert sorted(tuple(r)[:4] for r in retrieval.full_order(e, q).collect()) == sorted(want)
+
+
+def test_rule_masks(spark):
+    """Many rules cost as much as are named together, not all their combinations."""
+    from evidentia.operators import requirements
+
+    rules = {f"r{i}": (f"a{i}",) for i in range(28)}
+    evidence = spark.createDataFrame([(1, ["a0", "a1"]), (2, ["a1", "a27"]), (3, ["a5"]), (4, ["none"])], "evidence_id bigint, tokens array<string>")
+    asked = spark.createDataFrame([(1, 0b11), (2, (1 << 27) | 0b10), (3, 1 << 6), (4, 0b11)], "query_id bigint, mask bigint")
+    got = {r["mask"]: (r["met"], r["named"]) for r in requirements.named_evidence(asked, evidence, rules).collect()}
+    assert got == {0b11: (0b11, 2), (1 << 27) | 0b10: ((1 << 27) | 0b10, 2)}
