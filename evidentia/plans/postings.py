@@ -144,11 +144,16 @@ def page_url(spark, d):
     return table(spark, d, "pages").select("page_id", P.host(F.col("url")).alias("host"), P.query_value(F.col("url"), "page").alias("page_no"))
 
 
+def redact_documents(spark, d):
+    redacted = text.redact(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", (redacted != F.col("text")).alias("changed"), text.content_hash(redacted).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         section_carry_forward, prioritized_contexts, dictionary_tags, required_preferred_split, or_groups, canonical_bullets, normalized_title, experience_bounds,
-        posting_profile, redact, normalized_text, signal_tokens, content_hash, slug, contact_extract, line_clean_dedupe, sentence_split, page_text, page_url,
+        posting_profile, redact, normalized_text, signal_tokens, content_hash, slug, contact_extract, line_clean_dedupe, sentence_split, page_text, page_url, redact_documents,
     )
 }
 
@@ -277,6 +282,7 @@ def _entities_sql(value: str) -> str:
 _DROPPED = "|".join(f"<{n}\\b.*?</{n}\\s*>" for n in ("script", "style", "head")) + "|<!--.*?-->"
 ORACLE_SQL |= {
     "redact": f"SELECT id, {_redact_sql('body')} AS redacted FROM {values(REDACT, 'v', 'id, body')}",
+    "redact_documents": f"SELECT doc_id, r <> text AS changed, sha256(r) AS digest FROM (SELECT doc_id, text, {_redact_sql('text')} AS r FROM documents)",
     "sentence_split": r"""
         SELECT conv_id, turn, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS BIGINT) AS n_sentences FROM conversations""",
     "page_text": rf"""

@@ -77,6 +77,14 @@ def phrase_documents(spark, d):
     return rows.select("doc_id", *(M.names_rule(F.col("tokens"), a).alias(n) for n, a in rules.items()))
 
 
+def explicit_documents(spark, d):
+    """Items that name a rule, against all documents."""
+    rules = {"of_the": ("of the",), "que_de": ("que de", "de que"), "der_die": ("der die", "die der"), "none": ("zzz zzz",)}
+    tokens = text.retrieval_tokens(F.col("text"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("requirement_id"), tokens.alias("tokens"))
+    return M.explicit_status(asked, table(spark, d, "documents").select(tokens.alias("tokens")), rules)
+
+
 def any_logic_best_alternative(spark, d):
     rows = _statuses(spark, d).select((F.col("doc_id") % 100).alias("group_id"), F.col("doc_id").alias("position"), "status", (F.length("source") / 8).alias("best_lexical"))
     return M.best_alternative(rows).select("group_id", "position", "status")
@@ -162,7 +170,7 @@ def budgeted_prefix(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        coverage_score, status_rollup, tenure_merged, tenure_summed, experience_status, explicit_phrase_status, phrase_documents, any_logic_best_alternative,
+        coverage_score, status_rollup, tenure_merged, tenure_summed, experience_status, explicit_phrase_status, explicit_documents, phrase_documents, any_logic_best_alternative,
         term_coverage, scorecard, strongest_evidence, project_topk, grounding_check, grounding_summary, incremental_sync, usage_rollup, cost_estimate,
         usage_by_day, budgeted_prefix,
     )
@@ -230,6 +238,12 @@ ORACLE_SQL = {
                      CAST({" + ".join(f"CAST({_phrase_sql('t', a)} AND m{i} AS INT)" for i, a in enumerate(_RULES))} AS BIGINT) AS rules_met FROM q, m)
         SELECT *, CASE WHEN rules_met = rules_named THEN 'matched' WHEN rules_met > 0 THEN 'partially_matched' ELSE 'not_evidenced' END AS status
         FROM n WHERE rules_named > 0""",
+    "explicit_documents": f"""
+        WITH q AS (SELECT item_id AS requirement_id, {tokens_sql("text")} AS t FROM benchmark), e AS (SELECT {tokens_sql("text")} AS t FROM documents),
+        m AS (SELECT bool_or({_phrase_sql("t", ("of the",))}) AS m0, bool_or({_phrase_sql("t", ("que de", "de que"))}) AS m1, bool_or({_phrase_sql("t", ("der die", "die der"))}) AS m2 FROM e),
+        n AS (SELECT requirement_id, {_phrase_sql("t", ("of the",))} AS n0, {_phrase_sql("t", ("que de", "de que"))} AS n1, {_phrase_sql("t", ("der die", "die der"))} AS n2 FROM q),
+        c AS (SELECT requirement_id, CAST(n0 AS BIGINT) + CAST(n1 AS BIGINT) + CAST(n2 AS BIGINT) AS rules_named, CAST(n0 AND m0 AS BIGINT) + CAST(n1 AND m1 AS BIGINT) + CAST(n2 AND m2 AS BIGINT) AS rules_met FROM n, m)
+        SELECT *, CASE WHEN rules_met = rules_named THEN 'matched' WHEN rules_met > 0 THEN 'partially_matched' ELSE 'not_evidenced' END AS status FROM c WHERE rules_named > 0""",
     "phrase_documents": f"""
         WITH q AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents)
         SELECT doc_id, {_phrase_sql("t", ("of the",))} AS of_the, {_phrase_sql("t", ("que de", "de que"))} AS que_de,
