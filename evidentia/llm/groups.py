@@ -15,6 +15,11 @@ def salt(*cols: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
+def uniform(*cols: Column) -> Column:
+    """A number of [0, 1) by the hash of some columns, in steps of 2**-53: fine enough for the rates of samples of any table."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
+
+
 def partial_then_total(keyed: DataFrame, keys: list[str], partial: dict[str, Column], total: dict[str, Column]) -> DataFrame:
     """(keys, ``_salt``, totals): one row for each key and salt, so that a join on both meets no hot key.
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm import store
+from evidentia.llm import groups, store
 
 ORDER = 5
 SAMPLE_CHARS = 400_000
@@ -286,7 +286,7 @@ def train(
     rates = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_chars / n))))
 
     def draw(*more: Column) -> Column:
-        return F.pmod(F.xxhash64(F.col("_id"), *more, F.lit("langid")), F.lit(1_000_000)) / 1_000_000.0
+        return groups.uniform(F.col("_id"), *more, F.lit("langid"))
 
     places = F.sequence(F.lit(0), F.floor(F.length("text") / PIECE_CHARS).cast("int"))
     # places are drawn before any piece is cut: a cut reads its text from the start

@@ -44,7 +44,7 @@ FENCE_HIGH = {"chars_per_token": 3.0, "byte_share": 1.5, "token_entropy": 3.0}
 LEAST_WIDTH = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.1}
 LEAST_GROUP = 30
 #: Histograms of the measures: steps for each unit, and the value at which they end.
-STEPS, LAST = 200, 64
+STEPS, LAST = 1000, 64
 #: Bytes of words that a table of tokens holds at most before it is emptied: text without spaces has few, but long words.
 TABLE_BYTES = 16_000_000
 BLOCK_WORDS = 500_000
@@ -255,8 +255,26 @@ def length_class(tokens: Column) -> Column:
     return F.when(tokens > 0, F.floor(F.log2(tokens.cast("double"))).cast("int"))
 
 
+def merged_lengths(sizes: DataFrame, least_group: int) -> DataFrame:
+    """(vocabulary, length, merged): the class that each length class is measured with.
+
+    The longest classes are one class as far down as it takes to have ``least_group`` documents in all, and so are the shortest.
+    ``sizes`` has (vocabulary, length, n), some dozen rows a vocabulary, as classes double."""
+    by = Window.partitionBy("vocabulary")
+    above = F.sum("n").over(by.orderBy(F.desc("length")))
+    below = F.sum("n").over(by.orderBy("length"))
+    rows = sizes.withColumns({"_above": above, "_below": below})
+    top = F.coalesce(F.max(F.when(F.col("_above") >= least_group, F.col("length"))).over(by), F.min("length").over(by))
+    bottom = F.coalesce(F.min(F.when(F.col("_below") >= least_group, F.col("length"))).over(by), top)
+    return rows.withColumns({"_top": top, "_bottom": bottom}).select("vocabulary", "length", F.least(F.greatest("length", "_bottom"), "_top").alias("merged"))
+
+
 def bands(measured: DataFrame, names: list[str], least_group: int = LEAST_GROUP) -> DataFrame:
-    """(vocabulary, lang, length, measure, low, high): a row for each group of documents that has a band, its own or the shared one.
+    """(vocabulary, lang, length, measure, low, high): a row for each group of documents, with its own band or the one shared by all languages.
+
+    A group of fewer than ``least_group`` documents has no band of its own, and a length class with fewer over all languages shares that of its
+    neighbours (``merged_lengths``), of entropy only the side that length does not explain and wider for shorter texts, so every length is judged; only a
+    table with fewer documents in all has no bands.
 
     Values are counted in steps of 1/``STEPS`` first; a group's histogram has a bounded number of rows, however many documents
     it has, and its quartiles are the steps at which its running count passes a quarter and three quarters."""
@@ -266,7 +284,10 @@ def bands(measured: DataFrame, names: list[str], least_group: int = LEAST_GROUP)
         stacked.append(F.struct(F.lit(name).alias("vocabulary"), length_class(F.col(f"{name}_tokens")).alias("length"), values.alias("values")))
     rows = measured.filter("n_words > 0").select("lang", F.inline(F.array(*stacked))).select("lang", "vocabulary", "length", F.inline("values"))
     counted = rows.groupBy("vocabulary", "lang", "length", "measure", "step").agg(F.count("*").alias("n")).withColumn("any_lang", F.lit(False))
-    everywhere = counted.groupBy("vocabulary", "length", "measure", "step").agg(F.sum("n").alias("n")).withColumns({"any_lang": F.lit(True), "lang": F.lit(None).cast("string")})
+    sizes = counted.filter(F.col("measure") == MEASURES[0]).groupBy("vocabulary", "length").agg(F.sum("n").alias("n"))
+    merged = merged_lengths(sizes, least_group)
+    everywhere = counted.join(merged, ["vocabulary", "length"]).withColumn("length", F.col("merged")).groupBy("vocabulary", "length", "measure", "step").agg(F.sum("n").alias("n"))
+    everywhere = everywhere.withColumns({"any_lang": F.lit(True), "lang": F.lit(None).cast("string")})
     steps = counted.unionByName(everywhere)
     group = Window.partitionBy("vocabulary", "any_lang", "lang", "length", "measure")
     upto = F.sum("n").over(group.orderBy("step"))
@@ -277,7 +298,21 @@ def bands(measured: DataFrame, names: list[str], least_group: int = LEAST_GROUP)
     margin = lambda fence: F.greatest(by(fence) * (F.col("q3") - F.col("q1")), by(LEAST_WIDTH))
     band = F.when(F.col("n") >= least_group, F.struct((F.col("q1") - margin(FENCE_LOW)).alias("low"), (F.col("q3") + margin(FENCE_HIGH)).alias("high")))
     found = found.withColumn("band", band)
-    shared = found.filter("any_lang").select("vocabulary", "length", "measure", F.col("band").alias("_shared"))
+    at = F.when(F.col("band").isNotNull(), F.struct(F.col("length").alias("at"), "band.low", "band.high"))
+    shared = found.filter("any_lang").select("vocabulary", F.col("length").alias("merged"), "measure", at.alias("_own"))
+    # a class that is rare between common ones takes the band of the next shorter class that has one, else of the next longer
+    places = merged.join(shared, ["vocabulary", "merged"], "left")
+    along = Window.partitionBy("vocabulary", "measure").orderBy("length")
+    filled = F.coalesce(F.last("_own", ignorenulls=True).over(along), F.first("_own", ignorenulls=True).over(along.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # entropy grows with length: a text longer than those of its band may have more, a shorter one less
+    of_entropy = F.col("measure") == "token_entropy"
+    # and the means of a text half as long scatter by the root of two more
+    shorter = F.greatest(F.col("_f.at") - F.col("length"), F.lit(0))
+    wider = (F.pow(F.lit(2.0), shorter / 2) - 1) * (F.col("_f.high") - F.col("_f.low")) / 2
+    low = F.when(of_entropy & (F.col("length") < F.col("_f.at")), float("-inf")).otherwise(F.col("_f.low") - wider)
+    high = F.when(of_entropy & (F.col("length") > F.col("_f.at")), float("inf")).otherwise(F.col("_f.high") + wider)
+    fitted = F.when(F.col("_f").isNotNull(), F.struct(low.alias("low"), high.alias("high")))
+    shared = places.withColumn("_f", filled).select("vocabulary", "length", "measure", fitted.alias("_shared"))
     own = found.filter(~F.col("any_lang")).join(shared, ["vocabulary", "length", "measure"]).withColumn("band", F.coalesce("band", "_shared"))
     return own.filter("band is not null").select("vocabulary", "lang", "length", "measure", "band.low", "band.high")
 

@@ -79,10 +79,34 @@ def judged_by_hand(rows, least_group):
                     groups[name, length, m, r["lang"]].append(step(r[f"{name}_{m}"]))
                     groups[name, length, m, "any language"].append(step(r[f"{name}_{m}"]))
 
+    def merged(name, m):
+        """{length: lengths measured together}: rare long classes are one, so are rare short ones."""
+        lengths = sorted({k[1] for k in groups if k[0] == name and k[2] == m and k[3] == "any language"})
+        size = {n: len(groups[name, n, m, "any language"]) for n in lengths}
+        top = max((n for n in lengths if sum(size[x] for x in lengths if x >= n) >= least_group), default=lengths[0])
+        bottom = min((n for n in lengths if sum(size[x] for x in lengths if x <= n) >= least_group), default=top)
+        to = {n: min(max(n, bottom), top) for n in lengths}
+        return {n: [x for x in lengths if to[x] == to[n]] for n in lengths}
+
+    def shared(name, length, m):
+        together = merged(name, m)
+        for n in [*(x for x in sorted(together, reverse=True) if x <= length), *(x for x in sorted(together) if x > length)]:
+            values = [v for x in together[n] for v in groups[name, x, m, "any language"]]
+            if len(values) >= least_group:
+                at = min(together[n]) if max(together[n]) == max(together) else max(together[n])  # the class that others were merged into
+                low, high = band_of(values, m)
+                wider = (2 ** (max(at - length, 0) / 2) - 1) * (high - low) / 2
+                low, high = low - wider, high + wider
+                if m == "token_entropy":
+                    low, high = (-math.inf if length < at else low), (math.inf if length > at else high)
+                return low, high
+        return None
+
     def band(key):
-        values = sorted(groups[key])
-        if len(values) < least_group:
-            return None
+        return band_of(groups[key], key[2]) if len(groups[key]) >= least_group else None
+
+    def band_of(values, m):
+        values, key = sorted(values), (None, None, m)
         q1, q3 = (values[math.ceil(len(values) * q / 4) - 1] / Q.STEPS for q in (1, 3))
         low, high = (max(fence[key[2]] * (q3 - q1), Q.LEAST_WIDTH[key[2]]) for fence in (Q.FENCE_LOW, Q.FENCE_HIGH))
         return q1 - low, q3 + high
@@ -94,7 +118,7 @@ def judged_by_hand(rows, least_group):
             outside = []
             for name in NAMES:
                 n = r[f"{name}_tokens"]
-                found = n and (band((name, int(math.log2(n)), m, r["lang"])) or band((name, int(math.log2(n)), m, "any language")))
+                found = n and (band((name, int(math.log2(n)), m, r["lang"])) or shared(name, int(math.log2(n)), m))
                 outside.append(bool(found) and not found[0] <= step(r[f"{name}_{m}"]) / Q.STEPS <= found[1])
             bad = bad or all(outside)
         out[r["doc_id"]] = not bad
@@ -140,3 +164,14 @@ def test_tables_that_are_emptied_give_the_same(monkeypatch):
     for i, d in enumerate(documents):
         repeats, found = table.measures([d], chars[i : i + 1])
         assert repeats[0] == want[0][i] and all(a[0] == b[i] for name in NAMES for a, b in zip(found[name], want[1][name], strict=True))
+
+
+def test_every_length_is_judged(make, prose):
+    """A few documents longer, or shorter, than all others are measured against their neighbours: the one of junk is found."""
+    rows = [(i, prose(i, 400), "en", "s") for i in range(60)] + [(100, junk(1, 60_000), "en", "s"), (101, prose(9, 9_000), "en", "s"), (102, prose(10, 20), "en", "s")]
+    measured = Q.measure(make(rows), BOTH)
+    bands = Q.bands(measured, NAMES)
+    got = {r["doc_id"]: r["kept"] for r in Q.judge(measured, bands, NAMES).collect()}
+    lengths = {(r["vocabulary"], r["length"]) for r in bands.collect()}
+    assert lengths == {(n, int(math.log2(r[f"{n}_tokens"]))) for r in measured.collect() for n in NAMES}
+    assert (got[100], got[101], got[102]) == (False, True, True)
