@@ -4,14 +4,15 @@ Everything runs in Spark's own operators (SQL functions and ML's DataFrame estim
 
 1. Paragraphs are lines, cut further behind sentence ends; a line break within a sentence (a letter, digit or comma before
    it, a lower-case letter behind it) is a hard wrap and no end of a paragraph.
-2. A multinomial logistic regression with an L1 penalty over word 1- to 3-grams names the family.  It learns from sentences
-   generated from ``NAMES``, ``SPDX`` and ``FORMS`` and from ``SENTENCES``, and, for the class "unknown", from ``NOT_LICENSES``, from
-   ``NOT_NAMES`` in the same forms and from a sample of about ``SAMPLE_CHARS`` characters of the scanned table (pieces of texts of
-   every length, drawn by a hash of id and place; paragraphs that a template confirms are left out of it).
-3. The probability below which a prediction counts as unknown is the lowest, from 0.5 up, at which predictions on the fifth of
-   distinct sentences that a first model has not seen are right at ``TARGET_PRECISION``.  The model in use is then fitted on all.
-4. A prediction is confirmed if the paragraph holds ``CONFIRMED`` of the 2-grams of a template of that family, all of them where
-   a template has at most ``SHORT``.
+2. A multinomial logistic regression with an L1 penalty over word 1- to 3-grams names the family.  It learns from the public texts of
+   the licences (``license_texts``, paragraph by paragraph, as wrapped and unwrapped; a paragraph that several have is the first one's), from
+   sentences generated from ``NAMES``, ``SHORT_NAMES``, ``SPDX`` and their forms and from ``SENTENCES``, and, for the class "unknown", from
+   ``NOT_LICENSES``, from ``NOT_NAMES`` in the same forms and from a sample of about ``SAMPLE_CHARS`` characters of the scanned table
+   (pieces of texts of every length, drawn by a hash of id and place; paragraphs that a template confirms are left out of it).
+3. The probability below which a prediction counts as unknown is the lowest, from 0.5 up, at which predictions on a fifth of the forms
+   and of the paragraphs, which a first model has not seen, that templates confirm are right at ``TARGET_PRECISION``.  The model in use is then fitted on all.
+4. A prediction is confirmed if the paragraph holds ``CONFIRMED`` of the 2-grams of a template of that family (all of them where
+   a template has at most ``SHORT``), or if so many of its own, more than ``SHORT``, stand in one template: then it is a part of the text.
 
 Candidates.  Every paragraph is judged, but most without work: if unknown has the largest intercept, a paragraph can only come out
 as a family if it holds an n-gram that speaks more for some family than for unknown.  ``triggers`` has a word of each such
@@ -24,12 +25,16 @@ columns of the input, whatever their names, are neither read nor returned.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.llm import groups
+
 HARD_WRAP = r"(?<=[\p{L}\p{N},])[ \t]*\r?\n[ \t]*(?=\p{Ll})"
 PARAGRAPH = r"[\r\n]+|(?<=[.!?])[ \t]+(?=\p{Lu})"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -39,6 +44,8 @@ PIECE_CHARS = 2_000
 TARGET_PRECISION = 0.98
 CONFIRMED, SHORT = 0.6, 4
 PENALTY = 2e-5
+VOCABULARY = 40_000
+LEAST_WORDS = 4
 #: Words that make no n-gram telling by themselves.
 FUNCTION_WORDS = frozenset(
     "a all an and any are as at be by can do for from has have he her his if in is it its may no not of on or our shall she so such that the their there these they this to"
@@ -65,6 +72,19 @@ NAMES = {
     "EPL": ["Eclipse Public License 2.0", "Eclipse Public License - v 1.0", "EPL-2.0 license"],
     "Proprietary": ["All rights reserved"],
 }
+#: What families are called for short.
+SHORT_NAMES = {
+    "MIT": ["MIT"], "Apache": ["Apache 2.0", "Apache 2", "Apache v2", "Apache"], "GPL": ["GPL", "GPL v3", "GPL v2", "GPLv2", "GPLv3", "GNU GPL"], "LGPL": ["LGPL", "LGPL v2.1", "LGPLv3", "GNU LGPL"],
+    "AGPL": ["AGPL", "AGPLv3", "AGPL v3", "GNU AGPL"], "BSD": ["BSD", "3-clause BSD", "2-clause BSD", "simplified BSD", "modified BSD"], "MPL": ["MPL", "MPL 2.0", "Mozilla Public"], "ISC": ["ISC"],
+    "CC0": ["CC0"], "CC-BY": ["CC BY"], "CC-BY-SA": ["CC BY-SA"], "CC-BY-NC": ["CC BY-NC"], "CC-BY-ND": ["CC BY-ND"], "Boost": ["Boost", "Boost Software"], "Zlib": ["zlib"], "EPL": ["EPL", "EPL 2.0", "Eclipse Public"],
+}
+#: How notices name a licence for short; the first ones are also templates.
+SHORT_TEMPLATES = ("{} licensed", "{} license", "{} licence", "license {}", "licence {}", "licensed under {}", "under the {}", "terms of the {}")
+SHORT_FORMS = (
+    *SHORT_TEMPLATES, "{} licensed code", "This project is {} licensed.", "The {} licence applies.", "The {} license applies to this package.", "License :: {}", "licence = {}", "Software under the {} licence.",
+    "You may use it under the {} license.", "All code is under the {} licence unless noted.", "Made available under the {} license by its authors.", "Released as {} licensed software.", "Dual licensed, {} license or commercial.",
+    "Its license is {}.", "We chose the {} license.", "Contributions are accepted under the {} licence.", "Sources are published under the {} license.", "It is licensed under {} or later.",
+)
 #: How notices name a licence.
 FORMS = (
     "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.",
@@ -150,23 +170,48 @@ def paragraphs(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return parts.filter(F.trim("paragraph") != "")
 
 
+def family_of(file: str) -> str:
+    """The family of a licence text: the longest name that its file's name begins with."""
+    return max((f for f in NAMES if file.startswith(f)), key=len)
+
+
+def licence_texts(spark: SparkSession) -> DataFrame:
+    """(family, text) of the public licence texts, some hundred thousand characters in all."""
+    rows = [(family_of(f.stem), f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    return spark.createDataFrame(rows, "family string, text string")
+
+
+def text_paragraphs(spark: SparkSession) -> DataFrame:
+    """(family, text) of the distinct paragraphs of ``LEAST_WORDS`` words or more of the licence texts, as their lines are wrapped and as if they were not."""
+    texts = licence_texts(spark)
+    unwrapped = texts.withColumn("text", F.regexp_replace("text", r"(?<=\S)[ \t]*\r?\n[ \t]*(?=\S)", " "))
+    found = paragraphs(texts.unionByName(unwrapped), "text", ["family"]).withColumn("_w", words(F.col("paragraph"))).filter(F.size("_w") >= LEAST_WORDS)
+    rank = F.array_position(F.array(*map(F.lit, NAMES)), F.col("family"))
+    return found.groupBy(F.array_join("_w", " ").alias("_k")).agg(F.min_by("family", rank).alias("family"), F.min("paragraph").alias("text")).select("family", "text")
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, family, text): names, identifiers and sentences."""
+    """(template, family, text): names, identifiers, sentences and paragraphs."""
     rows = [(f, t) for source in (NAMES, SENTENCES) for f, texts in source.items() for t in texts]
     rows += [(f, f"SPDX-License-Identifier: {t}") for f, ids in SPDX.items() for t in ids]
-    return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(rows)], "template int, family string, text string")
+    rows += [(f, form.format(n)) for f, names in SHORT_NAMES.items() for n in names for form in SHORT_TEMPLATES]
+    named = spark.createDataFrame(rows, "family string, text string").unionByName(text_paragraphs(spark))
+    return named.select(F.xxhash64("family", "text").alias("template"), "family", "text")
 
 
 def generated(spark: SparkSession) -> DataFrame:
-    """(i, family, text): every name in every form, identifiers, sentences, and what is no licence.
+    """(i, family, text, unit): every name in every form, identifiers, sentences, paragraphs of licence texts, and what is no licence.
 
-    Sentences count several times: they are few beside the forms."""
-    rows = [(f, form.format(n)) for f, names in NAMES.items() for n in names for form in FORMS]
-    rows += [(f, f"SPDX-License-Identifier: {t}") for f, ids in SPDX.items() for t in ids for _ in range(2)]
-    rows += [(f, t) for f, texts in SENTENCES.items() for t in texts for _ in range(4)]
-    rows += [(UNKNOWN, form.format(n)) for n in NOT_NAMES for form in FORMS if not form.startswith("SPDX")]
-    rows += [(UNKNOWN, t) for t in NOT_LICENSES for _ in range(4)]
-    return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(rows)], "i int, family string, text string")
+    Rows of one ``unit``, a form or a wording, are kept out together.  Sentences and paragraphs count several times: they are few beside the forms."""
+    rows = [(f, form.format(n), form) for f, names in NAMES.items() for n in names for form in FORMS]
+    rows += [(f, form.format(n), form) for f, names in SHORT_NAMES.items() for n in names for form in SHORT_FORMS]
+    rows += [(f, f"SPDX-License-Identifier: {t}", t) for f, ids in SPDX.items() for t in ids for _ in range(2)]
+    rows += [(f, t, t) for f, texts in SENTENCES.items() for t in texts for _ in range(4)]
+    rows += [(UNKNOWN, form.format(n), n) for n in NOT_NAMES for form in (*FORMS, *SHORT_FORMS) if not form.startswith("SPDX")]
+    rows += [(UNKNOWN, t, t) for t in NOT_LICENSES for _ in range(4)]
+    listed = spark.createDataFrame(rows, "family string, text string, unit string")
+    again = text_paragraphs(spark).select("family", "text", F.col("text").alias("unit"), F.explode(F.array(F.lit(0), F.lit(1)))).drop("col")
+    return listed.unionByName(again).select(F.abs(F.xxhash64("family", "text")).alias("i"), "family", "text", "unit")
 
 
 class LicenseModel:
@@ -196,31 +241,33 @@ class LicenseModel:
 def background(df: DataFrame, text_col: str, id_col: str, sample_chars: int) -> DataFrame:
     """(i, family, text): paragraphs of a sample of pieces of the texts, unknown unless a template confirms them."""
     total = df.agg(F.sum(F.length(text_col))).first()[0] or 0
-    rate = min(1_000_000, int(1_000_000 * sample_chars / max(total, 1)))
+    rate = min(1.0, sample_chars / max(total, 1))
     places = F.sequence(F.lit(0), F.floor(F.length(text_col) / PIECE_CHARS).cast("int"))
-    chosen = F.filter(places, lambda i: F.pmod(F.xxhash64(F.col(id_col), i, F.lit("license")), F.lit(1_000_000)) < rate)
+    chosen = F.filter(places, lambda i: groups.uniform(F.col(id_col), i, F.lit("license")) < rate)
     drawn = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.explode(chosen).alias("_at"))
     pieces = drawn.select("_id", "_at", F.substring("_t", F.col("_at") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("_piece"))
     keys = ["_id", "_at", "pos"]
     some = with_grams(paragraphs(pieces, "_piece", ["_id", "_at"]), "paragraph").select(*keys, "paragraph", "pairs")
     shapes = with_grams(templates(df.sparkSession), "text").select("template", F.size("pairs").alias("_n"), F.explode("pairs").alias("pair"))
-    held = some.select(*keys, F.explode("pairs").alias("pair")).join(F.broadcast(shapes), "pair").groupBy(*keys, "template", "_n").agg(F.count_distinct("pair").alias("_held"))
-    confirmed = held.filter(enough(F.col("_held"), F.col("_n"))).select(*(F.col(k).alias(f"{k}_c") for k in keys)).distinct()
+    own = some.select(*keys, F.size("pairs").alias("_own"), F.explode("pairs").alias("pair"))
+    held = own.join(F.broadcast(shapes), "pair").groupBy(*keys, "_own", "template", "_n").agg(F.count_distinct("pair").alias("_held"))
+    confirmed = held.filter(enough(F.col("_held"), F.col("_n"), F.col("_own"))).select(*(F.col(k).alias(f"{k}_c") for k in keys)).distinct()
     free = some.join(confirmed, F.col("_id").eqNullSafe(F.col("_id_c")) & (F.col("_at") == F.col("_at_c")) & (F.col("pos") == F.col("pos_c")), "left_anti")
-    return free.select(F.lit(-1).alias("i"), F.lit(UNKNOWN).alias("family"), F.col("paragraph").alias("text"))
+    return free.select(F.lit(-1).cast("bigint").alias("i"), F.lit(UNKNOWN).alias("family"), F.col("paragraph").alias("text"), F.col("paragraph").alias("unit"))
 
 
-def enough(held: Column, of: Column) -> Column:
-    """Whether so many of a template's 2-grams confirm it."""
-    return (of > 0) & (held >= F.when(of <= SHORT, of.cast("double")).otherwise(of * CONFIRMED))
+def enough(held: Column, of: Column, own: Column) -> Column:
+    """Whether so many common 2-grams confirm a template with ``of`` by a paragraph with ``own``: most of the template's, or most of the paragraph's."""
+    whole = (of > 0) & (held >= F.when(of <= SHORT, of.cast("double")).otherwise(of * CONFIRMED))
+    return whole | ((own > SHORT) & (held >= own * CONFIRMED))
 
 
 def fitted(rows: DataFrame) -> tuple[CountVectorizerModel, LogisticRegressionModel]:
     """A vocabulary from the generated sentences, without n-grams of function words alone, and weights from all rows."""
-    found = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=20_000, minDF=2, binary=True).fit(rows.filter("i >= 0"))
+    found = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2, binary=True).fit(rows.filter("i >= 0"))
     telling = [g for g in found.vocabulary if not FUNCTION_WORDS.issuperset(g.split(" "))]
     vectors = CountVectorizerModel.from_vocabulary(telling, inputCol="grams", outputCol="features", binary=True)
-    regression = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False)
+    regression = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=40, standardization=False, weightCol="weight")
     return vectors, regression.fit(vectors.transform(rows))
 
 
@@ -229,12 +276,17 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     families = [UNKNOWN, *NAMES]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = with_grams(generated(spark).unionByName(background(df, text_col, id_col, sample_chars)), "text").withColumn("label", number)
-    # by distinct wording, so that no copy of a held-out sentence teaches the first model
-    rows = rows.withColumn("holdout", F.pmod(F.xxhash64(F.array_join(words(F.col("text")), " ")), F.lit(5)) == 0)
+    # by form or wording, so that neither a held-out form nor a copy of a held-out sentence teaches the first model
+    rows = rows.withColumn("holdout", F.pmod(F.xxhash64(F.array_join(words(F.col("unit")), " ")), F.lit(5)) == 0)
+    # half of the weight is unknown's, so that it has the largest intercept; families weigh by the root of their rows, as some have long texts
+    sizes = rows.groupBy("family").count().withColumn("_r", F.sqrt("count"))
+    mass = F.sum(F.when(F.col("family") != UNKNOWN, F.col("_r"))).over(Window.partitionBy(F.lit(0)))
+    weights = sizes.select("family", (F.when(F.col("family") == UNKNOWN, mass / F.col("count")).otherwise(F.col("_r") / F.col("count")) * F.sum("count").over(Window.partitionBy(F.lit(0))) / (2 * mass)).alias("weight"))
+    rows = rows.join(F.broadcast(weights), "family")  # one row a family
     rows = rows.repartition(1).sortWithinPartitions("i", "text").cache()  # a sample of bounded size, in one order, so that reruns agree
     first = LicenseModel(*fitted(rows.filter("not holdout")), families, 0.5)
-    checked = first.predict(rows.filter("holdout and i >= 0")).filter(F.col("predicted") != UNKNOWN)
-    results = checked.select("probability", (F.col("predicted") == F.col("family")).alias("right")).collect()
+    checked = first.predict(rows.filter("holdout and i >= 0")).filter(F.col("predicted") != UNKNOWN).withColumn("_likely", F.col("predicted"))
+    results = compared(checked).filter("_m.sure").select("probability", (F.col("predicted") == F.col("family")).alias("right")).collect()
     model = LicenseModel(*fitted(rows), families, lowest_threshold([(r["probability"], r["right"]) for r in results]))
     rows.unpersist()
     return model
@@ -249,6 +301,24 @@ def lowest_threshold(results: list[tuple[float, bool]], target: float = TARGET_P
     return 2.0
 
 
+def compared(scored: DataFrame) -> DataFrame:
+    """Rows with ``pairs`` and ``_likely``, a family or null, get ``_m``: whether a template of that family confirms it, and the largest share in common."""
+    # one array of 2-gram sets for each family: as large as the licence texts
+    shapes = with_grams(templates(scored.sparkSession), "text").groupBy(F.col("family").alias("_of")).agg(F.collect_list("pairs").alias("_shapes"))
+    judged = scored.join(F.broadcast(shapes), F.col("_likely") == F.col("_of"), "left")
+    own = F.size("pairs")
+
+    def likeness(held: Column, shape: Column) -> Column:
+        of = F.size(shape)
+        part = F.when(own > SHORT, held / own).otherwise(0.0)
+        return F.struct(enough(held, of, own).alias("sure"), F.greatest(held / F.greatest(of, F.lit(1)), part).alias("share"))
+
+    # the number of common 2-grams is the variable of a lambda, so that sets are compared once
+    common = F.transform("_shapes", lambda s: F.struct(F.size(F.array_intersect(s, F.col("pairs"))).alias("held"), s.alias("shape")))
+    matched = F.transform(common, lambda c: likeness(c["held"], c["shape"]))
+    return judged.withColumn("_m", F.array_max(matched)).drop("_of", "_shapes")
+
+
 def classify(df: DataFrame, model: LicenseModel, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, pos, paragraph, family, probability, likeness) of the candidate paragraphs; family is unknown unless confirmed."""
     spark, triggers = df.sparkSession, model.triggers()
@@ -257,19 +327,18 @@ def classify(df: DataFrame, model: LicenseModel, keys: list[str], text_col: str
     scored = model.predict(with_grams(candidates, "paragraph"))
     known = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= model.threshold)
     scored = scored.withColumn("_likely", F.when(known, F.col("predicted")))
-    # one array of 2-gram sets for each family: some hundred short strings in all
-    shapes = with_grams(templates(spark), "text").groupBy("family").agg(F.collect_list("pairs").alias("_shapes"))
-    judged = scored.join(F.broadcast(shapes), F.col("_likely") == shapes["family"], "left")
-    matched = F.transform("_shapes", lambda s: F.struct((F.size(F.array_intersect(s, F.col("pairs"))) / F.greatest(F.size(s), F.lit(1))).alias("share"), enough(F.size(F.array_intersect(s, F.col("pairs"))), F.size(s)).alias("sure")))
-    judged = judged.withColumn("_m", F.array_max(F.transform(matched, lambda m: F.struct(m["sure"].alias("sure"), m["share"].alias("share")))))
+    judged = compared(scored)
     confirmed, best = F.coalesce(F.col("_m.sure"), F.lit(False)), F.col("_m.share")
     family = F.when(confirmed, F.col("_likely")).otherwise(F.lit(UNKNOWN))
     return judged.select(*keys, "pos", "paragraph", family.alias("family"), "probability", F.coalesce(best, F.lit(0.0)).alias("likeness"))
 
 
-def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, families, n_candidates, n_unknown, probability): a row for each row of ``df``."""
-    model = train(df, text_col, id_col)
+def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: LicenseModel | None = None) -> DataFrame:
+    """(id, families, n_candidates, n_unknown, probability): a row for each row of ``df``, by a model that is trained for it unless one is given."""
+    if df.isEmpty():
+        none = F.array().cast("array<string>").alias("families")
+        return df.select(id_col, none, *(F.lit(0).cast("bigint").alias(n) for n in ("n_candidates", "n_unknown")), F.lit(None).cast("double").alias("probability"))
+    model = model or train(df, text_col, id_col)
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
     keys = ["_id", "_h"]
     found = classify(rows, model, keys, "_t").dropDuplicates([*keys, "pos"])
