@@ -193,3 +193,48 @@ def summary(title: Column, headline: Column, titles: Column, terms: Column, cert
     used = F.when(F.size(using) > 0, F.concat(F.lit(" using "), F.array_join(using, ", "))).otherwise("")
     first = F.concat(drafting.early_career_role(name), F.lit(" with hands-on project experience building "), project_themes(titles, role), used, F.lit("."))
     return F.concat_ws(" ", first, F.nullif(certification_sentence(certifications, role), F.lit("")))
+
+
+def claim_manifest(
+    candidate: dict[str, Column], summary_text: Column, matched_skills: Column, relevant_projects: Column, relevant_experiences: Column, groups: Column, sections: dict[str, Column]
+) -> Column:
+    """(claim_type, text, evidence_ids) of every claim of a draft, in the order of its sections.
+
+    ``candidate`` has id, headline, summary, location, skills (id, name) and projects (id, title, technologies).  The summary cites the profile
+    if there is anything in it, matched skills, relevant projects and work, else the first skill; a skill of a group cites the candidate's
+    skill of that name, else the last project that names it, else nothing; entries of ``sections`` (experience, project, education and
+    certification, by claim type) cite themselves, those without a source are no claims."""
+    ids = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(f"{kind}-"), v.cast("string")))
+    none = F.array().cast("array<string>")
+    last = lambda values: F.get(F.reverse(values), F.lit(0))
+
+    def cited_skill(key: Column) -> Column:
+        own = F.filter(candidate["skills"], lambda s: text.casefold(s["name"]) == key)
+        return F.when(F.size(own) > 0, F.concat(F.lit("skill-"), last(own)["id"].cast("string")))
+
+    def cited_project(key: Column) -> Column:
+        own = F.filter(candidate["projects"], lambda p: F.exists(F.concat(F.array(p["title"]), p["technologies"]), lambda t: text.casefold(t) == key))
+        return F.when(F.size(own) > 0, F.concat(F.lit("project-"), last(own)["id"].cast("string")))
+
+    found = F.array_compact(F.transform(matched_skills, lambda t: cited_skill(text.casefold(t))))
+    told = F.array_distinct(F.concat(found, ids("project", relevant_projects), ids("experience", relevant_experiences)))
+    filled = reduce(lambda a, b: a | b, (F.coalesce(candidate[n], F.lit("")) != "" for n in ("headline", "summary", "location")))
+    profile = F.when(filled, F.array(F.concat(F.lit("profile-"), candidate["id"].cast("string"), F.lit("-summary")))).otherwise(none)
+    cited = F.concat(profile, told)
+    first = F.when(F.size(candidate["skills"]) > 0, F.array(F.concat(F.lit("skill-"), F.get(candidate["skills"], F.lit(0))["id"].cast("string")))).otherwise(none)
+    claim = lambda kind, said, evidence: F.struct(F.lit(kind).alias("claim_type"), said.alias("text"), evidence.alias("evidence_ids"))
+
+    def skill_claim(name: Column) -> Column:
+        hit = F.coalesce(cited_skill(text.casefold(name)), cited_project(text.casefold(name)))
+        return claim("skill", name, F.when(hit.isNotNull(), F.array(hit)).otherwise(none))
+
+    names = {"experience": "job_title", "project": "title", "education": "degree", "certification": "name"}
+    parts = [F.array(claim("summary", summary_text, F.when(F.size(cited) > 0, cited).otherwise(first))), F.flatten(F.transform(groups, lambda g: F.transform(g["skills"], skill_claim)))]
+    for kind, entries in sections.items():
+        sourced = F.filter(entries, lambda e: F.coalesce(e["source_id"], F.lit("")) != "")
+        parts.append(_own_claims(kind, sourced, names[kind]))
+    return F.concat(*parts)
+
+
+def _own_claims(kind: str, entries: Column, name: str) -> Column:
+    return F.transform(entries, lambda e: F.struct(F.lit(kind).alias("claim_type"), e[name].alias("text"), F.array(F.concat(F.lit(f"{kind}-"), e["source_id"])).alias("evidence_ids")))

@@ -133,7 +133,7 @@ def nested_read(spark, d):
     return nested.read(after, SHAPE).select("c_custkey", "c_name", "c_acctbal", *listed)
 
 
-def draft_sections(spark, d):
+def _draft_rows(spark, d):
     """Customers as candidates: their orders are skills, work and projects, of which dear ones are relevant."""
     key, text = F.col("o_orderkey"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     none = F.lit(None).cast("string")
@@ -157,11 +157,14 @@ def draft_sections(spark, d):
     matched = F.array(F.lit("1-urgent 3"), F.lit("Python"), F.lit("5-LOW 2"), F.lit("FastAPI"), F.lit("python"))
     rows = table(spark, d, "customer").join(lists, "c_custkey").select("*", role.alias("role"), F.array(certificate).alias("certificates"), matched.alias("matched"))
     chosen = drafts.projects_section(F.col("projects"), F.col("relevant"))
-    first = F.get("chosen", F.lit(0))
-    rows = rows.withColumns({
+    return rows.withColumns({
         "skill_list": drafts.skills_section(F.col("skills"), F.col("matched")), "work_list": drafts.experience_section(F.col("work"), F.col("relevant"), n % 3 == 0), "chosen": chosen,
         "certificate": drafts.certifications_section(F.col("certificates"))[0],
     })
+
+
+def draft_sections(spark, d):
+    rows, first = _draft_rows(spark, d), F.get("chosen", F.lit(0))
     entry = drafts.project_entry(F.get(F.filter("projects", lambda p: F.array_contains(F.col("relevant"), p["id"].cast("string"))), F.lit(0)), F.array(F.lit("urgent"), F.lit("Hours")), F.lit(1), drafts.selection_reason(F.col("matched")), F.array(F.lit("https://HOST/1/")))
     rows = rows.withColumn("entry", F.when(first.isNotNull(), entry))
     return rows.select(
@@ -174,6 +177,19 @@ def draft_sections(spark, d):
     )
 
 
+def claim_manifest(spark, d):
+    """Claims of those drafts: two skills of each candidate, a technology of a project and a skill that nothing backs."""
+    rows = _draft_rows(spark, d)
+    n = F.col("c_custkey")
+    candidate = {"id": n, "headline": F.when(n % 2 == 0, F.col("c_mktsegment")), "summary": F.lit(""), "location": F.lit(None).cast("string"), "skills": F.col("skills"), "projects": F.col("projects")}
+    named = F.transform(F.slice("skill_list", 1, 2), lambda s: F.upper(s["name"]))
+    groups = F.array(F.struct(F.lit("A").alias("category"), named.alias("skills")), F.struct(F.lit("B").alias("category"), F.array(F.lit("go"), F.lit("COBOL")).alias("skills")))
+    sections = {"experience": F.col("work_list"), "project": F.col("chosen"), "certification": F.array("certificate")}
+    claims = drafts.claim_manifest(candidate, F.col("c_name"), F.col("matched"), F.slice(F.array_sort("relevant"), 1, 1), F.array().cast("array<string>"), groups, sections)
+    found = rows.select("c_custkey", F.posexplode(claims).alias("position", "claim"))
+    return found.select("c_custkey", F.col("position").cast("bigint").alias("position"), "claim.claim_type", "claim.text", F.array_join("claim.evidence_ids", ",").alias("evidence_ids"))
+
+
 class LetterCounts:
     """A service for the query below: three counts of each text, answered from the last to the first."""
 
@@ -191,7 +207,7 @@ def batched_embeddings(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_fields, page_platform, run_lifecycle, run_read_model, corpus_ids, corpus_cases, nested_create, nested_update, nested_read, batched_embeddings, draft_sections,
+        page_fields, page_platform, run_lifecycle, run_read_model, corpus_ids, corpus_cases, nested_create, nested_update, nested_read, batched_embeddings, draft_sections, claim_manifest,
     )
 }
 
@@ -342,4 +358,26 @@ ORACLE_SQL = {
                ELSE CASE WHEN any_project THEN '{drafts.TITLE_THEMES[1][1]}' ELSE '{drafts.TITLE_THEMES[-1][1]}' END || ' using 1-urgent 3, Python, 5-LOW 2, FastAPI' END || '.'
                || CASE WHEN role < 2 AND c_custkey % 2 = 0 THEN ' {drafts.CLOUD_SENTENCE}' ELSE '' END AS summary
         FROM b""",
+    "claim_manifest": f"""
+        WITH o AS (SELECT *, o_totalprice > 250000 AS relevant, o_orderpriority || ' ' || o_orderkey % 7 AS skill, o_orderkey % 4 = 0 AS other FROM orders),
+        g AS (
+            SELECT o_custkey AS k, list({{'id': o_orderkey, 'name': skill}} ORDER BY o_orderkey) AS skills, list({{'id': o_orderkey, 'name': skill}} ORDER BY lower(skill) NOT IN ('1-urgent 3', '5-low 2'), skill, o_orderkey)[1:2] AS shown,
+                   max(o_orderkey) AS last_project, min(CAST(o_orderkey AS VARCHAR)) FILTER (relevant) AS first_relevant,
+                   list({{'id': o_orderkey, 'said': CASE WHEN other THEN 'Math tutor' ELSE 'Engineer' END}} ORDER BY o_orderkey) FILTER (relevant OR (o_custkey % 3 = 0 AND other)) AS work,
+                   list({{'id': o_orderkey, 'said': 'Workflow ' || o_orderkey % 3}} ORDER BY o_orderkey) FILTER (relevant) AS projects
+            FROM o GROUP BY 1
+        ), c AS (
+            SELECT k, c_name, skills, list_concat(CASE WHEN k % 2 = 0 THEN ['profile-' || k || '-summary'] ELSE [] END, list_concat(
+                       list_filter(list_transform(['1-urgent 3', '5-low 2'], lambda t: 'skill-' || list_filter(skills, lambda s: lower(s.name) = t)[-1].id), lambda x: x IS NOT NULL),
+                       CASE WHEN first_relevant IS NULL THEN [] ELSE ['project-' || first_relevant] END)) AS cited,
+                   list_concat(list_transform(shown, lambda x: {{'t': 'skill', 'x': upper(x.name), 'e': 'skill-' || list_filter(skills, lambda s: lower(s.name) = lower(x.name))[-1].id}}),
+                       [{{'t': 'skill', 'x': 'go', 'e': 'project-' || last_project}}, {{'t': 'skill', 'x': 'COBOL', 'e': ''}}]) AS named,
+                   list_transform(coalesce(work, []), lambda x: {{'t': 'experience', 'x': x.said, 'e': 'experience-' || x.id}}) AS jobs,
+                   list_transform(coalesce(projects, []), lambda x: {{'t': 'project', 'x': x.said, 'e': 'project-' || x.id}}) AS works
+            FROM g JOIN customer ON c_custkey = k
+        ), a AS (
+            SELECT k, list_concat(list_concat(list_concat(list_concat([{{'t': 'summary', 'x': c_name, 'e': CASE WHEN len(cited) > 0 THEN array_to_string(cited, ',') ELSE 'skill-' || skills[1].id END}}], named), jobs), works),
+                       [{{'t': 'certification', 'x': CASE WHEN k % 2 = 0 THEN 'Google Cloud ML' ELSE 'Other' END, 'e': 'certification-' || k}}]) AS claims FROM c
+        ), u AS (SELECT k, unnest(claims) AS c, unnest(range(len(claims))) AS position FROM a)
+        SELECT k AS c_custkey, position, c.t AS claim_type, c.x AS text, c.e AS evidence_ids FROM u""",
 }

@@ -72,3 +72,25 @@ def test_summary(spark):
     assert said("legal_ai", ["x"], name="Vertex AI").endswith(f"using OCR tools. {drafts.CLOUD_SENTENCE}")
     assert said("general", ["Career", "Workflows"], name="Vertex AI").endswith(f"{drafts.TITLE_THEMES[0][1]} using Python, Teamwork, APIs, OCR tools.")
     assert drafts.TITLE_THEMES[3][1] in said("general", ["Documents"]) and drafts.TITLE_THEMES[-1][1] in said("general", [])
+
+
+def test_claims(spark):
+    """A skill cites itself, else the last project that names it, else nothing; a draft without any source cites the first skill."""
+    row = spark.range(1).selectExpr(
+        "7 AS id", "array(named_struct('id', 1, 'name', 'SQL'), named_struct('id', 2, 'name', 'sql'), named_struct('id', 3, 'name', 'Java')) AS skills",
+        "array(named_struct('id', 4, 'title', 'Go', 'technologies', array('Rust')), named_struct('id', 5, 'title', 'X', 'technologies', array('RUST'))) AS projects",
+        "array(named_struct('category', 'A', 'skills', array('sql', 'Rust', 'go', 'C'))) AS groups", "array(named_struct('source_id', '9', 'job_title', 'Dev'), named_struct('source_id', cast(null AS string), 'job_title', 'lost')) AS work",
+    )
+    none = F.array().cast("array<string>")
+    empty = F.lit("")
+    made = lambda headline, matched, projects: row.select(
+        drafts.claim_manifest(
+            {"id": F.col("id"), "headline": headline, "summary": empty, "location": F.lit(None).cast("string"), "skills": F.col("skills"), "projects": F.col("projects")},
+            F.lit("S"), matched, projects, none, F.col("groups"), {"experience": F.col("work")},
+        ).alias("c")
+    ).first()["c"]
+    claims = [tuple(c) for c in made(F.lit("Dev"), F.array(F.lit("SQL"), F.lit("Sql"), F.lit("none")), F.array(F.lit("4")))]
+    assert claims == [
+        ("summary", "S", ["profile-7-summary", "skill-2", "project-4"]), ("skill", "sql", ["skill-2"]), ("skill", "Rust", ["project-5"]), ("skill", "go", ["project-4"]), ("skill", "C", []), ("experience", "Dev", ["experience-9"]),
+    ]
+    assert tuple(made(empty, none, none)[0]) == ("summary", "S", ["skill-1"])
