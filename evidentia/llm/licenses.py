@@ -28,7 +28,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ PIECE_CHARS = 2_000
 TARGET_PRECISION = 0.98
 CONFIRMED, SHORT = 0.6, 4
 PENALTY = 2e-5
-VOCABULARY = 40_000
+FAMILY_GRAMS = 400
 LEAST_WORDS = 4
 #: Words that make no n-gram telling by themselves.
 FUNCTION_WORDS = frozenset(
@@ -263,9 +263,13 @@ def enough(held: Column, of: Column, own: Column) -> Column:
 
 
 def fitted(rows: DataFrame) -> tuple[CountVectorizerModel, LogisticRegressionModel]:
-    """A vocabulary from the generated sentences, without n-grams of function words alone, and weights from all rows."""
-    found = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2, binary=True).fit(rows.filter("i >= 0"))
-    telling = [g for g in found.vocabulary if not FUNCTION_WORDS.issuperset(g.split(" "))]
+    """A vocabulary of the ``FAMILY_GRAMS`` most common n-grams of each family's own rows, without those of function words alone, and weights from all rows.
+
+    Weights travel with every step of the fit, so the vocabulary is kept small, and no family's long text fills it."""
+    counted = rows.filter("i >= 0").select("family", F.explode("grams").alias("gram")).groupBy("family", "gram").count().filter("count > 1")
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("count"), "gram"))
+    common = counted.withColumn("_n", place).filter(F.col("_n") <= FAMILY_GRAMS).select("gram").distinct().orderBy("gram").collect()
+    telling = [r["gram"] for r in common if not FUNCTION_WORDS.issuperset(r["gram"].split(" "))]
     vectors = CountVectorizerModel.from_vocabulary(telling, inputCol="grams", outputCol="features", binary=True)
     regression = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=40, standardization=False, weightCol="weight")
     return vectors, regression.fit(vectors.transform(rows))
