@@ -39,7 +39,8 @@ from evidentia.llm.components import components
 SHINGLE = 5
 THRESHOLD = 75
 BANDS, ROWS = 50, 5
-BLOCK = 256
+#: Members of a block: by memory, 250 bytes of sketch and at most 400 of earlier keys each.
+BLOCK = 4096
 BLOCK_BYTES = 32 << 20
 #: Share of equal sketch bytes below which a pair cannot have similarity 0.75: five standard deviations for 250 minima.
 LEAST_EQUAL = 0.61

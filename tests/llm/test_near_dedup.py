@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evidentia.llm import neardup
+from evidentia.llm import neardup, store
 from evidentia.llm.components import components
 
 
@@ -139,3 +139,9 @@ def test_band_that_collides_in_sketch_bytes_only():
         return sum(len(a) for a, _ in neardup._candidates(pa.Table.from_pylist(rows)))
 
     assert [candidates(b) for b in range(1, 5)] == [1, 0, 0, 0]  # in the first bucket that both are in, and nowhere else
+
+
+def test_many_components_in_one_bucket(spark):
+    """16,000 members of as many components are dealt fewer than ten times each."""
+    members = spark.range(16_000).selectExpr("1L AS key", "id AS rep", "id AS comp", "100 AS n")
+    assert neardup.dealt(members, store.Scratch(spark), "many").count() < 10 * 16_000
