@@ -125,12 +125,34 @@ def strongest_by_section(evidence: DataFrame, terms: DataFrame, limit: int = 3)
     return ranked.select("owner", "section", "position", "source_id", "label", "matched_terms")
 
 
-def recommendations(strongest: DataFrame) -> DataFrame:
-    """(owner, section, keywords, recommendation): what to highlight in each section that has supported terms."""
-    rows = strongest.filter(F.col("section").isin(*RECOMMENDED)).groupBy("owner", "section")
+def strongest_for_postings(postings: DataFrame, evidence: DataFrame, terms: str, limit: int = 3) -> DataFrame:
+    """(posting_id, owner, section, position, source_id, label, matched_terms): of each posting the records of each section that support most of its terms.
+
+    Terms are found in the records of their owner once, for all postings that name them."""
+    listed = postings.select("posting_id", "owner", F.posexplode(unique_terms(F.coalesce(terms, F.array().cast("array<string>")))).alias("_at", "term"))
+    wanted = listed.withColumn("_n", text.scorecard_text(F.col("term"))).filter("_n != ''")
+    keys = ["section", "source_id", "label", "rank"]
+    hits = patterns.terms_in_texts(wanted, evidence, "owner", "_n", "body", keys).join(wanted, ["owner", "_n"]).groupBy("posting_id", "owner", *keys)
+    rows = hits.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "term"))), lambda s: s["term"]).alias("matched_terms"))
+    order = Window.partitionBy("posting_id", "owner", "section").orderBy(F.desc(F.col("rank") + F.size("matched_terms")), F.lower("label"), "source_id")
+    ranked = rows.withColumn("position", F.row_number().over(order).cast("bigint")).filter(F.col("position") <= limit)
+    return ranked.select("posting_id", "owner", "section", "position", "source_id", "label", "matched_terms")
+
+
+def strengths(skills: Column, technologies: Column, projects: Column, experiences: Column) -> Column:
+    """Sentences about what evidence backs, in order: supported skills and technologies, labels of relevant projects and work."""
+    some = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    return F.array_compact(F.array(
+        some("Supported required skills: ", skills), some("Supported required technologies: ", technologies), some("Relevant project evidence: ", projects), some("Relevant work evidence: ", experiences),
+    ))
+
+
+def recommendations(strongest: DataFrame, key: str = "owner") -> DataFrame:
+    """(key, section, keywords, recommendation): what to highlight in each section that has supported terms."""
+    rows = strongest.filter(F.col("section").isin(*RECOMMENDED)).groupBy(key, "section")
     rows = rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "matched_terms"))), lambda s: s["matched_terms"])).alias("_t"))
     rows = rows.withColumn("keywords", unique_terms(F.col("_t")))
-    return rows.select("owner", "section", "keywords", F.concat(F.lit("Highlight "), F.array_join("keywords", ", "), F.lit(" in the "), F.col("section"), F.lit(" section using the cited candidate evidence.")).alias("recommendation"))
+    return rows.select(key, "section", "keywords", F.concat(F.lit("Highlight "), F.array_join("keywords", ", "), F.lit(" in the "), F.col("section"), F.lit(" section using the cited candidate evidence.")).alias("recommendation"))
 
 
 def warnings(support: DataFrame, evidence: DataFrame) -> DataFrame:

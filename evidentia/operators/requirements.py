@@ -195,3 +195,9 @@ def fit_summary(score: Column, full: Column, partial: Column, missing: Column) -
         F.lit("Evidence Coverage Score: "), F.format_string("%.2f", score), F.lit("%. Verified evidence fully supports "), full.cast("string"), F.lit(" scored requirements, partially supports "),
         partial.cast("string"), F.lit(", and does not evidence "), missing.cast("string"), F.lit("."),
     )
+
+
+def relevant_projects(citations: DataFrame, key: str, limit: int = 5) -> DataFrame:
+    """(key, projects): the project evidence that the requirements of each key cite, each once, the best first; at most ``limit``."""
+    best = unique_evidence(citations.filter("category = 'project'"), key).filter(F.col("position") <= limit)
+    return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "evidence_id"))), lambda s: s["evidence_id"]).alias("projects"))

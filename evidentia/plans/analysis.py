@@ -112,6 +112,28 @@ def term_warnings(spark, d):
     return A.warnings(A.term_support(_postings(spark, d), evidence), evidence).select("posting_id", "required", "term", "warning")
 
 
+def posting_advice(spark, d):
+    """Recommendations by section, and what backs each posting."""
+    postings, evidence = _postings(spark, d), A.evidence_items(_records(spark, d))
+    wanted = postings.withColumn("_all", F.concat("required_skills", "required_technologies", "ats_keywords"))
+    best = A.strongest_for_postings(wanted, evidence, "_all", 5)
+    told = A.recommendations(best.filter("position <= 3"), "posting_id").groupBy("posting_id").agg(F.array_join(F.array_sort(F.collect_list("recommendation")), "|").alias("recommendations"))
+    named = lambda of: F.transform(F.array_sort(F.collect_list(F.when((F.col("list") == of) & (F.col("records") > 0), F.struct("position", "term")))), lambda s: s["term"])
+    met = A.term_support(postings, evidence, ("required_skills", "required_technologies")).groupBy("posting_id").agg(named("required_skills").alias("s"), named("required_technologies").alias("t"))
+    labels = lambda of: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == of, F.struct("position", "label")))), lambda s: s["label"])
+    shown = best.groupBy("posting_id").agg(labels("projects").alias("p"), labels("education").alias("e"))
+    rows = met.join(shown, "posting_id", "left").join(told, "posting_id", "left")
+    none = F.array().cast("array<string>")
+    backed = A.strengths(F.col("s"), F.col("t"), F.coalesce("p", none), F.coalesce("e", none))
+    return rows.select("posting_id", F.array_join(backed, "|").alias("strengths"), F.coalesce("recommendations", F.lit("")).alias("recommendations"))
+
+
+def relevant_projects(spark, d):
+    category = F.when(F.col("l_linenumber") % 2 == 0, "project").otherwise("skill")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("evidence_id"), F.round(F.col("l_discount").cast("double"), 2).alias("retrieval_score"), category.alias("category"))
+    return Q.relevant_projects(rows, "owner").select("owner", F.array_join(F.transform("projects", lambda x: x.cast("string")), ",").alias("projects"))
+
+
 def candidate_years(spark, d):
     work = table(spark, d, "events").select(F.col("user_id").alias("owner"), F.to_date("ts").alias("start_date"), F.when(F.col("event_id") % 7 == 0, None).otherwise(F.date_add(F.to_date("ts"), F.floor("value").cast("int"))).alias("end_date"))
     skills = table(spark, d, "part").select((F.col("p_partkey") % 100).alias("owner"), (F.col("p_size") / 10).alias("years_of_experience"))
@@ -272,7 +294,7 @@ def owner_filtered_aggregate(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        requirement_match, requirement_any, structured_requirements, requirement_catalogs, match_explanation, unique_evidence, evidence_projection, gap_report, term_warnings,
+        requirement_match, requirement_any, structured_requirements, requirement_catalogs, match_explanation, unique_evidence, evidence_projection, gap_report, term_warnings, posting_advice, relevant_projects,
         candidate_years, component_scores, project_scores, selection_review, draft_wording, index_plan, vector_faults, owner_vectors, evaluation_flags, threshold_separability,
         full_ranking, owner_rank, owner_topk, page_lines, posting_fields, title_decisions, conditional_update, cascade_delete, owner_filtered_aggregate,
     )
@@ -492,6 +514,19 @@ ORACLE_SQL = {
         s AS (SELECT q.owner, q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v q JOIN v ON q.owner = v.owner AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s)
         SELECT * FROM r WHERE rank <= 3""",
+    "posting_advice": _SUPPORT + f""",
+        h AS (SELECT posting_id, section, source_id, label, rank, list(term ORDER BY i) AS m FROM terms t JOIN item ON item.owner = t.owner AND {_CARD.format("term")} <> '' AND contains(body, {_CARD.format("term")}) WHERE l = 'kw' GROUP BY ALL),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY posting_id, section ORDER BY rank + len(m) DESC, lower(label), source_id) AS pos FROM h) WHERE pos <= 5),
+        w AS (SELECT posting_id, section, flatten(list(m ORDER BY pos) FILTER (pos <= 3)) AS a FROM b WHERE section IN ('skills', 'projects') GROUP BY ALL),
+        c AS (SELECT posting_id, string_agg('Highlight ' || array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), ', ') || ' in the ' || section || ' section using the cited candidate evidence.', '|'
+                     ORDER BY 'Highlight ' || array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), ', ') || ' in the ' || section) AS recommendations FROM w GROUP BY 1),
+        s AS (SELECT posting_id, 'Supported required skills: ' || string_agg(term, ', ' ORDER BY i) FILTER (l = 'rs' AND records > 0) AS a, 'Supported required technologies: ' || string_agg(term, ', ' ORDER BY i) FILTER (l = 'rt' AND records > 0) AS t FROM support GROUP BY 1),
+        e AS (SELECT posting_id, 'Relevant project evidence: ' || string_agg(label, ', ' ORDER BY pos) FILTER (section = 'projects') AS p, 'Relevant work evidence: ' || string_agg(label, ', ' ORDER BY pos) FILTER (section = 'education') AS x FROM b GROUP BY 1)
+        SELECT posting_id, concat_ws('|', a, t, p, x) AS strengths, coalesce(recommendations, '') AS recommendations FROM s LEFT JOIN e USING (posting_id) LEFT JOIN c USING (posting_id)""",
+    "relevant_projects": """
+        WITH u AS (SELECT l_suppkey AS owner, l_partkey AS id, max(round(CAST(l_discount AS DOUBLE), 2)) AS s FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY s DESC, id) AS n FROM u)
+        SELECT owner, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS projects FROM r WHERE n <= 5 GROUP BY 1""",
     "page_lines": f"""
         WITH l AS (SELECT doc_id, {_SPLIT.format("'the', 'of', 'and', 'home'")} AS a FROM documents), u AS (SELECT doc_id, {_ONCE.format("a")} AS b FROM l)
         SELECT doc_id, CAST(len(b) AS BIGINT) AS n_lines, sha256(array_to_string(b, chr(10))) AS digest FROM u""",
