@@ -65,3 +65,65 @@ def test_odd_inputs(spark, make):
     some = Q.fit(measured, spark.createDataFrame([(1, 1), (1, 0), (3, 1), (4, 0)], "doc_id bigint, quality int"))
     assert all(0 <= r["s"] <= 1 for r in measured.select(Q.scorer(some)("stats").alias("s")).collect())
     assert Q.measure(make([])).collect() == []
+
+
+def plain_statistics(text):
+    """The statistics by counting one thing after the other."""
+    import math
+    import re
+
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    n, size = len(words), len(raw)
+    if not n:
+        return [math.log(1 + size)] + [0.0] * 17
+    of = lambda pattern: len(re.findall(pattern, raw)) / size
+    often = sorted((words.count(w) for w in set(words)), reverse=True)
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    symbol = rb"[#*$%&|<>@^~=_\\{}\[\]+/]"
+    upper, lower = of(rb"[A-Z]"), of(rb"[a-z]")
+    return [
+        math.log(1 + size), math.log(1 + n), sum(len(w) for w in words) / n, upper / max(upper + lower, 1e-9), of(rb"[0-9]"), of(symbol), of(rb"[!?]"), of(rb"[.,;:'\"()-]"), of(rb"[\x80-\xff]"),
+        len(set(words)) / n, often[0] / n, sum(often[:5]) / n, sum(a == b for a, b in zip(words, words[1:])) / n, math.log(1 + len(lines)), 1 - len(set(lines)) / max(len(lines), 1),
+        math.log(1 + n / max(len(lines), 1)), sum(bool(re.match(rb"[A-Z]", w)) for w in words) / n, sum(bool(re.match(symbol, w[:1]) or re.match(symbol, w[-1:])) for w in words) / n,
+    ]
+
+
+def test_statistics_equal_a_plain_count(make, prose):
+    texts = [None, "", " \n", "a", "A b A b", "é日 É x", "#x y* $z$ a_b", "One two.\n\nOne two.\n three!? 12", prose(3, 300), "W" * 5000, "x\ty\x0bz\n" * 50, "\\ [ ] { } + / = ~ ^ @ | < > & % $ * #"]
+    got = {r["doc_id"]: r["stats"] for r in Q.measure(make(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert np.allclose(got[i], plain_statistics(text), atol=1e-12), text
+
+
+def test_scores_equal_a_plain_evaluation(spark, make, prose):
+    """Statistics, ridge, isotonic curve and scores of every row, computed without Spark."""
+    import zlib
+
+    rows, labels = corpus(prose, 300)
+    rng = random.Random(4)
+    labels = [(i, 1 - q if rng.random() < 0.2 else q) for i, q in labels]  # so that the curve has pools
+    measured = Q.measure(make(rows).repartition(4)).cache()
+    got = {r["doc_id"]: r["s"] for r in measured.select("doc_id", Q.scorer(Q.fit(measured, spark.createDataFrame(labels, "doc_id bigint, quality int")))("stats").alias("s")).collect()}
+    crc, y = (lambda i: zlib.crc32(str(i).encode())), dict(labels)
+    stats = {i: np.array(plain_statistics(t)) for i, t in rows}
+    learn = [i for i in stats if crc(i) % 4 != 2]
+    teach, check = [i for i in learn if crc(i) // 4 % 5], [i for i in learn if crc(i) // 4 % 5 == 0]
+    x = np.array([stats[i] for i in teach])
+    scale = np.where(x.std(axis=0) < 1e-9, 1.0, x.std(axis=0))
+    features = lambda ids: Q.fourier((np.array([stats[i] for i in ids]) - x.mean(axis=0)) / scale)
+    f, penalty = features(teach), Q.RIDGE * np.eye(Q.FEATURES + 1)
+    penalty[-1, -1] = 1e-9
+    weights = np.linalg.solve(f.T @ f + penalty, f.T @ np.array([y[i] for i in teach], float))
+    bins = {}
+    for i, raw in zip(check, features(check) @ weights):
+        bins.setdefault(min(max(int(np.floor(raw * 1000 + 1000)), 0), Q.BINS - 1), []).append(y[i])
+    keys = sorted(bins)
+    mean = lambda a, b: sum(sum(bins[k]) for k in keys[a : b + 1]) / sum(len(bins[k]) for k in keys[a : b + 1])
+    level = [max(min(mean(a, b) for b in range(i, len(keys))) for a in range(i + 1)) for i in range(len(keys))]
+    pools = {}
+    for k, v in zip(keys, level):
+        pools.setdefault(round(v, 12), []).extend([k] * len(bins[k]))
+    at = [np.mean(ks) / 1000 - 1 + 0.0005 for ks in pools.values()]
+    want = np.interp(features(list(stats)) @ weights, at, list(pools))
+    assert len(pools) > 2 and np.allclose([got[i] for i in stats], want, atol=1e-6)
