@@ -183,7 +183,46 @@ def _resume_sql() -> str:
         FROM b LEFT JOIN s USING (c_custkey) LEFT JOIN g USING (c_custkey)"""
 
 
+def _fixture_sql(rest: str) -> str:
+    """The lines of the fixture's résumés with their sections, then ``rest``."""
+    email, url, phone = (p.removeprefix("(?i)") for p in (P.EMAIL, P.URL, P.PHONE))
+    return rf"""
+        WITH r AS (SELECT id, unnest(string_split(body, chr(10))) AS raw, unnest(range(len(string_split(body, chr(10))))) AS n FROM {values(RESUMES, "v", "id, body")}),
+        c AS (SELECT id, n, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' •') AS line FROM r),
+        o AS (SELECT *, {_HEADINGS}[trim(regexp_replace(lower(line), '[^a-z ]', '', 'g'))] AS o FROM c WHERE line <> ''),
+        l AS (
+            SELECT id, n, line, section, (regexp_matches(line, '{email}', 'i') OR regexp_matches(line, '{url}', 'i') OR regexp_full_match(line, '{phone}')) AS contact, regexp_extract(line, '{email}', 0, 'i') AS email,
+                   regexp_extract(line, '{phone}', 0) AS phone, list_transform(regexp_extract_all(line, '{url}', 0, 'i'), lambda u: rtrim(u, '.,;)')) AS urls
+            FROM (SELECT *, coalesce(last_value(o IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING), 'header') AS section FROM o) WHERE o IS NULL
+        ){rest}"""
+
+
+def _jobs_sql() -> str:
+    dates = P.DATES.removeprefix("(?i)")
+    day = "(CASE WHEN length({0}) = 4 THEN {0} || '-01-01' ELSE strftime(try_strptime({0}[1:3] || ' ' || {0}[-4:], '%b %Y'), '%Y-%m-%d') END)"
+    return _fixture_sql(rf""",
+        j AS (SELECT id, n, regexp_extract(line, '{dates}', 1, 'i') AS s, regexp_extract(line, '{dates}', 2, 'i') AS e,
+                     list_filter(list_transform(string_split_regex(trim(CASE WHEN regexp_matches(line, '{dates}', 'i') THEN regexp_extract(line, '^(.*?)(?:{dates})', 1, 'i') ELSE line END, ' |-–—'), '\s*\|\s*|\s+at\s+'), lambda p: trim(p)), lambda p: p <> '') AS parts
+              FROM l WHERE section = 'experience'),
+        k AS (SELECT *, s <> '' AND len(parts) >= 2 AS ok, lower(e) IN ('present', 'current') AS now FROM j)
+        SELECT id, n AS line_no, CASE WHEN ok THEN parts[1] END AS job_title, CASE WHEN ok THEN parts[2] END AS company, CASE WHEN ok THEN {day.format("s")} END AS start,
+               CASE WHEN ok AND NOT now THEN {day.format("e")} END AS "end", CASE WHEN ok THEN now END AS is_current FROM k""")
+
+
+_CATEGORY = " ".join(f"WHEN lower(skill) IN ({', '.join(repr(t) for t in terms)}) THEN '{name}'" for name, terms in P.SKILL_CATEGORIES)
 ORACLE_SQL = {
+    "resume_header": _fixture_sql("""
+        SELECT id, coalesce(list(line ORDER BY n) FILTER (NOT contact AND length(line) <= 100)[1], 'Candidate') AS full_name,
+               list_filter(list(line ORDER BY n) FILTER (NOT contact), lambda x: x IS DISTINCT FROM (list(line ORDER BY n) FILTER (NOT contact AND length(line) <= 100))[1])[1][1:250] AS headline,
+               arg_min(email, n) FILTER (email <> '') AS email, arg_min(phone, n) FILTER (phone <> '') AS phone,
+               list_filter(flatten(list(urls ORDER BY n)), lambda u: contains(lower(u), 'github.com'))[1] AS github, list_filter(flatten(list(urls ORDER BY n)), lambda u: NOT regexp_matches(lower(u), 'linkedin[.]com|github[.]com'))[1] AS portfolio
+        FROM l WHERE section = 'header' GROUP BY 1"""),
+    "resume_skills": _fixture_sql(rf""",
+        v AS (SELECT id, n, string_split_regex(regexp_replace(line, '^[^:]{{1,30}}:\s*', ''), '[,;|•]') AS x FROM l WHERE section = 'skills'),
+        k AS (SELECT id, n, unnest(list_transform(x, lambda y: trim(y, ' .'))) AS skill, generate_subscripts(x, 1) AS i FROM v),
+        u AS (SELECT * FROM k WHERE skill <> '' AND length(skill) <= 150 QUALIFY row_number() OVER (PARTITION BY id, lower(skill) ORDER BY n, i) = 1)
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY n, i) AS position, skill, CASE {_CATEGORY} ELSE 'General' END AS category FROM u"""),
+    "resume_jobs": _jobs_sql(),
     "resume_lines": rf"""
         WITH r AS (SELECT * FROM {values(RESUMES, "v", "id, body")}),
         p AS (SELECT id, unnest(string_split(body, chr(10))) AS raw, unnest(range(len(string_split(body, chr(10))))) AS line_no FROM r),

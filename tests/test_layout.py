@@ -19,5 +19,4 @@ def test_lineage_is_never_cut_on_executors():
 
 
 def test_sql_belongs_to_queries():
-    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"resume_header", "resume_skills", "resume_jobs"}
+    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES)
