@@ -73,11 +73,16 @@ def grouped_skills(skills: DataFrame, owner: str) -> DataFrame:
     ``MAX_SKILLS`` are placed; at most ``MAX_GROUPS`` groups are returned.  Only the skills of one owner are ever ordered."""
     key = text.project_text(F.col("name"))
     keyed = skills.withColumn("_k", key).filter("_k != ''")
-    options = []
-    for name, groups in ROLE_GROUPS.items():
-        fits = [F.when((F.col("role") == name) & (F.col("_k") != text.project_text(F.lit(g))) & belongs(F.col("_k"), SKILL_GROUPS[g]), F.struct(F.lit(i).alias("group_no"), F.lit(g).alias("group"))) for i, g in enumerate(groups)]
-        options.append(F.coalesce(*fits))
-    placed = keyed.withColumn("_g", F.coalesce(*options)).filter("_g is not null")
+
+    def group(k: Column) -> Column:
+        options = []
+        for name, groups in ROLE_GROUPS.items():
+            fits = [F.when((F.col("role") == name) & (k != text.project_text(F.lit(g))) & belongs(k, SKILL_GROUPS[g]), F.struct(F.lit(i).alias("group_no"), F.lit(g).alias("group"))) for i, g in enumerate(groups)]
+            options.append(F.coalesce(*fits))
+        return F.coalesce(*options)
+
+    # the key is the variable of a lambda, so that it is made once and not in each of the many comparisons
+    placed = keyed.withColumn("_g", F.element_at(F.transform(F.array("_k"), group), 1)).filter("_g is not null")
     relevance = [F.desc("matched"), F.desc("in_project"), F.lower("category"), F.lower("name"), "name"]
     once = Window.partitionBy(owner, "_k").orderBy(*relevance)
     placed = placed.withColumn("_n", F.row_number().over(once)).filter("_n = 1")

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidentia.operators import corpus as C
-from evidentia.operators import drafts, embedding, markup, nested, pages, runs
+from evidentia.functions import text
+from evidentia.operators import drafting, drafts, embedding, markup, nested, pages, relational, runs
 from evidentia.plans.common import table
-from evidentia.plans.postings import _DROPPED, _entities_sql
+from evidentia.plans.postings import _DROPPED, _entities_sql, _redact_sql
 
 #: Where the pages of the tables keep their fields; the first selector of each is for pages of other makers.
 SELECTORS = {
@@ -190,6 +191,66 @@ def claim_manifest(spark, d):
     return found.select("c_custkey", F.col("position").cast("bigint").alias("position"), "claim.claim_type", "claim.text", F.array_join("claim.evidence_ids", ",").alias("evidence_ids"))
 
 
+def part_subsets(spark, d):
+    words, more = F.split("p_name", " "), F.split(F.concat_ws(" ", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.lit("red bolt"))), " ")
+    return table(spark, d, "part").select("p_partkey", relational.is_subset(words, more).alias("subset"))
+
+
+def redact_values(spark, d):
+    """Nested values: a text, a list and a map with a secret key."""
+    text_of = F.col("text")
+    value = F.struct(text_of.alias("body"), F.array(text_of, F.lit("Bearer abcdef")).alias("items"), F.create_map(F.lit("api_key"), text_of, F.lit("note"), text_of).alias("fields"), F.length(text_of).alias("password"))
+    rows = table(spark, d, "documents").select("doc_id", value.alias("value"))
+    rows = rows.select("doc_id", text.redact_nested(F.col("value"), rows.schema["value"].dataType).alias("v"))
+    hashed = lambda c: text.content_hash(c)
+    return rows.select(
+        "doc_id", hashed(F.col("v.body")).alias("body"), hashed(F.array_join("v.items", "|")).alias("items"), F.element_at("v.fields", "api_key").alias("api_key"), hashed(F.element_at("v.fields", "note")).alias("note"),
+        F.col("v.password").isNull().alias("hidden"),
+    )
+
+
+def short_texts(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", drafting.two_sentences(F.col("text")).alias("short"))
+
+
+def date_spans(spark, d):
+    open_ = F.col("o_orderstatus") == "O"
+    return table(spark, d, "orders").select("o_orderkey", drafting.date_span(F.col("o_orderdate"), F.date_add("o_orderdate", 100), open_).alias("span"))
+
+
+def stage_completion(spark, d):
+    """Lines as stages of an order: the last one of a name is completed."""
+    stage = F.struct(F.col("l_returnflag").alias("stage"), F.col("l_linestatus").alias("status"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("finished_at"))
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", stage.alias("s")))), lambda x: x["s"]).alias("stages"))
+    done = drafting.complete_last(F.col("stages"), "R", F.lit("today"))
+    return lists.select("l_orderkey", F.array_join(F.transform(done, lambda x: F.concat_ws("/", x["stage"], x["status"], x["finished_at"])), ",").alias("stages"))
+
+
+def cited_skills(spark, d):
+    """Drafted skills of suppliers' parts, against the skills and projects of their owner."""
+    part, owner = table(spark, d, "part"), F.floor(F.col("p_partkey") / 10).cast("bigint").alias("owner")
+    words = F.split("p_name", " ")
+    drafted = part.select(owner, F.upper(F.get(words, F.lit(1))).alias("name")).distinct()
+    owned = part.filter("p_size % 3 = 0").select(owner, F.col("p_partkey").cast("string").alias("id"), F.get(words, F.lit(1)).alias("name"), F.col("p_partkey").alias("position"))
+    projects = part.filter("p_size % 2 = 0").select(owner, F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("position"), F.col("p_type").alias("title"), words.alias("technologies"))
+    claims = drafting.skill_claims(drafted, owned, projects, "owner")
+    return claims.select("owner", "claim_type", "text", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
+#: Skills as parts: terms of all groups, and names that belong to none.
+SKILL_NAMES = tuple(t for terms in drafting.SKILL_GROUPS.values() for t in terms[:5]) + ("Fast API", "gardening", "Advanced Python", "Git")
+
+
+def skill_groups(spark, d):
+    """Twenty-four parts are the skills of an owner; roles go round."""
+    k = F.col("p_partkey")
+    owner = F.floor(k / 24).cast("bigint").alias("owner")
+    name = F.element_at(F.array(*map(F.lit, SKILL_NAMES)), (k * 7 % len(SKILL_NAMES) + 1).cast("int")).alias("name")
+    role = F.element_at(F.array(*map(F.lit, drafting.ROLE_GROUPS)), (F.floor(k / 24) % len(drafting.ROLE_GROUPS) + 1).cast("int")).alias("role")
+    skills = table(spark, d, "part").select(owner, role, name, F.col("p_brand").alias("category"), (F.col("p_size") % 2 == 0).alias("matched"), (F.col("p_size") % 3 == 0).alias("in_project"))
+    return drafting.grouped_skills(skills, "owner").select("owner", F.col("group_no").cast("bigint").alias("group_no"), "category", F.array_join("skills", ",").alias("skills"))
+
+
 class LetterCounts:
     """A service for the query below: three counts of each text, answered from the last to the first."""
 
@@ -207,7 +268,8 @@ def batched_embeddings(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_fields, page_platform, run_lifecycle, run_read_model, corpus_ids, corpus_cases, nested_create, nested_update, nested_read, batched_embeddings, draft_sections, claim_manifest,
+        page_fields, page_platform, run_lifecycle, run_read_model, corpus_ids, corpus_cases, nested_create, nested_update, nested_read, batched_embeddings, draft_sections, claim_manifest, part_subsets, redact_values, short_texts, date_spans, stage_completion,
+        cited_skills, skill_groups,
     )
 }
 
@@ -264,6 +326,28 @@ def _uuid5_sql(name: str) -> str:
     return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || {variant} || {h}[18:20] || '-' || {h}[21:32]"
 
 
+def _listed_sql(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _project_text_sql(value: str) -> str:
+    low = f"lower({value})"
+    for old, new in text.PROJECT_REPLACEMENTS:
+        low = f"replace({low}, '{old}', '{new}')"
+    return f"trim(regexp_replace({low}, '[^a-z0-9+#.]+', ' ', 'g'))"
+
+
+def _group_sql() -> str:
+    """The first group of a skill's role that it fits."""
+
+    def fits(group: str) -> str:
+        hits = [f"k IN ({_listed_sql(drafting.EXACT_TERMS[t])})" if t in drafting.EXACT_TERMS else f"contains(k, '{t}') OR contains('{t}', k)" for t in drafting.SKILL_GROUPS[group]]
+        return f"k <> {_project_text_sql(repr(group))} AND ({' OR '.join(hits)})"
+
+    cases = " ".join(f"WHEN role = '{n}' AND {fits(g)} THEN {i}" for n, groups in drafting.ROLE_GROUPS.items() for i, g in enumerate(groups))
+    return f"CASE {cases} END"
+
+
 _KIND = "CASE source WHEN 'src0' THEN 'project' WHEN 'src1' THEN 'skill' ELSE 'experience' END"
 _KEYED = f"""(SELECT doc_id, {_KIND} || ':' || {_KIND} || ' no. ' || doc_id || ' of ' || coalesce(lang, '?') AS key FROM documents)"""
 _STEP = "list_position([{0}], e.event)".format(", ".join(f"'{e}'" for e in runs.EVENTS))
@@ -380,4 +464,33 @@ ORACLE_SQL = {
                        [{{'t': 'certification', 'x': CASE WHEN k % 2 = 0 THEN 'Google Cloud ML' ELSE 'Other' END, 'e': 'certification-' || k}}]) AS claims FROM c
         ), u AS (SELECT k, unnest(claims) AS c, unnest(range(len(claims))) AS position FROM a)
         SELECT k AS c_custkey, position, c.t AS claim_type, c.x AS text, c.e AS evidence_ids FROM u""",
+    "part_subsets": """
+        SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda w: NOT list_contains(string_split(p_type || ' ' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'red bolt' END, ' '), w))) = 0 AS subset FROM part""",
+    "redact_values": f"""
+        WITH r AS (SELECT doc_id, {_redact_sql("text")} AS t, {_redact_sql("'Bearer abcdef'")} AS b FROM documents)
+        SELECT doc_id, sha256(t) AS body, sha256(t || '|' || b) AS items, '[REDACTED]' AS api_key, sha256(t) AS note, true AS hidden FROM r""",
+    "short_texts": """
+        WITH p AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '') AS a FROM conversations)
+        SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN trim(text) ELSE array_to_string(a[1:2], '. ') || '.' END AS short FROM p""",
+    "date_spans": """
+        SELECT o_orderkey, strftime(o_orderdate, '%b %Y') || ' - ' || CASE WHEN o_orderstatus = 'O' THEN 'Present' ELSE strftime(CAST(o_orderdate AS DATE) + 100, '%b %Y') END AS span FROM orders""",
+    "stage_completion": """
+        WITH s AS (SELECT l_orderkey, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem),
+        m AS (SELECT l_orderkey, max(n) FILTER (l_returnflag = 'R') AS last FROM s GROUP BY 1)
+        SELECT l_orderkey, string_agg(l_returnflag || '/' || CASE WHEN n = last THEN 'completed/today' ELSE l_linestatus || '/' || f END, ',' ORDER BY n) AS stages FROM s JOIN m USING (l_orderkey) GROUP BY 1""",
+    "cited_skills": """
+        WITH p AS (SELECT *, p_partkey // 10 AS owner, string_split(p_name, ' ') AS w FROM part), d AS (SELECT DISTINCT owner, upper(w[2]) AS text FROM p),
+        o AS (SELECT owner, lower(w[2]) AS k, 'skill-' || max(p_partkey) AS skill FROM p WHERE p_size % 3 = 0 GROUP BY 1, 2),
+        t AS (SELECT owner, p_partkey, unnest([p_type, w[1], w[2]]) AS term FROM p WHERE p_size % 2 = 0), j AS (SELECT owner, lower(term) AS k, 'project-' || max(p_partkey) AS project FROM t GROUP BY 1, 2)
+        SELECT d.owner, 'skill' AS claim_type, text, coalesce(skill, project, '') AS evidence_ids FROM d LEFT JOIN o ON o.owner = d.owner AND o.k = lower(text) LEFT JOIN j ON j.owner = d.owner AND j.k = lower(text)""",
+    "skill_groups": f"""
+        WITH s AS (
+            SELECT p_partkey // 24 AS owner, [{_listed_sql(SKILL_NAMES)}][CAST(p_partkey * 7 % {len(SKILL_NAMES)} + 1 AS INT)] AS name, [{_listed_sql(drafting.ROLE_GROUPS)}][CAST(p_partkey // 24 % {len(drafting.ROLE_GROUPS)} + 1 AS INT)] AS role,
+                   p_brand AS category, p_size % 2 = 0 AS matched, p_size % 3 = 0 AS in_project FROM part
+        ), k AS (SELECT *, {_project_text_sql("name")} AS k FROM s), g AS (SELECT *, {_group_sql()} AS g FROM k WHERE k <> ''),
+        u AS (SELECT * FROM g WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY owner, k ORDER BY matched DESC, in_project DESC, lower(category), lower(name), name) = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY g, matched DESC, in_project DESC, lower(category), lower(name), name) AS n FROM u),
+        a AS (SELECT owner, role, g, string_agg(name, ',' ORDER BY n) AS skills FROM r WHERE n <= {drafting.MAX_SKILLS} GROUP BY 1, 2, 3)
+        SELECT owner, CAST(g AS BIGINT) AS group_no, CASE role {" ".join(f"WHEN '{n}' THEN [{_listed_sql(v)}]" for n, v in drafting.ROLE_GROUPS.items())} END[g + 1] AS category, skills
+        FROM a QUALIFY row_number() OVER (PARTITION BY owner ORDER BY g) <= {drafting.MAX_GROUPS}""",
 }
