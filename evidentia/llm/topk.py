@@ -41,6 +41,8 @@ LONG = 2**63 - 1
 HUGE = np.finfo(np.float64).max
 NO_ID = np.iinfo(np.int64).max
 
+#: Types of components by their bytes.
+WIDTHS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}
 PACKED = "dim int, part int, number int, longest double, shortest double, rows int, keys binary, ids binary, named binary, lengths binary, matrix binary"
 FOUND = "query_key bigint, query_id bigint, key bigint, vec_id bigint, score bigint"
 PACK = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("number", pa.int32()), ("longest", pa.float64()), ("shortest", pa.float64()), ("rows", pa.int32())] + [(n, pa.binary()) for n in ("keys", "ids", "named", "lengths", "matrix")])
@@ -49,7 +51,7 @@ HITS = pa.schema([(n, pa.int64()) for n in ("query_key", "query_id", "key", "vec
 
 @dataclass
 class Pack:
-    """Rows of one dimension: keys, ids (``named``: not null), lengths, and integer components as doubles."""
+    """Rows of one dimension: keys, ids (``named``: not null), lengths, and integer components as doubles; they travel in as few bytes as hold them."""
 
     keys: np.ndarray
     ids: np.ndarray
@@ -62,12 +64,21 @@ class Pack:
         def array(name: str, kind) -> np.ndarray:
             return np.frombuffer(row[name], kind)
 
-        return cls(array("keys", np.int64), array("ids", np.int64), array("named", np.bool_), array("lengths", np.float64), array("matrix", np.float64).reshape(row["rows"], row["dim"]))
+        cells = row["rows"] * row["dim"]
+        kind = WIDTHS[len(row["matrix"]) // cells] if cells else np.float64
+        matrix = array("matrix", kind).reshape(row["rows"], row["dim"]).astype(np.float64)
+        return cls(array("keys", np.int64), array("ids", np.int64), array("named", np.bool_), array("lengths", np.float64), matrix)
 
     def row(self, part: int, number: int) -> dict:
-        data = {n: np.ascontiguousarray(getattr(self, n)).tobytes() for n in ("keys", "ids", "named", "lengths", "matrix")}
+        data = {n: np.ascontiguousarray(getattr(self, n)).tobytes() for n in ("keys", "ids", "named", "lengths")}
+        data["matrix"] = self.matrix.astype(self.narrowest()).tobytes()
         return data | {"dim": self.matrix.shape[1], "part": part, "number": number, "longest": float(self.lengths.max()), "shortest": float(self.lengths.min()), "rows": len(self.keys)}
 
+    def narrowest(self) -> type:
+        whole = np.isfinite(self.matrix).all() and (self.matrix == np.floor(self.matrix)).all()
+        most = float(np.abs(self.matrix).max(initial=0.0)) if whole else np.inf
+        return next(kind for _, kind in sorted(WIDTHS.items()) if kind is np.float64 or most <= np.iinfo(kind).max)
+
     @property
     def wide(self) -> bool:
         """Whether products may need more than the 53 bits of a double."""

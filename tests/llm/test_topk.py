@@ -98,3 +98,11 @@ def test_pruning_prunes(monkeypatch):
     products[np.arange(100), np.arange(100)] = -np.inf
     assert (best.scores == -np.sort(-products, axis=1)[:, :10]).all()
     assert by_coordinate and sum(counted) < 0.5 * products.size
+
+
+@pytest.mark.parametrize("most,width", [(1, 1), (127, 1), (128, 2), (40_000, 4), (3e9, 8), (0.5, 8), (math.inf, 8)])
+def test_packs_travel_in_few_bytes(most, width):
+    matrix = np.array([[most, -1.0], [0.0, 1.0]])
+    ids = np.arange(2)
+    row = topk.Pack(ids, ids, np.ones(2, bool), np.array([2.0, 1.0]), matrix).row(0, 0)
+    assert len(row["matrix"]) == 4 * width and (topk.Pack.of(row).matrix == matrix).all()
