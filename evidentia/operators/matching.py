@@ -42,7 +42,7 @@ def explicit_status(requirements: DataFrame, evidence: DataFrame, rules: dict =
 def gate(hits: DataFrame, requirements: DataFrame, evidence: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, query_id, status, best_lexical, citations) from ranked hits: admit, then grade; with ``scope`` ids count within their owner, model, ...
 
-    Only evidence that is admitted brings its words along.
+    Hits, a few for each query, meet the evidence in one join, as the small side.
 
     A hit is admitted by a shared token or a vector score of ``ADMITTED_VECTOR``; both read rounded scores.  Requirements without
     a signal token are not applicable, whatever was found."""
@@ -50,8 +50,8 @@ def gate(hits: DataFrame, requirements: DataFrame, evidence: DataFrame, scope: l
     within = scope or []
     of_query, of_evidence = [*within, "query_id"], [*within, "evidence_id"]
     wording = requirements.select(*of_query, F.array_join("tokens", " ").alias("_q"), (F.size(text.signal_tokens(F.col("tokens"))) > 0).alias("_signal"))
-    bodies = evidence.join(admitted.select(*of_evidence).distinct(), of_evidence, "left_semi").select(*of_evidence, F.array_join("tokens", " ").alias("_e"))
-    cited = admitted.join(bodies, of_evidence).join(wording.drop("_signal"), of_query)
+    # hits are few beside the evidence and are ranked once; words are joined for hits alone
+    cited = admitted.join(evidence.select(*of_evidence, "tokens"), of_evidence).withColumn("_e", F.array_join("tokens", " ")).drop("tokens").join(wording.drop("_signal"), of_query)
     graded = cited.groupBy(*of_query).agg(F.max("lexical_score").alias("best_lexical"), F.bool_or(F.contains("_e", "_q")).alias("_exact"), F.count("*").alias("citations"))
     rows = wording.join(graded, of_query, "left")
     status = scores.status_of(F.coalesce("best_lexical", F.lit(0.0)), F.col("citations").isNotNull(), F.coalesce("_exact", F.lit(False)))

@@ -132,9 +132,10 @@ def matched(requirements: DataFrame, evidence: DataFrame, k: int, rules: dict =
     free = masks.filter("mask = 0").select("query_id", "tokens", "has_signal")
     hits = retrieval.rank(evidence, free, k)
     admitted = hits.filter((F.col("lexical_score") > 0) | (F.col("vector_score") >= scores.ADMITTED_VECTOR))
-    bodies = evidence.select("evidence_id", F.array_join("tokens", " ").alias("_e")).join(admitted.select("evidence_id").distinct(), "evidence_id", "left_semi")
     wording = free.select("query_id", F.array_join("tokens", " ").alias("_q"))
-    graded = admitted.join(bodies, "evidence_id").join(wording, "query_id").groupBy("query_id").agg(
+    # hits are few beside the evidence and are ranked once; words are joined for hits alone
+    cited = admitted.join(evidence.select("evidence_id", "tokens"), "evidence_id").withColumn("_e", F.array_join("tokens", " ")).drop("tokens")
+    graded = cited.join(wording, "query_id").groupBy("query_id").agg(
         F.max("lexical_score").alias("best"), F.bool_or(F.contains("_e", "_q")).alias("exact"), F.count("*").alias("n")
     )
     rows = free.select("query_id", "has_signal").join(graded, "query_id", "left")
