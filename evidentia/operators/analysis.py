@@ -128,15 +128,30 @@ def strongest_by_section(evidence: DataFrame, terms: DataFrame, limit: int = 3)
 def strongest_for_postings(postings: DataFrame, evidence: DataFrame, terms: str, limit: int = 3) -> DataFrame:
     """(posting_id, owner, section, position, source_id, label, matched_terms): of each posting the records of each section that support most of its terms.
 
-    Terms are found in the records of their owner once, for all postings that name them."""
+    Postings that ask for the same terms have the same records, and records of a section that hold the same terms of their owner stand by rank, label
+    and id alone.  So each set of terms is ranked once, against classes of records with their first ``limit`` rows; postings meet the few rows found."""
     listed = postings.select("posting_id", "owner", F.posexplode(unique_terms(F.coalesce(terms, F.array().cast("array<string>")))).alias("_at", "term"))
     wanted = listed.withColumn("_n", text.scorecard_text(F.col("term"))).filter("_n != ''")
+    asked = wanted.groupBy("posting_id", "owner").agg(F.array_sort(F.collect_list("_n")).alias("_asked"), F.array_sort(F.collect_list(F.struct("_at", "term", "_n"))).alias("_terms"))
+    sets = asked.select("owner", "_asked").distinct()
     keys = ["section", "source_id", "label", "rank"]
-    hits = patterns.terms_in_texts(wanted, evidence, "owner", "_n", "body", keys).join(wanted, ["owner", "_n"]).groupBy("posting_id", "owner", *keys)
-    rows = hits.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "term"))), lambda s: s["term"]).alias("matched_terms"))
-    order = Window.partitionBy("posting_id", "owner", "section").orderBy(F.desc(F.col("rank") + F.size("matched_terms")), F.lower("label"), "source_id")
-    ranked = rows.withColumn("position", F.row_number().over(order).cast("bigint")).filter(F.col("position") <= limit)
-    return ranked.select("posting_id", "owner", "section", "position", "source_id", "label", "matched_terms")
+    hits = patterns.terms_in_texts(wanted, evidence, "owner", "_n", "body", keys).groupBy("owner", *keys).agg(F.array_sort(F.collect_set("_n")).alias("_held"))
+    same = ["owner", "section", "rank", "_held"]
+    order = Window.partitionBy(*same).orderBy(F.lower("label"), "source_id")
+    firsts = hits.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit)
+    classes = firsts.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct(F.lower("label").alias("_low"), "source_id", "label"))).alias("_rows"))
+    # a class and a set meet by each distinct term that both have; a term counts as often as the set has it
+    each = sets.withColumn("_n", F.explode(F.array_distinct("_asked")))
+    weight = F.size(F.filter("_asked", lambda x: x == F.col("_n")))
+    met = each.withColumn("_w", weight).join(classes.withColumn("_n", F.explode("_held")), ["owner", "_n"])
+    scored = met.groupBy("owner", "_asked", "section", "rank", "_held").agg(F.sum("_w").alias("_count"), F.first("_rows").alias("_rows")).withColumn("_strength", F.col("rank") + F.col("_count"))
+    within = Window.partitionBy("owner", "_asked", "section")
+    # no class whose first row is behind those of ``limit`` others has a row among the first
+    best = scored.withColumn("_place", F.row_number().over(within.orderBy(F.desc("_strength"), F.get("_rows", F.lit(0))["_low"], F.get("_rows", F.lit(0))["source_id"]))).filter(F.col("_place") <= limit)
+    rows = best.select("owner", "_asked", "section", "_held", "_strength", F.inline("_rows"))
+    placed = rows.withColumn("position", F.row_number().over(within.orderBy(F.desc("_strength"), "_low", "source_id")).cast("bigint")).filter(F.col("position") <= limit)
+    matched = F.transform(F.filter("_terms", lambda t: F.array_contains("_held", t["_n"])), lambda t: t["term"])
+    return asked.join(placed, ["owner", "_asked"]).select("posting_id", "owner", "section", "position", "source_id", "label", matched.alias("matched_terms"))
 
 
 def strengths(skills: Column, technologies: Column, projects: Column, experiences: Column) -> Column:
