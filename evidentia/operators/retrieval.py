@@ -336,13 +336,15 @@ def _best(asked: pa.Table, k: int, weights: tuple[float, float] | None) -> Best:
     return Best(QueryBlock(asked["query_id"].to_pylist(), lists, Features()), k, weights)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, split: bool = True) -> DataFrame:
     """The rows over all cores where a scan has fewer parts than there are cores: a small table in one row group is one task.
 
-    Only tables that are small by the plan's estimate (``SPREAD_BYTES``) are moved; others are left as they are, whatever the cores."""
+    Only tables that are small by the plan's estimate (``SPREAD_BYTES``) are moved; others are left as they are, whatever the cores.
+    A file of one row group is planned as several parts, of which one has all the rows: without ``split`` parts are not counted, for
+    narrow tables with much work a row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SPREAD_BYTES
-    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if small and (not split or df.rdd.getNumPartitions() < cores) else df
 
 
 def _scoped_candidates(evidence: DataFrame, queries: DataFrame, scope: list[str], k: int, weights: tuple[float, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import drafting as D
 from evidentia.operators import profiles as P
 from evidentia.operators import resumes as S
+from evidentia.operators.retrieval import spread
 from evidentia.plans.common import fixture, table, values
 
 RESUMES = [
@@ -90,7 +91,8 @@ FILES = """CASE c_custkey % 11 WHEN 0 THEN 'notes.txt' WHEN 1 THEN 'a/CV.PDF' EL
 
 
 def resume_import(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", F.expr(CUSTOMER_RESUME.format(nl="\\n", text="STRING")).alias("body"), F.expr(FILES).alias("file"))
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), split=False)
+    rows = customers.select("c_custkey", F.expr(CUSTOMER_RESUME.format(nl="\\n", text="STRING")).alias("body"), F.expr(FILES).alias("file"))
     p = lambda n: F.col(f"preview.{n}")
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM"), F.lit("-"))
     listed = lambda n, show: F.array_join(F.transform(p(n), show), ",").alias(n)

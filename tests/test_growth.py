@@ -1,6 +1,13 @@
 """Work that must not grow with the square of a group: rows that operators make, by the metrics of their plans."""
 
-from evidentia.operators import analysis
+from functools import reduce
+
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.functions import text
+from evidentia.operators import analysis, catalogs, extraction
+from evidentia.plans import postings, profiles
 
 
 def most_rows(df) -> int:
@@ -30,3 +37,23 @@ def test_postings_of_equal_terms_are_ranked_once(spark):
     for posting in (0, 299):
         assert [tuple(r) for r in found.filter(f"posting_id = {posting}").orderBy("position").select("position", "source_id", "label", "matched_terms").collect()] == expected
     assert most_rows(found) < 5_000  # every posting with every record makes 90,000
+
+
+@pytest.mark.parametrize("query", [profiles.resume_import, postings._part_postings])
+def test_a_table_of_one_row_group_is_many_tasks(spark, tmp_path, query):
+    for name in ("customer", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # planned as many parts, of which one has all rows
+    try:
+        assert query(spark, str(tmp_path)).select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tags_are_words_in_any_case(spark):
+    catalog = catalogs.TECHNOLOGIES | catalogs.SKILLS
+    texts = ["", None, "PYTHON, c++ and Node.js; javascripts", "\u017fql \u212aafka a\u0130rflow m\u0131crosof\u0131", "python\u00e9 K8S (Rest API) apis AI-Agent", "Machine  Learning machine learning.", "\u00dfpark"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, body string").repartition(2)
+    plain = [F.when(reduce(lambda a, b: a | b, (text.contains_word(F.col("body"), v) for v in variants)), F.lit(name)) for name, variants in catalog.items()]
+    rows = df.select(extraction.tags(F.col("body"), catalog).alias("found"), F.array_compact(F.array(*plain)).alias("expected")).collect()
+    assert [r["found"] for r in rows] == [r["expected"] for r in rows] and sum(len(r["found"]) for r in rows) > 8
