@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators import catalogs
+from evidentia.operators.markup import let
 
 #: Fixed value: how a posting states years of experience.
 EXPERIENCE = r"(?i)\b(\d{1,2})\s*(?:-\s*(\d{1,2})|(\+))?\s*(?:years?|yrs?)(?:\s+of)?\s+experience\b"
+#: Letters outside ASCII that a search in any case takes for ASCII ones.
+FOLDED = ("\u017f\u0131\u0130\u212a", "siik")
 EDUCATION_WORDS = ("degree", "bachelor", "master")
 
 
 def tags(body: Column, catalog: dict) -> Column:
-    """Canonical names whose variants the text holds as whole words, in catalog order."""
-    found = []
-    for name, variants in catalog.items():
-        hit = F.lit(False)
-        for v in variants:
-            hit = hit | text.contains_word(body, v)
-        found.append(F.when(hit, F.lit(name)))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    """Canonical names whose variants the text holds as whole words, in catalog order; a variant that it doesn't hold at all is not looked for as a word."""
+    folded = F.lower(F.translate(body, *FOLDED))
+
+    def named(low: Column) -> Column:
+        hits = {name: reduce(lambda a, b: a | b, (F.contains(low, F.lit(v)) & text.contains_word(body, v) for v in variants)) for name, variants in catalog.items()}
+        return F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, hit in hits.items())))
+
+    return let(folded, named)
 
 
 def lines(df: DataFrame, key: str, body: str) -> DataFrame:

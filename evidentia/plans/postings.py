@@ -43,7 +43,8 @@ def _part_postings(spark, d):
         F.lit("About "), "p_brand", F.lit(".\nRequirements:\n- Python or SQL with "), low, F.lit(", "), F.col("p_size").cast("string"), F.lit("+ years of experience\n* Docker. "), "p_name",
         F.when(F.col("p_size") % 2 == 0, F.lit("\nPreferred qualifications:\n1. Bachelor degree in computer science or related field\n")).otherwise("\n\n"), F.lit("Communication is a plus"),
     )
-    return table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), title.alias("title"), body.alias("body"))
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), split=False)
+    return parts.select(F.col("p_partkey").alias("job_id"), title.alias("title"), body.alias("body"))
 
 
 def _text(items):
