@@ -69,7 +69,7 @@ def dictionary_tags(spark, d, rows=None):
 
 def required_preferred_split(spark, d, rows=None):
     found = X.contexts(_given(spark, rows), "job_id", "body")
-    return X.classified(found, "job_id", catalogs.TECHNOLOGIES).unionByName(X.classified(found, "job_id", catalogs.SKILLS))
+    return X.classified(found, "job_id", catalogs.TECHNOLOGIES | catalogs.SKILLS)  # no name is in both
 
 
 def or_groups(spark, d, rows=None):
