@@ -123,9 +123,29 @@ REDACTIONS = (
 )
 
 
+#: For each of these patterns, texts (lower case) of which a match holds one of each group.
+REDACTION_HINTS = (
+    (("=", ":"), ("api_key", "token", "secret", "password", "credential", "database_url", "db_url", "connection_string")),
+    (("=",), ("?", "&"), ("api", "access", "auth", "secret", "password")),
+    (("bearer",),),
+    (("sk-", "rk-", "ghp-", "github_pat-", "xox"),),
+    (("sk-", "rk-", "ghp-", "github_pat-", "xox"),),
+)
+
+
 def redact(text: Column) -> Column:
-    """Secrets in a text replaced; the last pattern only finds what the one before it leaves."""
-    return reduce(lambda c, p: F.regexp_replace(c, F.lit(p[0]), F.lit(p[1])), REDACTIONS, text)
+    """Secrets in a text replaced; the last pattern only finds what the one before it leaves.
+
+    A pattern is tried where the text holds what every match of it holds, which most texts don't; nothing that is put in holds any of it."""
+    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def hinted(low: Column, groups) -> Column:
+        return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in hints)) for hints in groups))
+
+    def step(value: Column, low: Column, groups, pair) -> Column:
+        return one(value, lambda v: F.when(hinted(low, groups), F.regexp_replace(v, F.lit(pair[0]), F.lit(pair[1]))).otherwise(v))
+
+    return one(F.lower(text), lambda low: reduce(lambda c, p: step(c, low, *p), zip(REDACTION_HINTS, REDACTIONS, strict=True), text))
 
 
 #: Fixed value: keys whose values are secret, whatever they hold.

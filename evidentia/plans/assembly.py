@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import corpus as C
 from evidentia.functions import text
 from evidentia.operators import drafting, drafts, embedding, markup, nested, pages, relational, runs
+from evidentia.operators.retrieval import spread
 from evidentia.plans.common import table
 from evidentia.plans.postings import _DROPPED, _entities_sql, _redact_sql
 
@@ -200,7 +201,7 @@ def redact_values(spark, d):
     """Nested values: a text, a list and a map with a secret key."""
     text_of = F.col("text")
     value = F.struct(text_of.alias("body"), F.array(text_of, F.lit("Bearer abcdef")).alias("items"), F.create_map(F.lit("api_key"), text_of, F.lit("note"), text_of).alias("fields"), F.length(text_of).alias("password"))
-    rows = table(spark, d, "documents").select("doc_id", value.alias("value"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", value.alias("value"))
     rows = rows.select("doc_id", text.redact_nested(F.col("value"), rows.schema["value"].dataType).alias("v"))
     hashed = lambda c: text.content_hash(c)
     return rows.select(

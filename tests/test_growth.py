@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators import analysis, catalogs, extraction
-from evidentia.plans import postings, profiles
+from evidentia.plans import assembly, postings, profiles
 
 
 def most_rows(df) -> int:
@@ -57,3 +57,18 @@ def test_tags_are_words_in_any_case(spark):
     plain = [F.when(reduce(lambda a, b: a | b, (text.contains_word(F.col("body"), v) for v in variants)), F.lit(name)) for name, variants in catalog.items()]
     rows = df.select(extraction.tags(F.col("body"), catalog).alias("found"), F.array_compact(F.array(*plain)).alias("expected")).collect()
     assert [r["found"] for r in rows] == [r["expected"] for r in rows] and sum(len(r["found"]) for r in rows) > 8
+
+
+def test_nested_redaction_is_many_tasks(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert assembly.redact_values(spark, str(tmp_path)).select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_redaction_equals_every_pattern_tried(spark):
+    texts = [
+        "", None, "plain", "My_Api_Key = 'a b' and TOKEN: x;y", "tokens and = signs", "?api-key=1&Secret =2&b=3", "https://x/?AUTHORIZATION=q#f", "BEARER abc.def-1, bearer", "ghp-12345678 xoxb-aa'bb sk-\u00e9",
+        "DB_URL:\"sk-1\" rk-abcdefgh12", "PASSWORD=Bearer sk-12345678 ?secret=xoxp-1", "\u212aey_SECRET=1 pa\u017f\u017fword=2 x_PASSWORD=3",
+    ]
+    plain = reduce(lambda c, p: F.regexp_replace(c, F.lit(p[0]), F.lit(p[1])), text.REDACTIONS, F.col("body"))
+    rows = spark.createDataFrame([(t,) for t in texts], "body string").select(text.redact(F.col("body")).alias("found"), plain.alias("expected"), "body").collect()
+    assert [r["found"] for r in rows] == [r["expected"] for r in rows] and sum(r["found"] != r["body"] for r in rows if r["body"]) >= 7
