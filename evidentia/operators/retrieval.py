@@ -33,6 +33,8 @@ SPREAD_BYTES = 1 << 30
 #: Vectors or queries of a block, about, and pairs scored at once.
 VECTOR_BLOCK, VECTOR_NUMBERS = 8192, 8_000_000
 PAIRS = 1 << 20
+#: Tokens of evidence that are scored at once, about, and bytes of a batch of it.
+TOKENS, BATCH_BYTES = 250_000, 8 << 20
 #: Features whose hashes a task remembers.
 FEATURES = 500_000
 CANDIDATES = "query_id bigint, evidence_id bigint, score double, lexical double, vector double, shared bigint"
@@ -91,7 +93,7 @@ def feature_hash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The integer feature-hash vector of each token list; dividing by its length gives the unit vector."""
     features = Features()
     for tokens in batches:
-        flat = [features.vectors(TokenLists(tokens[at : at + 2000])).astype(np.int64).ravel() for at in range(0, len(tokens), 2000)]
+        flat = [features.vectors(TokenLists(tokens[at:end])).astype(np.int64).ravel() for at, end in cuts(tokens, 2000)]
         yield pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)), DIMENSIONS).cast(pa.list_(pa.int64()))
 
 
@@ -136,20 +138,37 @@ class Best:
         self.block, self.k, self.weights, self.held = block, k, weights, None
 
     def add(self, ids: np.ndarray, lists: pa.Array) -> None:
-        step = max(1, PAIRS // max(len(self.block.ids), 1))
-        for at in range(0, len(ids), step):
-            tokens = TokenLists(lists[at : at + step])
-            shared = self.block.shared(tokens)
-            lexical = shared / self.block.sizes
-            if self.weights is None:
-                vector, score = np.zeros(shared.shape), np.where(shared > 0, np.floor(lexical * 10_000 + 0.5), -1.0)
-            else:
-                vector = self.block.cosine(tokens) if self.weights[1] else np.zeros(shared.shape)
-                score = np.minimum(1.0, lexical * self.weights[0] + vector * self.weights[1])
-            found = (score, lexical, vector, shared, np.broadcast_to(ids[at : at + step, None], score.shape))
-            found = found if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, found, strict=True))
-            order = np.lexsort((found[4], -np.floor(found[1] * 10_000 + 0.5), -found[0]), axis=0)[: self.k]
-            self.held = tuple(np.take_along_axis(x, order, axis=0) for x in found)
+        for at, end in cuts(lists, max(1, PAIRS // max(len(self.block.ids), 1))):
+            self._add(ids[at:end], lists[at:end])
+
+    def _add(self, ids: np.ndarray, lists: pa.Array) -> None:
+        tokens = TokenLists(lists)
+        shared = self.block.shared(tokens)
+        lexical = shared / self.block.sizes
+        if self.weights is None:
+            vector, score = np.zeros(shared.shape), np.where(shared > 0, np.floor(lexical * 10_000 + 0.5), -1.0)
+        else:
+            vector = np.zeros(shared.shape)
+            if self.weights[1]:
+                near = self.near(lexical)
+                if not near.all():
+                    ids, shared, lexical, vector = ids[near], shared[near], lexical[near], vector[near]
+                    tokens = TokenLists(lists.filter(pa.array(near)))
+                if not len(ids):
+                    return
+                vector = self.block.cosine(tokens)
+            score = np.minimum(1.0, lexical * self.weights[0] + vector * self.weights[1])
+        found = (score, lexical, vector, shared, np.broadcast_to(ids[:, None], score.shape))
+        found = found if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, found, strict=True))
+        order = np.lexsort((found[4], -np.floor(found[1] * 10_000 + 0.5), -found[0]), axis=0)[: self.k]
+        self.held = tuple(np.take_along_axis(x, order, axis=0) for x in found)
+
+    def near(self, lexical: np.ndarray) -> np.ndarray:
+        """Rows that a cosine of 1 would bring among the best of any query so far: no other needs its vector."""
+        if self.held is None or len(self.held[0]) < self.k or self.weights[1] < 0:
+            return np.ones(len(lexical), np.bool_)
+        most = np.minimum(1.0, lexical * self.weights[0] + (1 + 1e-9) * self.weights[1])
+        return (most >= self.held[0][-1]).any(axis=1)
 
     def rows(self) -> pa.Table:
         score, lexical, vector, shared, ids = self.held if self.held is not None else [np.empty((0, len(self.block.ids)))] * 5
@@ -160,6 +179,7 @@ class Best:
 
 def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[float, float] | None) -> DataFrame:
     """The best ``k`` rows of each query in each task or cell, as ``CANDIDATES``; without weights by shared tokens alone."""
+    _bound_batches(evidence)
     evidence = spread(evidence.select(F.col("evidence_id").cast("bigint"), "tokens"))
     queries = queries.select(F.col("query_id").cast("bigint"), "tokens")
     size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
@@ -331,6 +351,25 @@ class EvidenceIndex:
         return pa.table(columns, names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
 
+def cuts(lists: pa.Array, rows: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``rows`` lists and about ``TOKENS`` tokens."""
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    out, at = [], 0
+    while at < len(lists):
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + TOKENS, side="right"))))
+        out.append((at, end))
+        at = end
+    return out
+
+
+def _bound_batches(df: DataFrame) -> None:
+    """Limit the Arrow batches of the session to ``BATCH_BYTES``, so that long texts don't fill a Python worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def _best(asked: pa.Table, k: int, weights: tuple[float, float] | None) -> Best:
     lists = asked["tokens"].combine_chunks()
     return Best(QueryBlock(asked["query_id"].to_pylist(), lists, Features()), k, weights)
@@ -387,10 +426,9 @@ def full_order(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     rows = spread(evidence.select(F.col("evidence_id").cast("bigint"), "tokens"))
 
     def pairs(ids: np.ndarray, lists: pa.Array, block: QueryBlock) -> Iterator[pa.RecordBatch]:
-        step = max(1, PAIRS // max(len(block.ids), 1))
-        for at in range(0, len(ids), step):
-            shared = block.shared(TokenLists(lists[at : at + step]))
-            own, queries_of = np.repeat(ids[at : at + step], shared.shape[1]), np.tile(block.ids, len(shared))
+        for at, end in cuts(lists, max(1, PAIRS // max(len(block.ids), 1))):
+            shared = block.shared(TokenLists(lists[at:end]))
+            own, queries_of = np.repeat(ids[at:end], shared.shape[1]), np.tile(block.ids, len(shared))
             lexical = (shared / block.sizes).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(queries_of), pa.array(own), pa.array(lexical), pa.array(shared.ravel().astype(np.int64))], names=["query_id", "evidence_id", "lexical", "shared"])
 

@@ -31,7 +31,7 @@ def hybrid_topk(spark, d):
 
 def hybrid_topk_filtered(spark, d):
     docs = table(spark, d, "documents").filter(F.col("lang").isin("en", "de") & (F.col("source") == "src3"))
-    return V.rank(V.tokens_of(docs, "doc_id", "text", "evidence_id"), _requirements(spark, d), K)
+    return V.rank(V.tokens_of(V.spread(docs.select("doc_id", "text")), "doc_id", "text", "evidence_id"), _requirements(spark, d), K)
 
 
 def _vectors(spark, d):

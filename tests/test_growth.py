@@ -2,11 +2,13 @@
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import analysis, catalogs, extraction
+from evidentia.operators import analysis, catalogs, extraction, retrieval
 from evidentia.plans import assembly, postings, profiles
 
 
@@ -72,3 +74,12 @@ def test_redaction_equals_every_pattern_tried(spark):
     plain = reduce(lambda c, p: F.regexp_replace(c, F.lit(p[0]), F.lit(p[1])), text.REDACTIONS, F.col("body"))
     rows = spark.createDataFrame([(t,) for t in texts], "body string").select(text.redact(F.col("body")).alias("found"), plain.alias("expected"), "body").collect()
     assert [r["found"] for r in rows] == [r["expected"] for r in rows] and sum(r["found"] != r["body"] for r in rows if r["body"]) >= 7
+
+
+def test_ranking_scores_few_tokens_at_once(monkeypatch):
+    sizes, made = [], retrieval.TokenLists
+    monkeypatch.setattr(retrieval, "TokenLists", lambda lists: sizes.append(len(lists.flatten())) or made(lists))
+    lists = pa.array([[f"t{i % 97}", f"u{j}"] * 150 for i in range(100) for j in range(30)], pa.list_(pa.string()))
+    best = retrieval.Best(retrieval.QueryBlock([1], lists[:1], retrieval.Features()), 2, (0.7, 0.3))
+    best.add(np.arange(3000), lists)
+    assert max(sizes) <= 300_000 and best.held[4].ravel().tolist() == [0, 2910]
