@@ -39,6 +39,18 @@ def explicit_status(requirements: DataFrame, evidence: DataFrame, rules: dict =
     return counted.withColumn("status", status)
 
 
+def held(hits: DataFrame) -> DataFrame:
+    """The hits, a few for each query, kept by Spark for all that reads them, so that evidence is ranked once; their size is then known."""
+    kept = hits.persist()
+    kept.count()
+    return kept
+
+
+def with_words(hits: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """The hits with the tokens of their evidence; only evidence that is hit is cut into words."""
+    return hits.join(evidence.select(*keys, "tokens").join(hits.select(*keys).distinct(), keys, "left_semi"), keys)
+
+
 def gate(hits: DataFrame, requirements: DataFrame, evidence: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, query_id, status, best_lexical, citations) from ranked hits: admit, then grade; with ``scope`` ids count within their owner, model, ...
 
@@ -46,12 +58,11 @@ def gate(hits: DataFrame, requirements: DataFrame, evidence: DataFrame, scope: l
 
     A hit is admitted by a shared token or a vector score of ``ADMITTED_VECTOR``; both read rounded scores.  Requirements without
     a signal token are not applicable, whatever was found."""
-    admitted = hits.filter((F.col("lexical_score") > 0) | (F.col("vector_score") >= scores.ADMITTED_VECTOR))
+    admitted = held(hits).filter((F.col("lexical_score") > 0) | (F.col("vector_score") >= scores.ADMITTED_VECTOR))
     within = scope or []
     of_query, of_evidence = [*within, "query_id"], [*within, "evidence_id"]
     wording = requirements.select(*of_query, F.array_join("tokens", " ").alias("_q"), (F.size(text.signal_tokens(F.col("tokens"))) > 0).alias("_signal"))
-    # hits are few beside the evidence and are ranked once; words are joined for hits alone
-    cited = admitted.join(evidence.select(*of_evidence, "tokens"), of_evidence).withColumn("_e", F.array_join("tokens", " ")).drop("tokens").join(wording.drop("_signal"), of_query)
+    cited = with_words(admitted, evidence, of_evidence).withColumn("_e", F.array_join("tokens", " ")).drop("tokens").join(wording.drop("_signal"), of_query)
     graded = cited.groupBy(*of_query).agg(F.max("lexical_score").alias("best_lexical"), F.bool_or(F.contains("_e", "_q")).alias("_exact"), F.count("*").alias("citations"))
     rows = wording.join(graded, of_query, "left")
     status = scores.status_of(F.coalesce("best_lexical", F.lit(0.0)), F.col("citations").isNotNull(), F.coalesce("_exact", F.lit(False)))

@@ -130,11 +130,10 @@ def matched(requirements: DataFrame, evidence: DataFrame, k: int, rules: dict =
         F.coalesce("named", F.lit(0)).cast("bigint").alias("citations"), "has_signal",
     )
     free = masks.filter("mask = 0").select("query_id", "tokens", "has_signal")
-    hits = retrieval.rank(evidence, free, k)
+    hits = matching.held(retrieval.rank(evidence, free, k))
     admitted = hits.filter((F.col("lexical_score") > 0) | (F.col("vector_score") >= scores.ADMITTED_VECTOR))
     wording = free.select("query_id", F.array_join("tokens", " ").alias("_q"))
-    # hits are few beside the evidence and are ranked once; words are joined for hits alone
-    cited = admitted.join(evidence.select("evidence_id", "tokens"), "evidence_id").withColumn("_e", F.array_join("tokens", " ")).drop("tokens")
+    cited = matching.with_words(admitted, evidence, ["evidence_id"]).withColumn("_e", F.array_join("tokens", " ")).drop("tokens")
     graded = cited.join(wording, "query_id").groupBy("query_id").agg(
         F.max("lexical_score").alias("best"), F.bool_or(F.contains("_e", "_q")).alias("exact"), F.count("*").alias("n")
     )

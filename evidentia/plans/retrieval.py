@@ -98,9 +98,10 @@ def mode_compare(spark, d):
 
 
 def threshold_whatif(spark, d):
-    hits = hybrid_topk(spark, d)
+    evidence, requirements = _evidence(spark, d), _requirements(spark, d)
+    hits = M.held(V.rank(evidence, requirements, K))
     by_vector, by_both = E.promoted(F.col("status"), F.col("lexical_score"), F.col("vector_score"))
-    best = hits.filter("rank = 1").join(requirement_status(spark, d), "query_id")
+    best = hits.filter("rank = 1").join(M.gate(hits, requirements, evidence), "query_id")
     counted = best.select("status", by_vector.alias("by_vector"), by_both.alias("by_both"))
     return counted.groupBy("status", "by_vector", "by_both").agg(F.count("*").alias("requirements"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text
 from evidentia.operators import analysis, catalogs, extraction, retrieval
 from evidentia.plans import assembly, postings, profiles
+from evidentia.plans import retrieval as ranking
 
 
 def most_rows(df) -> int:
@@ -83,3 +84,10 @@ def test_ranking_scores_few_tokens_at_once(monkeypatch):
     best = retrieval.Best(retrieval.QueryBlock([1], lists[:1], retrieval.Features()), 2, (0.7, 0.3))
     best.add(np.arange(3000), lists)
     assert max(sizes) <= 300_000 and best.held[4].ravel().tolist() == [0, 2910]
+
+
+def test_thresholds_rank_once(spark, monkeypatch):
+    calls, rank = [], retrieval.rank
+    monkeypatch.setattr(retrieval, "rank", lambda *a, **k: calls.append(a) or rank(*a, **k))
+    ranking.threshold_whatif(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
