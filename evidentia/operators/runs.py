@@ -24,6 +24,8 @@ EVENTS = tuple(dict.fromkeys(e for _, e in MOVES))
 CLOSING = ("complete", "wait", "fail")
 ENDED = ("completed", "rejected", "failed")
 MESSAGE_CHARS = 400
+#: Events of a run that are folded at once; those of longer runs are folded in chunks.
+LONG = 10_000
 
 
 def latency_ms(started: Column, finished: Column) -> Column:
@@ -37,23 +39,32 @@ RESULT = (
 )
 
 
+def _code(event: Column) -> Column:
+    """Place of an event in ``EVENTS``, from 1; 0 for any other and for null."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, EVENTS)), event).cast("int"), F.lit(0))
+
+
 def _step(s: Column, e: Column) -> Column:
     """What an event makes of a run; one that is no legal move is counted and changes nothing else."""
     table = [STATES.index(MOVES[state, event]) if (state, event) in MOVES else -1 for state in STATES for event in EVENTS]
-    code = F.array_position(F.array(*map(F.lit, EVENTS)), e["event"])
-    target = F.when(code > 0, F.element_at(F.array(*map(F.lit, table)), (s["state"] * len(EVENTS) + code).cast("int"))).otherwise(-1)
-    legal = target >= 0
-    starts, closes = legal & (e["event"] == "start"), legal & e["event"].isin(*CLOSING)
-    fails, ends = legal & (e["event"] == "fail"), legal & target.isin(*(STATES.index(x) for x in ENDED))
-    failure = F.struct(s["stage"].alias("stage"), e["error_type"].alias("error_type"), F.substring(e["message"], 1, MESSAGE_CHARS).alias("message"))
-    return F.struct(
-        F.when(legal, target).otherwise(s["state"]).alias("state"), (s["moves"] + legal.cast("bigint")).alias("moves"), (s["refused"] + (~legal).cast("bigint")).alias("refused"),
-        F.coalesce(s["refused_id"], F.when(~legal, e["id"])).alias("refused_id"), F.when(starts, e["stage"]).otherwise(s["stage"]).alias("stage"),
-        F.when(fails, failure).otherwise(s["failure"]).alias("failure"), F.when(starts, e["at"]).when(closes, F.lit(None)).otherwise(s["opened"]).alias("opened"),
-        (s["carried"] & ~starts & ~closes).alias("carried"), F.coalesce(s["early"], F.when(closes & s["carried"], e["at"])).alias("early"),
-        (s["latency_ms"] + F.when(closes & s["opened"].isNotNull(), latency_ms(s["opened"], e["at"])).otherwise(0)).alias("latency_ms"),
-        F.when(ends, e["at"]).otherwise(s["ended_at"]).alias("ended_at"),
-    ).cast(f"struct<{RESULT}>")
+    target = F.when(e["code"] > 0, F.element_at(F.array(*map(F.lit, table)), s["state"] * len(EVENTS) + e["code"])).otherwise(-1)
+    names = [part.split(":")[0] for part in RESULT.split(", ") if not part.startswith(("error_type", "message"))]
+
+    def changed(**to: Column) -> Column:
+        return F.struct(*(to.get(n, s[n]).alias(n) for n in names))
+
+    def moved(target: Column) -> Column:
+        starts, closes = e["code"] == EVENTS.index("start") + 1, e["code"].isin(*(EVENTS.index(x) + 1 for x in CLOSING))
+        fails, ends = e["code"] == EVENTS.index("fail") + 1, target.isin(*(STATES.index(x) for x in ENDED))
+        failure = F.struct(s["stage"].alias("stage"), e["error_type"].alias("error_type"), e["message"].alias("message"))
+        return changed(
+            state=target, moves=s["moves"] + 1, stage=F.when(starts, e["stage"]).otherwise(s["stage"]), failure=F.when(fails, failure).otherwise(s["failure"]),
+            opened=F.when(starts, e["at"]).when(closes, F.lit(None)).otherwise(s["opened"]), carried=s["carried"] & ~starts & ~closes, early=F.coalesce(s["early"], F.when(closes & s["carried"], e["at"])),
+            latency_ms=s["latency_ms"] + F.when(closes & s["opened"].isNotNull(), latency_ms(s["opened"], e["at"])).otherwise(0), ended_at=F.when(ends, e["at"]).otherwise(s["ended_at"]),
+        )
+
+    refused = changed(refused=s["refused"] + 1, refused_id=F.coalesce(s["refused_id"], e["id"]))
+    return F.element_at(F.transform(F.array(target), lambda t: F.when(t >= 0, moved(t)).otherwise(refused)), 1)  # the target is looked up once
 
 
 def _begin(state: Column, carried: bool) -> Column:
@@ -77,18 +88,27 @@ def _followed(s: Column, fns: Column) -> Column:
     ).cast(f"struct<{RESULT}>")
 
 
-def lifecycle(events: DataFrame, run: str, chunk: str = "hour") -> DataFrame:
+def lifecycle(events: DataFrame, run: str, chunk: str = "hour", long: int = LONG) -> DataFrame:
     """(run, status, current_stage, moves, refused, first_refused, failure, latency_ms, finished_at) of each run after all its events.
 
     ``events`` has (run, id, at, event, stage, error_type, message), ids bigint, taken in the order of (at, id).  Illegal moves are refused:
-    they are counted, the first is named, and the run stays as it was.  ``latency_ms`` adds up the stages that were closed.  A run's events are
-    folded in chunks of time, each from every state, and the chunks, which compose, in order: a run with a third of all events is
-    worked on by as many tasks as it has chunks.  Runs without a legal event have the status "none"."""
-    e = events.select(run, F.date_trunc(chunk, F.col("at")).alias("_chunk"), F.struct("at", "id", "event", "stage", "error_type", "message").alias("_e"))
-    starts = F.array(*(_begin(F.lit(i), True) for i in range(len(STATES))))
-    folded = F.aggregate(F.array_sort(F.collect_list("_e")), starts, lambda acc, x: F.transform(acc, lambda s: _step(s, x)))
-    parts = e.groupBy(run, "_chunk").agg(folded.alias("_f"))
-    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("_chunk", "_f"))), _begin(F.lit(0), False), lambda s, x: _followed(s, x["_f"]))
+    they are counted, the first is named, and the run stays as it was.  ``latency_ms`` adds up the stages that were closed.  The events of a
+    run of at most ``long`` events are folded at once.  Those of a longer one are folded in chunks of time, each from every state, and the
+    chunks, which compose, in order: a run with a third of all events is worked on by as many tasks as it has chunks.  Runs are counted
+    first; the long ones, at most one in ``long`` events, are broadcast.  Runs without a legal event have the status "none"."""
+    counted = events.groupBy(run).agg(F.count("*").alias("_n")).filter(F.col("_n") > long).select(F.col(run).alias("_run"), F.lit(True).alias("_long"))
+    code = _code(F.col("event"))
+    # only a start tells its stage, only a failure its error
+    starts, fails = code == EVENTS.index("start") + 1, code == EVENTS.index("fail") + 1
+    what = (F.when(starts, F.col("stage")).alias("stage"), F.when(fails, F.col("error_type")).alias("error_type"), F.when(fails, F.substring("message", 1, MESSAGE_CHARS)).alias("message"))
+    e = events.select(run, "at", F.struct("at", "id", code.alias("code"), *what).alias("_e")).join(F.broadcast(counted), F.col(run).eqNullSafe(F.col("_run")), "left")
+    keys = [run, "_long", "_chunk"]
+    e = e.select(run, "_long", F.when(F.col("_long"), F.date_trunc(chunk, F.col("at"))).alias("_chunk"), "_e").repartition(*keys)
+    states = [_begin(F.lit(i), True) for i in range(len(STATES))]
+    begun = F.when(F.col("_long"), F.array(*states)).otherwise(F.array(states[0]))
+    folded = F.aggregate(F.sort_array(F.collect_list("_e")), begun, lambda acc, x: F.transform(acc, lambda s: _step(s, x)))
+    parts = e.groupBy(*keys).agg(folded.alias("_f"))
+    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("_chunk", "_f"))), _begin(F.lit(0), False), lambda s, x: _followed(s, x["_f"]))
     done = parts.groupBy(run).agg(whole.alias("_s"))
     return done.select(
         run, F.element_at(F.array(*map(F.lit, STATES)), F.col("_s.state") + 1).alias("status"), F.col("_s.stage").alias("current_stage"), "_s.moves", "_s.refused",

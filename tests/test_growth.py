@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import analysis, catalogs, extraction, retrieval
+from evidentia.operators import analysis, catalogs, extraction, retrieval, runs
 from evidentia.plans import assembly, postings, profiles
 from evidentia.plans import retrieval as ranking
 
 
-def most_rows(df) -> int:
-    """The most rows that an operator of the plan made; runs the plan."""
+def most_rows(df, kinds: str = "") -> int:
+    """The most rows that an operator of the plan, of those with ``kinds`` in their name, made; runs the plan."""
     df.collect()
     found, stack = 0, [df._jdf.queryExecution().executedPlan()]
     while stack:
@@ -25,7 +25,7 @@ def most_rows(df) -> int:
         elif kind.endswith("QueryStageExec"):
             stack.append(plan.plan())
         made = plan.metrics().get("numOutputRows")
-        found = max(found, made.get().value() if made.isDefined() else 0)
+        found = max(found, made.get().value() if made.isDefined() and kinds in kind else 0)
         stack += [plan.children().apply(i) for i in range(plan.children().size())]
     return found
 
@@ -91,3 +91,11 @@ def test_thresholds_rank_once(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "rank", lambda *a, **k: calls.append(a) or rank(*a, **k))
     ranking.threshold_whatif(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_events_of_short_runs_are_folded_at_once(spark):
+    """A run with an event an hour is no chunk for each event."""
+    hour, run = F.make_interval(hours=F.col("id").cast("int")), (F.col("id") % 10).alias("run")
+    events = spark.range(3000).select(run, "id", (F.lit("2024-01-01").cast("timestamp") + hour).alias("at"), F.lit("start").alias("event"), F.lit("s").alias("stage"), F.lit("E").alias("error_type"), F.lit("m").alias("message"))
+    found = runs.lifecycle(events, "run")
+    assert most_rows(found, "Aggregate") < 500 and {tuple(r) for r in found.select("status", "moves").collect()} == {("running", 300)}

@@ -57,6 +57,16 @@ def test_lifecycle(spark, chunk):
     assert {v[0] for v in folded(rows).values()} & set(R.ENDED)
 
 
+@pytest.mark.parametrize("long", [0, 70, 10_000])
+@pytest.mark.parametrize("chunk", ["second", "hour", "year"])
+def test_short_and_long_runs(spark, chunk, long):
+    """Whether folded at once or in chunks; times and runs may be null, long runs stand beside short ones."""
+    rows = [(r[0] if r[0] < 5 or r[1] % 9 == 0 else 0, *r[1:]) for r in made(3, 6, 400)]
+    got = R.lifecycle(spark.createDataFrame([*rows, (None, 1, START, "start", "x", None, None), (None, 0, None, "fail", None, None, None)], SCHEMA), "run", chunk, long)
+    got = {r["run"]: (r["status"], r["current_stage"], r["moves"], r["refused"], r["first_refused"], r["failure"] and tuple(r["failure"]), r["latency_ms"], r["finished_at"]) for r in got.collect()}
+    assert got.pop(None) == ("running", "x", 1, 1, 0, None, 0, None) and got == folded(rows)
+
+
 def test_long_runs_reach_every_state(spark):
     rows = [r for seed in range(30) for r in [(seed, *x[1:]) for x in made(seed, 1, 12)]]
     want = folded(rows)
