@@ -143,7 +143,9 @@ class Best:
 
     def _add(self, ids: np.ndarray, lists: pa.Array) -> None:
         tokens = TokenLists(lists)
-        shared = self.block.shared(tokens)
+        self.take(ids, lists, tokens, self.block.shared(tokens))
+
+    def take(self, ids: np.ndarray, lists: pa.Array, tokens: TokenLists, shared: np.ndarray) -> None:
         lexical = shared / self.block.sizes
         if self.weights is None:
             vector, score = np.zeros(shared.shape), np.where(shared > 0, np.floor(lexical * 10_000 + 0.5), -1.0)
@@ -177,8 +179,27 @@ class Best:
         return pa.table([pa.array(x.ravel().astype(t.to_pandas_dtype()), t) for x, t in columns], names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
 
-def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[float, float] | None) -> DataFrame:
-    """The best ``k`` rows of each query in each task or cell, as ``CANDIDATES``; without weights by shared tokens alone."""
+class BestOfModes(Best):
+    """The best ``k`` of each query under each of several weights; tokens are cut and compared once."""
+
+    def __init__(self, block: QueryBlock, k: int, modes: list[tuple[float, float]]):
+        super().__init__(block, k, None)
+        self.modes = [Best(block, k, weights) for weights in modes]
+
+    def take(self, ids: np.ndarray, lists: pa.Array, tokens: TokenLists, shared: np.ndarray) -> None:
+        for best in self.modes:
+            best.take(ids, lists, tokens, shared)
+
+    def rows(self) -> pa.Table:
+        found = [best.rows() for best in self.modes]
+        return pa.concat_tables([t.append_column("mode", pa.array(np.full(t.num_rows, i, np.int32))) for i, t in enumerate(found)])
+
+
+def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[float, float] | list[tuple[float, float]] | None) -> DataFrame:
+    """The best ``k`` rows of each query in each task or cell, as ``CANDIDATES``; without weights by shared tokens alone.
+
+    With a list of weights, the best under each of them, with their place as ``mode`` behind the other columns."""
+    schema = f"{CANDIDATES}, mode int" if isinstance(weights, list) else CANDIDATES
     _bound_batches(evidence)
     evidence = spread(evidence.select(F.col("evidence_id").cast("bigint"), "tokens"))
     queries = queries.select(F.col("query_id").cast("bigint"), "tokens")
@@ -192,7 +213,7 @@ def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[f
                 best.add(batch.column("evidence_id").to_numpy(zero_copy_only=False), batch.column("tokens"))
             yield from best.rows().to_batches()
 
-        return evidence.mapInArrow(local, CANDIDATES)
+        return evidence.mapInArrow(local, schema)
     held = evidence.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
     across = max(-(-size["rows"] // QUERY_BLOCK), -(-size["tokens"] // QUERY_TOKENS))
     down = max(1, -(-held["rows"] // EVIDENCE_BLOCK), -(-held["tokens"] // EVIDENCE_TOKENS))
@@ -204,13 +225,13 @@ def candidates(evidence: DataFrame, queries: DataFrame, k: int, weights: tuple[f
             if index is not None:
                 yield index.candidates(asked["id"].to_pylist(), _one(asked["value"]), k)
             else:
-                best = Best(QueryBlock(asked["id"].to_pylist(), _one(asked["value"]), Features()), k, weights)
+                best = _of(QueryBlock(asked["id"].to_pylist(), _one(asked["value"]), Features()), k, weights)
                 best.add(ids, lists)
                 yield best.rows()
 
     left = queries.select(F.col("query_id").alias("id"), F.col("tokens").alias("value"))
     right = evidence.select(F.col("evidence_id").alias("id"), F.col("tokens").alias("value"))
-    return _past_blocks(right, down, left, across, scored, CANDIDATES)
+    return _past_blocks(right, down, left, across, scored, schema)
 
 
 def _past_blocks(held: DataFrame, blocks: int, passing: DataFrame, parts: int, score, schema: str) -> DataFrame:
@@ -370,9 +391,13 @@ def _bound_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
 
 
-def _best(asked: pa.Table, k: int, weights: tuple[float, float] | None) -> Best:
+def _of(block: QueryBlock, k: int, weights: tuple[float, float] | list[tuple[float, float]] | None) -> Best:
+    return BestOfModes(block, k, weights) if isinstance(weights, list) else Best(block, k, weights)
+
+
+def _best(asked: pa.Table, k: int, weights: tuple[float, float] | list[tuple[float, float]] | None) -> Best:
     lists = asked["tokens"].combine_chunks()
-    return Best(QueryBlock(asked["query_id"].to_pylist(), lists, Features()), k, weights)
+    return _of(QueryBlock(asked["query_id"].to_pylist(), lists, Features()), k, weights)
 
 
 def spread(df: DataFrame, split: bool = True) -> DataFrame:
@@ -407,7 +432,16 @@ def rank(
     ``evidence`` has (evidence_id, tokens), ``queries`` (query_id, tokens); both ids are bigint.  Ordered by the unrounded score, then the rounded lexical score, then the id;
     reported scores have four decimals."""
     within, weights = scope or [], (lexical_weight, vector_weight)
-    best = _scoped_candidates(evidence, queries, within, k, weights) if within else candidates(evidence, queries, k, weights)
+    return _ranked(_scoped_candidates(evidence, queries, within, k, weights) if within else candidates(evidence, queries, k, weights), within, k)
+
+
+def rank_modes(evidence: DataFrame, queries: DataFrame, k: int, modes: dict[str, tuple[float, float]]) -> DataFrame:
+    """(mode, query_id, evidence_id, ...) as by ``rank``, under each of some named (lexical weight, vector weight); evidence is read once for all."""
+    best = candidates(evidence, queries, k, list(modes.values()))
+    return _ranked(best.withColumn("mode", F.element_at(F.array(*map(F.lit, modes)), F.col("mode") + 1)), ["mode"], k)
+
+
+def _ranked(best: DataFrame, within: list[str], k: int) -> DataFrame:
     order = Window.partitionBy(*within, "query_id").orderBy(F.desc("score"), F.desc("lexical_score"), "evidence_id")
     ranked = best.withColumn("lexical_score", scores.unit_score(F.col("lexical"))).withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.filter(F.col("rank") <= k).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.functions import text
+from evidentia.functions import scores, text
 from evidentia.operators import evaluation as E
 from evidentia.operators import matching as M
 from evidentia.operators import retrieval as V
@@ -91,10 +91,9 @@ def recall_rollup(spark, d):
 
 
 def mode_compare(spark, d):
-    lexical, both = (V.rank(_evidence(spark, d), _requirements(spark, d), 1, vector_weight=w) for w in (0.0, 0.3))
-    a = lexical.select("query_id", F.col("evidence_id").alias("lexical_first"))
-    b = both.select("query_id", F.col("evidence_id").alias("hybrid_first"))
-    return a.join(b, "query_id").withColumn("same", F.col("lexical_first") == F.col("hybrid_first"))
+    firsts = V.rank_modes(_evidence(spark, d), _requirements(spark, d), 1, {"lexical": (scores.LEXICAL_WEIGHT, 0.0), "hybrid": (scores.LEXICAL_WEIGHT, 0.3)})
+    first = [F.max(F.when(F.col("mode") == mode, F.col("evidence_id"))).alias(f"{mode}_first") for mode in ("lexical", "hybrid")]
+    return firsts.groupBy("query_id").agg(*first).withColumn("same", F.col("lexical_first") == F.col("hybrid_first"))
 
 
 def threshold_whatif(spark, d):

@@ -93,6 +93,13 @@ def test_thresholds_rank_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_modes_read_evidence_once(spark, monkeypatch):
+    calls, made = [], retrieval.candidates
+    monkeypatch.setattr(retrieval, "candidates", lambda *a: calls.append(a) or made(*a))
+    ranking.mode_compare(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_events_of_short_runs_are_folded_at_once(spark):
     """A run with an event an hour is no chunk for each event."""
     hour, run = F.make_interval(hours=F.col("id").cast("int")), (F.col("id") % 10).alias("run")

@@ -43,6 +43,18 @@ def test_rank_in_blocks(spark, monkeypatch):
     assert retrieval.rank(evidence, queries, 2).count() == 8
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_rank_modes_equal_rank(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    evidence = spark.createDataFrame(EVIDENCE, "evidence_id bigint, tokens array<string>")
+    queries = spark.createDataFrame(QUERIES, "query_id bigint, tokens array<string>")
+    modes = {"lexical": (0.7, 0.0), "hybrid": (0.7, 0.3), "vector": (0.0, 1.0)}
+    found = retrieval.rank_modes(evidence, queries, 3, modes).collect()
+    for mode, (lexical, vector) in modes.items():
+        rows = retrieval.rank(evidence, queries, 3, vector_weight=vector, lexical_weight=lexical).collect()
+        assert sorted(tuple(r)[1:] for r in found if r["mode"] == mode) == sorted(map(tuple, rows)) and len(rows) == 12
+
+
 def test_rank_of_nothing(spark):
     none = spark.createDataFrame([], "evidence_id bigint, tokens array<string>")
     queries = spark.createDataFrame(QUERIES, "query_id bigint, tokens array<string>")
