@@ -47,9 +47,11 @@ def replaced(text: Column, pairs) -> Column:
 def retrieval_tokens(text: Column) -> Column:
     """Tokens for retrieval, in order, aliases behind their token; null gives no tokens."""
     low = replaced(casefold(F.coalesce(text, F.lit(""))), RETRIEVAL_REPLACEMENTS)
-    tokens = F.filter(F.transform(F.regexp_extract_all(low, F.lit(r"[a-z0-9+#.]+"), F.lit(0)), lambda t: F.btrim(t, F.lit("."))), lambda t: t != "")
+    # a run of token characters without the full stops at its ends
+    tokens = F.regexp_extract_all(low, F.lit(r"[a-z0-9+#]++(?:\.++[a-z0-9+#]++)*+"), F.lit(0))
     alias = F.create_map(*(F.lit(x) for pair in TOKEN_ALIASES.items() for x in pair))
-    return F.flatten(F.transform(tokens, lambda t: F.when(F.map_contains_key(alias, t), F.array(t, F.element_at(alias, t))).otherwise(F.array(t))))
+    told = F.flatten(F.transform(tokens, lambda t: F.when(F.map_contains_key(alias, t), F.array(t, F.element_at(alias, t))).otherwise(F.array(t))))
+    return F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in TOKEN_ALIASES)), told).otherwise(tokens)
 
 
 def retrieval_text(text: Column) -> Column:

@@ -10,7 +10,7 @@ never copied, queries are sent once for each block of evidence.  For lexical ran
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,40 +35,43 @@ VECTOR_BLOCK, VECTOR_NUMBERS = 8192, 8_000_000
 PAIRS = 1 << 20
 #: Tokens of evidence that are scored at once, about, and bytes of a batch of it.
 TOKENS, BATCH_BYTES = 250_000, 8 << 20
-#: Features whose hashes a task remembers.
+#: Tokens whose hashes a task remembers.
 FEATURES = 500_000
 CANDIDATES = "query_id bigint, evidence_id bigint, score double, lexical double, vector double, shared bigint"
 
 
+def hashed(features: Iterable[bytes]) -> np.ndarray:
+    """The first four bytes of the hash of each feature, and behind them the lowest bit of the fifth."""
+    digests = np.frombuffer(b"".join([hashlib.sha256(x).digest() for x in features]), np.uint8).reshape(-1, 32)
+    return np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) * 2 + (digests[:, 4] & 1)
+
+
 class Features:
-    """Signed buckets of features: bucket from the first four bytes of the hash, sign from the fifth."""
+    """Signed buckets of features; hashes of tokens are remembered, those of bigrams, which seldom come again, are not."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def codes(self, features: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-        """bucket * 2 + sign for each feature."""
+    def hashes(self, tokens: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > FEATURES:
             known.clear()
-        out = np.empty(len(features), np.int64)
-        for i, feature in enumerate(features):
-            code = known.get(feature)
-            if code is None:
-                digest = hashlib.sha256(feature.encode()).digest()
-                code = known[feature] = int.from_bytes(digest[:4], "big") % dimensions * 2 + (digest[4] & 1)
-            out[i] = code
-        return out
+        new = [t for t in tokens if t not in known]
+        known.update(zip(new, hashed([t.encode() for t in new]).tolist(), strict=True))
+        return np.array([known[t] for t in tokens], np.int64)
 
     def vectors(self, tokens: TokenLists, dimensions: int = DIMENSIONS) -> np.ndarray:
         """The signed counts of tokens and bigrams of each list, a row for each; distinct ones are hashed once."""
         n, doc = len(tokens.names), tokens.doc
-        own = self.codes(tokens.names, dimensions)[tokens.codes]
+        own = self.hashes(tokens.names)[tokens.codes]
         inner = np.flatnonzero(doc[1:] == doc[:-1])
         pairs, where = np.unique(tokens.codes[inner] * max(n, 1) + tokens.codes[inner + 1], return_inverse=True)
-        joined = [f"{tokens.names[p // n]}_{tokens.names[p % n]}" for p in pairs.tolist()]
-        both = np.concatenate([own, self.codes(joined, dimensions)[where]])
-        cell = np.concatenate([doc, doc[inner]]) * dimensions + both // 2
+        first, second = [name.encode() for name in tokens.names], [b"_" + name.encode() for name in tokens.names]
+        # some features at a time, as a long list may have any number
+        parts = [pairs[at : at + TOKENS] for at in range(0, len(pairs), TOKENS)]
+        joined = [hashed([first[a] + second[b] for a, b in zip((p // n).tolist(), (p % n).tolist(), strict=True)]) for p in parts]
+        both = np.concatenate([own, np.concatenate(joined)[where] if joined else np.empty(0, np.int64)])
+        cell = np.concatenate([doc, doc[inner]]) * dimensions + both // 2 % dimensions
         return np.bincount(cell, 1.0 - 2.0 * (both % 2), tokens.rows * dimensions).reshape(tokens.rows, dimensions)
 
 

@@ -100,6 +100,12 @@ def test_modes_read_evidence_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_hashes_of_bigrams_are_not_remembered():
+    features, lists = retrieval.Features(), pa.array([[f"t{i}" for i in range(100)], None], pa.list_(pa.string()))
+    features.vectors(retrieval.TokenLists(lists))
+    assert len(features.known) == 100
+
+
 def test_events_of_short_runs_are_folded_at_once(spark):
     """A run with an event an hour is no chunk for each event."""
     hour, run = F.make_interval(hours=F.col("id").cast("int")), (F.col("id") % 10).alias("run")

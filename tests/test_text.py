@@ -11,6 +11,14 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def test_tokens_are_runs_without_stops_at_their_ends(spark):
+    texts = ["", None, "...", ".a..b. .c", "rag.", "..RAG..git", "fragments of rag", "openai.github github.", "a. .b", "x" + ".y" * 50_000 + "...", "#.+.#", "\u00dfe.\u0130.k"]
+    low = text.replaced(text.casefold(F.coalesce(F.col("t"), F.lit(""))), text.RETRIEVAL_REPLACEMENTS)
+    plain = F.filter(F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9+#.]+"), F.lit(0)), lambda t: F.btrim(t, F.lit("."))), lambda t: t != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.retrieval_tokens(F.col("t")).alias("found"), plain.alias("plain")).collect()
+    assert [r["found"] for r in rows] == [[x for t in r["plain"] for x in ([t, text.TOKEN_ALIASES[t]] if t in text.TOKEN_ALIASES else [t])] for r in rows]
+
+
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [
